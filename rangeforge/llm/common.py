@@ -48,3 +48,15 @@ def words_of(text: Column) -> Column:
 
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def public_tokenizer(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows, so that very long texts don't meet in one large batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .packing import op2_packing
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .secret_scan import op8_secret_scan
 from .url_rules import OP1_SQL, op1_url_rules
 
 QUERIES = {
     "op1_url_rules": op1_url_rules,
+    "op2_packing": op2_packing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE_SQL = {
