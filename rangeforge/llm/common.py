@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: ASCII white space, as every word rule here has it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -58,5 +62,18 @@ def public_tokenizer(name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that very long texts don't meet in one large batch."""
+    """Before Python stages: ships the package, and sets Arrow batches of few rows, so that very long texts don't meet in one large batch."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextlib.contextmanager
+def no_collection():
+    """Without Python's cycle collector, which would walk large word tables again and again; for code that makes no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()

@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from struct import pack
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_tokenizer, small_batches, table
+from .common import no_collection, public_tokenizer, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -53,34 +54,42 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known; letters and the marks behind them are looked up apart."""
-        parts, asked = {}, set()
+    def _learn(self, words: set[str]) -> None:
+        """Adds the ids of words that aren't known; letters and the marks behind them are looked up apart."""
+        known, match, parts, asked = self.known, LETTERS_THEN_MARKS.fullmatch, [], set()
         for word in words:
-            m = LETTERS_THEN_MARKS.fullmatch(word)
-            parts[word] = (m[1].lower(), m[2]) if m else (word, "")
-            asked.update(parts[word])
-        known = self.known
+            m = match(word)
+            if m:
+                letters, marks = m[1].lower(), m[2]
+                parts.append((word, letters, marks))
+                asked.add(letters)
+                asked.add(marks)
+            else:
+                asked.add(word)
         asked = [x for x in asked if x not in known]
-        ids = {x: pack("<%dI" % len(e.ids), *e.ids) for x, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
-        if len(known) + len(ids) + len(words) > REMEMBERED:
-            ids |= {x: known[x] for pair in parts.values() for x in pair if x in known}
-            known.clear()
-            known[""] = b""
-        found = {w: (ids.get(a) if a in ids else known[a]) + (ids.get(b) if b in ids else known[b]) for w, (a, b) in parts.items()}
-        known.update((w, x) for w, x in (ids | found).items() if len(w) <= LONGEST_WORD)
-        return found
+        for x, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            ids = e.ids
+            known[x] = pack("<%dI" % len(ids), *ids)
+        for word, letters, marks in parts:
+            known[word] = known[letters] + known[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end id."""
+        known, new = self.known, set()
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        distinct = set().union(*split)
-        if new := [w for w in distinct if w not in known]:
-            ids = {w: known[w] for w in distinct if w in known} | self._learn(new)
+        for words in split:
+            new.update(filterfalse(known.__contains__, words))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > REMEMBERED:
+            known.clear()
+            known[""] = b""
         else:
-            ids = known
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+            for word in new:
+                if len(word) > LONGEST_WORD:
+                    del known[word]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -110,7 +119,8 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, end_id
         made, in_bucket = 0, [0] * longest.bit_length()
         for batch in batches:
             rows: list[list] = [[] for _ in range(9)]
-            encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            with no_collection():
+                encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids, at = ids + end, 0
                 n = len(ids) // 4
