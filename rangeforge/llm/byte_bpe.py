@@ -2,12 +2,13 @@
 
 Encoding. A prefix of a word has one valid encoding, and every pair of
 neighbours in a valid encoding is itself the encoding of the two tokens' bytes.
-So the encodings of all prefixes can be extended byte by byte: a state holds
-the open prefixes (those from which a token may still grow) with the tokens that
-they don't share yet. Reading a byte grows the open prefixes, adds the one that
-ends here, and emits the tokens that all open prefixes agree on: the lookahead
-is bounded by the longest token. States and their arcs are made when first met
-and kept in bounded memory.
+So the encodings of all prefixes can be extended byte by byte: a state is the set
+of open prefixes (those from which a token may still grow), each as the trie
+node of the bytes since its end and the last token of its encoding. Reading a
+byte leads to the next set and writes the last token of the prefix that ends
+here; tokens are emitted, by following these back, up to the last boundary that
+all open prefixes share: the lookahead is bounded by the longest token. States
+and their arcs are made when first met and kept in bounded memory.
 
 Decoding. An incremental UTF-8 machine whose arcs are whole tokens: the state is
 the bytes of the character that is still open (at most three), and an arc gives
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import public_tokenizer, small_batches, table
+from .common import no_collection, public_tokenizer, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds on what a task remembers: states, token pairs, words, decoding arcs. Each is emptied when full.
-STATES, PAIRS, WORDS, ARCS = 150_000, 500_000, 1_000_000, 400_000
+STATES, PAIRS, WORDS, ARCS = 300_000, 300_000, 250_000, 200_000
 LONGEST_WORD = 60
+#: Bytes of a word after which settled tokens are emitted.
+LOOKBACK = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,22 +52,13 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int, parts_left:
     return [ranks[p] for p in parts]
 
 
-class State:
-    __slots__ = ("arcs", "last", "opened", "rest")
-
-    def __init__(self, last: int, opened: tuple):
-        self.last = last  # the token emitted last, -1 at the start
-        self.opened = opened  # (trie node of the bytes since the prefix's end, its tokens that aren't emitted)
-        self.rest = opened[-1][1]  # what the end of the word emits
-        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.next: dict[int, int] = {}  # (node << 8 | byte) to node; node 0 is the root
         self.ends: list[int] = [-1]  # the token that ends at a node
+        self.depth: list[int] = [0]
         self.inner: list[bool] = [True]  # whether longer tokens go on from a node
         for token, rank in ranks.items():
             node = 0
@@ -74,6 +68,7 @@ class Transducer:
                 if to is None:
                     to = self.next[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     self.inner.append(False)
                 node = to
             self.ends[node] = rank
@@ -87,8 +82,11 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = State(-1, ((0, ()),))
-        self.states = {(-1, self.start.opened): self.start}
+        """State 0 is the start. A state's prefixes are node << 32 | last token + 1; the last one ends where the state stands."""
+        self.prefixes: list[tuple[int, ...]] = [(0,)]
+        self.states = {(0,): 0}
+        self.last: list[int] = [-1]  # last token of the encoding that ends in a state
+        self.arcs: dict[int, int] = {}  # (state << 8 | byte) to state
 
     def _halves(self, token: int) -> list[int]:
         """The tokens that its last merge joins; one token if it is a byte, more than two if merges never reach it."""
@@ -133,72 +131,88 @@ class Transducer:
         found = self.grows[left, node] = any(self._apart(left, t) for t in self.below[node] if len(self._halves(t)) <= 2)
         return found
 
-    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        follow, ends, inner, pairs, last, ended = self.next.get, self.ends, self.inner, self.pairs, state.last, None
-        grown = [(to, tokens) for node, tokens in state.opened if (to := follow(node << 8 | byte)) is not None]
-        for node, tokens in grown:
-            token = ends[node]
-            if token >= 0:
-                pair = (tokens[-1] if tokens else last, token)
-                fits = pairs.get(pair)
-                if self._follows(*pair) if fits is None else fits:
-                    ended = (*tokens, token)
-                    break
-        if ended is None:
-            raise ValueError(f"no token for byte {byte}; the vocabulary must hold all 256 bytes")
-        opened, below, grows = [], self.below, self.grows
-        for x in grown:
-            node, tokens = x
+    def _arc(self, state: int, byte: int) -> int:
+        ended, opened = -1, []
+        follow, ends, inner, pairs, below, grows = self.next.get, self.ends, self.inner, self.pairs, self.below, self.grows
+        for prefix in self.prefixes[state]:
+            node = follow(prefix >> 32 << 8 | byte)
+            if node is None:
+                continue
+            left = (prefix & 0xFFFFFFFF) - 1
+            if ended < 0 and (token := ends[node]) >= 0:
+                fits = pairs.get((left, token))
+                if self._follows(left, token) if fits is None else fits:
+                    ended = token
             if inner[node]:
-                if node in below:
-                    left = tokens[-1] if tokens else last
-                    if left >= 0:
-                        alive = grows.get((left, node))
-                        if not (self._can_grow(left, node) if alive is None else alive):
-                            continue
-                opened.append(x)
-        agreed = len(ended)
-        for _, tokens in opened:
-            while tokens[:agreed] != ended[:agreed]:
-                agreed -= 1
-            if not agreed:
-                break
-        opened.append((0, ended))
-        if agreed:
-            out, last = ended[:agreed], ended[agreed - 1]
-            key = (last, tuple([(node, tokens[agreed:]) for node, tokens in opened]))
-        else:
-            out, key = (), (last, tuple(opened))
+                if left >= 0 and node in below:
+                    alive = grows.get((left, node))
+                    if not (self._can_grow(left, node) if alive is None else alive):
+                        continue
+                opened.append(node << 32 | left + 1)
+        if ended < 0:
+            raise ValueError(f"no token for byte {byte}; the vocabulary must hold all 256 bytes")
+        opened.append(ended + 1)
+        key = tuple(opened)
         target = self.states.get(key)
         if target is None:
-            if len(self.states) >= STATES:
-                self._reset()
-            target = self.states[key] = State(*key)
-        arc = state.arcs[byte] = (target, out)
-        return arc
+            target = self.states[key] = len(self.prefixes)
+            self.prefixes.append(key)
+            self.last.append(ended)
+        self.arcs[state << 8 | byte] = target
+        return target
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        """Tokens of the prefix that ends at `end`, the last one first."""
+        token, out = self.token, []
+        while end:
+            out.append(lasts[end - 1])
+            end -= len(token[out[-1]])
+        return out
+
+    def _settled(self, lasts: list[int], state: int) -> list[int]:
+        """Tokens that all open prefixes share, in order; their bytes leave lasts."""
+        paths = [self._back(lasts, len(lasts) - self.depth[p >> 32])[::-1] for p in self.prefixes[state]]
+        shared = 0
+        while all(shared < len(p) and p[shared] == paths[0][shared] for p in paths):
+            shared += 1
+        del lasts[: sum(len(self.token[t]) for t in paths[0][:shared])]
+        return paths[0][:shared]
 
     def encode(self, piece: bytes) -> list[int]:
-        state, ids = self.start, []
+        if len(self.prefixes) > STATES:
+            self._reset()
+        arcs, last, state, lasts, out = self.arcs.get, self.last, 0, [], []
         for byte in piece:
-            state, out = state.arcs.get(byte) or self._arc(state, byte)
-            if out:
-                ids += out
-        ids += state.rest
-        return ids
+            arc = state << 8 | byte
+            state = arcs(arc)
+            if state is None:
+                state = self._arc(arc >> 8, byte)
+            lasts.append(last[state])
+            if len(lasts) > LOOKBACK:
+                out += self._settled(lasts, state)
+        return out + self._back(lasts, len(lasts))[::-1]
 
 
 class Words(dict):
-    """Ids of words as bytes; a word that isn't there runs through the transducer."""
+    """Ids of words as bytes; a word that isn't there runs through the transducer.
+
+    Words are kept in two generations: when the young one is full it becomes
+    the old one, from which words still in use come back.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.transducer = ranks, Transducer(ranks)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        whole = self.ranks.get(raw)
-        ids = self.transducer.encode(raw) if whole is None else [whole]
-        ids = pack("<%dI" % len(ids), *ids)
+        ids = self.old.get(word)
+        if ids is None:
+            raw = word.encode()
+            whole = self.ranks.get(raw)
+            found = self.transducer.encode(raw) if whole is None else [whole]
+            ids = pack("<%dI" % len(found), *found)
         if len(self) >= WORDS:
+            self.old = dict(self)
             self.clear()
         if len(word) <= LONGEST_WORD:
             self[word] = ids
@@ -291,7 +305,9 @@ def encode_documents(docs: DataFrame, *, ranks_path: str | None = None, pattern:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "token_ids"])
+            with no_collection():
+                ids = [encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "token_ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, token_ids binary")
 
