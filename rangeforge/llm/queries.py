@@ -8,6 +8,7 @@ from .language_id import op10_language_id
 from .packing import op2_packing
 from .quality_rank import op9_quality_rank
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .repeats import op4_repeats
 from .secret_scan import op8_secret_scan
 from .simhash import op5_simhash
 from .url_rules import OP1_SQL, op1_url_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
