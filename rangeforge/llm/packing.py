@@ -14,9 +14,9 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +26,15 @@ from .common import no_collection, public_tokenizer, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids are remembered in one task; the memory is emptied when full.
-REMEMBERED = 1_200_000
+#: What a worker remembers: blank-separated words, and the letters and marks they are made of. Each is emptied when full.
+REMEMBERED, PARTS = 400_000, 600_000
 LONGEST_WORD = 80
 #: Latin letters, then marks: the vocabulary's rules cut between the two, and lower-casing maps these letters one to one.
 LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
 
+#: Control characters that str.split takes for space and the vocabulary's rules don't.
+NOT_SPACE = re.compile("[\x1c-\x1f]").search
+
 
 def piece_lengths(n: int, longest: int) -> list[int]:
     """Full sequences, then the binary digits of the rest, largest first."""
@@ -52,36 +55,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: set[str]) -> None:
         """Adds the ids of words that aren't known; letters and the marks behind them are looked up apart."""
-        known, match, parts, asked = self.known, LETTERS_THEN_MARKS.fullmatch, [], set()
+        known, done, match, made, whole, odd = self.known, self.parts, LETTERS_THEN_MARKS.fullmatch, [], set(), []
+        if len(done) > PARTS:
+            done.clear()
+            done[""] = b""
         for word in words:
             m = match(word)
             if m:
                 letters, marks = m[1].lower(), m[2]
-                parts.append((word, letters, marks))
-                asked.add(letters)
-                asked.add(marks)
+                made.append((word, letters, marks))
+                if letters not in done:
+                    whole.add(letters)
+                if marks not in done:
+                    whole.add(marks)
             else:
-                asked.add(word)
-        asked = [x for x in asked if x not in known]
-        for x, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+                odd.append(word)
+        if whole:
+            # Each of these is one word to the merges, whose last token says so: one long text gives the ids of all.
+            new = list(whole)
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            raw = ids.tobytes()
+            for x, lo, hi in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                done[x] = raw[lo:hi]
+        for word, letters, marks in made:
+            known[word] = done[letters] + done[marks] if marks else done[letters]
+        for x in whole:
+            if len(x) > LONGEST_WORD:
+                del done[x]
+        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             ids = e.ids
             known[x] = pack("<%dI" % len(ids), *ids)
-        for word, letters, marks in parts:
-            known[word] = known[letters] + known[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        known, new = self.known, set()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        for words in split:
-            new.update(filterfalse(known.__contains__, words))
+        known, new, gaps = self.known, set(), []
+        split = [text.replace("\n", " ").split(" ") if NOT_SPACE(text) else text.split() for text in texts]
+        found = [list(map(known.get, words)) for words in split]
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                at, gap = -1, []
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    gap.append(at)
+                    new.add(words[at])
+                gaps.append((words, ids, gap))
         if new:
             self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+            for words, ids, gap in gaps:
+                for at in gap:
+                    ids[at] = known[words[at]]
+        out = list(map(b"".join, found))
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
