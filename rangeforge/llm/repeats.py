@@ -15,27 +15,35 @@ occurrences the parse:
    neighbours in that order are repeated. Equality is all that is asked, so
    digest order takes the place of byte order.
 
+Texts travel once, in compressed blocks of some hundred kilobytes; what is known
+of a block's phrases and windows comes to it by its number.
+
 Digests combine two polynomial hashes with random byte values, so a false match
 needs a 64-bit collision; phrases are digested whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 LENGTH = 200
 GRAM = 8
 #: Bytes looked at together; longer texts are taken in overlapping parts.
 PART = 1 << 19
+#: Bytes of texts in a block; a longer text is a block of its own.
+BLOCK = 1 << 18
+#: Windows that a task sorts and packs together.
+PACK = 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _ODD = np.random.default_rng(99).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,9 +69,11 @@ def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """length: of a repeated string; block: bytes from a trigger on that are compared first."""
+    """length: of a repeated string; block: bytes from a trigger on that are compared first; part and texts: bounds on what is looked at and packed together."""
 
     length: int = LENGTH
+    part: int = PART
+    texts: int = BLOCK
 
     @property
     def block(self) -> int:
@@ -125,10 +135,10 @@ def _parts(texts: list[bytes], shape: Shape) -> Iterator[tuple[list[int], list[i
     """(text numbers, offsets, Part): texts together up to PART bytes; parts of a longer text overlap by length - 1."""
     numbers, offsets, held, size = [], [], [], 0
     for k, text in enumerate(texts):
-        step = PART - shape.length
+        step = shape.part - shape.length
         for lo in range(0, max(1, len(text) - shape.length + 1), step):
             piece = text[lo : lo + step + shape.length - 1]
-            if held and size + len(piece) > PART:
+            if held and size + len(piece) > shape.part:
                 yield numbers, offsets, Part(held, shape)
                 numbers, offsets, held, size = [], [], [], 0
             numbers.append(k)
@@ -139,175 +149,244 @@ def _parts(texts: list[bytes], shape: Shape) -> Iterator[tuple[list[int], list[i
         yield numbers, offsets, Part(held, shape)
 
 
-def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], names=list(columns))
+class Block:
+    """Texts that follow one another in a task's rows, with the byte at which each begins."""
 
+    def __init__(self, doc_ids: list, raws: list[bytes], shape: Shape):
+        self.doc_ids, self.raws, self.shape = doc_ids, raws, shape
+        self.base = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
 
-def _raw(column: pa.Array) -> list[bytes]:
-    return [t.encode() if t else b"" for t in column.to_pylist()]
+    def parts(self) -> Iterator[tuple[np.ndarray, Part]]:
+        """(shift, Part): shift[k] leads from a place in the part's k-th text to the place in the block."""
+        for numbers, offsets, part in _parts(self.raws, self.shape):
+            yield self.base[numbers] + np.array(offsets, np.int64), part
 
 
-def _dictionary(numbered: DataFrame, shape: Shape) -> DataFrame:
-    """(t, b, n): phrases of each task, one row for each distinct one; n is 2 for phrases met more than once."""
+def _blocks(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[tuple[int, Block]]:
+    """Numbered blocks of a task's rows (doc_id, text); they don't depend on how rows come in batches."""
+    number, ids, raws, size = TaskContext.get().partitionId() << 33, [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = text.encode() if text else b""
+            if raws and size + len(raw) > shape.texts:
+                yield number, Block(ids, raws, shape)
+                number, ids, raws, size = number + 1, [], [], 0
+            ids.append(doc_id)
+            raws.append(raw)
+            size += len(raw)
+    if raws:
+        yield number, Block(ids, raws, shape)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def distinct() -> pa.RecordBatch:
-            t, b = (np.concatenate(x) for x in zip(*held, strict=True))
+def _dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(t, b, n, block): distinct phrases of each block; n is 2 for one that the block holds more than once."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _blocks(batches, shape):
+            found = [part.phrases()[4:] for _, part in block.parts()]
+            t, b = (np.concatenate(x) for x in zip(*found, strict=True))
             t, at, n = np.unique(t, return_index=True, return_counts=True)
-            return _batch({"t": t, "b": b[at], "n": np.minimum(n, 2).astype(np.int64)})
+            columns = [t.view(np.int64), b[at].view(np.int64), np.minimum(n, 2).astype(np.int32), np.full(len(t), number)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "b", "n", "block"])
 
-        for batch in batches:
-            for _, _, part in _parts(_raw(batch.column(0)), shape):
-                *_, t, b = part.phrases()
-                held.append((t, b))
-                size += len(t)
-            if size > 1 << 21:
-                yield distinct()
-                held, size = [], 0
-        if held:
-            yield distinct()
+    return docs.mapInArrow(gather, "t long, b long, n int, block long")
 
-    return numbered.select("text").mapInArrow(gather, "t long, b long, n long")
 
+def _marks(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(block, repeated, shared): phrases of a block that are repeated, and those whose trigger block other phrases have too.
 
-def _status(numbered: DataFrame, shape: Shape) -> DataFrame:
-    """(t, s) for phrases that may hold a repeat: bit 1 if the phrase is repeated, bit 2 if its block stands in other phrases too."""
-    phrases = _dictionary(numbered, shape).groupBy("t").agg(F.first("b").alias("b"), F.sum("n").alias("n"))
-    shared = phrases.groupBy("b").agg(F.count("*").alias("kinds")).where("kinds > 1").select("b", F.lit(2).alias("more"))
-    both = phrases.join(shared, "b", "left").select("t", ((F.col("n") > 1).cast("int") + F.coalesce("more", F.lit(0))).alias("s"))
-    return both.where("s > 0")
+    Phrases are dealt by their trigger block, so one exchange serves both counts.
+    """
+    same_b, same_t = Window.partitionBy("b"), Window.partitionBy("b", "t")
+    told = (
+        _dictionary(docs, shape)
+        .repartition("b")
+        .withColumns({"copies": F.sum("n").over(same_t), "kind": F.dense_rank().over(same_b.orderBy("t"))})
+        .withColumn("kinds", F.max("kind").over(same_b))
+        .where("copies > 1 OR kinds > 1")
+    )
+    pick = lambda test: F.collect_list(F.when(test, F.col("t")))
+    return told.groupBy("block").agg(pick(F.col("copies") > 1).alias("repeated"), pick(F.col("kinds") > 1).alias("shared"))
 
 
-def _occurrences(numbered: DataFrame, shape: Shape) -> DataFrame:
-    """(t, row, lo, hi): the parse, each phrase with its first and last window."""
+def _texts(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(block, ids, sizes, z): each block's texts, compressed together."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for numbers, offsets, part in _parts(_raw(batch.column(1)), shape):
-                text, lo, hi, _, t, _ = part.phrases()
-                offset = np.array(offsets)[text]
-                yield _batch({"t": t, "row": rows[np.array(numbers)[text]], "lo": (lo + offset).astype(np.int32), "hi": (hi + offset).astype(np.int32)})
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for number, block in _blocks(batches, shape):
+            columns = [pa.array([number]), pa.array([block.doc_ids], pa.list_(id_type)), pa.array([[len(r) for r in block.raws]], pa.list_(pa.int64())), pa.array([z.compress(b"".join(block.raws))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "z"])
+
+    id_type = pa.int64() if docs.schema["doc_id"].dataType.simpleString() == "bigint" else pa.int32() if docs.schema["doc_id"].dataType.simpleString() == "int" else pa.string()
+    return docs.mapInArrow(shrink, f"block long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, sizes array<long>, z binary")
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[tuple[int, Block, list[np.ndarray]]]:
+    """(number, Block, further columns) of rows (block, ids, sizes, z, arrays of numbers)."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for number, ids, sizes, data, *more in zip(*batch.columns, strict=True):
+            raw, ends = z.decompress(data.as_py()), np.cumsum(sizes.as_py())
+            block = Block(ids.as_py(), [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.as_py(), strict=True)], shape)
+            yield number.as_py(), block, [np.array(m.as_py() or [], np.int64) for m in more]
+
+
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.isin(values.view(np.int64), known)
 
-    return numbered.select("row", "text").mapInArrow(parse, "t long, row long, lo int, hi int")
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of numbers by place, so that those that are alike stand together."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
 
-def _windows(marked: DataFrame, shape: Shape) -> DataFrame:
-    """(w, row, at): windows that may be repeated, of phrases seen once; windows of repeated phrases once a task, with row -1."""
+
+def _numbers(data: bytes, count: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, count).T).view(kind).ravel()
+
+
+def _pack(w: np.ndarray, block: np.ndarray, at: np.ndarray, lanes: int) -> pa.RecordBatch:
+    """Windows in digest order, cut into lanes by their first bits and packed: steps of digests, places in a table of blocks, offsets."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    order = np.argsort(w)
+    w, block, at = w[order], block[order], at[order].astype(np.uint32)
+    lane = ((w >> np.uint64(32)) * np.uint64(lanes) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(lane, np.arange(lanes + 1))
+    names, blobs = [], []
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        lo, hi = cuts[k], cuts[k + 1]
+        known, place = np.unique(block[lo:hi], return_inverse=True)
+        steps = np.diff(w[lo:hi], prepend=np.uint64(0))
+        names.append(k)
+        blobs.append(z.compress(np.array([hi - lo, len(known)], np.int64).tobytes() + known.tobytes() + _planes(steps) + _planes(place.astype(np.uint32)) + _planes(at[lo:hi])))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["lane", "windows"])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, blocks = np.frombuffer(data, np.int64, 2)
+    known, at = np.frombuffer(data, np.int64, blocks, 16), 16 + 8 * int(blocks)
+    n = int(n)
+    w = np.cumsum(_numbers(data[at : at + 8 * n], n, "<u8"))
+    place = _numbers(data[at + 8 * n : at + 12 * n], n, "<u4")
+    return w, known[place], _numbers(data[at + 12 * n :], n, "<u4").astype(np.int64)
+
+
+def _windows(marked: DataFrame, shape: Shape, lanes: int) -> DataFrame:
+    """(lane, windows): windows that may be repeated, of phrases seen once; those of repeated phrases once a task, as block -1."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = np.zeros(0, np.uint64)
-        for batch in batches:
-            rows, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for numbers, offsets, part in _parts(_raw(batch.column(1)), shape):
+        held, size, told = [], 0, set()
+        for number, block, (repeated, shared) in _unpacked(batches, shape):
+            for shift, part in block.parts():
                 text, lo, hi, _, t, _ = part.phrases()
-                if not len(t):
+                open_, again = _in(t, shared), _in(t, repeated)
+                fresh = np.zeros(len(t), bool)
+                for k in np.flatnonzero(open_ & again).tolist():
+                    if t[k] not in told:
+                        told.add(t[k])
+                        fresh[k] = True
+                chosen = np.flatnonzero((open_ & ~again) | fresh)
+                if not len(chosen):
                     continue
-                state = np.zeros(len(t), np.int64)
-                for k in np.unique(text):
-                    known = {m["lo"]: m["s"] for m in marks[numbers[k]]}
-                    own = np.flatnonzero(text == k)
-                    state[own] = [known.get(x, 0) for x in (lo[own] + offsets[k]).tolist()]
-                base = part.starts[text]
-                for wanted, named in ((state == 2, True), (state == 3, False)):
-                    if not named:
-                        wanted &= ~np.isin(t, told)
-                        fresh, first = np.unique(t[wanted], return_index=True)
-                        chosen = np.flatnonzero(wanted)[first]
-                        told = fresh if len(told) > 1 << 20 else np.union1d(told, fresh)
-                    else:
-                        chosen = np.flatnonzero(wanted)
-                    if not len(chosen):
-                        continue
-                    count = (hi - lo + 1)[chosen]
-                    at = np.repeat(lo[chosen] + base[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    whose = np.repeat(text[chosen], count)
-                    place = at - part.starts[whose] + np.array(offsets)[whose]
-                    row = np.array([rows[k] for k in numbers])[whose] if named else np.full(len(at), -1)
-                    yield _batch({"w": part.digest(at, at + shape.length), "row": row.astype(np.int64), "at": place.astype(np.int32)})
-
-    return marked.select("row", "text", "marks").mapInArrow(suffixes, "w long, row long, at int")
+                count = (hi - lo + 1)[chosen]
+                first = lo[chosen] + part.starts[text[chosen]]
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                whose, named = np.repeat(text[chosen], count), np.repeat(~fresh[chosen], count)
+                held.append((part.digest(at, at + shape.length), np.where(named, number, -1), np.where(named, at - part.starts[whose] + shift[whose], 0)))
+                size += len(at)
+            if size > PACK:
+                yield _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes)
+                held, size, told = [], 0, told if len(told) < PACK else set()
+        if held:
+            yield _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes)
+
+    return marked.mapInArrow(suffixes, "lane int, windows binary")
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(row, at) of windows with an equal neighbour in digest order."""
+    """(block, ats): windows with an equal neighbour in the digest order of their lane."""
+
+    def equal_neighbours(blobs: list[bytes]) -> pa.RecordBatch:
+        w, block, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        order = np.argsort(w, kind="stable")
+        same = np.concatenate([[False], w[order][1:] == w[order][:-1], [False]])
+        hit = order[(same[1:] | same[:-1]) & (block[order] >= 0)]
+        hit = hit[np.argsort(block[hit], kind="stable")]
+        known, first = np.unique(block[hit], return_index=True)
+        ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(hit)).astype(np.int32)), pa.array(at[hit]))
+        return pa.RecordBatch.from_arrays([pa.array(known), ats], names=["block", "ats"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before, which the next one may equal
+        held, lane = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w, row, at = (c.to_numpy() for c in batch.columns)
-            equal = np.concatenate([[last is not None and last[0] == w[0]], w[1:] == w[:-1]])
-            if last is not None and last[1] >= 0 and (last[3] or equal[0]):
-                yield _batch({"row": np.array([last[1]]), "at": np.array([last[2]], np.int32)})
-            hit = equal[:-1] | equal[1:]
-            hit &= row[:-1] >= 0
-            yield _batch({"row": row[:-1][hit], "at": at[:-1][hit]})
-            last = (w[-1], row[-1], at[-1], equal[-1])
-        if last is not None and last[1] >= 0 and last[3]:
-            yield _batch({"row": np.array([last[1]]), "at": np.array([last[2]], np.int32)})
-
-    return windows.repartition("w").sortWithinPartitions("w").mapInArrow(compare, "row long, at int")
-
+            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != lane and held:
+                    yield equal_neighbours(held)
+                    held = []
+                lane = own
+                held.append(blob)
+        if held:
+            yield equal_neighbours(held)
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text"))
+    return windows.repartition("lane").sortWithinPartitions("lane").mapInArrow(compare, "block long, ats array<long>")
 
 
-def find_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """(row, doc_id, n_bytes, spans, kept) for rows of docs that hold a repeated string: removed byte runs, and the bytes left.
+def cut_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) for each row of docs: removed byte runs, and the bytes left.
 
     A byte goes if a string of shape.length bytes that covers it starts anywhere
     else too, in the same text or in another; strings never cross texts. Null
-    and short texts hold none. Repeated rows repeat each other's bytes, so all
-    of them go. docs should be a scan or a checkpoint, so that its rows come in
-    the same order when read again; row is their number in that order.
+    counts as empty; short texts stay whole. Repeated rows repeat each other's
+    bytes, so all of them go. Other columns are left out. docs should be a scan
+    or a checkpoint, so that its rows come in the same order when read again.
     """
-    small_batches(docs.sparkSession, 2000)
-    numbered = _numbered(docs)
-    status = _status(numbered, shape)
-    marks = _occurrences(numbered, shape).join(status, "t").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "s")).alias("marks"))
-    marked = cut(numbered.join(marks, "row"))
-    hits = _repeated(_windows(marked, shape)).groupBy("row").agg(F.collect_list("at").alias("hits"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    lanes = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = _texts(docs, shape)
+    marked = texts.join(_marks(docs, shape), "block", "left").select("block", "ids", "sizes", "z", "repeated", "shared")
+    hits = _repeated(_windows(marked, shape, lanes)).groupBy("block").agg(F.flatten(F.collect_list("ats")).alias("ats"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for row, doc_id, text, marks, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode()
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for m in marks:
-                    if m["s"] & 1:
-                        edge[m["lo"]] += 1
-                        edge[m["hi"] + shape.length] -= 1
-                if hits:
-                    np.add.at(edge, hits, 1)
-                    np.add.at(edge, np.array(hits) + shape.length, -1)
-                gone = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
-                turns = np.flatnonzero(gone[1:] != gone[:-1])
-                if len(turns):
-                    spans = [{"start": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
-                    kept = np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes()
-                    rows.append((row, doc_id, len(raw), spans, kept))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), batch.schema.field(1).type, pa.int64(), _SPANS, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "doc_id", "n_bytes", "spans", "kept"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    joined = marked.join(hits, "row", "left").select("row", "doc_id", "text", "marks", "hits")
-    return joined.mapInArrow(remove, f"row long, doc_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        for _, block, (repeated, ats) in _unpacked(batches, shape):
+            edge = np.zeros(int(block.base[-1]) + 1, np.int64)
+            if len(repeated):
+                for shift, part in block.parts():
+                    text, lo, hi, _, t, _ = part.phrases()
+                    own = np.flatnonzero(_in(t, repeated))
+                    np.add.at(edge, (lo + shift[text])[own], 1)
+                    np.add.at(edge, (hi + shift[text])[own] + shape.length, -1)
+            np.add.at(edge, ats, 1)
+            np.add.at(edge, ats + shape.length, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            rows = []
+            for doc_id, raw, lo in zip(block.doc_ids, block.raws, block.base.tolist(), strict=False):
+                own = gone[lo : lo + len(raw)]
+                if own.any():
+                    turns = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
+                    rows.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)], np.frombuffer(raw, np.uint8)[~own].tobytes()))
+                else:
+                    rows.append((doc_id, len(raw), [], raw))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]) if any(x is not None for x in columns[0]) else pa.nulls(len(rows), pa.int64()), pa.array(columns[1]), pa.array(columns[2], _SPANS), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    joined = marked.join(hits, "block", "left").select("block", "ids", "sizes", "z", "repeated", "ats")
+    return joined.mapInArrow(remove, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    found = find_repeats(docs).select("row", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha256"))
-    whole = _numbered(docs).select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("whole_sha256"))
-    zero = F.lit(0).cast("long")
-    return whole.join(found, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+    return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -6,8 +6,7 @@ from collections import Counter
 
 import pytest
 
-from rangeforge.llm import repeats
-from rangeforge.llm.repeats import Shape, find_repeats, op4_repeats
+from rangeforge.llm.repeats import Shape, cut_repeats, op4_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,16 +48,15 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(("length", "part"), [(40, 1 << 19), (40, 300), (64, 1000)])
-def test_brute_force(spark, monkeypatch, length, part):
+def test_brute_force(spark, length, part):
     texts = corpus(length)
     if part < 1000:
         texts.append(" ".join(t or "" for t in texts))
-    monkeypatch.setattr(repeats, "PART", part)
     rows = [(i, t, "r", [1]) for i, t in enumerate(texts)] + [(None, "no id but " + "z" * 90, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, marks array<int>").coalesce(3)
     expected = brute([r[1] for r in rows], length)
-    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in find_repeats(docs, Shape(length)).collect()}
-    assert got == {r[0]: e for r, e in zip(rows, expected, strict=True) if e[1]}
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in cut_repeats(docs, Shape(length, part, 4000)).collect()}
+    assert got == {r[0]: e for r, e in zip(rows, expected, strict=True)}
 
 
 def test_query(spark):
@@ -69,4 +67,4 @@ def test_query(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert find_repeats(docs).count() == 0
+    assert cut_repeats(docs).count() == 0
