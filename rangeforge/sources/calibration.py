@@ -23,7 +23,7 @@ class FanSpec:
     s: float
 
 
-FANS = (FanSpec("L", True, 600.0, -420.0, 0.35, 0.2), FanSpec("R", True, 640.0, 430.0, -0.35, -0.2), FanSpec("B", False, 230.0, 480.0, 0.01, 0.02))
+FANS = (FanSpec("L", True, 600.0, -420.0, 0.03, 0.02), FanSpec("R", True, 640.0, 430.0, -0.03, -0.02), FanSpec("B", False, 230.0, 480.0, 0.01, 0.02))
 #: Distances of the nodes: 28 from 2 m on, 0.4 m apart.
 FIRST, STEP, COUNT = 2.0, 0.4, 28
 
@@ -38,7 +38,7 @@ def make_nodes(spark: SparkSession, fans=FANS, first: float = FIRST, step: float
 
 
 NODES = """nodes AS (SELECT fan, vertical, i, d, a + k / d AS x0, sl + s / d AS m FROM (SELECT fan, vertical, a, k, sl, s, i::INT AS i, 2.0::DOUBLE + i * 0.4::DOUBLE AS d
-FROM (VALUES ('L', true, 600.0::DOUBLE, -420.0::DOUBLE, 0.35::DOUBLE, 0.2::DOUBLE), ('R', true, 640.0, 430.0, -0.35, -0.2), ('B', false, 230.0, 480.0, 0.01, 0.02)) t(fan, vertical, a, k, sl, s), range(0, 28) r(i)))"""
+FROM (VALUES ('L', true, 600.0::DOUBLE, -420.0::DOUBLE, 0.03::DOUBLE, 0.02::DOUBLE), ('R', true, 640.0, 430.0, -0.03, -0.02), ('B', false, 230.0, 480.0, 0.01, 0.02)) t(fan, vertical, a, k, sl, s), range(0, 28) r(i)))"""
 
 
 def with_intervals(nodes: DataFrame) -> DataFrame:
