@@ -115,3 +115,24 @@ def extent(points: DataFrame, d0: float, margin: float, least: int = 50) -> Data
 def project_frames(points: DataFrame, config: ShadowConfig, grid: Grid, keys: list[str]) -> DataFrame:
     """Decision-plane states of each frame."""
     return z_buffer(plane_cells(points, config.d0, grid, config.f_min), keys, config.d0)
+
+
+def live_mask(states: DataFrame, boot: int, share: float, walls: list[tuple[int, int]]) -> DataFrame:
+    """(iu, iv, lit): cells lit in at least `share` of the first `boot` frames, but for rows iv within a wall's band."""
+    first = states.select("frame_idx").distinct().orderBy("frame_idx").limit(boot)
+    lit = states.where(F.col("st") == LIT).join(F.broadcast(first), "frame_idx").groupBy("iu", "iv").agg(F.count_distinct("frame_idx").alias("lit"))
+    kept = lit.where(F.col("lit") >= share * boot)
+    for lo, hi in walls:
+        kept = kept.where(~F.col("iv").between(lo, hi))
+    return kept
+
+
+def sample_geometry(lines: DataFrame, centre: tuple[float, float], theta_step: float, first: float = 0.0, last: float = 360.0) -> DataFrame:
+    """(fan, d_idx, theta_idx, px, py): the pixel of each matrix cell, where the ray at an angle meets a distance's line; cells off the image are left out."""
+    from ..functions.geometry import ray_sheet
+
+    rank = F.dense_rank().over(Window.partitionBy("fan").orderBy("d")) - 1
+    angles = F.explode(F.sequence(F.lit(0), F.lit(int(round((last - first) / theta_step)) - 1)))
+    rows = lines.withColumn("d_idx", rank.cast("int")).withColumn("theta_idx", angles)
+    hit = rows.withColumn("p", ray_sheet(centre[0], centre[1], F.lit(first) + F.col("theta_idx") * theta_step, F.col("line")))
+    return hit.where("p IS NOT NULL").select("fan", "d_idx", "theta_idx", F.rint("p.x").cast("int").alias("px"), F.rint("p.y").cast("int").alias("py"))

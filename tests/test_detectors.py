@@ -179,3 +179,28 @@ def test_beams(spark):
     rows = {(r.az, r.el): r for r in lidar.trace_beams(model, [0.0, 10.0], [0.0, -5.0], d_min=5.0, d_max=100.0).collect()}
     assert rows[10.0, 0.0].surface == "right" and rows[10.0, 0.0].d == pytest.approx(3 / np.tan(np.radians(10)), abs=0.3) and rows[10.0, 0.0].angle == pytest.approx(80, abs=0.5)
     assert rows[0.0, -5.0].surface == "floor" and (0.0, 0.0) not in rows
+
+
+def test_branches_and_guided_fit():
+    from rangeforge.operators.calibrate import branched, guided_line, refine_line
+
+    nodes = np.arange(2.0, 10.1, 0.5)
+    v = 100 + 50 / nodes
+    d = np.array([1.0, 2.0, 3.3, 10.0, 10.1, 30.0])
+    assert branched(d, nodes, v) == pytest.approx(100 + 50 / d, abs=0.4)
+    x = np.arange(0, 300.0)
+    y = 0.2 * x + 40
+    y[::25] += 60
+    line = refine_line(x, y)
+    assert line is not None and line.a * 100 + line.b * 60 + line.c == pytest.approx(0, abs=0.2)
+    assert guided_line(x, y, (line.a, line.b, line.c + 5)) is not None and guided_line(x, y, (line.a, line.b, line.c + 40)) is None
+
+
+def test_model_fit_recovers_lines():
+    from rangeforge.operators.calibrate import FanModel, fit_model
+
+    true = np.array([1.2, 0.02, -0.05, 0.01, 900, 900, 640, 360, 0.99, 0.05, -0.1, -0.8, 0.99, -0.05, 0.1, 0.8, 0.02, 0.995, 0.09, 0.4])
+    samples = [(d, FanModel(true, ("L", "R", "B")).lines(d)) for d in np.arange(2.0, 10.0, 1.0)]
+    start = true + np.array([0.05, 0.01, 0.01, -0.01, 10, -10, 5, 5] + [0.01, -0.01, 0.01, 0.03] * 3)
+    model, cost, _ = fit_model(samples, FanModel(start, ("L", "R", "B")), rounds=100)
+    assert cost < 1.0
