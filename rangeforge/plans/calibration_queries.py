@@ -58,7 +58,11 @@ def corner_line(spark, sf_dir):
     return c.select(F.round("d", 6).alias("d"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query()
+@query(
+    f"""WITH {POINTS}, o AS (SELECT trunc(f / 2.0)::INT AS d_bin, trunc((lat + 3.5) / 0.1)::INT AS y_bin, count(*) AS n FROM points WHERE f >= 0 AND f < 180 AND abs(lat) < 3.5 GROUP BY ALL),
+r AS (SELECT DISTINCT d_bin, y::INT AS y_bin FROM o, range(0, 70) t(y))
+SELECT d_bin, string_agg(coalesce(substr(' .:-=+*#%@', floor(n / (SELECT max(n) FROM o)::DOUBLE * 9)::INT + 1, 1), ' '), '' ORDER BY y_bin) AS line FROM r LEFT JOIN o USING (d_bin, y_bin) GROUP BY ALL"""
+)
 def ascii_map(spark, sf_dir):
     cells = grids.occupancy(points(spark, sf_dir), 2.0, 0.1, 180.0, 3.5)
     return scaling.ascii_rows(cells, "d_bin", "y_bin", "n", 70)

@@ -41,12 +41,14 @@ def _cloud(spark, sf_dir):
     return signal(spark, sf_dir).select("bag", "event_id", (F.col("d") / 20).alias("x"), (F.col("theta") / 20.0).alias("y"), (F.col("frame_idx") % 7 / 4.0).alias("z"), "d")
 
 
-@query(
-    f"""WITH RECURSIVE {SIGNAL}, p AS (SELECT bag, event_id, d / 20 AS x, theta / 20.0 AS y, (frame_idx % 7) / 4.0 AS z FROM signal),
+#: Clusters of events within 0.3 of one another, in SQL.
+EPS = f"""{SIGNAL}, p AS (SELECT bag, event_id, d / 20 AS x, theta / 20.0 AS y, (frame_idx % 7) / 4.0 AS z FROM signal),
 e AS (SELECT a.bag, a.event_id AS i, b.event_id AS j FROM p a JOIN p b ON a.bag = b.bag AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.3 * 0.3),
 r AS (SELECT bag, i, i AS j FROM e GROUP BY ALL UNION SELECT r.bag, r.i, e.j FROM r JOIN e ON r.bag = e.bag AND r.j = e.i), m AS (SELECT bag, i AS event_id, min(j) AS cluster FROM r GROUP BY ALL),
-s AS (SELECT *, count(*) OVER (PARTITION BY bag, cluster) AS size FROM m) SELECT bag, event_id, cluster, size FROM s WHERE size >= 3"""
-)
+s AS (SELECT *, count(*) OVER (PARTITION BY bag, cluster) AS size FROM m) """
+
+
+@query(f"WITH RECURSIVE {EPS} SELECT bag, event_id, cluster, size FROM s WHERE size >= 3")
 def eps_clusters(spark, sf_dir):
     return c.eps_clusters(_cloud(spark, sf_dir), ["bag"], ["x", "y", "z"], "event_id", 0.3)
 
@@ -62,11 +64,15 @@ def cell_clusters26(spark, sf_dir):
     return c.cell_clusters(_cloud(spark, sf_dir), ["bag"], ["x", "y", "z"], "event_id", 0.4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EPS} SELECT s.bag, cluster, count(*) AS n, floor((avg(x)) * 1e4 + 0.500001) / 1e4 AS c_x, floor((max(x) - min(x)) * 1e4 + 0.500001) / 1e4 AS span_x, floor((avg(y)) * 1e4 + 0.500001) / 1e4 AS c_y, floor((max(y) - min(y)) * 1e4 + 0.500001) / 1e4 AS span_y, floor((avg(z)) * 1e4 + 0.500001) / 1e4 AS c_z, floor((max(z) - min(z)) * 1e4 + 0.500001) / 1e4 AS span_z, floor((avg(x * 20)) * 1e4 + 0.500001) / 1e4 AS i_mean
+FROM s JOIN p ON s.bag = p.bag AND s.event_id = p.event_id WHERE size >= 3 GROUP BY ALL"""
+)
 def cluster_report(spark, sf_dir):
     cloud = _cloud(spark, sf_dir)
     labelled = c.eps_clusters(cloud, ["bag"], ["x", "y", "z"], "event_id", 0.3)
-    return c.cluster_report(cloud.join(labelled, ["bag", "event_id"]), ["bag"], ["x", "y", "z"], "d")
+    report = c.cluster_report(cloud.join(labelled, ["bag", "event_id"]), ["bag"], ["x", "y", "z"], "d")
+    return report.withColumns({x: F.floor(F.col(x) * 1e4 + 0.500001) / 1e4 for x in report.columns if x not in ("bag", "cluster", "n")})
 
 
 @query(f"WITH {SIGNAL} SELECT bag, fam, round(regr_intercept(theta, 1 / d), 4) AS v0, round(regr_slope(theta, 1 / d), 4) AS k FROM signal GROUP BY ALL")
