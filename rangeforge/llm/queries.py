@@ -8,7 +8,7 @@ from .language_id import op10_language_id
 from .packing import op2_packing
 from .quality_rank import op9_quality_rank
 from .quality_rules import OP6_SQL, op6_quality_rules
-from .repeats import op4_repeats
+from .repeats import OP4_SQL, op4_repeats
 from .secret_scan import op8_secret_scan
 from .simhash import op5_simhash
 from .url_rules import OP1_SQL, op1_url_rules
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_rules": OP1_SQL,
+    "op4_repeats": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }

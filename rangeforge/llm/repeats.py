@@ -41,7 +41,7 @@ GRAM = 8
 #: Bytes looked at together; longer texts are taken in overlapping parts.
 PART = 1 << 19
 #: Bytes of texts in a block; a longer text is a block of its own.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 #: Windows that a task sorts and packs together.
 PACK = 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
@@ -390,3 +390,19 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b)::BIGINT AS n FROM d),
+i AS (SELECT rid, b, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200),
+w AS (SELECT rid, i, md5(array_slice(b, i + 1, i + 200)) AS s FROM i),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS c FROM w) WHERE c > 1),
+g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT rid, min(i) AS a, max(i) + 200 AS e FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM g) GROUP BY rid, k),
+p AS (SELECT rid, coalesce(lag(e) OVER o, 0) AS lo, a AS hi, e FROM s WINDOW o AS (PARTITION BY rid ORDER BY a)),
+k AS (SELECT rid, lo, hi FROM p UNION ALL SELECT n.rid, coalesce(max(p.e), 0), n.n FROM n LEFT JOIN p USING (rid) GROUP BY n.rid, n.n),
+t AS (SELECT k.rid, sha256(unhex(string_agg(hex(array_slice(b, lo + 1, hi)), '' ORDER BY lo))) AS kept_sha256 FROM k JOIN n USING (rid) GROUP BY k.rid),
+c AS (SELECT rid, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM n JOIN t USING (rid) LEFT JOIN c USING (rid)
+"""
