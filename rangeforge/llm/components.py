@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+SALTS = 16
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each neighbour above u to the least of u's neighbours and u."""
+    """Links each neighbour above u to the least of u's neighbours and u.
+
+    A node may have a large part of all links, so they are dealt by the node
+    and a salt from the neighbour, and the least is listed under every salt.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"), salts.alias("salt"))
+    dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS).cast("long")))
+    return dealt.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
