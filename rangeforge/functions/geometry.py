@@ -200,3 +200,9 @@ def clip_line(line: Column, width: float, height: float) -> Column:
     first = F.array_min(points)
     last = F.array_max(points)
     return F.when(F.size(points) >= 2, F.array(first, last))
+
+
+def pov(f, lat, attribute, width: float, height: float, focal: float, scale: float, eye: float = 0.0) -> tuple[Column, Column]:
+    """Pixel of a point seen from the sensor, its height taken from an attribute; null behind the sensor."""
+    ahead = num(f) > 0.1
+    return F.when(ahead, width / 2 + num(lat) / num(f) * focal), F.when(ahead, height / 2 - (num(attribute) * scale - eye) / num(f) * focal)

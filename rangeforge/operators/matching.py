@@ -134,3 +134,28 @@ def assign_fans(candidates: DataFrame, keys: list[str], name: str, left: str, ri
 def ranked(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, with their rank from 1."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def matched_segments(details: DataFrame, segments: DataFrame, keys: list[str], within: float = 1.5) -> DataFrame:
+    """details with the segment of the same point count whose middle lies within `within` pixels; the first by name of several."""
+    s = segments.select(*keys, F.col("n").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("segment_id").alias("_s"))
+    on = [details[k] == s[k] for k in keys] + [details["n"] == s["_n"], F.abs(details["x"] - s["_x"]) <= within, F.abs(details["y"] - s["_y"]) <= within]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    hit = details.join(s, condition).groupBy(*[details[c] for c in details.columns]).agg(F.min("_s").alias("segment_id"))
+    return hit
+
+
+def corner_of(side: DataFrame, bottom: DataFrame, keys: list[str], margin: float = 15.0) -> DataFrame:
+    """(keys, x, y, depth): where a frame's nearest side segment crosses a bottom segment inside both extents; the nearest bottom distance.
+
+    Segments are (keys, line, x_lo, x_hi, y_lo, y_hi, d), a few to a frame.
+    """
+    from ..functions.geometry import cross_lines
+
+    near = side.groupBy(*keys).agg(F.min_by(F.struct("line", "x_lo", "x_hi", "y_lo", "y_hi"), "d").alias("_s"))
+    both = bottom.join(near, keys).withColumn("_p", cross_lines(F.col("_s.line"), F.col("line")))
+    inside = lambda p: (F.col("_p.x") >= F.col(f"{p}x_lo") - margin) & (F.col("_p.x") <= F.col(f"{p}x_hi") + margin) & (F.col("_p.y") >= F.col(f"{p}y_lo") - margin) & (F.col("_p.y") <= F.col(f"{p}y_hi") + margin)
+    met = both.where(F.col("_p").isNotNull() & inside("") & inside("_s."))
+    return met.groupBy(*keys).agg(F.min_by(F.struct("_p.x", "_p.y", "d"), "d").alias("_c")).select(*keys, F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.d").alias("depth"))

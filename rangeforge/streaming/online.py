@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import Grid
 from ..operators.folds import tracked
-from ..operators.grids import LIT
+from ..operators.grids import LIT, extent
 from ..shipping import ship_package
 
 
@@ -120,3 +121,17 @@ def boot_mask_stream(frames: DataFrame, *, boot: int = 30, share: float = 0.25)
 def windowed_counts(frames: DataFrame, *, length: str = "10 seconds", late: str = "5 seconds") -> DataFrame:
     """Frames in event-time windows with a watermark on ts; beyond what recordings need, for live feeds."""
     return frames.withWatermark("ts", late).groupBy("bag", F.window("ts", length)).agg(F.count("*").alias("frames"))
+
+
+def canvas(points: DataFrame, d0: float, margin: float, res: float) -> Grid:
+    """Grid that holds a whole recording, from a batch pass before the stream starts. A recording without points beyond d0 has none."""
+    e = extent(points, d0, margin, least=1).first()
+    if e is None or e["u_lo"] is None or not e["n_far"]:
+        raise ValueError(f"no point lies beyond {d0} m, so the full canvas has no extent")
+    return Grid(e["u_lo"], e["u_hi"], e["v_lo"], e["v_hi"], res)
+
+
+def write_batches(stream: DataFrame, folder: str, checkpoint: str, *, once: bool = False):
+    """Starts a query that writes each micro-batch as Parquet under its number, so that a batch that is run again replaces its own files."""
+    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+    return (out.trigger(availableNow=True) if once else out).start()

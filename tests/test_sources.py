@@ -29,7 +29,7 @@ def make_bag(path, legacy=False, frames=7):
     db.close()
 
 
-@pytest.mark.parametrize(("frame_id", "start"), [("hesai_lidar", 196), ("twelve_chars", 200)])
+@pytest.mark.parametrize(("frame_id", "start"), [("eleven_char", 196), ("twelve_chars", 200)])
 def test_header_of_known_length(frame_id, start):
     message = pointcloud2.encode_cloud(cloud(4), frame_id, fields=(*pointcloud2.FIELDS_26, ("timestamp", 18, 8)))
     assert pointcloud2.read_layout(message).start == start
