@@ -315,27 +315,36 @@ def _windows(marked: DataFrame, shape: Shape, lanes: int) -> DataFrame:
 def _repeated(windows: DataFrame) -> DataFrame:
     """(block, ats): windows with an equal neighbour in the digest order of their lane."""
 
-    def equal_neighbours(blobs: list[bytes]) -> pa.RecordBatch:
+    def equal_neighbours(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         w, block, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         order = np.argsort(w, kind="stable")
         same = np.concatenate([[False], w[order][1:] == w[order][:-1], [False]])
         hit = order[(same[1:] | same[:-1]) & (block[order] >= 0)]
-        hit = hit[np.argsort(block[hit], kind="stable")]
-        known, first = np.unique(block[hit], return_index=True)
-        ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(hit)).astype(np.int32)), pa.array(at[hit]))
+        return block[hit], at[hit]
+
+    def by_block(hits: list[tuple]) -> pa.RecordBatch:
+        block, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(block, kind="stable")
+        known, first = np.unique(block[order], return_index=True)
+        ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order]))
         return pa.RecordBatch.from_arrays([pa.array(known), ats], names=["block", "ats"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lane = [], None
+        held, lane, hits = [], None, []
         for batch in batches:
             for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own != lane and held:
-                    yield equal_neighbours(held)
+                    hits.append(equal_neighbours(held))
                     held = []
+                    if sum(len(b) for b, _ in hits) > PACK:
+                        yield by_block(hits)
+                        hits = []
                 lane = own
                 held.append(blob)
         if held:
-            yield equal_neighbours(held)
+            hits.append(equal_neighbours(held))
+        if hits:
+            yield by_block(hits)
 
     return windows.repartition("lane").sortWithinPartitions("lane").mapInArrow(compare, "block long, ats array<long>")
 
