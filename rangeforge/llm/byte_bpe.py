@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import no_collection, public_tokenizer, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds on what a task remembers: states, token pairs, words, decoding arcs. Each is emptied when full.
-STATES, PAIRS, WORDS, ARCS = 300_000, 300_000, 250_000, 200_000
+#: Bounds on what a worker remembers: states, token pairs, words (all emptied when one is full), decoding arcs.
+STATES, PAIRS, WORDS, ARCS = 250_000, 400_000, 350_000, 150_000
 LONGEST_WORD = 60
 #: Bytes of a word after which settled tokens are emitted.
 LOOKBACK = 4096
@@ -76,13 +76,19 @@ class Transducer:
         for token, rank in ranks.items():
             if len(token) > 2:
                 self.below.setdefault(self.next[self.next[token[0]] << 8 | token[1]], []).append(rank)
-        self.grows: dict[tuple[int, int], bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, list[int]] = {}
-        self._reset()
+        self.forget()
+
+    def full(self) -> bool:
+        return len(self.prefixes) > STATES or len(self.pairs) > PAIRS or len(self.grows) > PAIRS
 
-    def _reset(self) -> None:
-        """State 0 is the start. A state's prefixes are node << 32 | last token + 1; the last one ends where the state stands."""
+    def forget(self) -> None:
+        """Begins anew, with no states or pairs known.
+
+        State 0 is the start. A state's prefixes are node << 32 | last token + 1; the last one ends where the state stands.
+        """
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.grows: dict[tuple[int, int], bool] = {}
         self.prefixes: list[tuple[int, ...]] = [(0,)]
         self.states = {(0,): 0}
         self.last: list[int] = [-1]  # last token of the encoding that ends in a state
@@ -105,8 +111,6 @@ class Transducer:
         """
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
             known = self.pairs[left, right] = len(self._halves(right)) <= 2 and (left < 0 or self._apart(left, right))
         return known
 
@@ -126,8 +130,6 @@ class Transducer:
 
     def _can_grow(self, left: int, node: int) -> bool:
         """Whether any token that goes on from this node of two bytes may stand behind the left one; a prefix that can't grow is closed early."""
-        if len(self.grows) >= PAIRS:
-            self.grows.clear()
         found = self.grows[left, node] = any(self._apart(left, t) for t in self.below[node] if len(self._halves(t)) <= 2)
         return found
 
@@ -179,8 +181,6 @@ class Transducer:
         return paths[0][:shared]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.prefixes) > STATES:
-            self._reset()
         arcs, last, state, lasts, out = self.arcs.get, self.last, 0, [], []
         for byte in piece:
             arc = state << 8 | byte
@@ -196,24 +196,21 @@ class Transducer:
 class Words(dict):
     """Ids of words as bytes; a word that isn't there runs through the transducer.
 
-    Words are kept in two generations: when the young one is full it becomes
-    the old one, from which words still in use come back.
+    When full, words, states and pairs are all forgotten at once, so that their
+    memory comes back in whole; what is in use is soon learned again.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.transducer = ranks, Transducer(ranks)
-        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            raw = word.encode()
-            whole = self.ranks.get(raw)
-            found = self.transducer.encode(raw) if whole is None else [whole]
-            ids = pack("<%dI" % len(found), *found)
-        if len(self) >= WORDS:
-            self.old = dict(self)
+        raw = word.encode()
+        whole = self.ranks.get(raw)
+        found = self.transducer.encode(raw) if whole is None else [whole]
+        ids = pack("<%dI" % len(found), *found)
+        if len(self) >= WORDS or self.transducer.full():
             self.clear()
+            self.transducer.forget()
         if len(word) <= LONGEST_WORD:
             self[word] = ids
         return ids
@@ -321,15 +318,34 @@ def decode_documents(encoded: DataFrame, *, ranks_path: str | None = None, chunk
         decoder = worker_decoder(path)
         decoder.finish()
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                ids = memoryview(ids or b"").cast("I")
-                texts.append("".join([decoder.feed(ids[k : k + chunk]) for k in range(0, len(ids), chunk)]) + decoder.finish())
+            texts = [_decoded(decoder, ids, chunk) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "token_ids", "text"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(decode, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, token_ids binary, text string")
 
 
+def round_trip(docs: DataFrame, *, ranks_path: str | None = None, pattern: str | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """One row (doc_id, token_ids, text) for each row of docs: encoded, and decoded from the ids in chunks, in one worker."""
+    import public_tokenizers
+
+    path, pattern = ranks_path or public_tokenizer(VOCABULARY), pattern or public_tokenizers.PATTERN
+    small_batches(docs.sparkSession)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = worker_encoder(path, pattern), worker_decoder(path)
+        for batch in batches:
+            with no_collection():
+                ids = [encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([_decoded(decoder, x, chunk) for x in ids], pa.string())], names=["doc_id", "token_ids", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, token_ids binary, text string")
+
+
+def _decoded(decoder: Decoder, ids: bytes | None, chunk: int) -> str:
+    view = memoryview(ids or b"").cast("I")
+    return "".join([decoder.feed(view[k : k + chunk]) for k in range(0, len(view), chunk)]) + decoder.finish()
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    both = round_trip(table(spark, sf_dir, "documents"))
     return both.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
