@@ -30,7 +30,7 @@ from .common import no_collection, public_tokenizer, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds on what a worker remembers: states, token pairs, words (all emptied when one is full), decoding arcs.
-STATES, PAIRS, WORDS, ARCS = 250_000, 400_000, 350_000, 150_000
+STATES, PAIRS, WORDS, ARCS = 450_000, 600_000, 600_000, 150_000
 LONGEST_WORD = 60
 #: Bytes of a word after which settled tokens are emitted.
 LOOKBACK = 4096
@@ -77,22 +77,29 @@ class Transducer:
             if len(token) > 2:
                 self.below.setdefault(self.next[self.next[token[0]] << 8 | token[1]], []).append(rank)
         self.halves: dict[int, list[int]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.grows: dict[tuple[int, int], bool] = {}
+        # State 0 is the start. A state's prefixes are node << 32 | last token + 1; the last one ends where the state stands.
+        self.prefixes: list[tuple[int, ...]] = []
+        self.states: dict[tuple[int, ...], int] = {}
+        self.last: list[int] = []  # last token of the encoding that ends in a state
+        self.arcs: dict[int, int] = {}  # (state << 8 | byte) to state
         self.forget()
 
     def full(self) -> bool:
         return len(self.prefixes) > STATES or len(self.pairs) > PAIRS or len(self.grows) > PAIRS
 
     def forget(self) -> None:
-        """Begins anew, with no states or pairs known.
+        """Begins anew, with no states or pairs known."""
+        for known in (self.pairs, self.grows, self.prefixes, self.states, self.last, self.arcs):
+            known.clear()
+        self._state((0,), -1)
 
-        State 0 is the start. A state's prefixes are node << 32 | last token + 1; the last one ends where the state stands.
-        """
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.grows: dict[tuple[int, int], bool] = {}
-        self.prefixes: list[tuple[int, ...]] = [(0,)]
-        self.states = {(0,): 0}
-        self.last: list[int] = [-1]  # last token of the encoding that ends in a state
-        self.arcs: dict[int, int] = {}  # (state << 8 | byte) to state
+    def _state(self, prefixes: tuple[int, ...], last: int) -> int:
+        number = self.states[prefixes] = len(self.prefixes)
+        self.prefixes.append(prefixes)
+        self.last.append(last)
+        return number
 
     def _halves(self, token: int) -> list[int]:
         """The tokens that its last merge joins; one token if it is a byte, more than two if merges never reach it."""
@@ -157,9 +164,10 @@ class Transducer:
         key = tuple(opened)
         target = self.states.get(key)
         if target is None:
-            target = self.states[key] = len(self.prefixes)
-            self.prefixes.append(key)
-            self.last.append(ended)
+            if len(self.prefixes) > 2 * STATES or len(self.pairs) > 2 * PAIRS:  # within one very long word
+                self.forget()
+                return self._state(key, ended)
+            target = self._state(key, ended)
         self.arcs[state << 8 | byte] = target
         return target
 

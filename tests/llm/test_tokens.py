@@ -101,6 +101,20 @@ def reference_cached():
     return _CACHE[0]
 
 
+def test_bounded_memory_within_one_word(monkeypatch):
+    from rangeforge.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "STATES", 200)
+    monkeypatch.setattr(byte_bpe, "LOOKBACK", 50)
+    rng = random.Random(3)
+    encoder = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for n in (10, 3000, 20000):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n))
+        ids = encoder.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference_cached().encode_ordinary(text)
+    assert len(encoder.words.transducer.prefixes) <= 402
+
+
 def test_decoder_replaces_what_is_not_utf8():
     ranks, rng = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(1)
     decoder = Decoder({i: t for t, i in ranks.items()})
