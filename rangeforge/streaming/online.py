@@ -73,6 +73,28 @@ def tracker_stream(candidates: DataFrame, *, persist: int = 3, gate_d: float = 0
     return candidates.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, track_d double, track_theta double, streak long, reported boolean", "last long, d double, theta double, streak long", "append", GroupStateTimeout.NoTimeout)
 
 
+def persistence_stream(boxes: DataFrame, *, lags: int = 2, grow: float = 10.0) -> DataFrame:
+    """(bag, frame_idx, box) of boxes that overlap one, grown by `grow`, in every one of the `lags` frames before. boxes has one row a frame: (bag, frame_idx, boxes array<struct<x_lo, x_hi, y_lo, y_hi>>)."""
+    ship_package(boxes.sparkSession)
+
+    def touch(a: list, b: list) -> bool:
+        return b[0] <= a[1] + grow and b[1] >= a[0] - grow and b[2] <= a[3] + grow and b[3] >= a[2] - grow
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, past = (lambda s: (s[0], json.loads(s[1])))(state.get) if state.exists else (-1, [])
+        out = []
+        for row in _in_order(pdfs, last):
+            now = [[float(b[c]) for c in ("x_lo", "x_hi", "y_lo", "y_hi")] for b in row.boxes]
+            if len(past) == lags:
+                out += [(key[0], row.frame_idx, i) for i, b in enumerate(now) if all(any(touch(b, o) for o in frame) for frame in past)]
+            past, last = [*past, now][-lags:], int(row.frame_idx)
+        state.update((last, json.dumps(past)))
+        yield pd.DataFrame(out, columns=["bag", "frame_idx", "box"])
+
+    kind = boxes.schema["bag"].dataType.simpleString()
+    return boxes.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, box int", "last long, past string", "append", GroupStateTimeout.NoTimeout)
+
+
 def ema_stream(rows: DataFrame, *, keep: float = 0.7, patience: int = 30) -> DataFrame:
     """ema_with_reset on a stream of (bag, frame_idx, d); a null d is a miss."""
     ship_package(rows.sparkSession)

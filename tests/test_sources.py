@@ -124,3 +124,14 @@ def test_runs_and_masks(spark, tmp_path):
     assert [r.b for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()] == ["2.000"]
     with pytest.raises(ValueError, match="expected"):
         tables.load_any(spark, "x.bin")
+
+
+def test_sql_functions(spark):
+    from rangeforge.functions import registered
+    from rangeforge.operators.fits import poisson_critical
+
+    registered.register(spark)
+    spark.createDataFrame([(1, pointcloud2.encode_cloud(cloud(4))), (2, None)], "k int, data binary").createOrReplaceTempView("messages")
+    assert [r.pt_idx for r in spark.sql("SELECT pt_idx FROM messages, LATERAL decode_pointcloud2(data) ORDER BY pt_idx").collect()] == [0, 1, 2, 3]
+    row = spark.sql("SELECT poisson_critical(2.5D, 0.01D) AS n, polar_range(3D, 4D) AS r, bearing_about(0D, -1D, 0D, 0D) AS b").first()
+    assert tuple(row) == (poisson_critical(2.5, 0.01), 5.0, 270.0)

@@ -59,3 +59,10 @@ def test_boot_mask(spark, tmp_path):
     rows = [{"bag": 1, "frame_idx": k, "lit": [5 << 20 | 7, *([9] if k % 5 == 0 else [])]} for k in range(40)]
     got = play(spark, rows, "bag long, frame_idx long, lit array<long>", tmp_path, lambda s: online.boot_mask_stream(s, boot=20))
     assert [tuple(r) for r in got] == [(1, 5, 7)]
+
+
+def test_persistence(spark, tmp_path):
+    box = lambda x, y: {"x_lo": x, "x_hi": x + 5, "y_lo": y, "y_hi": y + 5}
+    rows = [{"bag": 1, "frame_idx": k, "boxes": [box(10.0 * k, 0.0), *([box(500.0, 500.0)] if k != 3 else [])]} for k in range(7)]
+    got = play(spark, rows, "bag long, frame_idx long, boxes array<struct<x_lo:double,x_hi:double,y_lo:double,y_hi:double>>", tmp_path, lambda s: online.persistence_stream(s, grow=6.0))
+    assert sorted(map(tuple, got)) == [(1, 2, 1), (1, 6, 1)]
