@@ -49,8 +49,9 @@ class NearRule:
             raise ValueError("bits must be a multiple of 64, and masks need 64 bits")
 
 
-#: For a corpus stage: five words, and at least 0.8 of the bits equal.
-CORPUS_RULE = NearRule(words=5, bits=256, radius=51, keys="sketch")
+#: For a corpus stage: five words and a similarity of 0.8. Texts of Jaccard similarity 0.8 have a cosine of 0.89, so 78 of 512 bits
+#: differ on average; at 92 such texts link with probability 0.96, those of 0.85 almost always, those of 0.65 with 0.05.
+CORPUS_RULE = NearRule(words=5, bits=512, radius=92, keys="sketch")
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -114,11 +115,13 @@ def _mask_keys(fp: np.ndarray, rule: NearRule) -> np.ndarray:
     """A key for each two of radius + 2 blocks of bits."""
     edges = np.linspace(0, 64, rule.radius + 3).astype(int)
     masks = [np.uint64(sum(1 << b for b in range(lo, hi))) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return np.stack([(fp[:, 0] & (a | b)) * _MIX[0] + _MIX[1] * np.uint64(i + 1) for i, (a, b) in enumerate(combinations(masks, 2))], axis=1)
+    with np.errstate(over="ignore"):
+        return np.stack([(fp[:, 0] & (a | b)) * _MIX[0] + _MIX[1] * np.uint64(i + 1) for i, (a, b) in enumerate(combinations(masks, 2))], axis=1)
 
 
 def _sketch_keys(sketch: np.ndarray) -> np.ndarray:
-    return np.stack([(sketch[:, a] * _MIX[0] ^ (sketch[:, b] >> np.uint64(7)) * _MIX[1]) + np.uint64(i) * _MIX[2] for i, (a, b) in enumerate(combinations(range(MINIMA), 2))], axis=1)
+    with np.errstate(over="ignore"):
+        return np.stack([(sketch[:, a] * _MIX[0] ^ (sketch[:, b] >> np.uint64(7)) * _MIX[1]) + np.uint64(i) * _MIX[2] for i, (a, b) in enumerate(combinations(range(MINIMA), 2))], axis=1)
 
 
 def _keyed(nodes: DataFrame, rule: NearRule) -> DataFrame:

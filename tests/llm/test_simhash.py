@@ -62,7 +62,7 @@ def test_chains_and_odd_rows(spark):
     assert near_components(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("bits", "radius"), [(64, 4), (64, 3), (256, 51)])
+@pytest.mark.parametrize(("bits", "radius"), [(64, 4), (64, 3), (256, 51), (512, 92)])
 def test_bit_sliced_pairs(bits, radius):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, (12, bits // 64), dtype=np.uint64)
