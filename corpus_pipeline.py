@@ -30,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 as 512-bit fingerprints tell it."""
+    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8."""
     return drop_near_copies(docs, CORPUS_RULE)
 
 

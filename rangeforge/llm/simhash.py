@@ -10,11 +10,18 @@ forest in the task, so no group emits all its pairs.
 Two ways to bring nodes together: `masks` keeps every pair within the radius, as
 at most `radius` of radius + 2 blocks differ and two blocks are equal; `sketch`
 takes pairs of minima of hashed shingles, for radii where masks would be too
-short, and finds two texts of Jaccard similarity 0.8 with probability 0.998.
+short, and finds two texts of Jaccard similarity 0.8 with probability 0.9999.
+
+A rule with a similarity takes pairs within the radius as candidates only: each
+is checked by the Jaccard similarity of the two sets of shingles. Nodes are then
+told apart by a digest of the set as well, so only equal sets are one node.
+Pairs that are sure to pass (within `sure` bits) are reduced to a forest before
+the check; of all others, every pair between two parts of that forest is checked.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
@@ -28,21 +35,27 @@ from .common import cut, small_batches, table
 from .components import component_roots
 
 SEED = 42
-MINIMA = 6
+MINIMA = 8
 #: Groups up to this size compare all pairs at once; larger ones compare linked items with unlinked ones only.
 SMALL_GROUP = 512
 ROWS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 15
 _MIX = np.random.default_rng(2024).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
 class NearRule:
-    """words: a shingle's length; bits: the fingerprint's; radius: differing bits that still link; keys: masks or sketch."""
+    """words: a shingle's length; bits: the fingerprint's; radius: differing bits that still link; keys: masks or sketch.
+
+    similarity: if not 0, the Jaccard similarity of sets of shingles that a link needs; sure: differing bits of pairs that are sure to have it.
+    """
 
     words: int = 4
     bits: int = 64
     radius: int = 4
     keys: str = "masks"
+    similarity: float = 0.0
+    sure: int = 0
 
     def __post_init__(self):
         if self.bits % 64 or self.keys not in ("masks", "sketch") or (self.keys == "masks" and self.bits != 64):
@@ -50,8 +63,8 @@ class NearRule:
 
 
 #: For a corpus stage: five words and a similarity of 0.8. Texts of Jaccard similarity 0.8 have a cosine of 0.89, so 78 of 512 bits
-#: differ on average; at 92 such texts link with probability 0.96, those of 0.85 almost always, those of 0.65 with 0.05.
-CORPUS_RULE = NearRule(words=5, bits=512, radius=92, keys="sketch")
+#: differ on average, with a deviation of 8: 112 leaves out one pair in 100,000, and 40 or fewer need a higher similarity.
+CORPUS_RULE = NearRule(words=5, bits=512, radius=112, keys="sketch", similarity=0.8, sure=40)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -95,7 +108,10 @@ def _sketch(h: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, rule: NearRule, keep: list[str]) -> DataFrame:
-    """`keep` columns of docs with fp (big-endian bytes) and, for sketch keys, sketch. Null texts count as empty: all bits zero."""
+    """`keep` columns of docs with fp (big-endian bytes) and, for sketch keys, sketch. Null texts count as empty: all bits zero.
+
+    With a similarity, a digest of the set of shingles follows in fp.
+    """
     small_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +119,7 @@ def fingerprints(docs: DataFrame, rule: NearRule, keep: list[str]) -> DataFrame:
             fps, sketches = [], []
             for text in batch.column(0).to_pylist():
                 h = shingle_hashes(text or "", rule.words)
-                fps.append(fingerprint(h, rule.bits))
+                fps.append(fingerprint(h, rule.bits) + (hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() if rule.similarity else b""))
                 sketches.append(_sketch(h) if rule.keys == "sketch" else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.binary()), pa.array(sketches, pa.binary())], names=[*keep, "fp", "sketch"])
 
@@ -295,11 +311,79 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return links
 
 
+def _roots(links: list[tuple[int, int]], n: int) -> np.ndarray:
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        parent[top(x)] = top(y)
+    return np.array([top(x) for x in range(n)])
+
+
+def _small_candidates(fp: np.ndarray, group: np.ndarray, rule: NearRule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to check: a forest of the sure ones, and every pair within the radius between two of its parts."""
+    a, b = near_pairs(fp, group, rule.radius)
+    sure = np.concatenate([np.bitwise_count(fp[a[k : k + PAIRS_AT_ONCE]] ^ fp[b[k : k + PAIRS_AT_ONCE]]).sum(axis=1, dtype=np.int64) <= rule.sure for k in range(0, len(a), PAIRS_AT_ONCE)] or [np.zeros(0, bool)])
+    forest = _forest(a[sure], b[sure], len(fp))
+    root = _roots(forest, len(fp)) if forest else np.arange(len(fp))
+    more = ~sure & (root[a] != root[b])
+    if forest:
+        yield tuple(np.array(forest).T)
+    a, b = a[more], b[more]
+    for k in range(0, len(a), PAIRS_AT_ONCE):
+        yield a[k : k + PAIRS_AT_ONCE], b[k : k + PAIRS_AT_ONCE]
+
+
+def _large_candidates(fp: np.ndarray, rule: NearRule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _small_candidates, for one large group. Pairs with the largest part are found from their other side."""
+    forest = _link_large(fp, rule.sure)
+    if forest:
+        yield tuple(np.array(forest).T)
+    root = _roots(forest, len(fp))
+    largest = np.bincount(root).argmax()
+    planes = Planes(fp)
+    words, all_words = planes.words.shape[1], _pack(np.ones(len(fp), bool))
+    for i in np.flatnonzero(root != largest):
+        flip = np.where(planes.bits[i], ~np.uint64(0), np.uint64(0)).astype(np.uint64)
+        hits = _bits_at(_within(lambda lo, hi, c, flip=flip: planes.words[lo:hi][:, c] ^ flip[lo:hi, None], words, len(planes.words), rule.radius, all_words), len(fp))
+        hits = hits[(root[hits] != root[i]) & ((hits > i) | (root[hits] == largest))]
+        if len(hits):
+            yield np.full(len(hits), i), hits
+
+
 def _compare(keyed: DataFrame, rule: NearRule) -> DataFrame:
-    """Links (u, v) between nodes that share a key, a spanning forest of each batch of groups."""
+    """Links (u, v) between nodes that share a key: a spanning forest of each batch of groups or, with a similarity, candidates."""
     width = rule.bits // 64
 
-    def links_of(key: np.ndarray, fps: list[bytes]) -> pa.RecordBatch:
+    def candidates_of(key: np.ndarray, fps: list[bytes]) -> Iterator[pa.RecordBatch]:
+        fp = np.frombuffer(b"".join(x[: 8 * width] for x in fps), np.uint64).reshape(-1, width)
+        names = pa.array(fps, pa.binary())
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for lo, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
+                for a, b in _large_candidates(fp[lo : lo + n], rule):
+                    yield lo + a, lo + b
+            group = np.repeat(np.arange(len(starts)), sizes)
+            small = np.flatnonzero(((sizes > 1) & (sizes <= SMALL_GROUP))[group])
+            if len(small):
+                for a, b in _small_candidates(fp[small], group[small], rule):
+                    yield small[a], small[b]
+
+        for a, b in pairs():
+            # Rows of a group come in the order of fp, so each pair has one direction in every group.
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.minimum(a, b))), names.take(pa.array(np.maximum(a, b)))], names=["u", "v"])
+
+    def links_of(key: np.ndarray, fps: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if rule.similarity:
+            yield from candidates_of(key, fps)
+            return
         fp = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, width)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
@@ -312,7 +396,7 @@ def _compare(keyed: DataFrame, rule: NearRule) -> DataFrame:
             a, b = near_pairs(fp[small], group[small], rule.radius)
             links += [(int(small[i]), int(small[j])) for i, j in _forest(a, b, len(small))]
         links = list(dict.fromkeys((fps[i], fps[j]) for i, j in links))
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], names=["u", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = [], []
@@ -323,18 +407,45 @@ def _compare(keyed: DataFrame, rule: NearRule) -> DataFrame:
                 key = np.concatenate(keys)
                 whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
                 if whole:
-                    yield links_of(key[:whole], fps[:whole])
+                    yield from links_of(key[:whole], fps[:whole])
                     keys, fps = [key[whole:]], fps[whole:]
         if fps:
-            yield links_of(np.concatenate(keys), fps)
+            yield from links_of(np.concatenate(keys), fps)
 
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "u binary, v binary").distinct()
 
 
-def near_nodes(prints: DataFrame, rule: NearRule) -> DataFrame:
-    """(fp, root) for every fingerprint of prints (fp, sketch): the least fingerprint of its component."""
+def _checked(links: DataFrame, prints: DataFrame, numbered: DataFrame, rule: NearRule) -> DataFrame:
+    """Links whose sets of shingles have the rule's similarity. Of each node one text, numbered in __rf_row, is read again."""
+    links = cut(links)
+    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
+    rows = prints.groupBy("fp").agg(F.min("__rf_row").alias("__rf_row")).join(ends, "fp", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text or "", rule.words)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                least, most = sorted((len(a), len(b)))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if least >= rule.similarity * most else 0
+                near.append(both > 0 and both >= rule.similarity * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    sets = cut(numbered.select("__rf_row", "text").join(rows, "__rf_row").select("fp", "text").mapInArrow(hashed, "fp binary, shingles binary"))
+    pairs = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    return pairs.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")
+
+
+def near_nodes(prints: DataFrame, rule: NearRule, numbered: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for every fingerprint of prints (fp, sketch): the least fingerprint of its component. A similarity needs the texts, numbered in __rf_row."""
     nodes = prints.groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    roots = component_roots(_compare(_keyed(nodes, rule), rule))
+    links = _compare(_keyed(nodes, rule), rule)
+    roots = component_roots(_checked(links, prints, numbered, rule) if rule.similarity else links)
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -346,12 +457,13 @@ def near_components(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     and all texts without a word share the zero fingerprint, which links like
     any other. Repeated rows give repeated results; other columns are left out.
     """
-    prints = cut(fingerprints(docs, rule, ["doc_id"]))
+    numbered = docs.withColumn("__rf_row", F.monotonically_increasing_id()) if rule.similarity else docs
+    prints = cut(fingerprints(numbered, rule, ["doc_id", "__rf_row"] if rule.similarity else ["doc_id"]))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = near_nodes(prints, rule).join(least, "fp")
+    named = near_nodes(prints, rule, numbered).join(least, "fp")
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(whole, "root").select("fp", "component_id")
-    return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", F.substring("fp", 1, rule.bits // 8).alias("fp") if rule.similarity else "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, rule: NearRule = CORPUS_RULE) -> DataFrame:
@@ -366,7 +478,7 @@ def drop_near_copies(docs: DataFrame, rule: NearRule = CORPUS_RULE) -> DataFrame
     prints = cut(fingerprints(spoken, rule, ["doc_id", "__rf_row"]))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("__rf_row").alias("row"))).alias("first")
     least = prints.groupBy("fp").agg(first)
-    named = near_nodes(prints, rule).join(least, "fp")
+    named = near_nodes(prints, rule, spoken).join(least, "fp")
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__rf_row"))
     go = prints.select("__rf_row").join(stay, "__rf_row", "left_anti")
     return numbered.join(go, "__rf_row", "left_anti").select(docs.columns)

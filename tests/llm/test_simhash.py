@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rangeforge.llm.simhash import CORPUS_RULE, NearRule, _link_large, drop_near_copies, near_components, near_pairs, op5_simhash
+from rangeforge.llm.simhash import CORPUS_RULE, NearRule, _large_candidates, _link_large, _roots, _small_candidates, drop_near_copies, near_components, near_pairs, op5_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +121,64 @@ def test_corpus_rule_drops_near_copies_only(spark):
     assert len(copies & set(left)) <= 1
 
 
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def brute_left(rows, similarity=0.8):
+    """Ids that stay: the least of each component of pairs with the similarity."""
+    rows = sorted(rows)
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [d for i, (d, _) in enumerate(rows) if top(i) == i]
+
+
+def test_corpus_rule_equals_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("aeioubcdfghklmnprst") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for d in range(40):
+        # Own words after a shared passage: similarities of 0.65 to 0.9, on both sides of the bar.
+        shared, n = [word() for _ in range(rng.randint(120, 400))], len(rows)
+        for k in range(6):
+            own = int(len(shared) * rng.uniform(0.03, 0.27))
+            rows.append((n + k, " ".join(shared + [word() for _ in range(own)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingle_set(t) for _, t in rows]
+    assert sum(0.65 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8 for i in range(240) for j in range(i)) > 50
+    assert sorted(r.doc_id for r in drop_near_copies(docs, CORPUS_RULE).collect()) == brute_left(rows)
+
+
+def test_large_groups_give_the_candidates_of_small_ones():
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    fp = centre[np.arange(300) % 6].copy()
+    for x in fp:
+        for b in rng.integers(0, 512, rng.integers(0, 90)):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    parts, pairs = [], []
+    for found in (_small_candidates(fp, np.zeros(300, int), CORPUS_RULE), _large_candidates(fp, CORPUS_RULE)):
+        links = [(min(i, j), max(i, j)) for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(links) == len(set(links)) and all(sum(int(v).bit_count() for v in fp[i] ^ fp[j]) <= CORPUS_RULE.radius for i, j in links)
+        sure = [(i, j) for i, j in links if sum(int(v).bit_count() for v in fp[i] ^ fp[j]) <= CORPUS_RULE.sure]
+        parts.append(_roots(sure, 300))
+        pairs.append(set(links) - set(sure))
+    assert len(set(zip(*map(list, parts), strict=True))) == len(set(parts[0])) == len(set(parts[1])) < 300
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError):
         NearRule(bits=128)
