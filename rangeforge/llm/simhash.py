@@ -48,6 +48,7 @@ class NearRule:
     """words: a shingle's length; bits: the fingerprint's; radius: differing bits that still link; keys: masks or sketch.
 
     similarity: if not 0, the Jaccard similarity of sets of shingles that a link needs; sure: differing bits of pairs that are sure to have it.
+    Fingerprints are of the set then, each shingle once; without, repeats count.
     """
 
     words: int = 4
@@ -119,7 +120,9 @@ def fingerprints(docs: DataFrame, rule: NearRule, keep: list[str]) -> DataFrame:
             fps, sketches = [], []
             for text in batch.column(0).to_pylist():
                 h = shingle_hashes(text or "", rule.words)
-                fps.append(fingerprint(h, rule.bits) + (hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() if rule.similarity else b""))
+                if rule.similarity:
+                    h = np.unique(h)
+                fps.append(fingerprint(h, rule.bits) + (hashlib.blake2b(h.tobytes(), digest_size=16).digest() if rule.similarity else b""))
                 sketches.append(_sketch(h) if rule.keys == "sketch" else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.binary()), pa.array(sketches, pa.binary())], names=[*keep, "fp", "sketch"])
 

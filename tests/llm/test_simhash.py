@@ -161,6 +161,17 @@ def test_corpus_rule_equals_brute_force(spark):
     assert sorted(r.doc_id for r in drop_near_copies(docs, CORPUS_RULE).collect()) == brute_left(rows)
 
 
+def test_corpus_rule_counts_a_shingle_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioubcdfghklmnprst") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for n, times in ((900, 10), (900, 15), (300, 7)):
+        words, line = [word() for _ in range(n)], [word() for _ in range(10)]
+        rows += [(len(rows), " ".join(words + line)), (len(rows) + 1, " ".join(words + line * times))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs, CORPUS_RULE).collect()) == brute_left(rows) == [0, 2, 4]
+
+
 def test_large_groups_give_the_candidates_of_small_ones():
     rng = np.random.default_rng(9)
     centre = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
