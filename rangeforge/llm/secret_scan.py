@@ -5,9 +5,9 @@ characters as they are, the others by class) and put into a prefix tree with
 counts. Two states whose continuations could come from one distribution (the
 Hoeffding test, in each symbol and the end, and so on below) are merged, which
 turns the tree into a probabilistic automaton with loops. A second automaton is
-inferred from words that are no credentials. Every candidate of a text is scored
-by the log-likelihood ratio of the two, a symbol; those over the threshold are
-spans of kind "format".
+inferred from words that are no credentials. Every candidate of a text, and what
+base spans leave of one, is scored by the log-likelihood ratio of the two, a
+symbol; those over the threshold are spans of kind "format".
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CUES = ("passw", "secret", "token", "key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+FREE = re.compile(b"\0+")
 #: Symbols that stay as they are at the start of a credential; a bound on what is inferred from; the bar for a span.
 HEAD, SAMPLES, SEED, ALPHA, BAR = 4, 300, 7, 0.05, 0.5
 
@@ -184,11 +186,17 @@ def find_secrets(text: str, formats: Formats) -> list[tuple[str, int, int, float
         taken[a:b] = b"\1" * (b - a)
     more = []
     for m in CANDIDATE.finditer(text):
-        word = m[0].rstrip(".-=")
-        if len(word) >= 16 and not word.isalpha() and any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and not (base and any(taken[m.start() : m.start() + len(word)])):
-            score = formats.score(word)
-            if score > formats.bar:
-                more.append(("format", m.start(), m.start() + len(word), score))
+        for a, b in [f.span() for f in FREE.finditer(taken, m.start(), m.end())] if base else [m.span()]:
+            words = [(a, text[a:b].rstrip(".-="))]
+            if b - a < m.end() - m.start():
+                # Beside a base span a mark parts two credentials; where that gives none, it may belong to one.
+                inner = text[a:b].lstrip("+/_.=-")
+                words.insert(0, (b - len(inner), inner.rstrip("+/_.=-")))
+            for start, word in words:
+                # Lines of marks alone hold nothing to score.
+                if len(word) >= LEAST and any(c.isalnum() for c in word) and (score := formats.score(word)) > formats.bar:
+                    more.append(("format", start, start + len(word), score))
+                    break
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -49,6 +49,16 @@ def test_inferred_formats():
     assert [s[0] for s in find_secrets(text, formats)] == ["format"]
 
 
+def test_every_candidate_is_scored():
+    formats = infer_formats()
+    for word in ("glpat-" + "aBxQzRtKwLmNpVyGhJdS", "sk_live_" + "QwErTyUiOpAsDfGhJkLzXcVb"):
+        assert [s[:3] for s in find_secrets(f"see {word} there", formats)] == [("format", 4, 4 + len(word))]
+    assert not find_secrets(f"{'_' * 40} {'+' * 20} {'=' * 30} internationalisation Geschwindigkeitsbegrenzung", formats)
+    access, secret = "AKIA" + "Q7W2E9R4T1Y6U3I8", "wJ4lrXUtn7EMI/K7MDE+G9bPxRfi2CYzEXk8M0PL"
+    assert [s[:3] for s in find_secrets(f"{access}/{secret} end", formats)] == [("access", 0, 20), ("format", 21, 61)]
+    assert [s[:3] for s in find_secrets(f"{secret}/{access} end", formats)] == [("format", 0, 40), ("access", 41, 61)]
+
+
 def test_odd_rows_and_redaction(spark):
     docs = spark.createDataFrame([(i, t, "src", 7, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], None, None, None), (2, TEXTS[2], "src", 7, "x")], "doc_id long, text string, source string, n_chars long, spans string")
     assert scan_secrets(docs).count() == len(TEXTS) + 2 and scan_secrets(docs.limit(0)).count() == 0
