@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import camera, grids, lidar
@@ -103,6 +106,12 @@ def tunnel_curves(spark, sf_dir):
 
 @query()
 def beam_hits(spark, sf_dir):
-    """First surface met by a grid of beams in the model of bag 0."""
-    model = lidar.tunnel_model(points(spark, sf_dir), ["bag"]).where("bag = 0")
-    return lidar.trace_beams(model, [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)], d_min=3.0, d_max=50.0)
+    """First surface met by a grid of beams in the model of each bag."""
+    models = lidar.tunnel_model(points(spark, sf_dir), ["bag"])
+    bags = [r.bag for r in points(spark, sf_dir).select("bag").distinct().orderBy("bag").collect()]
+
+    def hits(bag):
+        beams = lidar.trace_beams(models.where(F.col("bag") == bag), [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)], d_min=3.0, d_max=50.0)
+        return beams.withColumn("bag", F.lit(bag).cast("long"))
+
+    return reduce(DataFrame.unionByName, map(hits, bags))

@@ -204,3 +204,16 @@ def test_model_fit_recovers_lines():
     start = true + np.array([0.05, 0.01, 0.01, -0.01, 10, -10, 5, 5] + [0.01, -0.01, 0.01, 0.03] * 3)
     model, cost, _ = fit_model(samples, FanModel(start, ("L", "R", "B")), rounds=100)
     assert cost < 1.0
+
+
+def test_beams_of_every_bag(spark):
+    from rangeforge.plans.detector_queries import beam_hits
+    from rangeforge.sources.driver import points
+
+    sf = "/root/testdata/sf0.001"
+    models = lidar.tunnel_model(points(spark, sf), ["bag"])
+    rows = beam_hits(spark, sf).collect()
+    assert {r.bag for r in rows} == {0, 1, 2, 3}
+    for bag in (0, 3):
+        want = lidar.trace_beams(models.where(f"bag = {bag}"), [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)], d_min=3.0, d_max=50.0).collect()
+        assert sorted((r.az, r.el, r.surface, r.d) for r in rows if r.bag == bag) == sorted((r.az, r.el, r.surface, r.d) for r in want) and want
