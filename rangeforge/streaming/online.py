@@ -1,147 +1,366 @@
 """Structured Streaming versions of the frame-ordered operators. A frame comes as one row with its lit cells, so state holds cells, never points.
 
-Frames of a recording must come in order (ts_ns, frame_idx) within and across
-batches; a frame not after the last one seen is late and is dropped.
+Every stream has the columns bag, ts_ns and frame_idx. Frames may come in any
+order and over any batches: each is held back until the watermark on ts_ns has
+passed it, and those of a recording are then taken in the order (ts_ns,
+frame_idx). Frames later than the watermark are dropped and counted
+(late_frames). A frame that comes twice counts once. What lies within `late` of
+the newest frame of all recordings comes out once the watermark moves on.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..config import Grid
+from ..config import Grid, ShadowConfig
 from ..operators.folds import tracked
 from ..operators.grids import LIT, extent
 from ..shipping import ship_package
 
+LATE = "5 seconds"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def pack_frames(states: DataFrame) -> DataFrame:
-    """(bag, frame_idx, lit): sorted codes iu << 20 | iv of each frame's lit cells, from states of a batch."""
+
+def pack_frames(states: DataFrame, time: str = "ts_ns") -> DataFrame:
+    """(bag, ts_ns, frame_idx, lit): sorted codes iu << 20 | iv of each frame's lit cells, from states of a batch that carry their frame's time."""
     code = F.shiftleft(F.col("iu").cast("long"), 20).bitwiseOR(F.col("iv").cast("long"))
-    return states.groupBy("bag", "frame_idx").agg(F.sort_array(F.collect_list(F.when(F.col("st") == LIT, code))).alias("lit"))
+    return states.groupBy("bag", F.col(time).alias("ts_ns"), "frame_idx").agg(F.sort_array(F.collect_list(F.when(F.col("st") == LIT, code))).alias("lit"))
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], last: int) -> Iterator:
-    rows = pd.concat(list(pdfs)).sort_values("frame_idx")
-    for row in rows[rows["frame_idx"] > last].itertuples(index=False):
-        yield row
+def _cells(codes: np.ndarray) -> dict:
+    return {"iu": (codes >> 20).astype(np.int32), "iv": (codes & 0xFFFFF).astype(np.int32)}
 
 
-def consensus_stream(frames: DataFrame, *, window: int = 5, frac: float = 0.5) -> DataFrame:
-    """(bag, frame_idx, iu, iv, kind) against the consensus of the `window` frames before: shadows and objects; nothing until the window is full."""
-    ship_package(frames.sparkSession)
+class Ordered(StatefulProcessor):
+    """Holds frames back until the watermark has passed them and gives them to `step` in order. Subclasses keep what they remember in state of their own."""
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ring = (lambda s: (s[0], json.loads(s[1])))(state.get) if state.exists else (-1, [])
-        out = []
-        for row in _in_order(pdfs, last):
-            lit = np.array(row.lit, np.int64)
-            if len(ring) == window:
-                codes, counts = np.unique(np.concatenate([np.array(r, np.int64) for r in ring]), return_counts=True)
-                reference = codes[counts / window > frac]
-                for kind, cells in (("shadow", np.setdiff1d(reference, lit)), ("object", np.setdiff1d(lit, reference))):
-                    out.append(pd.DataFrame({"bag": key[0], "frame_idx": row.frame_idx, "iu": (cells >> 20).astype(np.int32), "iv": (cells & 0xFFFFF).astype(np.int32), "kind": kind}))
-            ring = [*ring, lit.tolist()][-window:]
-            last = int(row.frame_idx)
-        state.update((last, json.dumps(ring)))
-        if out:
-            yield pd.concat(out)
+    #: Columns of a frame beside bag, ts_ns and frame_idx, and those that come out beside bag.
+    takes, gives = "", ""
 
-    kind = frames.schema["bag"].dataType.simpleString()
-    return frames.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, iu int, iv int, kind string", "last long, ring string", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "ts_ns long, frame_idx long", self.takes)
+        self.open(handle)
 
+    def open(self, handle) -> None:
+        """Opens the state that `step` needs."""
 
-def tracker_stream(candidates: DataFrame, *, persist: int = 3, gate_d: float = 0.3, gate_theta: float = 4.0, keep: float = 0.8) -> DataFrame:
-    """track_nearest on a stream of (bag, frame_idx, d, theta)."""
-    ship_package(candidates.sparkSession)
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Rows without bag from frames (frame_idx, columns of `takes`) that follow one another."""
+        raise NotImplementedError
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at, angle, streak = state.get if state.exists else (-1, None, None, 0)
-        rows = list(_in_order(pdfs, last))
-        if rows:
-            *out, (at, angle, streak) = tracked([r.d for r in rows], [r.theta for r in rows], persist, gate_d, gate_theta, keep, (at, angle, streak))
-            state.update((int(rows[-1].frame_idx), at, angle, streak))
-            yield pd.DataFrame({"bag": key[0], "frame_idx": [r.frame_idx for r in rows], "track_d": out[0], "track_theta": out[1], "streak": out[2], "reported": out[3]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.takes.split(", ")]
+        for pdf in rows:
+            for ts, frame, *values in zip(pdf["ts_ns"].tolist(), pdf["frame_idx"].tolist(), *(pdf[c] for c in names), strict=True):
+                self.held.updateValue((ts, frame), tuple(_plain(v) for v in values))
+        yield from self._release(key, timerValues)
 
-    kind = candidates.schema["bag"].dataType.simpleString()
-    return candidates.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, track_d double, track_theta double, streak long, reported boolean", "last long, d double, theta double, streak long", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues)
 
+    def _release(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        mark, waiting = timerValues.getCurrentWatermarkInMs(), sorted(tuple(k) for k in self.held.keys())
+        ready = [k for k in waiting if k[0] // 1_000_000 <= mark]
+        if ready:
+            frames = [(k[1], *self.held.getValue(k)) for k in ready]
+            for rows in self.step(frames):
+                rows.insert(0, "bag", key[0])
+                yield rows
+            for k in ready:
+                self.held.removeKey(k)
+        if len(ready) < len(waiting):
+            self.handle.registerTimer(waiting[len(ready)][0] // 1_000_000)
 
-def persistence_stream(boxes: DataFrame, *, lags: int = 2, grow: float = 10.0) -> DataFrame:
-    """(bag, frame_idx, box) of boxes that overlap one, grown by `grow`, in every one of the `lags` frames before. boxes has one row a frame: (bag, frame_idx, boxes array<struct<x_lo, x_hi, y_lo, y_hi>>)."""
-    ship_package(boxes.sparkSession)
+    def close(self) -> None:
+        pass
 
-    def touch(a: list, b: list) -> bool:
-        return b[0] <= a[1] + grow and b[1] >= a[0] - grow and b[2] <= a[3] + grow and b[3] >= a[2] - grow
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, past = (lambda s: (s[0], json.loads(s[1])))(state.get) if state.exists else (-1, [])
-        out = []
-        for row in _in_order(pdfs, last):
-            now = [[float(b[c]) for c in ("x_lo", "x_hi", "y_lo", "y_hi")] for b in row.boxes]
-            if len(past) == lags:
-                out += [(key[0], row.frame_idx, i) for i, b in enumerate(now) if all(any(touch(b, o) for o in frame) for frame in past)]
-            past, last = [*past, now][-lags:], int(row.frame_idx)
-        state.update((last, json.dumps(past)))
-        yield pd.DataFrame(out, columns=["bag", "frame_idx", "box"])
+def _plain(value):
+    if isinstance(value, (list, np.ndarray)):
+        return [_plain(v) for v in value]
+    if isinstance(value, np.generic):
+        value = value.item()
+    return None if value is None or value != value else value
+
+
+def _ordered(rows: DataFrame, processor: Ordered, late: str) -> DataFrame:
+    spark = rows.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_STORE, "") != _ROCKS:
+        spark.conf.set(_STORE, _ROCKS)  # the only store that keeps map and list state and timers
+    timed = rows.withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("ts", late)
+    kind = rows.schema["bag"].dataType.simpleString()
+    return timed.groupBy("bag").transformWithStateInPandas(processor, f"bag {kind}, {processor.gives}", "append", "eventTime")
+
+
+def late_frames(query: StreamingQuery) -> int:
+    """Frames that a query has dropped so far because they came after the watermark, by its kept progress reports."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) if isinstance(s, dict) else int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
+class Consensus(Ordered):
+    takes, gives = "lit array<long>", "frame_idx long, iu int, iv int, kind string"
+
+    def __init__(self, window: int, frac: float):
+        self.window, self.frac = window, frac
+
+    def open(self, handle) -> None:
+        self.ring = handle.getListState("ring", "lit array<long>")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        ring = [np.array(lit, np.int64) for (lit,) in self.ring.get()]
+        for frame, lit in frames:
+            lit = np.array(lit, np.int64)
+            if len(ring) == self.window:
+                yield compared(ring, lit, self.frac).assign(frame_idx=frame)[["frame_idx", "iu", "iv", "kind"]]
+            ring = [*ring, lit][-self.window :]
+        self.ring.put([(lit.tolist(),) for lit in ring])
+
+
+def compared(ring: list[np.ndarray], lit: np.ndarray, frac: float) -> pd.DataFrame:
+    """(iu, iv, kind): cells of the ring's consensus that are not lit (shadow), and lit ones outside it (object)."""
+    codes, counts = np.unique(np.concatenate(ring), return_counts=True)
+    reference = codes[counts / len(ring) > frac]
+    parts = [pd.DataFrame(_cells(cells)).assign(kind=kind) for kind, cells in (("shadow", np.setdiff1d(reference, lit)), ("object", np.setdiff1d(lit, reference)))]
+    return pd.concat(parts, ignore_index=True)
+
+
+def consensus_stream(frames: DataFrame, *, window: int = 5, frac: float = 0.5, late: str = LATE) -> DataFrame:
+    """(bag, frame_idx, iu, iv, kind) of frames (bag, ts_ns, frame_idx, lit) against the consensus of the `window` frames before: shadows and objects; nothing until the window is full."""
+    return _ordered(frames, Consensus(window, frac), late)
+
+
+def primed_geometry(points: np.ndarray, config: ShadowConfig) -> tuple[tuple[int, int, int, int], Grid]:
+    """(forward, sign, lateral, vertical) and the grid of a sample of points (x, y, z), by the rules of detect_axes and extent."""
+    low, mid, high = np.percentile(points, (1, 50, 99), axis=0)
+    span, offset = high - low, np.abs((low + high) / 2)
+    forward = int(np.argmax(span))
+    a, b = (i for i in range(3) if i != forward)
+    close = abs(span[a] - span[b]) <= 0.2 * max(span[a], span[b])
+    lateral, vertical = (a, b) if (offset[a] < offset[b] if close else span[a] > span[b]) else (b, a)
+    sign = -1 if mid[forward] < 0 else 1
+    f = sign * points[:, forward]
+    seen = points[f > config.f_min]
+    f = f[f > config.f_min]
+    far = f > config.d0
+    if far.sum() < 50:
+        far = np.ones(len(f), bool)
+    u, v = (seen[far, i] * config.d0 / f[far] for i in (lateral, vertical))
+    (u_lo, u_hi), (v_lo, v_hi) = (np.percentile(x, (1, 99)) + (-config.margin, config.margin) for x in (u, v))
+    return (forward, sign, lateral, vertical), Grid(float(u_lo), float(u_hi), float(v_lo), float(v_hi), config.res)
+
+
+def lit_codes(points: np.ndarray, axes: tuple[int, int, int, int], grid: Grid, config: ShadowConfig) -> np.ndarray:
+    """Sorted codes of the cells that a frame lights, as plane_cells and z_buffer have them."""
+    forward, sign, lateral, vertical = axes
+    f = sign * points[:, forward]
+    ahead = f > config.f_min
+    f, lat, ver = f[ahead], points[ahead, lateral], points[ahead, vertical]
+    u, v = lat * config.d0 / f, ver * config.d0 / f
+    inside = (u >= grid.u_lo) & (u < grid.u_hi) & (v >= grid.v_lo) & (v < grid.v_hi)
+    iu, iv = (((x[inside] - lo) / grid.res + 1e-6).astype(np.int64) for x, lo in ((u, grid.u_lo), (v, grid.v_lo)))
+    codes = iu << 20 | iv
+    order = np.lexsort((f[inside], codes))
+    codes, first = np.unique(codes[order], return_index=True)
+    return codes[f[inside][order][first] > config.d0]
+
+
+class Primed(Ordered):
+    """Phases: frames are gathered until `prime` have come; those give axes and grid, fill the ring and give the last one's result; then each frame is compared."""
+
+    takes, gives = "x array<double>, y array<double>, z array<double>", "frame_idx long, iu int, iv int, kind string"
+
+    def __init__(self, config: ShadowConfig):
+        self.config = config
+
+    def open(self, handle) -> None:
+        self.waiting = handle.getListState("waiting", self.takes)
+        self.geometry = handle.getValueState("geometry", "forward int, sign int, lateral int, vertical int, u_lo double, u_hi double, v_lo double, v_hi double")
+        self.ring = handle.getListState("ring", "lit array<long>")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        config = self.config
+        ring = [np.array(lit, np.int64) for (lit,) in self.ring.get()]
+        known = tuple(self.geometry.get()) if self.geometry.exists() else None
+        waiting = [] if known else [np.array(p, float).T for p in self.waiting.get()]
+        for frame, *xyz in frames:
+            points = np.array(xyz, float).T.reshape(-1, 3)
+            if known is None:
+                waiting.append(points)
+                if len(waiting) < config.prime:
+                    continue
+                axes, grid = primed_geometry(np.concatenate(waiting), config)
+                known = (*axes, grid.u_lo, grid.u_hi, grid.v_lo, grid.v_hi)
+                self.geometry.update(known)
+                ring = [lit_codes(p, axes, grid, config) for p in waiting]
+                self.waiting.clear()
+            else:
+                axes, grid = known[:4], Grid(*known[4:], config.res)
+                ring = [*ring, lit_codes(points, axes, grid, config)][-config.buffer :]
+            if len(ring) >= config.window:
+                yield compared(ring[-config.window :], ring[-1], config.frac).assign(frame_idx=frame)[["frame_idx", "iu", "iv", "kind"]]
+        if known is None:
+            self.waiting.put([tuple(p.T.tolist()) for p in waiting])
+        self.ring.put([(lit.tolist(),) for lit in ring])
+
+
+def primed_consensus_stream(frames: DataFrame, config: ShadowConfig = ShadowConfig(), *, late: str = LATE) -> DataFrame:
+    """(bag, frame_idx, iu, iv, kind) of frames (bag, ts_ns, frame_idx, x, y, z arrays) whose axes and grid are found from the first `prime` frames of a recording.
+
+    Of those frames only the last one gives rows. The window holds the frame itself.
+    """
+    return _ordered(frames, Primed(config), late)
+
+
+class Tracker(Ordered):
+    takes, gives = "d double, theta double", "frame_idx long, track_d double, track_theta double, streak long, reported boolean"
+
+    def __init__(self, persist: int, gate_d: float, gate_theta: float, keep: float, reset_at: int | None):
+        self.rule, self.reset_at = (persist, gate_d, gate_theta, keep), reset_at
+
+    def open(self, handle) -> None:
+        self.track = handle.getValueState("track", "d double, theta double, streak long, seen long")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        *state, seen = self.track.get() if self.track.exists() else (None, None, 0, 0)
+        # What the boot phase has tracked is static scenery: the track starts anew behind it.
+        cut = -1 if self.reset_at is None else self.reset_at - seen
+        for part in [frames[:cut], None, frames[cut:]] if 0 <= cut < len(frames) else [frames]:
+            if part is None:
+                state = [None, None, 0]
+            elif part:
+                *out, state = tracked([d for _, d, _ in part], [t for _, _, t in part], *self.rule, tuple(state))
+                yield pd.DataFrame({"frame_idx": [n for n, _, _ in part], "track_d": out[0], "track_theta": out[1], "streak": out[2], "reported": out[3]})
+        self.track.update((*state, seen + len(frames)))
+
+
+def tracker_stream(candidates: DataFrame, *, persist: int = 3, gate_d: float = 0.3, gate_theta: float = 4.0, keep: float = 0.8, reset_at: int | None = None, late: str = LATE) -> DataFrame:
+    """track_nearest on a stream of (bag, ts_ns, frame_idx, d, theta). reset_at: frames of a recording after which the track starts anew, as when a boot phase ends."""
+    return _ordered(candidates, Tracker(persist, gate_d, gate_theta, keep, reset_at), late)
+
+
+class Persistence(Ordered):
+    takes, gives = "boxes array<struct<x_lo:double,x_hi:double,y_lo:double,y_hi:double>>", "frame_idx long, box int"
+
+    def __init__(self, lags: int, grow: float):
+        self.lags, self.grow = lags, grow
+
+    def open(self, handle) -> None:
+        self.past = handle.getListState("past", "places array<double>")
 
-    kind = boxes.schema["bag"].dataType.simpleString()
-    return boxes.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, box int", "last long, past string", "append", GroupStateTimeout.NoTimeout)
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        grow = self.grow
+        touch = lambda a, b: b[0] <= a[1] + grow and b[1] >= a[0] - grow and b[2] <= a[3] + grow and b[3] >= a[2] - grow
+        past, out = [np.array(p, float).reshape(-1, 4).tolist() for (p,) in self.past.get()], []
+        for frame, boxes in frames:
+            now = [[float(v) for v in b] for b in boxes]
+            if len(past) == self.lags:
+                out += [(frame, i) for i, b in enumerate(now) if all(any(touch(b, o) for o in before) for before in past)]
+            past = [*past, now][-self.lags :]
+        self.past.put([([x for b in boxes for x in b],) for boxes in past])
+        if out:
+            yield pd.DataFrame(out, columns=["frame_idx", "box"])
+
+
+def persistence_stream(boxes: DataFrame, *, lags: int = 2, grow: float = 10.0, late: str = LATE) -> DataFrame:
+    """(bag, frame_idx, box) of boxes that overlap one, grown by `grow`, in every one of the `lags` frames before. boxes has one row a frame: (bag, ts_ns, frame_idx, boxes array<struct<x_lo, x_hi, y_lo, y_hi>>)."""
+    places = F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")]))
+    return _ordered(boxes.withColumn("boxes", places), Persistence(lags, grow), late)
 
 
-def ema_stream(rows: DataFrame, *, keep: float = 0.7, patience: int = 30) -> DataFrame:
-    """ema_with_reset on a stream of (bag, frame_idx, d); a null d is a miss."""
-    ship_package(rows.sparkSession)
+class Ema(Ordered):
+    takes, gives = "d double", "frame_idx long, ema double"
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ema, misses = state.get if state.exists else (-1, None, 0)
+    def __init__(self, keep: float, patience: int):
+        self.keep, self.patience = keep, patience
+
+    def open(self, handle) -> None:
+        self.level = handle.getValueState("level", "ema double, misses long")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        ema, misses = self.level.get() if self.level.exists() else (None, 0)
         out = []
-        for row in _in_order(pdfs, last):
-            if row.d is None or row.d != row.d:
+        for frame, d in frames:
+            if d is None:
                 misses += 1
-                ema = None if misses > patience else ema
+                ema = None if misses > self.patience else ema
             else:
-                ema, misses = row.d if ema is None else keep * ema + (1 - keep) * row.d, 0
-            out.append((key[0], row.frame_idx, ema))
-            last = int(row.frame_idx)
-        state.update((last, ema, misses))
-        yield pd.DataFrame(out, columns=["bag", "frame_idx", "ema"])
+                ema, misses = d if ema is None else self.keep * ema + (1 - self.keep) * d, 0
+            out.append((frame, ema))
+        self.level.update((ema, misses))
+        yield pd.DataFrame(out, columns=["frame_idx", "ema"])
 
-    kind = rows.schema["bag"].dataType.simpleString()
-    return rows.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, frame_idx long, ema double", "last long, ema double, misses long", "append", GroupStateTimeout.NoTimeout)
 
+def ema_stream(rows: DataFrame, *, keep: float = 0.7, patience: int = 30, late: str = LATE) -> DataFrame:
+    """ema_with_reset on a stream of (bag, ts_ns, frame_idx, d); a null d is a miss."""
+    return _ordered(rows, Ema(keep, patience), late)
+
+
+class BootMask(Ordered):
+    takes, gives = "lit array<long>", "iu int, iv int"
+
+    def __init__(self, boot: int, share: float):
+        self.boot, self.share = boot, share
+
+    def open(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "frames long")
+        self.counts = handle.getMapState("counts", "cell long", "n long")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        if seen >= self.boot:
+            return
+        now = frames[: self.boot - seen]
+        cells, n = np.unique(np.concatenate([np.array(lit, np.int64) for _, lit in now]), return_counts=True)
+        for c, k in zip(cells.tolist(), n.tolist(), strict=True):
+            self.counts.updateValue((c,), (k + (self.counts.getValue((c,))[0] if self.counts.containsKey((c,)) else 0),))
+        self.seen.update((seen + len(now),))
+        if seen + len(now) == self.boot:
+            lit = np.array(sorted(k[0] for k, v in self.counts.iterator() if v[0] >= self.share * self.boot), np.int64)
+            self.counts.clear()
+            yield pd.DataFrame(_cells(lit))
 
-def boot_mask_stream(frames: DataFrame, *, boot: int = 30, share: float = 0.25) -> DataFrame:
+
+def boot_mask_stream(frames: DataFrame, *, boot: int = 30, share: float = 0.25, late: str = LATE) -> DataFrame:
     """(bag, iu, iv) once a recording has had `boot` frames: cells lit in at least `share` of them. Then the mask is frozen."""
-    ship_package(frames.sparkSession)
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, counts = (lambda s: (s[0], s[1], json.loads(s[2])))(state.get) if state.exists else (-1, 0, {})
-        for row in _in_order(pdfs, last):
-            last = int(row.frame_idx)
-            if seen >= boot:
-                continue
+    return _ordered(frames, BootMask(boot, share), late)
+
+
+class Held(Ordered):
+    takes, gives = "d double", "frame_idx long, d double, computed boolean"
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def open(self, handle) -> None:
+        self.latest = handle.getValueState("latest", "d double, seen long")
+
+    def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
+        latest, seen = self.latest.get() if self.latest.exists() else (None, 0)
+        out = []
+        for frame, d in frames:
+            latest = d if seen % self.every == 0 else latest
+            out.append((frame, latest, seen % self.every == 0))
             seen += 1
-            for c in row.lit:
-                counts[str(c)] = counts.get(str(c), 0) + 1
-            if seen == boot:
-                cells = np.array([int(c) for c, n in counts.items() if n >= share * boot], np.int64)
-                counts = {}
-                yield pd.DataFrame({"bag": key[0], "iu": (cells >> 20).astype(np.int32), "iv": (cells & 0xFFFFF).astype(np.int32)})
-        state.update((last, seen, json.dumps(counts)))
+        self.latest.update((latest, seen))
+        yield pd.DataFrame(out, columns=["frame_idx", "d", "computed"])
+
 
-    kind = frames.schema["bag"].dataType.simpleString()
-    return frames.groupBy("bag").applyInPandasWithState(step, f"bag {kind}, iu int, iv int", "last long, seen long, counts string", "append", GroupStateTimeout.NoTimeout)
+def held_stream(rows: DataFrame, *, every: int = 2, late: str = LATE) -> DataFrame:
+    """(bag, frame_idx, d, computed): every `every`-th frame's d, kept for the frames between."""
+    return _ordered(rows, Held(every), late)
 
 
-def windowed_counts(frames: DataFrame, *, length: str = "10 seconds", late: str = "5 seconds") -> DataFrame:
-    """Frames in event-time windows with a watermark on ts; beyond what recordings need, for live feeds."""
+def windowed_counts(frames: DataFrame, *, length: str = "10 seconds", late: str = LATE) -> DataFrame:
+    """Frames (bag, ts) in event-time windows with a watermark on ts; beyond what recordings need, for live feeds."""
     return frames.withWatermark("ts", late).groupBy("bag", F.window("ts", length)).agg(F.count("*").alias("frames"))
 
 
@@ -153,7 +372,15 @@ def canvas(points: DataFrame, d0: float, margin: float, res: float) -> Grid:
     return Grid(e["u_lo"], e["u_hi"], e["v_lo"], e["v_hi"], res)
 
 
-def write_batches(stream: DataFrame, folder: str, checkpoint: str, *, once: bool = False):
-    """Starts a query that writes each micro-batch as Parquet under its number, so that a batch that is run again replaces its own files."""
-    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+def write_batches(stream: DataFrame, folder: str, checkpoint: str, *, kind: str = "parquet", once: bool = False) -> StreamingQuery:
+    """Starts a query that writes each micro-batch (parquet, csv or json) under its number, so that a batch that is run again replaces its own files."""
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(f"{folder}/batch={number}")
+
+    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (out.trigger(availableNow=True) if once else out).start()
+
+
+def summary(written: DataFrame, keys: Iterable[str] = ("bag", "kind")) -> DataFrame:
+    """What a finished run of consensus_stream has written: frames and cells by recording and kind."""
+    return written.groupBy(*keys).agg(F.count_distinct("frame_idx").alias("frames"), F.count("*").alias("cells"))
