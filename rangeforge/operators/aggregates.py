@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 
 def axis_spread(points: DataFrame, columns: list[str]) -> DataFrame:
-    """(axis, span, median): 1st to 99th percentile span of each coordinate."""
-    parts = F.array(*[F.struct(F.lit(c).alias("axis"), (F.percentile(c, 0.99) - F.percentile(c, 0.01)).alias("span"), F.percentile(c, 0.5).alias("median")) for c in columns])
+    """(axis, place, span, median, centre): 1st to 99th percentile span of each coordinate, and the middle of that span."""
+    q = lambda c, p: F.percentile(c, p)
+    parts = F.array(*[F.struct(F.lit(c).alias("axis"), F.lit(k).alias("place"), (q(c, 0.99) - q(c, 0.01)).alias("span"), q(c, 0.5).alias("median"), ((q(c, 0.99) + q(c, 0.01)) / 2).alias("centre")) for k, c in enumerate(columns)])
     return points.agg(parts.alias("p")).select(F.inline("p"))
 
 
 def detect_axes(points: DataFrame, columns: list[str]) -> DataFrame:
     """One row (forward, sign, lateral, vertical): the widest axis is forward and looks the way its median lies.
-    Of the rest the wider is lateral, unless it is under 20 % wider; then the one whose median is nearest to zero."""
-    spread = F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("k"), "axis", "median", "span")))
+    Of the other two the wider is lateral; if their spans are within 20 % of the wider one, it is the one centred nearer to zero, the later one if equal."""
+    spread = F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("k"), "place", "axis", "median", "span", F.abs("centre").alias("off"))))
     s = axis_spread(points, columns).agg(spread.alias("s"))
     a, b, c = (F.col("s")[i] for i in range(3))
-    close = b["span"] < 1.2 * c["span"]
-    swap = close & (F.abs(c["median"]) < F.abs(b["median"]))
+    close = b["span"] - c["span"] <= 0.2 * b["span"]
+    swap = close & F.when(c["place"] < b["place"], c["off"] < b["off"]).otherwise(c["off"] <= b["off"])
     return s.select(a["axis"].alias("forward"), F.when(a["median"] < 0, -1).otherwise(1).alias("sign"), F.when(swap, c["axis"]).otherwise(b["axis"]).alias("lateral"), F.when(swap, b["axis"]).otherwise(c["axis"]).alias("vertical"))
 
 

@@ -12,11 +12,11 @@ from .registry import query
 
 
 @query(
-    f"""WITH {POINTS}, s AS (SELECT unnest(['f', 'lat', 'ver']) AS axis, unnest([quantile_cont(f, 0.99) - quantile_cont(f, 0.01), quantile_cont(lat, 0.99) - quantile_cont(lat, 0.01), quantile_cont(ver, 0.99) - quantile_cont(ver, 0.01)]) AS span,
-unnest([quantile_cont(f, 0.5), quantile_cont(lat, 0.5), quantile_cont(ver, 0.5)]) AS med FROM points),
-r AS (SELECT *, row_number() OVER (ORDER BY span DESC, axis) AS k FROM s),
-p AS (SELECT max(axis) FILTER (k = 1) AS a, max(med) FILTER (k = 1) AS ma, max(axis) FILTER (k = 2) AS b, max(med) FILTER (k = 2) AS mb, max(span) FILTER (k = 2) AS sb, max(axis) FILTER (k = 3) AS c, max(med) FILTER (k = 3) AS mc, max(span) FILTER (k = 3) AS sc FROM r)
-SELECT a AS forward, CASE WHEN ma < 0 THEN -1 ELSE 1 END AS sign, CASE WHEN sb < 1.2 * sc AND abs(mc) < abs(mb) THEN c ELSE b END AS lateral, CASE WHEN sb < 1.2 * sc AND abs(mc) < abs(mb) THEN b ELSE c END AS vertical FROM p"""
+    f"""WITH {POINTS}, long AS (SELECT 'f' AS axis, 0 AS place, f AS x FROM points UNION ALL SELECT 'lat', 1, lat FROM points UNION ALL SELECT 'ver', 2, ver FROM points),
+s AS (SELECT axis, place, quantile_cont(x, 0.99) AS hi, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.5) AS med FROM long GROUP BY ALL),
+r AS (SELECT axis, place, hi - lo AS span, med, abs((hi + lo) / 2) AS off, row_number() OVER (ORDER BY hi - lo DESC, place) AS k FROM s),
+p AS (SELECT a.axis AS fwd, a.med, b.axis AS b, c.axis AS c, b.span - c.span <= 0.2 * b.span AND CASE WHEN c.place < b.place THEN c.off < b.off ELSE c.off <= b.off END AS swap FROM r a, r b, r c WHERE a.k = 1 AND b.k = 2 AND c.k = 3)
+SELECT fwd AS forward, CASE WHEN med < 0 THEN -1 ELSE 1 END AS sign, CASE WHEN swap THEN c ELSE b END AS lateral, CASE WHEN swap THEN b ELSE c END AS vertical FROM p"""
 )
 def axis_detect(spark, sf_dir):
     return a.detect_axes(points(spark, sf_dir), ["f", "lat", "ver"])
