@@ -62,15 +62,15 @@ def stride_sample(rows: DataFrame, keys: list[str], index: str, target: int) ->
 
 
 def seeded_cap(rows: DataFrame, keys: list[str], index: str, cap: int, seed: int) -> DataFrame:
-    """At most `cap` rows of each key, chosen by a hash of the index and the seed."""
-    spot = F.xxhash64(F.col(index), F.lit(seed))
+    """At most `cap` rows of each key, chosen by the MD5 of the index and the seed, `index:seed` as text."""
+    spot = F.md5(F.concat_ws(":", F.col(index).cast("string"), F.lit(str(seed))))
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(spot, index))).where(F.col("_k") <= cap).drop("_k")
 
 
-def union_cells(*masks: DataFrame) -> DataFrame:
-    out = masks[0].select("iu", "iv")
+def union_cells(*masks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    out = masks[0].select(*(keys or []), "iu", "iv")
     for m in masks[1:]:
-        out = out.unionByName(m.select("iu", "iv"))
+        out = out.unionByName(m.select(out.columns))
     return out.distinct()
 
 

@@ -68,8 +68,9 @@ def ascii_map(spark, sf_dir):
     return scaling.ascii_rows(cells, "d_bin", "y_bin", "n", 70)
 
 
-@query(f"WITH {CELLS}, l AS (SELECT DISTINCT iu, iv FROM states WHERE st = 1 AND bag = 0), p AS (SELECT DISTINCT frame_idx FROM states WHERE bag = 1) SELECT count(*) AS cells, (SELECT count(*) FROM p) AS frames FROM l")
+@query(f"WITH {CELLS} SELECT bag, count(DISTINCT iu * 1000 + iv) AS cells, count(DISTINCT frame_idx) AS frames FROM states WHERE st = 1 GROUP BY bag")
 def mask_size(spark, sf_dir):
-    s = states(spark, sf_dir)
-    frames = s.where("bag = 1").agg(F.count_distinct("frame_idx").alias("frames"))
-    return w.dilated(s.where("st = 1 AND bag = 0"), [], 0).agg(F.count("*").alias("cells")).crossJoin(frames)
+    """Cells of each bag's mask and the frames that made it."""
+    lit = states(spark, sf_dir).where("st = 1")
+    masks = w.dilated(lit, ["bag"], 0).groupBy("bag").agg(F.count("*").alias("cells"))
+    return masks.join(lit.groupBy("bag").agg(F.count_distinct("frame_idx").alias("frames")), "bag")

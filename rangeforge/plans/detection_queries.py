@@ -31,10 +31,16 @@ def components8(spark, sf_dir):
     return c.components(states(spark, sf_dir).where("st = 2"), ["bag", "frame_idx"], connectivity=8)
 
 
-@query()
+@query(
+    _components("greatest(abs(r.ru - n.iu), abs(r.rv - n.iv)) = 1", 2).replace("SELECT bag, frame_idx, iu, iv, k.u", ", lab AS (SELECT bag, frame_idx, iu, iv, k.u")
+    + """), e AS (SELECT bag, frame_idx, component, count(*) AS size, avg(iu) AS u, avg(iv) AS v FROM lab GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY bag, frame_idx ORDER BY size DESC, u DESC, v DESC) AS rank FROM e)
+SELECT bag, frame_idx, rank, size, floor(u * 1e4 + 0.500001) / 1e4 AS u, floor(v * 1e4 + 0.500001) / 1e4 AS v FROM o WHERE rank <= 3"""
+)
 def topk_components(spark, sf_dir):
     labelled = c.components(states(spark, sf_dir).where("st = 2"), ["bag", "frame_idx"], connectivity=8, at_least=2)
-    return c.top_components(labelled, ["bag", "frame_idx"], 3)
+    top = c.top_components(labelled, ["bag", "frame_idx"], 3).select("bag", "frame_idx", F.posexplode("clusters").alias("rank", "c"))
+    return top.select("bag", "frame_idx", (F.col("rank") + 1).cast("long").alias("rank"), "c.size", *[(F.floor(F.col(f"c.{x}") * 1e4 + 0.500001) / 1e4).alias(x) for x in ("u", "v")])
 
 
 def _cloud(spark, sf_dir):
@@ -186,13 +192,26 @@ def near_tracker(spark, sf_dir):
     return t.select("bag", "frame_idx", (F.floor(F.col("track_d") * 1e4 + 0.500001) / 1e4).alias("track_d"), (F.floor(F.col("track_theta") * 1e4 + 0.500001) / 1e4).alias("track_theta"), "streak", "reported")
 
 
-@query()
+#: A recording's readings one after another; taken holds those that are accepted and may still count.
+@query(
+    f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT bag, frame_idx AS n, CASE WHEN fam <> 'error' THEN d END AS d FROM signal),
+r AS (SELECT bag, n, d, CASE WHEN d IS NULL THEN [] ELSE [struct_pack(n := n, d := d)] END AS taken FROM s WHERE n = 0
+UNION ALL SELECT s.bag, s.n, s.d, CASE WHEN s.d IS NOT NULL AND (len(near) = 0 OR abs(s.d - near[len(near)].d) <= 150) THEN list_append(near, struct_pack(n := s.n, d := s.d)) ELSE near END
+FROM r JOIN s ON s.bag = r.bag AND s.n = r.n + 1, LATERAL (SELECT list_filter(r.taken, lambda t: t.n >= s.n - 7) AS near))
+SELECT bag, n AS frame_idx, d, list_median(list_transform(list_filter(taken, lambda t: t.n >= r.n - 6), lambda t: t.d)) AS level FROM r"""
+)
 def rail_smoothing(spark, sf_dir):
     e = signal(spark, sf_dir).select("bag", "frame_idx", F.when(F.col("fam") != "error", F.col("d")).alias("d"))
     return folds.rail_levels(e, ["bag"], "frame_idx", "d", gate=150.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PROFILES}, l AS (SELECT vec_id, list(v ORDER BY bin) AS raw FROM profiles GROUP BY vec_id),
+r AS (SELECT vec_id, raw, raw AS v, 0 AS i FROM l
+UNION ALL SELECT vec_id, raw, list_concat(list_concat(v[1:i], [list_median(v[greatest(1, i + 1 - 5):i + 1 + 5])]), v[i + 2:]), i + 1 FROM r WHERE i < len(raw)),
+e AS (SELECT vec_id, raw, v FROM r WHERE i = len(raw))
+SELECT vec_id, unnest(range(len(raw)))::INT AS bin, unnest(raw) AS v, unnest(v) AS smooth FROM e"""
+)
 def recursive_median_11(spark, sf_dir):
     return folds.recursive_median(profiles(spark, sf_dir).select("vec_id", "bin", "v"), ["vec_id"], "bin", "v")
 
@@ -201,16 +220,33 @@ def _boxes(spark, sf_dir):
     return signal(spark, sf_dir).select("bag", "event_id", F.floor(F.col("frame_idx") / 50).alias("grp"), (F.col("d") / 10).alias("x"), (F.col("theta") / 10.0).alias("y"))
 
 
-@query()
+def _fold(keys: str, order: str, near: str, start: str, step: str, out: str) -> str:
+    """SQL that takes the boxes of each group in order, with a list as what is remembered."""
+    on = " AND ".join(f"b.{k} = r.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE {SIGNAL}, x AS (SELECT bag, event_id, frame_idx // 50 AS grp, d / 10 AS x, theta / 10.0 AS y FROM signal),
+b AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM x),
+r AS (SELECT bag, event_id, grp, x, y, k, {start} FROM b WHERE k = 1
+UNION ALL SELECT b.bag, b.event_id, b.grp, b.x, b.y, b.k, {step} FROM r JOIN b ON {on} AND b.k = r.k + 1, LATERAL (SELECT coalesce(list_position(list_transform(r.kept, lambda q: {near}), true), 0) AS pos))
+SELECT bag, event_id, grp, x, y, {out} FROM r"""
+
+
+@query(_fold("bag, grp", "x, event_id", "abs(q.x - b.x) <= 2 AND abs(q.y - b.y) <= 4", "[struct_pack(x := x, y := y)] AS kept, true AS yes", "CASE WHEN pos > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(x := b.x, y := b.y)) END, pos = 0", "yes AS kept"))
 def suppressed_boxes(spark, sf_dir):
     return folds.suppressed(_boxes(spark, sf_dir), ["bag", "grp"], ["x", "event_id"], ["x", "y"], [2.0, 4.0])
 
 
-@query()
+@query(_fold("grp", "bag, event_id", "abs(q.x - b.x) <= 3 AND abs(q.y - b.y) <= 3", "[struct_pack(x := x, y := y)] AS kept, 0::BIGINT AS seed", "CASE WHEN pos > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(x := b.x, y := b.y)) END, CASE WHEN pos > 0 THEN pos - 1 ELSE len(r.kept) END", "seed"))
 def cross_run_groups(spark, sf_dir):
     return folds.anchored_groups(_boxes(spark, sf_dir), ["grp"], ["bag", "event_id"], ["x", "y"], [3.0, 3.0])
 
 
-@query()
+@query(
+    _fold(
+        "bag, grp", "event_id", "abs(q.x - round_even(b.x, 2)) < 4 AND abs(q.y - round_even(b.y, 2)) < 4", "[struct_pack(x := round_even(x, 2), y := round_even(y, 2), n := 1)] AS kept, 0::BIGINT AS object",
+        """CASE WHEN pos = 0 THEN list_append(r.kept, struct_pack(x := round_even(b.x, 2), y := round_even(b.y, 2), n := 1))
+ELSE list_transform(r.kept, lambda q, i: CASE WHEN i = pos THEN struct_pack(x := q.x + (round_even(b.x, 2) - q.x) / (q.n + 1), y := q.y + (round_even(b.y, 2) - q.y) / (q.n + 1), n := q.n + 1) ELSE q END) END, CASE WHEN pos > 0 THEN pos - 1 ELSE len(r.kept) END""",
+        "object",
+    )
+)
 def stable_objects(spark, sf_dir):
     return folds.stable_objects(_boxes(spark, sf_dir), ["bag", "grp"], ["event_id"], ["x", "y"], [4.0, 4.0])

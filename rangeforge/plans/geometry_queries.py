@@ -51,24 +51,23 @@ def pinhole_projection(spark, sf_dir):
     return points(spark, sf_dir).select("bag", "frame_idx", "f", "lat", "ver", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
 
 
-@query(f"WITH {LINE} SELECT event_id, round(a * 640 + b * 360 + c, 6) + 0.0 AS dist, CASE WHEN abs(a) > 1e-12 THEN round(-(b * 360 + c) / a, 4) + 0.0 END AS x_mid, CASE WHEN abs(b) > 1e-12 THEN round(-(a * 640 + c) / b, 4) + 0.0 END AS y_mid FROM lines WHERE theta % 90 <> 0")
+@query(f"WITH {LINE} SELECT event_id, round(a * 640 + b * 360 + c, 6) + 0.0 AS dist, CASE WHEN abs(a) > 1e-12 THEN round(-(b * 360 + c) / a, 4) + 0.0 END AS x_mid, CASE WHEN abs(b) > 1e-12 THEN round(-(a * 640 + c) / b, 4) + 0.0 END AS y_mid FROM lines")
 def line_readings(spark, sf_dir):
     line = F.col("line")
-    return _lines(spark, sf_dir).where("theta % 90 <> 0").select("event_id", r6(g.line_distance(line, 640.0, 360.0), "dist"), (F.round(g.x_at(line, 360.0), 4) + 0.0).alias("x_mid"), (F.round(g.y_at(line, 640.0), 4) + 0.0).alias("y_mid"))
+    return _lines(spark, sf_dir).select("event_id", r6(g.line_distance(line, 640.0, 360.0), "dist"), (F.round(g.x_at(line, 360.0), 4) + 0.0).alias("x_mid"), (F.round(g.y_at(line, 640.0), 4) + 0.0).alias("y_mid"))
 
 
 @query(
     f"""WITH {LINE}, p AS (SELECT bag, frame_idx, event_id, a, b, c, lead(a) OVER w AS a2, lead(b) OVER w AS b2, lead(c) OVER w AS c2 FROM lines WINDOW w AS (PARTITION BY bag ORDER BY frame_idx)),
 q AS (SELECT *, a * b2 - a2 * b AS det FROM p WHERE a2 IS NOT NULL)
-SELECT event_id, CASE WHEN abs(det) > 1e-9 THEN round((b * c2 - b2 * c) / det, 3) + 0.0 END AS x, CASE WHEN abs(det) > 1e-9 THEN round((a2 * c - a * c2) / det, 3) + 0.0 END AS y FROM q WHERE abs(det) > 0.05 OR abs(det) < 1e-12"""
+SELECT event_id, CASE WHEN abs(det) > 1e-9 THEN round((b * c2 - b2 * c) / det, 3) + 0.0 END AS x, CASE WHEN abs(det) > 1e-9 THEN round((a2 * c - a * c2) / det, 3) + 0.0 END AS y FROM q"""
 )
 def line_intersections(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("bag").orderBy("frame_idx")
     pairs = _lines(spark, sf_dir).withColumn("other", F.lead("line").over(order)).where("other IS NOT NULL")
-    det = F.abs(F.col("line.a") * F.col("other.b") - F.col("other.a") * F.col("line.b"))
-    met = pairs.where((det > 0.05) | (det < 1e-12)).withColumn("p", g.cross_lines(F.col("line"), F.col("other")))
+    met = pairs.withColumn("p", g.cross_lines(F.col("line"), F.col("other")))
     return met.select("event_id", (F.round("p.x", 3) + 0.0).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"))
 
 

@@ -133,22 +133,24 @@ def frame_sampling(spark, sf_dir):
     return s.every(signal(spark, sf_dir), "frame_idx", 5).select("event_id")
 
 
-@query()
+@query(f"WITH {SIGNAL}, k AS (SELECT bag, event_id, row_number() OVER (PARTITION BY bag ORDER BY md5(event_id || ':7'), event_id) AS k FROM signal) SELECT bag, event_id FROM k WHERE k <= 50")
 def seeded_cap(spark, sf_dir):
     """A random sample of 50 points of each bag, the same for the same seed. The cap is the operator."""
     return s.seeded_cap(signal(spark, sf_dir), ["bag"], "event_id", 50, 7).select("bag", "event_id")
 
 
-@query(f"WITH {CELLS} SELECT DISTINCT iu, iv FROM (SELECT iu, iv FROM states WHERE bag = 0 AND st = 1 UNION ALL SELECT iu, iv FROM states WHERE bag = 1 AND st = 1)")
+@query(f"WITH {CELLS} SELECT DISTINCT frame_idx, iu, iv FROM states WHERE st = 1")
 def mask_union(spark, sf_dir):
+    """Cells lit in any bag, by frame."""
     lit = states(spark, sf_dir).where("st = 1")
-    return s.union_cells(lit.where("bag = 0"), lit.where("bag = 1"))
+    return s.union_cells(*(lit.where(F.col("bag") == b) for b in range(4)), keys=["frame_idx"])
 
 
-@query(f"WITH {CELLS} SELECT frame_idx, iu, iv FROM states a WHERE bag = 0 AND st = 1 AND NOT EXISTS (SELECT 1 FROM states b WHERE b.bag = 1 AND b.st = 1 AND a.frame_idx = b.frame_idx AND a.iu = b.iu AND a.iv = b.iv)")
+@query(f"WITH {CELLS} SELECT bag, frame_idx, iu, iv FROM states a WHERE st = 1 AND NOT EXISTS (SELECT 1 FROM states b WHERE b.bag = (a.bag + 1) % 4 AND b.st = 1 AND a.frame_idx = b.frame_idx AND a.iu = b.iu AND a.iv = b.iv)")
 def mask_difference(spark, sf_dir):
+    """Lit cells of each bag that the next bag, and the first after the last, has not."""
     lit = states(spark, sf_dir).where("st = 1")
-    return s.cell_difference(lit.where("bag = 0"), lit.where("bag = 1"), ["frame_idx"])
+    return s.cell_difference(lit, lit.withColumn("bag", (F.col("bag") + 3) % 4), ["bag", "frame_idx"])
 
 
 @query(f"WITH {CELLS} SELECT DISTINCT bag, frame_idx, iu + a AS iu, iv + b AS iv FROM states, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) WHERE st = 1")
@@ -156,9 +158,9 @@ def dilate3(spark, sf_dir):
     return w.dilated(states(spark, sf_dir).where("st = 1"), ["bag", "frame_idx"])
 
 
-@query(f"WITH {CELLS} SELECT DISTINCT bag, frame_idx, iu + a AS iu, iv + b AS iv FROM states, range(-4, 5) x(a), range(-4, 5) y(b) WHERE st = 2 AND abs(a) + abs(b) <= 4 AND frame_idx % 4 = 0")
+@query(f"WITH {CELLS} SELECT DISTINCT bag, frame_idx, iu + a AS iu, iv + b AS iv FROM states, range(-4, 5) x(a), range(-4, 5) y(b) WHERE st = 2 AND abs(a) + abs(b) <= 4")
 def dilate_l1(spark, sf_dir):
-    return w.dilated(states(spark, sf_dir).where("st = 2 AND frame_idx % 4 = 0"), ["bag", "frame_idx"], 4, cross=True).select("bag", "frame_idx", F.col("iu").cast("long").alias("iu"), F.col("iv").cast("long").alias("iv"))
+    return w.dilated(states(spark, sf_dir).where("st = 2"), ["bag", "frame_idx"], 4, cross=True).select("bag", "frame_idx", F.col("iu").cast("long").alias("iu"), F.col("iv").cast("long").alias("iv"))
 
 
 @query(f"WITH {CELLS}, c AS (SELECT bag, iu, iv, count(*) AS n FROM cells GROUP BY ALL) SELECT bag, iu + a AS iu, iv + b AS iv, sum(n)::BIGINT AS n FROM c, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) GROUP BY ALL")

@@ -97,11 +97,11 @@ def circular_streak(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SIGNAL}, n AS (SELECT bag, event_id, d, CASE WHEN d - lag(d) OVER (PARTITION BY bag ORDER BY d) > 1.0 THEN 1 ELSE 0 END AS n FROM signal WHERE theta < 90)
+    f"""WITH {SIGNAL}, n AS (SELECT bag, event_id, d, CASE WHEN d - lag(d) OVER (PARTITION BY bag ORDER BY d) > 0.5 THEN 1 ELSE 0 END AS n FROM signal)
 SELECT event_id, sum(n) OVER (PARTITION BY bag ORDER BY d)::BIGINT AS cluster FROM n"""
 )
 def gap_clusters(spark, sf_dir):
-    return w.gap_clusters(signal(spark, sf_dir).where("theta < 90"), ["bag"], "d", 1.0).select("event_id", "cluster")
+    return w.gap_clusters(signal(spark, sf_dir), ["bag"], "d", 0.5).select("event_id", "cluster")
 
 
 @query(
