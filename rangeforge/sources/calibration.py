@@ -63,3 +63,20 @@ def write_nodes(nodes: DataFrame, path: str) -> None:
     arrays = nodes.groupBy("fan").agg(F.first("vertical").alias("vertical"), F.first("direction").alias("direction"), F.sort_array(F.collect_list(F.struct("d", "x0", "m"))).alias("s"))
     maps = arrays.agg(F.map_from_entries(F.collect_list(F.struct("fan", F.struct("vertical", "direction", F.col("s.d").alias("d"), F.col("s.x0").alias("x0"), F.col("s.m").alias("m"))))).alias("maps"))
     maps.select(F.lit(1).alias("version"), "maps").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_centre(centre: DataFrame, path: str) -> None:
+    """One JSON record (cx, cy)."""
+    centre.select("cx", "cy").coalesce(1).write.mode("overwrite").json(path)
+
+
+def centre_of(computed: DataFrame, path: str | None) -> DataFrame:
+    """(cx, cy, source): the centre in a file, where there is one, wins over the computed one."""
+    spark = computed.sparkSession
+    found = spark.createDataFrame([], "cx double, cy double")
+    if path is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            found = spark.read.json(path, schema="cx double, cy double")
+    both = found.select("cx", "cy", F.lit(0).alias("k"), F.lit("file").alias("source")).unionByName(computed.select("cx", "cy", F.lit(1).alias("k"), F.lit("computed").alias("source")))
+    return both.where("cx IS NOT NULL AND cy IS NOT NULL").orderBy("k").limit(1).select("cx", "cy", "source")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..shipping import ship_package
+from .scratch import mounted
 
 #: What the image source gives: rows from the top, pixels from the left, channels blue, green, red.
 PIXEL = "path string, x int, y int, gray short"
@@ -41,6 +49,41 @@ def calibration_set(spark: SparkSession, images: str, distances: str) -> DataFra
 
 
 def watch_frames(spark: SparkSession, path: str, *, files: int = 10) -> DataFrame:
-    """A stream of image files as they come to a folder: (path, modificationTime, length, content)."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).load(path)
+    """A stream of the sparse pixels of images as they come to a folder."""
+    like = spark.read.format("image").load(path).schema
+    return pixels_of(spark.readStream.format("image").schema(like).option("dropInvalid", True).option("maxFilesPerTrigger", files).load(path))
+
+
+def frame_rate(frames: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """(keys, frames, rate): frames a second from the first to the last, the rate that a camera really gave."""
+    out = frames.groupBy(*keys).agg(F.count("*").alias("frames"), F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    seconds = (F.unix_micros(F.col("_b").cast("timestamp")) - F.unix_micros(F.col("_a").cast("timestamp"))) / 1e6
+    return out.select(*keys, "frames", F.when(seconds > 0, (F.col("frames") - 1) / seconds).alias("rate"))
+
+
+def png_bytes(gray: np.ndarray) -> bytes:
+    """A grey image of 8 bits."""
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = gray.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray.astype(np.uint8)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def write_images(pixels: DataFrame, folder: str, width: int, height: int) -> DataFrame:
+    """Writes folder/<name>.png for each name of pixels (name, x, y, gray), dark elsewhere; gives (name, path) when it runs."""
+    ship_package(pixels.sparkSession)
+    root = mounted(folder)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = str(pdf["name"].iloc[0])
+        gray = np.zeros((height, width), np.uint8)
+        np.maximum.at(gray, (pdf["y"].to_numpy(), pdf["x"].to_numpy()), pdf["gray"].to_numpy().astype(np.uint8))
+        path = os.path.join(root, f"{name}.png")
+        with open(f"{path}.{os.getpid()}.part", "wb") as f:
+            f.write(png_bytes(gray))
+        os.replace(f.name, path)
+        return pd.DataFrame({"name": [name], "path": [path]})
+
+    return pixels.groupBy("name").applyInPandas(write, "name string, path string")

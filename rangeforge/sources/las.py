@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -10,7 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.selection import finite, seeded_cap
 from ..shipping import ship_package
+from .scratch import mounted
 
 SCHEMA = "bag string, pt_idx int, x double, y double, z double, intensity int, classification int, source_id int"
 #: Fixed values of the format: header size, and the place and kind of the values in a point record of formats 0 to 3.
@@ -49,8 +52,8 @@ def write_bytes(x, y, z, intensity, ring, frame) -> bytes:
     return bytes(head) + body.tobytes()
 
 
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all LAS files under a path; bag is the file's name."""
+def read_las(spark: SparkSession, path: str, *, cap: int | None = None, seed: int = 0) -> DataFrame:
+    """Finite points of all LAS files under a path; bag is the file's name. cap: so many points of a file at most, chosen by the seed."""
     ship_package(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +64,9 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
                 bag = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 yield pa.RecordBatch.from_arrays([pa.array([bag] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, got.values())], names=["bag", "pt_idx", *got])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path", "content").mapInArrow(decode, SCHEMA)
+    points = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path", "content").mapInArrow(decode, SCHEMA)
+    points = points.where(finite("x") & finite("y") & finite("z"))
+    return points if cap is None else seeded_cap(points, ["bag"], "pt_idx", cap, seed)
 
 
 def las_values(points: DataFrame) -> DataFrame:
@@ -74,3 +79,21 @@ def las_values(points: DataFrame) -> DataFrame:
         return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "frame_idx": [pdf["frame_idx"].iloc[0]], "las": [las]})
 
     return points.groupBy("bag", "frame_idx").applyInPandas(encode, "bag string, frame_idx long, las binary")
+
+
+def write_las(points: DataFrame, folder: str) -> DataFrame:
+    """Writes folder/<bag>_<frame_idx>.las for each frame of points; gives (bag, frame_idx, path) when it runs."""
+    root = mounted(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for bag, frame, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths.append(os.path.join(root, f"{bag}_{frame}.las"))
+                part = f"{paths[-1]}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, paths[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string())], names=["bag", "frame_idx", "path"])
+
+    return las_values(points).mapInArrow(write, "bag string, frame_idx long, path string")

@@ -8,8 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.selection import finite, frames_mostly
 from ..shipping import ship_package
 
 #: Fixed values of the message format: field types by code.
@@ -141,6 +144,32 @@ def decode_frames(frames: DataFrame, *, layout: str = "header") -> DataFrame:
     return frames.select("bag", "frame_idx", "ts_ns", "data").mapInArrow(decode, POINTS)
 
 
+def _plausible(x_max: float, y_max: float, z_max: float) -> Column:
+    return finite("x") & finite("y") & finite("z") & (F.abs("x") < x_max) & (F.abs("y") < y_max) & (F.abs("z") < z_max)
+
+
+def decode_standard(frames: DataFrame, *, x_max: float = 300.0, y_max: float = 300.0, z_max: float = 100.0, share: float = 0.9) -> DataFrame:
+    """decode_frames by the header, but frames under `share` of whose points are finite and within these limits are decoded from the fixed place instead."""
+    keys = ["bag", "frame_idx"]
+    points = decode_frames(frames)
+    good = frames_mostly(points, keys, _plausible(x_max, y_max, z_max), share)
+    rest = frames.join(good.select(*keys).distinct(), keys, "left_anti")
+    return good.unionByName(decode_frames(rest, layout="fixed200"))
+
+
+def encode_frames(points: DataFrame, *, frame_id: str = "sensor") -> DataFrame:
+    """(bag, frame_idx, ts_ns, data): one message for each frame of points (bag, frame_idx, ts_ns, pt_idx, x, y, z, intensity, ring)."""
+    ship_package(points.sparkSession)
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pt_idx")
+        first = pdf.iloc[0]
+        data = encode_cloud({c: pdf[c].to_numpy() for c in ("x", "y", "z", "intensity", "ring")}, frame_id, int(first["ts_ns"]), (*FIELDS_26, ("timestamp", 18, 8)))
+        return pd.DataFrame({"bag": [first["bag"]], "frame_idx": [first["frame_idx"]], "ts_ns": [first["ts_ns"]], "data": [data]})
+
+    return points.groupBy("bag", "frame_idx").applyInPandas(encode, "bag string, frame_idx long, ts_ns long, data binary")
+
+
 def stamp_of(message: bytes) -> int:
     s, ns = struct.unpack_from("<iI", message, 4)
     return s * 10**9 + ns

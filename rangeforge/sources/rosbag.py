@@ -7,11 +7,13 @@ import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..shipping import ship_package
+from .scratch import mounted
 
 SCHEMA = "bag string, topic string, frame_idx long, ts_ns long, data binary"
 BATCH = 16
@@ -57,10 +59,13 @@ def bag_files(path: str) -> list[str]:
 
 @dataclass
 class BagRange(InputPartition):
+    """Messages `first` to `first + count - 1` in the reader's order, which starts behind the message `after` (time, id)."""
+
     path: str
     bag: str
     first: int
     count: int
+    after: tuple[int, int]
 
 
 @dataclass
@@ -82,15 +87,19 @@ class RosbagReader(DataSourceReader):
 
     def partitions(self) -> list[BagRange]:
         out = []
-        for path in bag_files(self.path):
+        for path in bag_files(self.path.removeprefix("file://")):
             if self.names and not any(n in path for n in self.names):
                 continue
             bag = os.path.basename(os.path.dirname(path)) if path != self.path else os.path.splitext(os.path.basename(path))[0]
             with open_bag(path) as db:
-                sniff(db, path)
+                t = sniff(db, path)
+                # One pass over the keys finds where each range starts, so that no range skips through those before it.
+                order = "id" if self.order == "id" else f"{t.ts}, id"
+                keys = db.execute(f"SELECT at, ts, id FROM (SELECT row_number() OVER (ORDER BY {order}) AS at, {t.ts} AS ts, id FROM messages) WHERE at % ? = 0 ORDER BY at", (self.per_partition,)).fetchall()
                 n = db.execute("SELECT count(*) FROM messages").fetchone()[0]
-            out += [BagRange(path, bag, k, min(self.per_partition, n - k)) for k in range(0, n, self.per_partition)]
-        return out or [BagRange("", "", 0, 0)]
+            starts = [(0, (-(1 << 63), -(1 << 63))), *((at, (ts, number)) for at, ts, number in keys if at < n)]
+            out += [BagRange(path, bag, at, min(self.per_partition, n - at), after) for at, after in starts if at < n]
+        return out or [BagRange("", "", 0, 0, (0, 0))]
 
     def read(self, part: BagRange) -> Iterator[pa.RecordBatch]:
         if not part.path:
@@ -102,8 +111,10 @@ class RosbagReader(DataSourceReader):
             join = "LEFT JOIN topics t ON t.id = m.topic_id" if t.topics else ""
             column = {"topic": "topic", "ts_ns": "ts_ns"}
             where = " AND ".join(f"{column[c]} {sign} ?" for c, sign, _ in self.tests) or "1"
-            sql = f"SELECT * FROM (SELECT {name} AS topic, i + ? AS frame_idx, m.{t.ts} AS ts_ns, m.{t.data} AS data FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM (SELECT * FROM messages ORDER BY {order} LIMIT ? OFFSET ?)) m {join} ORDER BY i) WHERE {where}"
-            rows = db.execute(sql, (part.first, part.count, part.first, *(v for _, _, v in self.tests)))
+            behind = "id > ?" if self.order == "id" else f"({t.ts}, id) > (?, ?)"
+            sql = f"SELECT * FROM (SELECT {name} AS topic, i + ? AS frame_idx, m.{t.ts} AS ts_ns, m.{t.data} AS data FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM (SELECT * FROM messages WHERE {behind} ORDER BY {order} LIMIT ?)) m {join} ORDER BY i) WHERE {where}"
+            after = part.after[1:] if self.order == "id" else part.after
+            rows = db.execute(sql, (part.first, *after, part.count, *(v for _, _, v in self.tests)))
             while found := rows.fetchmany(BATCH):
                 topic, index, ts, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
@@ -130,3 +141,34 @@ def register(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RosbagSource)
+
+
+def write_bags(messages: DataFrame, folder: str) -> DataFrame:
+    """Writes messages (bag, topic, frame_idx, ts_ns, data) as folder/<bag>/<bag>.db3, in the order of frame_idx; gives (bag, path, messages) when it runs.
+
+    One recording is one file, so it is one task; a file is put in place whole,
+    so a task that runs again does no harm.
+    """
+    ship_package(messages.sparkSession)
+    root = mounted(folder)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        bag = str(pdf["bag"].iloc[0])
+        os.makedirs(os.path.join(root, bag), exist_ok=True)
+        path = os.path.join(root, bag, f"{bag}.db3")
+        part = f"{path}.{os.getpid()}.part"
+        if os.path.exists(part):
+            os.remove(part)
+        names = sorted(pdf["topic"].unique())
+        db = sqlite3.connect(part)
+        db.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT)")
+        db.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
+        db.executemany("INSERT INTO topics VALUES (?, ?)", list(enumerate(names, 1)))
+        rows = pdf.sort_values("frame_idx")
+        db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(k, names.index(t) + 1, int(ts), bytes(d)) for k, (t, ts, d) in enumerate(zip(rows["topic"], rows["ts_ns"], rows["data"], strict=True), 1)])
+        db.commit()
+        db.close()
+        os.replace(part, path)
+        return pd.DataFrame({"bag": [bag], "path": [path], "messages": [len(rows)]})
+
+    return messages.select("bag", "topic", "frame_idx", "ts_ns", "data").groupBy("bag").applyInPandas(write, "bag string, path string, messages long")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-import subprocess
+import tarfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import mounted
+
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV files of several runs with `scenario`, the name of the folder each lies in."""
@@ -39,12 +41,33 @@ def load_mask(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def unpack_archive(path: str, folder: str) -> str:
-    """The first bag of a zstd-compressed tar archive, unpacked into a folder. The file must lie on the driver's machine."""
-    subprocess.run(["tar", "--zstd", "-xf", os.path.realpath(path), "-C", folder], check=True)
-    found = sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".db3"))
-    if not found:
-        raise ValueError(f"{path} holds no bag")
-    return found[0]
+    """The first bag of a zstd-compressed tar archive (links are followed), streamed into a mounted folder."""
+    import zstandard
+
+    root = mounted(folder)
+    with open(os.path.realpath(path), "rb") as raw, zstandard.ZstdDecompressor().stream_reader(raw) as plain, tarfile.open(fileobj=plain, mode="r|") as tar:
+        for member in tar:
+            if member.isfile() and member.name.endswith(".db3"):
+                if not member.size:
+                    raise ValueError(f"{path}: {member.name} is empty")
+                out = os.path.join(root, os.path.basename(member.name))
+                with open(f"{out}.part", "wb") as f:
+                    held = tar.extractfile(member)
+                    while piece := held.read(1 << 20):
+                        f.write(piece)
+                os.replace(f"{out}.part", out)
+                return out
+    raise ValueError(f"{path} holds no bag")
+
+
+def pack_archive(paths: list[str], out: str) -> str:
+    """A zstd-compressed tar archive of files."""
+    import zstandard
+
+    with open(out, "wb") as raw, zstandard.ZstdCompressor().stream_writer(raw) as packed, tarfile.open(fileobj=packed, mode="w|") as tar:
+        for path in paths:
+            tar.add(path, os.path.basename(path))
+    return out
 
 
 def load_any(spark: SparkSession, path: str) -> DataFrame:
