@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import os
 import tempfile
@@ -37,6 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes for no column of df to have it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def joined_by_hot_keys(rows: DataFrame, named: DataFrame, key: str, copies: str, *, hot: int = 1000) -> DataFrame:
+    """rows joined with named (one row a key, `copies` of which are in rows) on key.
+
+    A key with over one in `hot` of all rows is hot: there are fewer than `hot`
+    of those, so they are broadcast and their rows stay where they are; all
+    other keys are dealt by an exchange.
+    """
+    total = named.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    often = F.broadcast(named.where(F.col(copies) * hot > total))
+    seldom = rows.join(often.select(key), key, "left_anti").join(named.where(F.col(copies) * hot <= total), key)
+    return rows.join(often, key).unionByName(seldom)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -61,10 +82,27 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Before Python stages: ships the package, and sets Arrow batches of few rows, so that very long texts don't meet in one large batch."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Before Python stages: ships the package, and bounds Arrow batches by rows and bytes, so that very long texts don't meet in one large batch.
+
+    The options stay set in the session, as plans read them when they run.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def trimmed(step):
+    """A mapInArrow function that gives Arrow's unused memory back to the machine when a task ends, as its worker goes on to other work."""
+
+    @functools.wraps(step)
+    def run(batches):
+        import pyarrow
+
+        yield from step(batches)
+        pyarrow.default_memory_pool().release_unused()
+
+    return run
 
 
 @contextlib.contextmanager

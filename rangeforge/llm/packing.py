@@ -6,122 +6,120 @@ length is a power of two; pieces of one length form a bucket, and a bucket's
 sequences are dealt into batches of equal token count, so a training step reads
 one length only. The whole operator is one narrow pass over the documents:
 nothing is shuffled and no group is collected.
+
+Texts are cut into words, dictionary-encoded and put together again by Arrow, so
+that Python sees each distinct run of letters of a batch once.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_collection, public_tokenizer, small_batches, table
+from .common import no_collection, public_tokenizer, small_batches, table, trimmed
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: What a worker remembers: blank-separated words, and the letters and marks they are made of. Each is emptied when full.
-REMEMBERED, PARTS = 400_000, 600_000
-LONGEST_WORD = 80
+#: Runs of letters or marks that a worker remembers, emptied when full; longer ones are not remembered.
+PARTS, LONGEST_WORD = 400_000, 80
+#: Documents of a batch: the more, the fewer distinct words are met again.
+ROWS = 1000
 #: Latin letters, then marks: the vocabulary's rules cut between the two, and lower-casing maps these letters one to one.
-LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
-
-#: Control characters that str.split takes for space and the vocabulary's rules don't.
-NOT_SPACE = re.compile("[\x1c-\x1f]").search
+LETTERS_THEN_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?*$%&#|]*)$"
 
 
-def piece_lengths(n: int, longest: int) -> list[int]:
-    """Full sequences, then the binary digits of the rest, largest first."""
-    full, rest = divmod(n, longest)
-    return [longest] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of every piece: full sequences, then the binary digits of the rest, largest first."""
+    full, rest = np.divmod(sizes, longest)
+    digits = np.arange(longest.bit_length() - 2, -1, -1)
+    doc, place = np.nonzero(rest[:, None] >> digits & 1)
+    docs = np.concatenate([np.repeat(np.arange(len(sizes)), full), doc])
+    order = np.argsort(docs, kind="stable")
+    return docs[order], np.concatenate([np.full(full.sum(), longest), np.int64(1) << digits[place]])[order]
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct blank-separated word encoded once by the tokenizers library.
+    """Ids of whole texts, each distinct word of a batch encoded once by the tokenizers library, as it does by default.
 
     The vocabulary's rules never look across white space: it is dropped, and
-    normalisation and merges stay within the words beside it.
+    normalisation and merges stay within the words beside it. Texts are cut at
+    blanks and line feeds; other white space stays within a word, for the
+    library to drop.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # For runs of lower-case letters or of marks, which normalisation and the splitting rules leave as they are: the same merges without those.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds the ids of words that aren't known; letters and the marks behind them are looked up apart."""
-        known, done, match, made, whole, odd = self.known, self.parts, LETTERS_THEN_MARKS.fullmatch, [], set(), []
+    def _parts(self, wanted: pa.Array) -> pa.Array:
+        """Ids of runs of lower-case letters, or of marks: each is one word to the merges."""
+        done = self.parts
         if len(done) > PARTS:
             done.clear()
             done[""] = b""
-        for word in words:
-            m = match(word)
-            if m:
-                letters, marks = m[1].lower(), m[2]
-                made.append((word, letters, marks))
-                if letters not in done:
-                    whole.add(letters)
-                if marks not in done:
-                    whole.add(marks)
-            else:
-                odd.append(word)
-        if whole:
-            # Each of these is one word to the merges, whose last token says so: one long text gives the ids of all.
-            new = list(whole)
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        words = wanted.to_pylist()
+        found = list(map(done.get, words))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            # The last token of a word says so: one long text gives the ids of all.
+            ids = np.array(self.merges.encode_batch_fast([" ".join([words[k] for k in gaps])], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             raw = ids.tobytes()
-            for x, lo, hi in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                done[x] = raw[lo:hi]
-        for word, letters, marks in made:
-            known[word] = done[letters] + done[marks] if marks else done[letters]
-        for x in whole:
-            if len(x) > LONGEST_WORD:
-                del done[x]
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            ids = e.ids
-            known[x] = pack("<%dI" % len(ids), *ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        known, new, gaps = self.known, set(), []
-        split = [text.replace("\n", " ").split(" ") if NOT_SPACE(text) else text.split() for text in texts]
-        found = [list(map(known.get, words)) for words in split]
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                at, gap = -1, []
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    gap.append(at)
-                    new.add(words[at])
-                gaps.append((words, ids, gap))
-        if new:
-            self._learn(new)
-            for words, ids, gap in gaps:
-                for at in gap:
-                    ids[at] = known[words[at]]
-        out = list(map(b"".join, found))
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        else:
-            for word in new:
-                if len(word) > LONGEST_WORD:
-                    del known[word]
-        return out
+            for k, lo, hi in zip(gaps, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                found[k] = raw[lo:hi]
+                if len(words[k]) <= LONGEST_WORD:
+                    done[words[k]] = raw[lo:hi]
+        return pa.array(found, pa.binary())
+
+    def _odd(self, words: list[str]) -> pa.Array:
+        """Ids of any other words, each by the library."""
+        return pa.array([pack("<%dI" % len(e.ids), *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)], pa.binary())
+
+    def _words(self, words: pa.StringArray) -> pa.Array:
+        """Ids of distinct words."""
+        match = pc.extract_regex(words, LETTERS_THEN_MARKS)
+        plain = match.is_valid()
+        letters = pc.utf8_lower(match.field(0).filter(plain)).dictionary_encode()
+        marks = match.field(1).filter(plain).dictionary_encode()
+        parts = [self._parts(x.dictionary).take(x.indices) for x in (letters, marks)]
+        odd = self._odd(words.filter(pc.invert(plain)).to_pylist())
+        both = pa.concat_arrays([pc.binary_join_element_wise(*parts, b""), odd])
+        rank = np.empty(len(words), np.int64)
+        which = plain.to_numpy(zero_copy_only=False)
+        rank[which], rank[~which] = np.arange(which.sum()), np.arange(which.sum(), len(words))
+        return both.take(pa.array(rank))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, the end id behind each, and where each text's ids begin, with the end of all."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        words, ends = lists.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        known = pa.concat_arrays([self._words(words.dictionary), pa.array([pack("<I", end_id)], pa.binary())])
+        # The end id is one more word behind each text.
+        codes = np.insert(words.indices.to_numpy(), ends, len(known) - 1)
+        raw = known.take(pa.array(codes))
+        offsets = np.frombuffer(raw.buffers()[1], np.int32, len(codes) + 1)
+        return np.frombuffer(raw.buffers()[2], "<u4", int(offsets[-1]) // 4), offsets[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])].astype(np.int64) // 4
 
 
 @lru_cache(maxsize=1)
@@ -142,29 +140,30 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, end_id
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer_path or public_tokenizer(VOCABULARY)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    end = end_id.to_bytes(4, "little")
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = worker_encoder(path), TaskContext.get().partitionId() << 33
-        made, in_bucket = 0, [0] * longest.bit_length()
+        made, in_bucket = 0, np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(9)]
+            if not batch.num_rows:
+                continue
             with no_collection():
-                encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids, at = ids + end, 0
-                n = len(ids) // 4
-                for k in piece_lengths(n, longest):
-                    bucket = k.bit_length() - 1
-                    full = in_bucket[bucket] // max(1, batch_tokens // k)
-                    for column, value in zip(rows, (doc_id, at, k, ids[4 * at : 4 * (at + k)], n, task + made, 0, bucket, task | bucket << 28 | full), strict=True):
-                        column.append(value)
-                    at, made = at + k, made + 1
-                    in_bucket[bucket] += 1
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=NAMES)
+                ids, bounds = encoder.encode(batch.column(1), end_id)
+            doc, lengths = pieces(np.diff(bounds), longest)
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            bucket = np.log2(lengths).astype(np.int64)
+            full = np.empty(len(doc), np.int64)
+            for k in np.unique(bucket).tolist():
+                own = np.flatnonzero(bucket == k)
+                full[own] = (in_bucket[k] + np.arange(len(own))) // max(1, batch_tokens >> k)
+                in_bucket[k] += len(own)
+            token_ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((4 * starts).astype(np.int32)), pa.py_buffer(ids)])
+            columns = [starts[:-1] - bounds[doc], lengths, token_ids, np.diff(bounds)[doc], task + made + np.arange(len(doc)), np.zeros(len(doc), np.int64), bucket.astype(np.int32), task | bucket << 28 | full]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(c if c is token_ids else pa.array(c) for c in columns)], names=NAMES)
+            made += len(doc)
 
     schema = f"doc_id {id_type}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, bucket int, batch_id long"
     return docs.select("doc_id", "text").mapInArrow(cut, schema)

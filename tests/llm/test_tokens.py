@@ -7,12 +7,15 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rangeforge.llm.byte_bpe import Decoder, decode_documents, encode_documents, load_ranks, op3_byte_bpe, worker_encoder
-from rangeforge.llm.packing import op2_packing, pack_documents, piece_lengths
+from rangeforge.llm.packing import END_ID, VOCABULARY, op2_packing, pack_documents, pieces
+from rangeforge.llm.packing import worker_encoder as word_encoder
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "  ", "áb  ́", "ÀÉ <|endoftext|> x", "日本語 😀👍🏽", "x" * 5000, "don't I'll  \n\n we've\t\r\n  ", "word " * 3000, "aaaaaaaaaaaaaaaa bbbbb"]
@@ -28,7 +31,6 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -38,10 +40,23 @@ def reference_bpe():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
 
 
+def piece_lengths(n, longest):
+    rest = n % longest
+    return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+
+
 def test_piece_lengths():
-    assert piece_lengths(1, 2048) == [1]
-    assert piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
-    assert all(sum(piece_lengths(n, 16)) == n for n in range(1, 100))
+    assert piece_lengths(1, 2048) == [1] and piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
+    for longest in (1, 2, 16, 64):
+        doc, length = pieces(np.arange(1, 200), longest)
+        assert [(d, k) for d, k in zip(doc.tolist(), length.tolist(), strict=True)] == [(n - 1, k) for n in range(1, 200) for k in piece_lengths(n, longest)]
+
+
+@given(st.lists(st.text(st.sampled_from("aAÀéß日9 \t\n\x1c\xa0\u0301.,!?*|<>'-") | st.characters(exclude_categories=["Cs"])) | st.sampled_from([None, "<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "it's I'M"]), min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_words_together_equal_the_library(texts):
+    ids, bounds = word_encoder(public_tokenizers.path(VOCABULARY)).encode(pa.array(texts, pa.string()), END_ID)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole_ids(texts)
 
 
 def test_packing_covers_every_id_once(spark, odd):
