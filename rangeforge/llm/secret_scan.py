@@ -5,9 +5,12 @@ characters as they are, the others by class) and put into a prefix tree with
 counts. Two states whose continuations could come from one distribution (the
 Hoeffding test, in each symbol and the end, and so on below) are merged, which
 turns the tree into a probabilistic automaton with loops. A second automaton is
-inferred from words that are no credentials. Every candidate of a text, and what
-base spans leave of one, is scored by the log-likelihood ratio of the two, a
-symbol; those over the threshold are spans of kind "format".
+inferred from words that are no credentials. Every candidate of a text (a run of
+the characters that credentials are made of, of any length), and what base spans
+leave of one, is scored by the log-likelihood ratio of the two: those that pass
+the bar both a symbol and in all, as credentials are rare, are spans of kind
+"format". A batch's distinct candidates are scored together, walking both
+automata one symbol at a time over all of them.
 """
 
 from __future__ import annotations
@@ -19,33 +22,37 @@ import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, trimmed
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CUES = ("passw", "secret", "token", "key")
-LEAST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+#: Characters of credentials; a candidate is a run of them without the marks in TAIL at its end.
+CHARACTERS = string.ascii_letters + string.digits + "+/_.=-"
+TAIL = ".-="
+CANDIDATE = re.compile("[A-Za-z0-9+/_.=-]+")
 FREE = re.compile(b"\0+")
-#: Symbols that stay as they are at the start of a credential; a bound on what is inferred from; the bar for a span.
-HEAD, SAMPLES, SEED, ALPHA, BAR = 4, 300, 7, 0.05, 0.5
+#: Symbols that stay as they are at the start of a credential; a bound on what is inferred from; the bar for a span, a symbol and in all.
+HEAD, SAMPLES, SEED, ALPHA, BAR, EVIDENCE = 4, 1320, 7, 0.05, 0.5, 8.0
+#: Candidates over this length are scored one by one.
+LONG = 512
 
 
-def symbols(text: str) -> list[str]:
-    """The first characters as they are, then classes: a for letters of hexadecimal digits, z for other small letters, Z for capitals, 0 for digits."""
-    out = []
-    for i, c in enumerate(text):
-        if i < HEAD:
-            out.append(c)
-        else:
-            out.append("0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower() else "Z" if c.isupper() else c)
-    return out
+def symbols(text: str, head: int = HEAD) -> list[str]:
+    """The first `head` characters as they are, then classes: a for letters of hexadecimal digits, z for other small letters, Z for capitals, 0 for digits."""
+    return [*text[:head], *("0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower() else "Z" if c.isupper() else c for c in text[head:])]
+
+
+#: Characters of a class.
+SIZES = {"0": 10, "a": 6, "z": 20, "Z": 26}
 
 
 def labelled_credentials(samples: int = SAMPLES, seed: int = SEED) -> tuple[list[str], list[str]]:
@@ -62,15 +69,21 @@ def labelled_credentials(samples: int = SAMPLES, seed: int = SEED) -> tuple[list
         lambda: f"eyJ{pick(alnum, 33)}.eyJ{pick(alnum, rng.randint(30, 60))}.{pick(alnum + '_-', 43)}",
         lambda: "glpat-" + pick(alnum, 20),
         lambda: pick("0123456789abcdef", rng.choice((32, 40, 64))),
+        lambda: pick("0123456789ABCDEF", rng.choice((32, 40, 64))),
         lambda: pick(b64, 40),
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
     ]
     credentials = [make() for make in formats for _ in range(samples // len(formats))]
     syllables = "an er on in re the ti st en ou ed ing tion and ha le es ra co de lich keit ung ment eau".split()
     def word() -> str:
-        w = "".join(rng.choice(syllables) for _ in range(rng.randint(5, 9)))
-        return rng.choice((w, w, w.title(), w.upper(), w[:8] + "-" + w[8:], w + "." + w[:3], "www." + w + ".com/" + pick(string.digits, 5), w[:6] + "/" + w[6:], pick(string.digits, 16), "20" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 8)))
-    return credentials, [word() for _ in range(samples)]
+        w, v = ("".join(rng.choice(syllables) for _ in range(n)) for n in (rng.randint(1, 9), rng.randint(1, 4)))
+        digits = lambda n: pick(string.digits, n)
+        return rng.choice((
+            w, w, w.title(), w.upper(), w[:2].upper() + w[2:], w + v.title(), f"{w}-{v}", f"{w}_{v}", f"{w}.{v}", f"{w}/{v}", f"www.{w}.com/{digits(5)}", f"{v}{digits(rng.randint(0, 2))}.{w}.{rng.choice(('com', 'org', 'net'))}", f"{v}{digits(rng.randint(1, 4))}",
+            digits(rng.randint(1, 16)), f"20{digits(2)}-{digits(2)}-{digits(rng.choice((2, 8)))}", f"+{digits(2)}-{digits(3)}-{digits(7)}", f"{digits(1)}.{digits(2)}.{digits(1)}",
+        ))
+
+    return credentials, [word() for _ in range(2 * samples)]
 
 
 @dataclass
@@ -82,14 +95,18 @@ class Node:
 
 
 class Automaton:
-    """A probabilistic automaton, merged from the prefix tree of samples in canonical order (red and blue states)."""
+    """A probabilistic automaton, merged from the prefix tree of samples in canonical order (red and blue states).
+
+    One with head 0 knows classes only: each of the first HEAD characters of a
+    text then has an equal share of its class, so that likelihoods compare.
+    """
 
-    def __init__(self, samples: Iterable[str], alpha: float = ALPHA):
-        self.alpha = alpha
+    def __init__(self, samples: Iterable[str], alpha: float = ALPHA, head: int = HEAD):
+        self.alpha, self.head = alpha, head
         self.nodes = [Node()]
         for text in samples:
             at = 0
-            for s in symbols(text):
+            for s in symbols(text, head):
                 node = self.nodes[at]
                 node.passed += 1
                 node.counts[s] = node.counts.get(s, 0) + 1
@@ -148,13 +165,32 @@ class Automaton:
                 self._fold(same, to)
         self.states = red
 
-    def score(self, marks: list[str]) -> float:
-        """Log-likelihood a symbol. A symbol that a state hasn't seen costs its escape, and the walk goes on from the same state."""
+    def total(self, text: str) -> float:
+        """Log-likelihood. A symbol that a state hasn't seen costs its escape, and the walk goes on from the same state."""
         at, total = 0, 0.0
-        for s in marks:
+        for k, s in enumerate(symbols(text, self.head)):
             total += self.cost[at].get(s, self.missing[at])
+            if self.head <= k < HEAD:
+                total -= math.log(SIZES.get(s, 1))
             at = self.nodes[at].arcs.get(s, at)
-        return total / max(1, len(marks))
+        return total
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, cost) by state and place of the symbol in CHARACTERS; states are numbered from 0, the start."""
+        number = {x: k for k, x in enumerate(self.states)}
+        onward = np.repeat(np.arange(len(self.states))[:, None], len(CHARACTERS), axis=1)
+        cost = np.repeat(np.array([self.missing[x] for x in self.states])[:, None], len(CHARACTERS), axis=1)
+        for x, k in number.items():
+            for s, c in self.cost[x].items():
+                cost[k, CHARACTERS.index(s)] = c
+                onward[k, CHARACTERS.index(s)] = number[self.nodes[x].arcs[s]]
+        return onward, cost
+
+
+_PLACE = np.zeros(256, np.int64)
+_PLACE[list(CHARACTERS.encode())] = np.arange(len(CHARACTERS))
+_CLASS = np.array([CHARACTERS.index(symbols(c, 0)[0]) for c in CHARACTERS])
+_SHARE = np.array([math.log(SIZES.get(c, 1)) for c in CHARACTERS])
 
 
 @dataclass(frozen=True)
@@ -162,44 +198,98 @@ class Formats:
     credential: Automaton
     other: Automaton
     bar: float = BAR
+    evidence: float = EVIDENCE
+
+    def totals(self, words: pa.Array) -> np.ndarray:
+        """Log-likelihood ratios of words of CHARACTERS, all walked together."""
+        walks = [(automaton, automaton.tables()) for automaton in (self.credential, self.other)]
+        words = words.cast(pa.binary())
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        begin = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1 + words.offset)[words.offset : -1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+        out = np.zeros(len(words))
+        order = np.argsort(-size, kind="stable")
+        order = order[np.searchsorted(-size[order], -LONG) :]
+        ends = np.searchsorted(-size[order], -np.arange(int(size[order[0]]) if len(order) else 0))
+        at, total = [np.zeros(len(order), np.int64) for _ in walks], [np.zeros(len(order)) for _ in walks]
+        for k, n in enumerate(ends.tolist()):
+            place = _PLACE[data[begin[order[:n]] + k]]
+            for j, (automaton, (onward, cost)) in enumerate(walks):
+                mark = place if k < automaton.head else _CLASS[place]
+                total[j][:n] += cost[at[j][:n], mark]
+                if automaton.head <= k < HEAD:
+                    total[j][:n] -= _SHARE[mark]
+                at[j][:n] = onward[at[j][:n], mark]
+        out[order] = total[0] - total[1]
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = self.total(words[k].as_py().decode())
+        return out
+
+    def total(self, text: str) -> float:
+        return self.credential.total(text) - self.other.total(text)
 
     def score(self, text: str) -> float:
-        marks = symbols(text)
-        return self.credential.score(marks) - self.other.score(marks)
+        """The ratio a symbol; 0 if it lacks evidence in all."""
+        total = self.total(text)
+        return total / len(text) if total > self.evidence else 0.0
+
+    def passing(self, texts: pa.Array) -> dict[str, float]:
+        """The candidates of texts that pass, with their scores."""
+        runs = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), "[^A-Za-z0-9+/_.=-]+", " "), " ").flatten().unique()
+        words = pc.utf8_rtrim(runs, TAIL).unique()
+        words = words.filter(pc.match_substring_regex(words, "[A-Za-z0-9]"))
+        if not len(words):
+            return {}
+        total = self.totals(words)
+        score = total / pc.binary_length(words).to_numpy()
+        good = np.flatnonzero((total > self.evidence) & (score > self.bar))
+        return dict(zip(words.take(pa.array(good)).to_pylist(), score[good].tolist(), strict=True))
 
 
 def infer_formats(credentials: list[str] | None = None, others: list[str] | None = None) -> Formats:
     made = labelled_credentials()
-    return Formats(Automaton(credentials or made[0]), Automaton(others or made[1]))
+    return Formats(Automaton(credentials or made[0]), Automaton(others or made[1], head=0))
 
 
-def find_secrets(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) by start, then kind. Base spans have score 1; format spans touch no base span."""
+def find_secrets(text: str, formats: Formats, passing: dict[str, float] | None = None) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) by start, then kind. Base spans have score 1; format spans touch no base span. passing: as formats.passing gives it for texts with this one."""
+    if passing is None:
+        passing = formats.passing(pa.array([text]))
     spans, small = [], text.lower()
     if any(cue in small for cue in CUES):
         spans += [("assign", m.start(), m.end(), 1.0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     if "AKIA" in text:
         spans += [("access", m.start(), m.end(), 1.0) for m in ACCESS.finditer(text)]
     base = spans + [("hex", m.start(), m.end(), 1.0) for m in HEX.finditer(text)]
-    taken = bytearray(len(text)) if base else b""
+    if not base and not any(word in text for word in passing):
+        return []
+    taken = bytearray(len(text))
     for _, a, b, _ in base:
         taken[a:b] = b"\1" * (b - a)
     more = []
     for m in CANDIDATE.finditer(text):
-        for a, b in [f.span() for f in FREE.finditer(taken, m.start(), m.end())] if base else [m.span()]:
-            words = [(a, text[a:b].rstrip(".-="))]
-            if b - a < m.end() - m.start():
-                # Beside a base span a mark parts two credentials; where that gives none, it may belong to one.
-                inner = text[a:b].lstrip("+/_.=-")
-                words.insert(0, (b - len(inner), inner.rstrip("+/_.=-")))
-            for start, word in words:
+        for a, b in [f.span() for f in FREE.finditer(taken, m.start(), m.end())]:
+            if b - a == m.end() - m.start():
+                word = text[a:b].rstrip(TAIL)
+                if word in passing:
+                    more.append(("format", a, a + len(word), passing[word]))
+                continue
+            # Beside a base span a mark parts two credentials; where that gives none, it may belong to one.
+            inner = text[a:b].lstrip("+/_.=-")
+            for start, word in ((b - len(inner), inner.rstrip("+/_.=-")), (a, text[a:b].rstrip(TAIL))):
                 # Lines of marks alone hold nothing to score.
-                if len(word) >= LEAST and any(c.isalnum() for c in word) and (score := formats.score(word)) > formats.bar:
+                if any(c.isalnum() for c in word) and (score := formats.score(word)) > formats.bar:
                     more.append(("format", start, start + len(word), score))
                     break
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def secrets_of(texts: pa.Array, formats: Formats) -> list[list[tuple[str, int, int, float]]]:
+    """find_secrets of each text; null and empty texts have none."""
+    passing = formats.passing(texts)
+    return [find_secrets(t, formats, passing) if t else [] for t in texts.to_pylist()]
+
+
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -213,9 +303,10 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     formats = formats or infer_formats()
     small_batches(docs.sparkSession)
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find_secrets(t, formats)] if t else [] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans] for spans in secrets_of(batch.column(1), formats)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW)], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
@@ -243,10 +334,11 @@ def redact_secrets(docs: DataFrame, formats: Formats | None = None, *, mark: str
     at = docs.columns.index("text")
     counts = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @trimmed
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column(at).to_pylist()
-            new = [redact(t, spans, mark) if t and (spans := find_secrets(t, formats)) else t for t in old]
+            new = [redact(t, spans, mark) if spans else t for t, spans in zip(old, secrets_of(batch.column(at), formats), strict=True)]
             columns = batch.columns
             columns[at] = pa.array(new, batch.schema.field(at).type)
             if counts is not None:

@@ -1,7 +1,12 @@
 """Secret scans against a plain reading of the base patterns, and the inferred formats on credentials not seen."""
 
 import hashlib
+import math
+import random
 import re
+import string
+
+import pyarrow as pa
 
 from rangeforge.llm.secret_scan import find_secrets, infer_formats, labelled_credentials, op8_secret_scan, redact_secrets, scan_secrets
 
@@ -49,6 +54,64 @@ def test_inferred_formats():
     assert [s[0] for s in find_secrets(text, formats)] == ["format"]
 
 
+def plain_ratio(word, formats):
+    """Walks both automata by their nodes."""
+    totals = []
+    for automaton in (formats.credential, formats.other):
+        at, total = 0, 0.0
+        for k, c in enumerate(word):
+            kind = "0" if c in string.digits else "a" if c in "abcdef" else "z" if c in string.ascii_lowercase else "Z" if c in string.ascii_uppercase else c
+            s, node = c if k < automaton.head else kind, automaton.nodes[at]
+            total += math.log((node.counts.get(s, 0) + 0.5) / (node.passed + 0.5 * (automaton.alphabet + 1)))
+            if automaton.head <= k < 4:
+                total -= math.log({"0": 10, "a": 6, "z": 20, "Z": 26}.get(kind, 1))
+            at = node.arcs.get(s, at)
+        totals.append(total)
+    return totals[0] - totals[1]
+
+
+def test_format_spans_against_plain_scores(spark):
+    """All runs of all texts, of any length, scored one by one."""
+    formats, rng = infer_formats(), random.Random(2)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    pick = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts += [f"see {pick(n)}. and ({pick(40)}), é{pick(30)}ß {'z' * 700} {pick(600)}" for n in range(1, 40)]
+    found = 0
+    for text in texts:
+        spans = find_secrets(text, formats)
+        base = [s for s in spans if s[0] != "format"]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            word = m[0].rstrip(".-=")
+            if any(a < m.end() and m.start() < b for _, a, b, _ in base) or not re.search("[A-Za-z0-9]", word):
+                continue
+            ratio = plain_ratio(word, formats)
+            if ratio > formats.evidence and ratio / len(word) > formats.bar:
+                want.append((m.start(), m.start() + len(word)))
+        got = [s[1:3] for s in spans if s[0] == "format"]
+        assert [g for g in got if not any(a <= g[1] and g[0] <= b for _, a, b, _ in base)] == [x for x in want if not any(a <= x[1] and x[0] <= b for _, a, b, _ in base)]
+        found += len(want)
+    assert found > 60
+
+
+def test_scores_together_equal_scores_alone():
+    formats, rng = infer_formats(), random.Random(5)
+    words = ["".join(rng.choice(string.ascii_letters + string.digits + "+/_.=-") for _ in range(rng.choice((1, 2, 3, 4, 5, 17, 40, 511, 512, 513)))) for _ in range(300)]
+    for k, total in enumerate(formats.totals(pa.array(words)).tolist()):
+        assert math.isclose(total, plain_ratio(words[k], formats), abs_tol=1e-6)
+    assert len(formats.totals(pa.array([], pa.string()))) == 0
+
+
+def test_formats_not_learned_from():
+    """Recall on public formats that the labelled ones don't hold, and no span in plain prose of the documents."""
+    formats, rng = infer_formats(), random.Random(3)
+    alnum = string.ascii_letters + string.digits
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    held = [lambda: "npm_" + pick(alnum, 36), lambda: "pk_live_" + pick(alnum, 24), lambda: "SG." + pick(alnum, 22) + "." + pick(alnum, 43), lambda: "pypi-" + pick(alnum + "_-", 60), lambda: pick(alnum + "+/", 86) + "==", lambda: "hf_" + pick(string.ascii_letters, 34)]
+    for make in held:
+        assert sum(formats.score(make()) > formats.bar for _ in range(100)) >= 80
+
+
 def test_every_candidate_is_scored():
     formats = infer_formats()
     for word in ("glpat-" + "aBxQzRtKwLmNpVyGhJdS", "sk_live_" + "QwErTyUiOpAsDfGhJkLzXcVb"):
