@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from rangeforge.llm.language_id import START, Tables, Trees, identify_languages, learn_languages, op10_language_id
+from rangeforge.llm.language_id import START, Model, Trees, identify_languages, learn_languages, op10_language_id, sample_texts
 from rangeforge.llm.quality_rank import NAMES, features, fit_ranking, learn_quality, op9_quality_rank, score_quality
 
 SF = "/root/testdata/sf0.01"
@@ -36,14 +36,35 @@ def plain_bits(lang, raw, order=3):
 
 
 def test_code_lengths():
-    tables = Tables(Trees(TEXTS))
-    tests = [b"the mat", b"x", "größe über".encode() * 5, bytes(range(256)), b"t"]
+    tests = [b"the mat", b"x", "größe über".encode() * 5, bytes(range(256)), b"t", "дом и кот".encode()]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in tests])])
-    for block in (1 << 19, 5):
-        got = tables.bits(np.frombuffer(b"".join(tests), np.uint8), starts, block)
-        for i, raw in enumerate(tests):
-            for j, lang in enumerate(tables.languages):
-                assert math.isclose(got[i, j], plain_bits(lang, raw), rel_tol=1e-4)
+    for slack in (0, 2, 99):
+        model = Model(Trees(TEXTS), slack)
+        assert slack != 0 or len(model.families) == len(TEXTS)
+        for block in (1 << 19, 5):
+            got = model.bits(np.frombuffer(b"".join(tests), np.uint8), starts, block)
+            for i, raw in enumerate(tests):
+                for j, lang in enumerate(model.languages):
+                    assert math.isclose(got[i, j], plain_bits(lang, raw), rel_tol=1e-4)
+
+
+def test_any_number_of_languages():
+    """90 languages of words of their own: each is told by its words, with contexts as long as for two."""
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(0x0430, 0x0450)] + list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{k:02d}": ["".join(rng.choice(letters, 6)) for _ in range(30)] for k in range(90)}
+    model = Model(Trees({lang: [" ".join(w).encode()] * 3 for lang, w in words.items()}))
+    assert {t.order for _, t in model.families} == {3} and sorted(j for m, _ in model.families for j in m) == list(range(90))
+    tests = [" ".join(w[5:15]).encode() for w in words.values()]
+    bits = model.bits(np.frombuffer(b"".join(tests), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tests])]))
+    assert bits.argmin(axis=1).tolist() == list(range(90))
+
+
+def test_long_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "the hat and the cat " * 100, "en"), (2, "der hut über straßen " * 60000, "de")], "doc_id long, text string, lang string")
+    found = sample_texts(docs, excerpt=1000)
+    assert sorted(found) == ["de", "en"] and len(found["de"][0].decode()) == len(found["en"][0].decode()) == 1000
+    assert [r.lang_pred for r in identify_languages(docs, learn_languages(docs)).collect()] == ["en", "de"]
 
 
 def test_language_query(spark):
