@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import camera, grids, lidar
@@ -81,7 +78,10 @@ def box_detect(spark, sf_dir):
 
 @query()
 def occupancy_boxes(spark, sf_dir):
-    return lidar.occupancy_boxes(grids.occupancy(points(spark, sf_dir), 2.0, 0.1, 180.0, 3.5, ["bag"]), ["bag"])
+    """Windows of excess in each bag's points with a box two metres wide and long put among them, one point for each event."""
+    p = points(spark, sf_dir).select("bag", "f", "lat")
+    box = signal(spark, sf_dir).select((F.col("bag") % 4).alias("bag"), (F.lit(30.0) + F.col("d") / 1000).alias("f"), ((F.col("event_id") % 20) * 0.1 - 0.95).alias("lat"))
+    return lidar.occupancy_boxes(grids.occupancy(p.unionByName(box), 2.0, 0.1, 180.0, 3.5, ["bag"]), ["bag"])
 
 
 @query()
@@ -104,14 +104,31 @@ def tunnel_curves(spark, sf_dir):
     return lidar.tunnel_model(points(spark, sf_dir), ["bag"])
 
 
+AZIMUTHS, ELEVATIONS = [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)]
+
+
 @query()
 def beam_hits(spark, sf_dir):
-    """First surface met by a grid of beams in the model of each bag."""
-    models = lidar.tunnel_model(points(spark, sf_dir), ["bag"])
-    bags = [r.bag for r in points(spark, sf_dir).select("bag").distinct().orderBy("bag").collect()]
+    """Surfaces met by a grid of beams in the model of each bag."""
+    return lidar.trace_beams(lidar.tunnel_model(points(spark, sf_dir), ["bag"]), ["bag"], AZIMUTHS, ELEVATIONS, d_min=3.0, d_max=50.0)
 
-    def hits(bag):
-        beams = lidar.trace_beams(models.where(F.col("bag") == bag), [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)], d_min=3.0, d_max=50.0)
-        return beams.withColumn("bag", F.lit(bag).cast("long"))
 
-    return reduce(DataFrame.unionByName, map(hits, bags))
+@query()
+def beam_targets(spark, sf_dir):
+    """Best beam for each surface at chosen distances, in the model of each bag."""
+    return lidar.best_beams(beam_hits(spark, sf_dir), ["bag"], [5.0, 10.0, 20.0, 30.0])
+
+
+@query()
+def rail_centres(spark, sf_dir):
+    """Rails followed over the frames of a recording whose track climbs slowly, each looked for near the last one."""
+    return lidar.rail_track(frames_with_rails(spark, sf_dir))
+
+
+def frames_with_rails(spark, sf_dir):
+    """Two rails and a floor below them for each frame of points; every ninth frame has too few points to tell."""
+    p = points(spark, sf_dir).select("bag", "frame_idx").distinct()
+    spots = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("frame_idx") % 9 == 4, 30).otherwise(159)))).withColumn("side", F.when(F.col("k") % 2 == 0, -0.76).otherwise(0.76))
+    level = F.lit(-1.075) + F.col("frame_idx") * 0.012
+    x = F.col("side") + 0.05 * (F.col("bag") - 1.5) + (F.col("k") % 7 - 3) * 0.01
+    return spots.select("bag", "frame_idx", x.alias("x"), (F.lit(2.5) + F.col("k") * 0.1).alias("d"), (level + (F.col("k") % 5 - 2) * 0.01 - F.when(F.col("k") % 10 >= 8, 0.3).otherwise(0.0)).alias("z"))

@@ -174,11 +174,39 @@ def test_numbers():
     assert out[2] == [1, 2, 0, 1, 1] and out[3] == [False, True, False, False, False] and out[0][1] == pytest.approx(5.08)
 
 
+def plain_beam(limits, at, az, el, d_min, d_max):
+    """One beam, step by step: the last crossing of each surface."""
+    a, e = np.radians(az), np.radians(el)
+    ray = (np.sin(a) * np.cos(e), np.cos(a) * np.cos(e), np.sin(e))
+    lim = lambda k, d: float(np.interp(d, at, [row[k] for row in limits]))
+    out = {}
+    for k, name in enumerate(("left", "right", "floor", "ceiling")):
+        last = None
+        for i in range(1, 1203):
+            t0, t1 = 0.25 * i, 0.25 * (i + 1)
+            g0, g1 = ((ray[0] if k < 2 else ray[2]) * t - lim(k, ray[1] * t) for t in (t0, t1))
+            if ray[1] * t1 > 0 and ((g0 * g1 <= 0 and g0 != 0) if k < 2 else (g0 > 0 >= g1) if k == 2 else (g0 < 0 <= g1)):
+                last = (t0 + t1) / 2
+        if last is not None:
+            x, d, z = (r * last for r in ray)
+            if (lim(2, d) - 0.5 <= z <= lim(3, d) + 0.5 if k < 2 else abs(x) < min(-lim(0, d), lim(1, d)) - 0.3) and d_min <= d <= d_max:
+                out[name] = (last, d)
+    return out
+
+
 def test_beams(spark):
-    model = spark.createDataFrame([(k, -3.0, 3.0, -1.0, 4.0) for k in range(60)], "d_idx long, x_left double, x_right double, z_floor double, z_ceil double")
-    rows = {(r.az, r.el): r for r in lidar.trace_beams(model, [0.0, 10.0], [0.0, -5.0], d_min=5.0, d_max=100.0).collect()}
-    assert rows[10.0, 0.0].surface == "right" and rows[10.0, 0.0].d == pytest.approx(3 / np.tan(np.radians(10)), abs=0.3) and rows[10.0, 0.0].angle == pytest.approx(80, abs=0.5)
-    assert rows[0.0, -5.0].surface == "floor" and (0.0, 0.0) not in rows
+    model = spark.createDataFrame([(7, k, -3.0 - k * 0.01, 3.0, -1.0, 4.0) for k in range(60)], "bag long, d_idx long, x_left double, x_right double, z_floor double, z_ceil double")
+    beams = lidar.trace_beams(model, ["bag"], [-20.0, 0.0, 10.0], [0.0, -5.0, 9.0], d_min=5.0, d_max=100.0)
+    rows = {(r.az, r.el, r.surface): r for r in beams.collect()}
+    assert rows[10.0, 0.0, "right"].d == pytest.approx(3 / np.tan(np.radians(10)), abs=0.3) and rows[10.0, 0.0, "right"].angle == pytest.approx(80, abs=0.5)
+    limits, at = [(-3.0 - k * 0.01, 3.0, -1.0, 4.0) for k in range(60)], 1.5 + 2.0 * (np.arange(60) + 0.5)
+    want = {(az, el, name): hit for az in (-20.0, 0.0, 10.0) for el in (0.0, -5.0, 9.0) for name, hit in plain_beam(limits, at, az, el, 5.0, 100.0).items()}
+    assert rows.keys() == want.keys() and all((rows[k].t, rows[k].d) == pytest.approx(want[k]) for k in want) and len(want) >= 6
+    best = {r.surface: r for r in lidar.best_beams(beams, ["bag"]).collect()}
+    for name in best:
+        assert best[name].angle == min(r.angle for (_, _, s), r in rows.items() if s == name)
+    aimed = {(r.surface, r.target): r.angle for r in lidar.best_beams(beams, ["bag"], [10.0, 25.0]).collect()}
+    assert aimed == {(s, t): min(r.angle for (_, _, q), r in rows.items() if q == s and t - 3 < r.d <= t + 3) for s in best for t in (10.0, 25.0) if any(q == s and t - 3 < r.d <= t + 3 for (_, _, q), r in rows.items())}
 
 
 def test_branches_and_guided_fit():
@@ -207,13 +235,105 @@ def test_model_fit_recovers_lines():
 
 
 def test_beams_of_every_bag(spark):
-    from rangeforge.plans.detector_queries import beam_hits
+    from rangeforge.plans.detector_queries import AZIMUTHS, ELEVATIONS, beam_hits, beam_targets
     from rangeforge.sources.driver import points
 
     sf = "/root/testdata/sf0.001"
-    models = lidar.tunnel_model(points(spark, sf), ["bag"])
-    rows = beam_hits(spark, sf).collect()
-    assert {r.bag for r in rows} == {0, 1, 2, 3}
-    for bag in (0, 3):
-        want = lidar.trace_beams(models.where(f"bag = {bag}"), [float(a) for a in range(-30, 31, 5)], [float(e) for e in range(-10, 11, 5)], d_min=3.0, d_max=50.0).collect()
-        assert sorted((r.az, r.el, r.surface, r.d) for r in rows if r.bag == bag) == sorted((r.az, r.el, r.surface, r.d) for r in want) and want
+    rows = {(r.bag, r.az, r.el, r.surface): (r.t, r.d) for r in beam_hits(spark, sf).collect()}
+    models = {}
+    for r in lidar.tunnel_model(points(spark, sf), ["bag"]).orderBy("d_idx").collect():
+        models.setdefault(r.bag, []).append([np.nan if v is None else v for v in (r.x_left, r.x_right, r.z_floor, r.z_ceil)])
+    want = {(bag, az, el, name): hit for bag, m in models.items() for az in AZIMUTHS[::3] for el in ELEVATIONS for name, hit in plain_beam(m, 1.5 + 2.0 * (np.arange(len(m)) + 0.5), az, el, 3.0, 50.0).items()}
+    assert want and {k: v for k, v in rows.items() if k[1] in AZIMUTHS[::3]} == {k: pytest.approx(v) for k, v in want.items()}
+    assert beam_targets(spark, sf).count() > 0
+
+
+def plain_excess(grid):
+    """Windows cell by cell, as the rules say."""
+    n, m = grid.shape
+    over = np.zeros((n, m))
+    for i in range(n):
+        for j in range(m):
+            over[i, j] = grid[i, j] / max(1.0, float(np.median(grid[max(0, i - 10) : i + 11, j])))
+    out = []
+    for name, rows, columns, far, least, alpha in (("2x2", 1, 20, 150, 20, 0.005), ("2x0.2", 1, 2, 90, 6, 0.001), ("0.3x0.3", 1, 3, 90, 6, 0.001)):
+        hits = []
+        for i in range(n):
+            need = max(2, columns // 3, poisson_critical(float(grid[i].sum()) * columns / m, alpha))
+            for j in range(m - columns + 1):
+                hot = int((over[i, j : j + columns] >= 2).sum())
+                beside = [over[a:b, j : j + columns] for a, b in ((max(0, i - 2), i), (i + rows, min(n, i + 3))) if a < b]
+                if hot / columns >= 0.6 and grid[i, j : j + columns].sum() >= need and all((v >= 2).mean() < 0.6 for v in beside):
+                    hits.append(((i + 0.5) * 2.0, (j + columns / 2) * 0.1 - 3.5, hot))
+        kept = []
+        for d, y, hot in sorted(hits, key=lambda h: -h[2]):
+            if 15 <= d <= far and hot >= least and not any(abs(d - a) <= 2.0 and abs(y - b) <= 0.4 for a, b, _ in kept):
+                kept.append((d, y, hot))
+        out += [(name, *k) for k in kept]
+    for i in range(7, 30):
+        need = max(3, poisson_critical(float(grid[i].sum()) / m, 0.001))
+        for j in range(m):
+            if over[i, j] >= 4 and grid[i, j] >= need and np.median([over[i - 1, j], over[i + 1, j]]) < 3:
+                out.append(("0.05", (i + 0.5) * 2.0, (j + 0.5) * 0.1 - 3.5, 1))
+    return out
+
+
+def test_excess_against_plain_rules(spark):
+    rng = np.random.default_rng(8)
+    for k in range(3):
+        grid = rng.poisson(1.5, (90, 70)).astype(float)
+        grid[20 + k, 30:52] += 20
+        grid[40:44, 5:30] += 30
+        grid[25, 60] += 40
+        grid[10, 2:4] += 25
+        assert lidar.excess_boxes(grid) == plain_excess(grid) and {b[0] for b in lidar.excess_boxes(grid)} == {"2x2", "0.05"}
+    from rangeforge.operators import grids
+    from rangeforge.plans.detector_queries import occupancy_boxes, points, signal
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in occupancy_boxes(spark, sf).collect():
+        got.setdefault(r.bag, []).append((r.box, r.D, r.y, r.hot))
+    box = signal(spark, sf).select((F.col("bag") % 4).alias("bag"), (30 + F.col("d") / 1000).alias("f"), ((F.col("event_id") % 20) * 0.1 - 0.95).alias("lat"))
+    cells = grids.occupancy(points(spark, sf).select("bag", "f", "lat").unionByName(box), 2.0, 0.1, 180.0, 3.5, ["bag"]).collect()
+    for bag in range(4):
+        grid = np.zeros((90, 70))
+        for r in cells:
+            if r.bag == bag:
+                grid[r.d_bin, r.y_bin] += r.n
+        assert sorted(got[bag]) == sorted(plain_excess(grid)) and any(b[0] == "2x2" for b in got[bag])
+
+
+def test_rails_are_followed(spark):
+    """The rail track over frames in order, against a plain loop that looks near the last real level."""
+    from rangeforge.plans.detector_queries import frames_with_rails, rail_centres
+
+    sf = "/root/testdata/sf0.001"
+    frames = {}
+    for r in frames_with_rails(spark, sf).collect():
+        frames.setdefault((r.bag, r.frame_idx), []).append((r.x, r.d, r.z))
+    want, real = {}, {}
+    for bag, n in sorted(frames):
+        last = next((real[bag, k][1] for k in range(n - 1, n - 8, -1) if (bag, k) in real), None)
+        found = lidar.detect_rails(*np.array(frames[bag, n]).T, last)
+        if found:
+            real[bag, n] = (found[0], last if last is not None and abs(found[1] - last) > 0.25 else found[1])
+        near = [real[bag, k] for k in range(n - 6, n + 1) if (bag, k) in real]
+        want[bag, n] = (float(np.median([v[0] for v in near])), float(np.median([v[1] for v in near])), bool(found)) if near else (0.0, -1.075, False)
+    got = {(r.bag, r.frame_idx): (r.xc, r.zr, r.found) for r in rail_centres(spark, sf).collect()}
+    assert got == want
+    # The track climbs by half a metre: only a moving window follows it.
+    assert max(v[1] for v in got.values()) > -0.75 and sum(v[2] for v in got.values()) > 100
+
+
+def test_box_growth_fit():
+    rng = np.random.default_rng(2)
+    n = 60000
+    f = rng.uniform(5, 70, n)
+    y, z = rng.uniform(-0.11, 0.11, n) * f, rng.uniform(-0.03, 0.04, n) * f
+    hidden = (np.abs(y / f) < 0.02) & (np.abs(z / f) < 0.02) & (f > 32)
+    bf = rng.uniform(31.1, 31.9, 4000)
+    boxes = lidar.shadow_boxes(*(np.concatenate([v[~hidden], w]) for v, w in ((f, bf), (y, rng.uniform(-0.02, 0.02, 4000) * bf), (z, rng.uniform(-0.02, 0.02, 4000) * bf))), np.arange(10.0, 66, 1), width=0.004, a_max=0.12, b_lo=-0.06, b_hi=0.06)
+    box = boxes[0]
+    assert box["growth_ok"] == (abs(box["growth"] - box["d2"]) / max(1.0, box["d2"]) <= 0.25) and box["growth"] > 0
