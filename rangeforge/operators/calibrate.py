@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rotation
-from .camera import Segment, fit_line
 from .fits import isotonic
 from .windows import moving_median
 
@@ -33,32 +32,6 @@ def branched(d: np.ndarray, nodes_d: np.ndarray, nodes_v: np.ndarray, blend: flo
     return (1 - w) * inside + w * branch
 
 
-def refine_line(x: np.ndarray, y: np.ndarray, within: float = 6.0, least: int = 20, rounds: int = 5) -> Segment | None:
-    """Line through the points, refitted to those near it until they stay the same."""
-    keep = np.ones(len(x), bool)
-    line = None
-    for _ in range(rounds):
-        if keep.sum() < least:
-            return None
-        line = fit_line(x[keep], y[keep])
-        near = np.abs(line.a * x + line.b * y + line.c) <= within
-        if (near == keep).all():
-            break
-        keep = near
-    return line
-
-
-def guided_line(x: np.ndarray, y: np.ndarray, guess: tuple[float, float, float], strip: float = 50.0, span: float = 120.0, error: float = 15.0) -> Segment | None:
-    """Line of the bright pixels in a strip around a guessed one, if it is long enough and stays near the guess at the middle and 100 pixels to both sides."""
-    a, b, c = guess
-    near = np.abs(a * x + b * y + c) <= strip
-    line = refine_line(x[near], y[near])
-    if line is None or np.hypot(line.x1 - line.x0, line.y1 - line.y0) < span:
-        return None
-    mx, my = (line.x0 + line.x1) / 2, (line.y0 + line.y1) / 2
-    return line if max(abs(a * (mx - t * line.b) + b * (my + t * line.a) + c) for t in (-100.0, 0.0, 100.0)) <= error else None
-
-
 def corner_lines(nodes: DataFrame, side: str, bottom: str = "B") -> DataFrame:
     """(d, x, y): where a side fan's line meets the bottom fan's at each distance that both have."""
     s, b = (nodes.where(F.col("fan") == f).select("d", F.col("x0").alias(f"{p}x"), F.col("m").alias(f"{p}m")) for f, p in ((side, "s"), (bottom, "b")))
@@ -90,6 +63,23 @@ class FanModel:
         return np.array(out)
 
 
+    def fan_lines(self, fan: str, d: np.ndarray) -> np.ndarray:
+        """(n, 3): one fan's lines at distances."""
+        k = self.fans.index(fan)
+        return np.array([self.lines(float(v))[k] for v in d])
+
+    def plane_distance(self, x: float, y: float, fan: str = "B", near: float = 0.3, far: float = 25.0) -> float | None:
+        """Distance at which a pixel's ray meets a fan's plane, if between near and far."""
+        h, yaw, pitch, roll, fx, fy, cx, cy = self.parameters[:8]
+        k = self.fans.index(fan)
+        normal, c = self.parameters[8 + 4 * k : 11 + 4 * k], self.parameters[11 + 4 * k]
+        ray, at = rotation(pitch, yaw, roll) @ np.array([(x - cx) / fx, (y - cy) / fy, 1.0]), np.array([0, h, 0])
+        along = float(normal @ ray)
+        t = (c - float(normal @ at)) / along if abs(along) >= 1e-6 else -1.0
+        z = float((at + t * ray)[2])
+        return z if t > 0 and near < z < far else None
+
+
 def line_residual(model: np.ndarray, seen: np.ndarray, probe: float = 100.0, centre: tuple[float, float] = (640.0, 360.0)) -> np.ndarray:
     """Distances of two probe points of the seen line, near the image's middle, from the model's; signs aligned."""
     a, b, c = seen

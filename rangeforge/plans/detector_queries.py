@@ -61,14 +61,41 @@ def frames_with_lines(spark, sf_dir):
     thick = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     side = side.withColumn("k", thick).select("bag", "grp", (F.col("x") + F.col("k")).alias("x"), "y")
     flat = flat.withColumn("k", thick).select("bag", "grp", "x", (F.col("y") + F.col("k")).alias("y"))
-    return side.unionByName(flat).where("x >= 0 AND x < 1280 AND y >= 0 AND y < 720").withColumn("gray", F.lit(220)).distinct()
+    row = F.rint(230.0 + 480.0 / F.col("d")).cast("int") + 40
+    mark = s.withColumn("x", F.explode(F.sequence(F.lit(560), F.lit(600)))).withColumn("k", thick).select("bag", "grp", "x", (row + F.col("k")).alias("y"))
+    return side.unionByName(flat).unionByName(mark).where("x >= 0 AND x < 1280 AND y >= 0 AND y < 720").withColumn("gray", F.lit(220)).distinct()
+
+
+def _measured(spark, sf_dir):
+    return camera.measurements(frames_with_lines(spark, sf_dir), ["bag", "grp"], camera.fan_maps(make_nodes(spark)))
 
 
 @query()
 def line_measure(spark, sf_dir):
-    """Fan distances, closest reading and near features of each frame."""
-    found = camera.measurements(frames_with_lines(spark, sf_dir), ["bag", "grp"], _grid(spark))
-    return found.select("bag", "grp", F.col("fans")["L"].alias("d_left"), F.col("fans")["R"].alias("d_right"), F.col("fans")["B"].alias("d_bottom"), "closest", F.size("near").alias("near"))
+    """Fan distances and closest reading of each frame."""
+    fan = lambda f: F.col("fans")[f]
+    return _measured(spark, sf_dir).select("bag", "grp", fan("L").alias("d_left"), fan("R").alias("d_right"), fan("B").alias("d_bottom"), "closest")
+
+
+@query()
+def line_corners(spark, sf_dir):
+    """Where side and bottom lines meet, with the depth."""
+    return _measured(spark, sf_dir).select("bag", "grp", F.inline("corners"))
+
+
+@query()
+def near_features(spark, sf_dir):
+    """Marks off the lines: a flat mark below the bottom line is put into each frame."""
+    return _measured(spark, sf_dir).select("bag", "grp", F.inline("near"))
+
+
+@query()
+def calib_refined(spark, sf_dir):
+    """Map distance of measured lines, refined between the nodes."""
+    theta = F.radians(F.col("theta").cast("double"))
+    lines = signal(spark, sf_dir).select("event_id", F.struct(F.cos(theta).alias("a"), F.sin(theta).alias("b"), (F.col("d") - 300).alias("c")).alias("line"))
+    found = camera.refined_distances(lines, ["event_id"], "line", camera.fan_maps(make_nodes(spark)))
+    return found.select("event_id", "fan", F.round("d", 6).alias("d"), F.round("error", 4).alias("error"))
 
 
 @query()

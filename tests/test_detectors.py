@@ -60,11 +60,109 @@ def test_spot_on_a_line(grid, d):
     assert not camera.find_spots(camera.laser_mask(gray), gray, grid, (614.0, 225.0), wall=d)
 
 
+@pytest.fixture(scope="module")
+def maps():
+    d = 2.0 + 0.4 * np.arange(28)
+    return {name: camera.FanMap(vertical, d, a + k / d, s + t / d) for name, vertical, a, k, s, t in (("L", True, 600, -420, 0.03, 0.02), ("R", True, 640, 430, -0.03, -0.02), ("B", False, 230, 480, 0.01, 0.02))}
+
+
 @pytest.mark.parametrize("d", [3.0, 4.0, 6.0])
-def test_measured_distance(grid, d):
-    m = camera.measure_frame(scene(grid, d), grid)
-    assert m["fans"].get("B") == pytest.approx(d, abs=0.15)
-    assert m["closest"] == pytest.approx(d, abs=0.5)
+def test_measured_distance(grid, maps, d):
+    m = camera.measure_frame(scene(grid, d), maps)
+    assert m["fans"] == {"L": pytest.approx(d, abs=0.2), "R": pytest.approx(d, abs=0.2), "B": pytest.approx(d, abs=0.1)}
+    assert m["closest"] == pytest.approx(d, abs=0.2) and not m["near"]
+    assert {c[0] for c in m["corners"]} == {"L", "R"} and all(c[3] == pytest.approx(d, abs=0.1) for c in m["corners"])
+
+
+def plain_fit(own, line):
+    """The three scans, one distance at a time."""
+    def error(d):
+        x0, m = np.interp(d, own.d, own.x0), np.interp(d, own.d, own.m)
+        a, b, c = (1.0, -m, m * 360 - x0) if own.vertical else (-m, 1.0, m * 640 - x0)
+        n = np.hypot(a, b)
+        s = line[0] * 640 + line[1] * 360 + line[2]
+        x, y = 640 - s * line[0], 360 - s * line[1]
+        return max(abs((a * (x - t * line[1]) + b * (y + t * line[0]) + c) / n) for t in (-100, 100))
+
+    best, least = own.d[0], np.inf
+    for n, span in ((300, None), (40, 0.2), (10, 0.02)):
+        lo, hi = (own.d[0], own.d[-1]) if span is None else (max(own.d[0], best - span), min(own.d[-1], best + span))
+        for d in np.linspace(lo, hi, n):
+            if error(d) < least - 1e-12:
+                best, least = d, error(d)
+    return best, least
+
+
+def test_refined_lookup(spark, maps):
+    from rangeforge.plans.detector_queries import calib_refined
+    from rangeforge.sources.driver import signal
+
+    for own in maps.values():
+        for d in (2.0, 3.3333, 7.77, 12.5):
+            line = tuple(own.lines(d)[0])
+            assert own.fit_distance(line)[0] == pytest.approx(d, abs=0.01) and own.fit_distance(line)[1] < 0.5
+    sf = "/root/testdata/sf0.001"
+    lines = {r.event_id: (np.cos(np.radians(r.theta)), np.sin(np.radians(r.theta)), r.d - 300) for r in signal(spark, sf).collect()}
+    rows = calib_refined(spark, sf).collect()
+    assert len(rows) == 3 * len(lines)
+    for r in rows[::97]:
+        d, error = plain_fit(maps[r.fan], lines[r.event_id])
+        assert r.error == pytest.approx(error, abs=1e-3) and (r.d == pytest.approx(d, abs=1e-3) or error > 50)
+
+
+def test_a_missing_line_is_found_with_guesses(grid, maps):
+    gray = scene(grid, 4.0)
+    # The right line is broken up, so that no column of it is full.
+    x = np.nonzero(gray[200:600, 700:900].any(axis=0))[0] + 700
+    gray[160:690, x.min() : x.max() + 1] *= (np.arange(160, 690) % 24 < 3)[:, None]
+    assert "R" not in camera.measure_frame(gray, maps, guided=False)["fans"]
+    assert camera.measure_frame(gray, maps)["fans"]["R"] == pytest.approx(4.0, abs=0.3)
+    assert not camera.measure_frame(scene(grid, 4.0), maps, least_brightness=230.0)["fans"]
+
+
+def test_model_takes_the_place_of_maps(grid, maps):
+    model = lambda fan, d: np.array([maps[fan].lines(v)[0] for v in d])
+    only_bottom = {"B": maps["B"]}
+    gray = scene(grid, 5.0)
+    segments = camera.assigned(*camera.find_lines(gray), maps)
+    found = camera._distances(segments, only_bottom, model, 15.0)
+    assert {fan: min(d for d, _ in own) for fan, own in found.items()} == {fan: pytest.approx(5.0, abs=0.2) for fan in "LRB"}
+
+
+def test_near_features(grid, maps):
+    """Marks by the rules: what is near, how far, what is a broken line, what no reading supports."""
+    def with_marks(*marks, d=4.0):
+        gray = scene(grid, d)
+        for x, y, w, h in marks:
+            gray[y : y + h, x : x + w] = 220
+        return camera.measure_frame(gray, maps)
+
+    level = 230 + 480 / 4.0
+    y3 = int(230 + 480 / 3.2 + (0.01 + 0.02 / 3.2) * (580 - 640))
+    (dot,) = with_marks((575, y3 - 4, 9, 9))["near"]
+    assert dot["kind"] == "dot" and dot["near"] and dot["d"] == pytest.approx(3.2, abs=0.41)
+    m = with_marks((560, y3 - 3, 60, 6))
+    assert m["near"][0]["kind"] == "hline" and m["near"][0]["near"] and m["closest"] == pytest.approx(3.2, abs=0.1)
+    y2 = 230 + 480 / 2.0
+    (below,) = with_marks((575, int(y2) + 30, 9, 9), d=2.4)["near"]
+    assert below["near"] and 1.5 < below["d"] < 2.05
+    (low,) = with_marks((575, 640, 9, 9))["near"]
+    assert low["d"] is not None and not low["near"]  # 1.2 m: no reading within half a metre below to two above
+    assert not with_marks((200, int(level) + 60, 9, 9))["near"]  # outside the corridor
+    assert not with_marks((575, 100, 9, 9))["near"]  # the top quarter
+    assert with_marks((575, 250, 9, 9))["near"][0]["near"] is False  # above the bottom line
+    a, b, c = grid.at("L", 4.0)
+    row = [(int(-(b * y + c) / a) + 14, y, 5, 5) for y in (420, 450, 480)]
+    gray_dots = with_marks(*[(x - 2, y, 4, 4) for x, y, _, _ in row])["near"]
+    assert not [f for f in gray_dots if f["kind"] == "dot" and abs(a * f["x"] + b * f["y"] + c) <= 12]
+
+
+def test_point_distance_and_branch(maps):
+    bottom = maps["B"]
+    assert bottom.below_range(640.0, 230 + 480 / 1.5) == pytest.approx(1.5, abs=0.01) and bottom.below_range(640.0, 300.0) is None
+    assert camera.point_distance(bottom, 640.0, 230 + 480 / 4.4) == pytest.approx(4.4) and camera.point_distance(bottom, 640.0, 650.0) is None
+    assert camera.point_distance(bottom, 640.0, 230 + 480 / 1.99) == pytest.approx(1.99, abs=0.02)
+    assert bottom.quality(2.5) > bottom.quality(11.0) > 0
 
 
 def test_segments_are_cut():
@@ -210,7 +308,8 @@ def test_beams(spark):
 
 
 def test_branches_and_guided_fit():
-    from rangeforge.operators.calibrate import branched, guided_line, refine_line
+    from rangeforge.operators.calibrate import branched
+    from rangeforge.operators.camera import guided_line, refine_line
 
     nodes = np.arange(2.0, 10.1, 0.5)
     v = 100 + 50 / nodes
