@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from rangeforge.llm.simhash import CORPUS_RULE, NearRule, _large_candidates, _link_large, _roots, _small_candidates, drop_near_copies, near_components, near_pairs, op5_simhash
+from rangeforge.llm.common import joined_by_hot_keys
+from rangeforge.llm.simhash import (
+    CORPUS_RULE, PARITY, NearRule, _across_large, _across_small, _best_of, _link_large, _mask_keys, _may_link, _nearest_large, _nearest_small, _parity, drop_near_copies, mask_blocks, near_components, near_pairs, op5_simhash,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,22 +175,90 @@ def test_corpus_rule_counts_a_shingle_once(spark):
     assert sorted(r.doc_id for r in drop_near_copies(docs, CORPUS_RULE).collect()) == brute_left(rows) == [0, 2, 4]
 
 
-def test_large_groups_give_the_candidates_of_small_ones():
+def distance(x, y):
+    return sum(int(v).bit_count() for v in x ^ y)
+
+
+def test_rounds_of_small_and_large_groups():
     rng = np.random.default_rng(9)
     centre = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
     fp = centre[np.arange(300) % 6].copy()
-    for x in fp:
+    for x in fp[6:]:
         for b in rng.integers(0, 512, rng.integers(0, 90)):
             x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    parts, pairs = [], []
-    for found in (_small_candidates(fp, np.zeros(300, int), CORPUS_RULE), _large_candidates(fp, CORPUS_RULE)):
-        links = [(min(i, j), max(i, j)) for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        assert len(links) == len(set(links)) and all(sum(int(v).bit_count() for v in fp[i] ^ fp[j]) <= CORPUS_RULE.radius for i, j in links)
-        sure = [(i, j) for i, j in links if sum(int(v).bit_count() for v in fp[i] ^ fp[j]) <= CORPUS_RULE.sure]
-        parts.append(_roots(sure, 300))
-        pairs.append(set(links) - set(sure))
-    assert len(set(zip(*map(list, parts), strict=True))) == len(set(parts[0])) == len(set(parts[1])) < 300
-    assert pairs[0] == pairs[1] and pairs[0]
+    group, kinds, part = np.zeros(300, int), rng.integers(90, 130, 300), rng.integers(0, 5, 300)
+    fits = lambda i, j: i != j and distance(fp[i], fp[j]) <= CORPUS_RULE.radius and min(kinds[i], kinds[j]) >= 0.8 * max(kinds[i], kinds[j])
+    near = {i: {j for j in range(300) if fits(i, j)} for i in range(300)}
+    item, other, d = _nearest_small(fp, group, kinds, CORPUS_RULE)
+    assert item.tolist() == [i for i in range(300) if near[i]]
+    assert all(j in near[i] and k == min(distance(fp[i], fp[x]) for x in near[i]) for i, j, k in zip(item.tolist(), other.tolist(), d.tolist(), strict=True))
+    item, other, d = _nearest_large(fp, kinds, CORPUS_RULE)
+    assert item.tolist() == [i for i in range(300) if near[i]]
+    assert all(j in near[i] and k == distance(fp[i], fp[j]) for i, j, k in zip(item.tolist(), other.tolist(), d.tolist(), strict=True))
+    expected = {(i, j) for i in near for j in near[i] if i < j and part[i] != part[j]}
+    wide = np.concatenate([fp, np.zeros((300, PARITY // 64), np.uint64)], axis=1)
+    for rounds in (lambda: _across_small(wide, group, kinds, part, CORPUS_RULE), lambda: _across_large(wide, kinds, part, CORPUS_RULE)):
+        pairs = [(min(i, j), max(i, j)) for a, b, _ in rounds() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected and expected
+        ((item, other, _),) = _best_of(rounds(), 300)
+        assert item.tolist() == sorted({i for p in expected for i in p}) and {(min(p), max(p)) for p in zip(item.tolist(), other.tolist(), strict=True)} <= expected
+
+
+def test_parity_sketch_keeps_links():
+    rng = np.random.default_rng(12)
+    kept = {True: 0, False: 0}
+    for n in (20, 150, 1000, 5000):
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            own = int(n * rng.uniform(0.05, 0.2))
+            y = np.concatenate([x[own:], rng.integers(0, 1 << 63, own, dtype=np.uint64)])
+            both = n - own
+            link = both >= 0.8 * (2 * n - both)
+            a, b = (np.frombuffer(_parity(v), np.uint64)[None] for v in (x, y))
+            may = bool(_may_link(a, b, np.array([n]), np.array([n]), 0.8)[0][0])
+            assert may or not link
+            kept[may] += 0 if link else 1
+    assert kept[False] > kept[True]
+
+
+def test_blocks_keep_every_pair_and_groups_small():
+    assert [mask_blocks(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**15)] == [6, 6, 6, 8, 13]
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    b = a.copy()
+    for i in range(200):
+        for k in rng.choice(64, 4, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(k)
+    for blocks in (6, 7, 8, 13):
+        x, y = (_mask_keys(v[:, None], 4, blocks) for v in (a, b))
+        assert (x == y).any(axis=1).all() and len(set(x[0].tolist())) == x.shape[1]
+
+
+def test_hot_keys_join_as_others(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(3000)], "doc_id long, k long")
+    named = rows.groupBy("k").count().selectExpr("k", "k * 2 AS name", "count AS copies")
+    assert sorted(map(tuple, joined_by_hot_keys(rows, named, "k", "copies", hot=10).select("doc_id", "name").collect())) == [(i, 0 if i % 3 else 2 * i) for i in range(3000)]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, "x", 0.5), (2, "a b c d e f g", 6, None, None), (None, None, None, None, None)], "doc_id long, text string, row_number long, node string, first double")
+    left = drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == [(1, "a b c d e f g", 5, "x", 0.5), (None,) * 5]
+
+
+def test_large_group_of_copies_that_differ(spark):
+    """More copies of one text than a small group holds, each with words of its own, and two texts on one template that stay under the bar."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeioubcdfghklmnprst") for _ in range(rng.randint(4, 9)))
+    base, rows = [word() for _ in range(120)], []
+    for d in range(700):
+        v = list(base)
+        for _ in range(rng.randint(0, 2)):
+            v[rng.randrange(len(v))] = word()
+        rows.append((d, " ".join(v)))
+    rows += [(1000 + d, " ".join(base[:95] + [word() for _ in range(60)])) for d in range(2)]
+    got = sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_left(rows)
 
 
 def test_rules_are_checked():
