@@ -140,6 +140,13 @@ def vanishing_direction(p, q) -> Column:
     return F.when(n > 1e-12, F.struct((x / n).alias("x"), (y / n).alias("y"), (z / n).alias("z")))
 
 
+def vanishing_point(direction: Column, fx: float, fy: float, cx: float, cy: float) -> tuple[Column, Column]:
+    """Pixel in which lines of a direction vanish; null for directions along the image."""
+    z = direction["z"]
+    ahead = F.abs(z) > 1e-6
+    return F.when(ahead, direction["x"] / z * fx + cx), F.when(ahead, direction["y"] / z * fy + cy)
+
+
 def ray_plane(u, v, fx, fy, cx, cy, nx, ny, nz, c, near: float = 0.3, far: float = 25.0) -> Column:
     """Depth at which a pixel's ray meets a plane, if between near and far."""
     along = (num(u) - cx) / fx * num(nx) + (num(v) - cy) / fy * num(ny) + num(nz)

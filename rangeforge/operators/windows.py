@@ -48,10 +48,13 @@ def dilated(cells: DataFrame, keys: list[str], radius: int = 1, *, cross: bool =
 
 
 def stable_cells(cells: DataFrame, key: str, frames: int = 3) -> DataFrame:
-    """Cells set, after dilation, in this frame and the `frames` - 1 before it."""
+    """Cells set, after dilation, in this frame and the `frames` - 1 before it. A recording's first frames, which have too few before them, keep their own cells as they are."""
+    first = cells.groupBy(key).agg(F.min("frame_idx").alias("_first"))
     wide = dilated(cells, [key, "frame_idx"])
     order = Window.partitionBy(key, "iu", "iv").orderBy("frame_idx").rangeBetween(-(frames - 1), 0)
-    return wide.withColumn("_n", F.count("*").over(order)).where(F.col("_n") == frames).drop("_n")
+    late = wide.withColumn("_n", F.count("*").over(order)).where(F.col("_n") == frames).drop("_n").join(first, key).where(F.col("frame_idx") >= F.col("_first") + frames - 1)
+    early = cells.select(key, "frame_idx", "iu", "iv").distinct().join(first, key).where(F.col("frame_idx") < F.col("_first") + frames - 1)
+    return late.unionByName(early).drop("_first")
 
 
 def moving_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int = 1) -> DataFrame:
@@ -137,8 +140,10 @@ def sharp_drops(rows: DataFrame, keys: list[str], k: str, value: str, *, least:
     return rows.withColumns({"_1": one, "_6": six}).where(fell).groupBy(*keys).agg(F.min(k).alias("k_drop"))
 
 
-def first_lit(cells: DataFrame, keys: list[str], column: str, row: str, family: str, order: list[str]) -> DataFrame:
-    """(keys, column, row, family): nearest lit row of each column; of several families there the first in `order`."""
+def first_lit(cells: DataFrame, keys: list[str], column: str, row: str, family: str, order: list[str], walls: DataFrame | None = None) -> DataFrame:
+    """(keys, column, row, family): nearest lit row of each column; of several families there the first in `order`. walls (keys, last_row): rows behind a key's wall don't count."""
+    if walls is not None:
+        cells = cells.join(walls, keys, "left").where(F.col("last_row").isNull() | (F.col(row) < F.col("last_row"))).drop("last_row")
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(family))
     return cells.groupBy(*keys, column).agg(F.min_by(F.struct(row, family), F.struct(row, rank)).alias("b")).select(*keys, column, F.col(f"b.{row}").alias(row), F.col(f"b.{family}").alias(family))
 

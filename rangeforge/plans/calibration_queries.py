@@ -21,14 +21,40 @@ def occupancy_shades(spark, sf_dir):
     return scaling.log_scaled(grids.occupancy(points(spark, sf_dir), 2.0, 0.1, 180.0, 3.5), "n")
 
 
+COLOURS = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in scaling.SPECTRUM) + "]"
+
+
 @query(
-    f"""WITH {SIGNAL}, v AS (SELECT event_id, d / 500 AS v FROM signal)
+    f"""WITH {SIGNAL}, v AS (SELECT event_id, d / 500 AS v, least(1.0, greatest(0.0, d / 500)) * 14 AS t FROM signal), i AS (SELECT *, least(floor(t), 13)::INT AS i, {COLOURS} AS c FROM v)
 SELECT event_id, CASE WHEN v < 0.003 THEN 'alarm' WHEN v < 0.006 THEN 'warn' ELSE 'free' END AS level, round(least(1.0, greatest(0.0, log10(1 + v) / log10(3.0))), 6) AS shade,
-CASE WHEN v >= 0.75 THEN round_even(least(1.0, (v - 0.75) / 0.25) * -180 + 220, 0) WHEN v >= 0.5 THEN round_even(least(1.0, (v - 0.5) / 0.25) * 0 + 220, 0) WHEN v >= 0.25 THEN round_even(least(1.0, (v - 0.25) / 0.25) * 100 + 120, 0) ELSE round_even(least(1.0, v / 0.25) * 120, 0) END::INT AS green FROM v"""
+trunc((1 - (t - i)) * c[i + 1][1] + (t - i) * c[i + 2][1])::INT AS r, trunc((1 - (t - i)) * c[i + 1][2] + (t - i) * c[i + 2][2])::INT AS g, trunc((1 - (t - i)) * c[i + 1][3] + (t - i) * c[i + 2][3])::INT AS b FROM i"""
 )
 def colour_levels(spark, sf_dir):
     v = F.col("d") / 500
-    return signal(spark, sf_dir).select("event_id", scaling.level(v, 0.003, 0.006).alias("level"), F.round(scaling.log10_scaled(v), 6).alias("shade"), scaling.ramp(v, scaling.DENSITY)["g"].alias("green"))
+    return signal(spark, sf_dir).select("event_id", scaling.level(v, 0.003, 0.006).alias("level"), F.round(scaling.log10_scaled(v), 6).alias("shade"), scaling.spectrum(v).alias("c")).select("event_id", "level", "shade", "c.*")
+
+
+@query(
+    f"""WITH {POINTS}, n AS (SELECT trunc(f)::INT AS d_bin, lat, count(*) AS n FROM points GROUP BY ALL), x AS (SELECT *, ln(1 + n) / (SELECT ln(1 + max(n)) FROM n) AS x FROM n)
+SELECT d_bin, lat, trunc(255 * least(1, greatest(0, x * 1.2 - 0.1)))::INT AS r, trunc(255 * least(1, greatest(0, x * 2.0 - 0.25)))::INT AS g, trunc(255 * least(1, greatest(0, x * 1.5)))::INT AS b FROM x"""
+)
+def density_colours(spark, sf_dir):
+    n = points(spark, sf_dir).groupBy(F.col("f").cast("int").alias("d_bin"), "lat").agg(F.count("*").alias("n"))
+    top = n.agg(F.max("n").alias("top"))
+    return n.crossJoin(F.broadcast(top)).select("d_bin", "lat", scaling.density_colour(F.col("n"), F.col("top")).alias("c")).select("d_bin", "lat", "c.*")  # top is one row
+
+
+@query(
+    f"""WITH {SIGNAL}, p AS (SELECT event_id, '/data/recordings/' || fam || '_' || bag || '/part' || frame_idx % 3 || '.db3' AS path, repeat('#', (frame_idx % 12)::INT) || ' ' || repeat('#', (theta % 5)::INT) || '-#' AS line FROM signal)
+SELECT event_id, regexp_extract(path, '(.*recordings/)(\w+)', 1) AS root, regexp_extract(path, '(.*recordings/)(\w+)', 2) AS name,
+array_to_string(list_transform(regexp_extract_all(line, '#+|[^#]+'), lambda r: CASE WHEN r[1] <> '#' THEN r WHEN len(r) < 4 THEN '.' WHEN len(r) < 8 THEN 'o' ELSE '#' END), '') AS marks FROM p"""
+)
+def path_and_marks(spark, sf_dir):
+    """Recording names parsed from paths, and runs in lines of character maps drawn by their length."""
+    path = F.concat(F.lit("/data/recordings/"), "fam", F.lit("_"), "bag", F.lit("/part"), F.col("frame_idx") % 3, F.lit(".db3"))
+    line = F.concat(F.expr("repeat('#', cast(frame_idx % 12 AS int))"), F.lit(" "), F.expr("repeat('#', cast(theta % 5 AS int))"), F.lit("-#"))
+    p = scaling.recording_of(path, "recordings")
+    return signal(spark, sf_dir).select("event_id", p["root"].alias("root"), p["name"].alias("name"), scaling.thinned_marks(line).alias("marks"))
 
 
 @query(

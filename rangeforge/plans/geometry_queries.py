@@ -25,13 +25,13 @@ def r6(c, name):
     return (F.round(c, 6) + F.lit(0.0)).alias(name)
 
 
-@query(f"WITH {POINTS} SELECT bag, frame_idx, -f AS y, lat AS x, ver AS z, f AS fwd FROM points WHERE f BETWEEN 10 AND 20")
+@query(f"WITH {POINTS} SELECT bag, frame_idx, -f AS y, lat AS x, ver AS z, f AS fwd FROM points")
 def canonical_axes(spark, sf_dir):
     from ..config import AxisSpec
 
     cloud = points(spark, sf_dir).select("bag", "frame_idx", (-F.col("f")).alias("y"), F.col("lat").alias("x"), F.col("ver").alias("z"))
     f, _, _ = g.canonical(AxisSpec())
-    return cloud.withColumn("fwd", f).where("fwd BETWEEN 10 AND 20")
+    return cloud.withColumn("fwd", f)
 
 
 @query(f"WITH {POINTS} SELECT bag, frame_idx, f, lat, round(hypot_r, 6) AS r, round(degrees(atan2(lat, f)), 6) + 0.0 AS angle FROM (SELECT *, sqrt(f * f + lat * lat) AS hypot_r FROM points)")
@@ -134,3 +134,84 @@ SELECT event_id, round(degrees(acos(least(abs(0.6 * nx + 0.8 * nz), 1.0))), 4) A
 def incidence_angles(spark, sf_dir):
     theta = F.radians(F.col("theta").cast("double"))
     return signal(spark, sf_dir).select("event_id", F.round(g.incidence(0.6, 0.0, 0.8, F.sin(theta), F.lit(0.0), F.cos(theta)), 4).alias("angle"))
+
+
+POSE = (0.12, -0.2, 0.05)
+
+
+def _pose_sql() -> str:
+    """Entries of Rx(pitch) Ry(yaw) Rz(roll) diag(1, -1, 1) as SQL."""
+    return """r AS (SELECT cos(p) AS cp, sin(p) AS sp, cos(y) AS cy, sin(y) AS sy, cos(r) AS cr, sin(r) AS sr FROM (SELECT 0.12::DOUBLE AS p, -0.2::DOUBLE AS y, 0.05::DOUBLE AS r)),
+m AS (SELECT cy * cr AS m11, cy * sr AS m12, sy AS m13, cp * sr + sp * sy * cr AS m21, -(cp * cr - sp * sy * sr) AS m22, -sp * cy AS m23, sp * sr - cp * sy * cr AS m31, -(sp * cr + cp * sy * sr) AS m32, cp * cy AS m33 FROM r)"""
+
+
+@query(
+    f"""WITH {POINTS}, {_pose_sql()} SELECT bag, frame_idx, f, lat, ver, round(m11 * lat + m12 * ver + m13 * f, 6) + 0.0 AS x, round(m21 * lat + m22 * ver + m23 * f, 6) + 0.0 AS y, round(m31 * lat + m32 * ver + m33 * f, 6) + 0.0 AS z FROM points, m"""
+)
+def camera_pose(spark, sf_dir):
+    """Points turned by a camera's pose."""
+    m = g.rotation(*POSE)
+    x, y, z = (sum(float(m[i, j]) * F.col(c) for j, c in enumerate(("lat", "ver", "f"))) for i in range(3))
+    return points(spark, sf_dir).select("bag", "frame_idx", "f", "lat", "ver", r6(x, "x"), r6(y, "y"), r6(z, "z"))
+
+
+@query(
+    f"""WITH {POINTS}, q AS (SELECT *, lat / f * 900 + 640 AS u0, ver / f * 900 + 360 AS v0, (lat + 1) / (f + 0.5) * 900 + 640 AS u1, (ver + 0.25) / (f + 0.5) * 900 + 360 AS v1 FROM points WHERE f > 0),
+n AS (SELECT *, v0 - v1 AS a, u1 - u0 AS b, sqrt((v0 - v1) ** 2 + (u1 - u0) ** 2) AS n FROM q)
+SELECT bag, frame_idx, f, lat, ver, CASE WHEN n > 0 THEN round(a / n, 6) + 0.0 END AS a, CASE WHEN n > 0 THEN round(b / n, 6) + 0.0 END AS b, CASE WHEN n > 0 THEN round(-(a * u0 + b * v0) / n, 4) + 0.0 END AS c FROM n"""
+)
+def image_lines(spark, sf_dir):
+    """Image of the line through each point in a fixed direction."""
+    line = g.image_line(F.col("lat"), F.col("ver"), F.col("f"), 1.0, 0.25, 0.5, 900.0, 900.0, 640.0, 360.0)
+    return points(spark, sf_dir).where("f > 0").withColumn("l", line).select("bag", "frame_idx", "f", "lat", "ver", r6(F.col("l.a"), "a"), r6(F.col("l.b"), "b"), (F.round("l.c", 4) + 0.0).alias("c"))
+
+
+@query(f"WITH {SIGNAL} SELECT event_id, round(0.3 / sqrt(0.3 ** 2 + 0.9 ** 2), 6) AS a, round(0.9 / sqrt(0.3 ** 2 + 0.9 ** 2), 6) AS b, round((0.2 * d - 0.7) / sqrt(0.3 ** 2 + 0.9 ** 2), 6) + 0.0 AS c FROM signal")
+def plane_traces(spark, sf_dir):
+    """Where a fan's plane meets a wall at each event's distance."""
+    return signal(spark, sf_dir).withColumn("l", g.trace_on_plane(0.3, 0.9, 0.2, 0.7, F.col("d"))).select("event_id", r6(F.col("l.a"), "a"), r6(F.col("l.b"), "b"), r6(F.col("l.c"), "c"))
+
+
+@query(
+    f"""WITH {SIGNAL}, n AS (SELECT event_id, sin(radians(theta)) AS a, 0.3::DOUBLE AS b, cos(radians(theta)) AS c, 0.1::DOUBLE AS d, 1.0::DOUBLE AS e, d / 500 AS f FROM signal),
+x AS (SELECT event_id, b * f - c * e AS x, c * d - a * f AS y, a * e - b * d AS z FROM n), u AS (SELECT event_id, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM x))
+SELECT event_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, CASE WHEN abs(z) > 1e-6 THEN round(x / z * 900 + 640, 3) + 0.0 END AS u, CASE WHEN abs(z) > 1e-6 THEN round(y / z * 900 + 360, 3) + 0.0 END AS v FROM u"""
+)
+def vanishing_points(spark, sf_dir):
+    """Direction in which two planes meet, and the pixel it vanishes in."""
+    theta = F.radians(F.col("theta").cast("double"))
+    p = signal(spark, sf_dir).withColumn("v", g.vanishing_direction((F.sin(theta), F.lit(0.3), F.cos(theta)), (F.lit(0.1), F.lit(1.0), F.col("d") / 500)))
+    u, v = g.vanishing_point(F.col("v"), 900.0, 900.0, 640.0, 360.0)
+    return p.select("event_id", *[r6(F.col(f"v.{c}"), c) for c in "xyz"], (F.round(u, 3) + 0.0).alias("u"), (F.round(v, 3) + 0.0).alias("v"))
+
+
+@query(f"WITH {POINTS} SELECT bag, frame_idx, f, lat, CASE WHEN f > 0.1 THEN floor((400 + lat / f * 300) * 1e4 + 0.500001) / 1e4 END AS u, CASE WHEN f > 0.1 THEN floor((225 - (intensity * 0.0001 - 1.5) / f * 300) * 1e4 + 0.500001) / 1e4 END AS v FROM points")
+def pov_pixels(spark, sf_dir):
+    """The view from the sensor, heights taken from an attribute."""
+    u, v = g.pov(F.col("f"), F.col("lat"), F.col("intensity"), 800.0, 450.0, 300.0, 0.0001, 1.5)
+    return points(spark, sf_dir).select("bag", "frame_idx", "f", "lat", *[(F.floor(c * 1e4 + 0.500001) / 1e4).alias(n) for c, n in ((u, "u"), (v, "v"))])
+
+
+@query(
+    f"""WITH {LINE}, s AS (SELECT event_id, CASE WHEN abs(a) > 1e-12 THEN -c / a END AS x0, CASE WHEN abs(a) > 1e-12 THEN -(b * 480 + c) / a END AS x1, CASE WHEN abs(b) > 1e-12 THEN -c / b END AS y0, CASE WHEN abs(b) > 1e-12 THEN -(a * 640 + c) / b END AS y1 FROM lines),
+q AS (SELECT event_id, x0 AS x, 0.0::DOUBLE AS y FROM s WHERE x0 BETWEEN 0 AND 640 UNION ALL SELECT event_id, x1, 480.0 FROM s WHERE x1 BETWEEN 0 AND 640 UNION ALL SELECT event_id, 0.0, y0 FROM s WHERE y0 BETWEEN 0 AND 480 UNION ALL SELECT event_id, 640.0, y1 FROM s WHERE y1 BETWEEN 0 AND 480),
+e AS (SELECT event_id, min(struct_pack(x := x, y := y)) AS p, max(struct_pack(x := x, y := y)) AS q FROM q GROUP BY event_id HAVING count(*) >= 2)
+SELECT event_id, round(p.x, 3) + 0.0 AS x0, round(p.y, 3) + 0.0 AS y0, round(q.x, 3) + 0.0 AS x1, round(q.y, 3) + 0.0 AS y1 FROM e"""
+)
+def clipped_lines(spark, sf_dir):
+    """Lines cut to an image's border."""
+    c = _lines(spark, sf_dir).withColumn("p", g.clip_line(F.col("line"), 640.0, 480.0)).where("p IS NOT NULL")
+    at = lambda i, n: (F.round(F.col("p")[i][n], 3) + 0.0).alias(f"{n}{i}")
+    return c.select("event_id", at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))
+
+
+@query(
+    f"""WITH {SIGNAL} SELECT event_id, round(sqrt(d * d + theta * theta), 6) AS r, round(CASE WHEN x < 0 THEN x + 360 ELSE x END, 6) AS b FROM (SELECT *, degrees(atan2(theta - 180, d - 100)) AS x FROM signal)"""
+)
+def sql_functions(spark, sf_dir):
+    """The functions that are registered for SQL."""
+    from ..functions import registered
+
+    registered.register(spark)
+    signal(spark, sf_dir).createOrReplaceTempView("rangeforge_signal")
+    return spark.sql("SELECT event_id, round(polar_range(d, theta), 6) AS r, round(bearing_about(d, theta, 100D, 180D), 6) AS b FROM rangeforge_signal")

@@ -51,7 +51,11 @@ def shadow_objects(spark, sf_dir):
 DILATED = "dil AS (SELECT DISTINCT bag, frame_idx, iu + a AS iu, iv + b AS iv FROM states, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) WHERE st = 1)"
 
 
-@query(f"WITH {CELLS}, {DILATED} SELECT bag, frame_idx, iu, iv FROM dil a WHERE (SELECT count(*) FROM dil b WHERE a.bag = b.bag AND a.iu = b.iu AND a.iv = b.iv AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx) = 3")
+@query(
+    f"""WITH {CELLS}, {DILATED}, fst AS (SELECT bag, min(frame_idx) AS first FROM states WHERE st = 1 GROUP BY bag)
+SELECT bag, frame_idx, iu, iv FROM dil a JOIN fst USING (bag) WHERE frame_idx >= first + 2 AND (SELECT count(*) FROM dil b WHERE a.bag = b.bag AND a.iu = b.iu AND a.iv = b.iv AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx) = 3
+UNION ALL SELECT bag, frame_idx, iu, iv FROM states JOIN fst USING (bag) WHERE st = 1 AND frame_idx < first + 2"""
+)
 def stable_cells_3(spark, sf_dir):
     return w.stable_cells(states(spark, sf_dir).where("st = 1"), "bag")
 
@@ -152,13 +156,16 @@ def sharp_drop(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SIGNAL}, c AS (SELECT bag, theta // 4 AS col, floor(d / 5)::BIGINT AS row_d, fam FROM signal)
+    f"""WITH {SIGNAL}, c AS (SELECT bag, theta // 4 AS col, floor(d / 5)::BIGINT AS row_d, fam FROM signal JOIN (SELECT bag, max(d) * 0.8 AS wall FROM signal GROUP BY bag) USING (bag) WHERE floor(d / 5) < ceil((wall + 0.3) / 5))
 SELECT bag, col, arg_min(struct_pack(row_d := row_d, fam := fam), struct_pack(row_d := row_d, k := list_position(['click', 'error', 'purchase', 'signup', 'view'], fam))).row_d AS row_d,
 arg_min(struct_pack(row_d := row_d, fam := fam), struct_pack(row_d := row_d, k := list_position(['click', 'error', 'purchase', 'signup', 'view'], fam))).fam AS fam FROM c GROUP BY ALL"""
 )
 def first_lit_contour(spark, sf_dir):
-    c = signal(spark, sf_dir).select("bag", F.floor(F.col("theta") / 4).alias("col"), F.floor(F.col("d") / 5).alias("row_d"), "fam")
-    return w.first_lit(c, ["bag"], "col", "row_d", "fam", ["click", "error", "purchase", "signup", "view"])
+    """Nearest lit row of each column, up to 0.3 m behind the wall."""
+    s = signal(spark, sf_dir)
+    c = s.select("bag", F.floor(F.col("theta") / 4).alias("col"), F.floor(F.col("d") / 5).alias("row_d"), "fam")
+    walls = s.groupBy("bag").agg(F.ceil((F.max("d") * 0.8 + 0.3) / 5).alias("last_row"))
+    return w.first_lit(c, ["bag"], "col", "row_d", "fam", ["click", "error", "purchase", "signup", "view"], walls)
 
 
 def _crossing(agg: str) -> str:
