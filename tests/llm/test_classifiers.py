@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from rangeforge.llm.language_id import START, Model, Trees, identify_languages, learn_languages, op10_language_id, sample_texts
-from rangeforge.llm.quality_rank import NAMES, features, fit_ranking, learn_quality, op9_quality_rank, score_quality
+from rangeforge.llm.quality_rank import HASHED, NAMES, RIDGE, SEED, content, described, features, fit_ranking, learn_quality, op9_quality_rank, score_quality
 
 SF = "/root/testdata/sf0.01"
 TEXTS = {"en": [b"the cat and the hat are on the mat. " * 9, b"this is that and then there"], "de": ["der über die straße und das haus ist groß ".encode() * 9]}
@@ -86,6 +86,11 @@ def test_language_odd_rows(spark):
 def test_quality_query(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = op9_quality_rank(spark, SF).collect()
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    learned = [(t, labels[d]) for d, t in texts if d in labels and zlib.crc32(str(d).encode()) % 3 != 1]
+    plain = fit_ranking(described([t for t, _ in learned]), np.array([y == 1 for _, y in learned]))
+    score = dict(zip((d for d, _ in texts), plain.score(described([t for _, t in texts])).tolist(), strict=True))
+    assert all(abs(r.score - score[r.doc_id]) < 1e-4 for r in rows)
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
@@ -93,10 +98,41 @@ def test_quality_query(spark):
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)
 
 
+def test_content_against_plain_counts():
+    words = "the cat the hat Ünder the cat".encode().split()
+    h = [zlib.crc32(w) for w in words]
+    pairs = [((a ^ (b >> 7) ^ (b << 25 & 0xFFFFFFFF)) * 2654435761 & 0xFFFFFFFF) >> 24 for a, b in zip(h, h[1:], strict=False)]
+    want = [math.sqrt(sum(x % HASHED == k for x in h) / 7) for k in range(HASHED)] + [math.sqrt(sum(x % HASHED == k for x in pairs) / 6) for k in range(HASHED)]
+    assert np.allclose(content("the cat  the hat\nÜnder the\tcat"), want) and not content("").any() and content("one").sum() == 1
+
+
+def test_ranking_against_plain_loss():
+    """The fit is near the least loss over its pairs, weights find what told the labels apart, and scores are the logistic of the distance to the quantile."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    true = np.array([2.0, -1.0, 0.5, 0, 0, 0])
+    good = x @ true + rng.logistic(size=300) > 0
+    ranking = fit_ranking(x, good, pairs=3000)
+    draw = np.random.default_rng(SEED)
+    pairs = list(zip(draw.choice(np.flatnonzero(good), 3000).tolist(), draw.choice(np.flatnonzero(~good), 3000).tolist(), strict=True))
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6).astype(float)
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-float((z[a] - z[b]) @ w))) for a, b in pairs) / len(pairs) + RIDGE / 2 * float(w @ w)
+
+    w = ranking.weights.astype(float)
+    least = loss(w)
+    assert least < loss(np.zeros(6)) and all(loss(w + 0.3 * step / np.linalg.norm(step)) > least for step in rng.normal(size=(12, 6)))
+    strength = z @ w
+    threshold = np.quantile(strength, 1 - good.mean())
+    spread = np.median(np.abs(strength - threshold)) / 3
+    assert np.allclose(ranking.score(x), 1 / (1 + np.exp(-np.clip((strength - threshold) / spread, -30, 30))), atol=1e-4)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "word " * 30000, 3), (None, "a b", None), (3, "again", 3)], "doc_id long, text string, score int")
     rng = np.random.default_rng(0)
-    x = np.array([features(" ".join(rng.choice(["a", "bb", "***", "CCC"], 20))) for _ in range(60)])
+    x = described([" ".join(rng.choice(["a", "bb", "***", "CCC"], 20)) for _ in range(60)])
     ranking = fit_ranking(x, x[:, NAMES.index("symbols")] < 1.0)
     assert len(score_quality(docs, ranking).collect()) == 5 and {r.score for r in score_quality(docs, None).collect()} == {0.5}
     assert fit_ranking(x, np.ones(60, bool)) is None
