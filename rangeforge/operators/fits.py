@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from .ordered import added
 
 
 def inverse_fit(rows: DataFrame, keys: list[str], d: str, y: str) -> DataFrame:
@@ -46,16 +47,12 @@ def isotonic_values(y: np.ndarray) -> np.ndarray:
 
 
 def isotonic(rows: DataFrame, keys: list[str], order: str, y: str, *, rising: bool = True) -> DataFrame:
-    """rows with `fit`, monotone along `order` in each key."""
-    ship_package(rows.sparkSession)
+    """rows with `fit`, monotone along `order` in each key. Many keys are fitted a batch."""
+    def fit(v) -> list:
+        v = v.to_numpy(float)
+        return [isotonic_values(v) if rising else -isotonic_values(-v)]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        v = pdf[y].to_numpy(float)
-        return pdf.assign(fit=isotonic_values(v) if rising else -isotonic_values(-v))
-
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(fit, f"{kinds}, fit double")
+    return added(rows, keys, [order], [y], fit, "fit double")
 
 
 def local_quality(nodes: DataFrame, span: float = 1.5, slope_weight: float = 150.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grids import LIT
+from .ordered import carried
 
 
 def global_consensus(states: DataFrame, keys: list[str], frac: float) -> DataFrame:
@@ -72,22 +73,19 @@ def background_median(rows: DataFrame, keys: list[str], order: str, value: str,
 
 
 def ema_with_reset(rows: DataFrame, key: str, order: str, value: str, miss: Column, keep: float = 0.7, patience: int = 30) -> DataFrame:
-    """(key, order, ema): smoothed value after each row; a miss leaves it, more than `patience` misses in a row clear it.
-
-    Misses are numbered with windows; the fold runs over one array for each
-    stretch between clearings, so an array holds a stretch, not a recording.
-    """
-    by = Window.partitionBy(key).orderBy(order)
-    marked = rows.select(key, order, (~miss).alias("hit"), F.when(~miss, F.col(value)).alias("x"))
-    marked = marked.withColumn("hits", F.sum(F.col("hit").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.row_number().over(Window.partitionBy(key, "hits").orderBy(order)) - F.when(F.col("hits") > 0, 1).otherwise(0)
-    marked = marked.withColumn("misses", run)
-    cleared = F.when(F.col("misses") == patience + 1, 1).otherwise(0)
-    marked = marked.withColumn("stretch", F.sum(cleared).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    step = lambda a, r: F.struct(F.coalesce(keep * a["e"] + (1 - keep) * r["x"], r["x"], a["e"]).alias("e"), F.concat(a["out"], F.array(F.struct(r[order].alias(order), F.coalesce(keep * a["e"] + (1 - keep) * r["x"], r["x"], a["e"]).alias("ema")))).alias("out"))
-    empty = F.struct(F.lit(None).cast("double").alias("e"), F.expr(f"cast(array() AS array<struct<{order}:{dict(rows.dtypes)[order]},ema:double>>)").alias("out"))
-    folded = marked.groupBy(key, "stretch").agg(F.sort_array(F.collect_list(F.struct(order, "x"))).alias("s")).select(key, F.aggregate("s", empty, step)["out"].alias("out"))
-    return folded.select(key, F.inline("out"))
+    """(key, order, ema): smoothed value after each row; a miss leaves it, more than `patience` misses in a row clear it. Rows pass in order, with two numbers carried on."""
+    marked = rows.select(key, order, F.when(~miss, F.col(value)).cast("double").alias("_x"))
+
+    def step(state: tuple, x: float | None) -> tuple:
+        ema, misses = state
+        if x is None:
+            misses += 1
+            ema = None if misses > patience else ema
+        else:
+            ema, misses = x if ema is None else keep * ema + (1 - keep) * x, 0
+        return (ema, misses), ema
+
+    return carried(marked, [key], [order], ["_x"], lambda: (None, 0), step, "ema double").drop("_x")
 
 
 def runs(rows: DataFrame, keys: list[str], position: str, set_: Column) -> DataFrame:

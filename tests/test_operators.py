@@ -132,3 +132,19 @@ def test_canvas(spark):
     assert online.canvas(pts, 30.0, 0.5, 0.1).u_lo < 0
     with pytest.raises(ValueError, match="canvas"):
         online.canvas(pts, 60.0, 0.5, 0.1)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_groups_over_batches(size):
+    """Whole groups whatever the batches, null keys among them."""
+    import pyarrow as pa
+
+    from rangeforge.operators.ordered import whole_groups
+
+    rows = pa.record_batch({"k": pa.array([1, 1, 1, 1, 1, None, None, 2, 3, 3]), "v": pa.array(range(10))})
+    batches = [rows.slice(i, size) for i in range(0, 10, size)]
+    groups = []
+    for batch, starts in whole_groups(iter([rows.slice(0, 0), *batches]), ["k"]):
+        v = batch.column(1).to_pylist()
+        groups += [v[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True)]
+    assert groups == [[0, 1, 2, 3, 4], [5, 6], [7], [8, 9]] and not list(whole_groups(iter([]), ["k"]))
