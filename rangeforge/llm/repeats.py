@@ -10,16 +10,19 @@ occurrences the parse:
 1. Phrases seen twice in the corpus: all their windows are repeated.
 2. Phrases seen once whose trigger block stands in no other phrase: no window
    of theirs is repeated.
-3. Of the others, each distinct phrase gives its windows once to a dictionary of
-   suffixes, put in order by a 64-bit digest of their first LENGTH bytes; equal
-   neighbours in that order are repeated. Equality is all that is asked, so
-   digest order takes the place of byte order.
-
+3. Of the others, each distinct phrase gives its windows once a task to a
+   dictionary of suffixes, put in order by a digest of their first LENGTH bytes;
+   equal neighbours in that order are repeated. Equality is all that is asked,
+   so digest order takes the place of byte order.
+
+Every count is taken in parts first, phrases and windows by some million of a
+task, so that a passage that stands in a third of all texts sends a few rows a
+task.
 Texts travel once, in compressed blocks of some hundred kilobytes; what is known
 of a block's phrases and windows comes to it by its number.
 
-Digests combine two polynomial hashes with random byte values, so a false match
-needs a 64-bit collision; phrases are digested whole.
+Digests are made of two polynomial hashes with random byte values: 128 bits for
+phrases, which are digested whole, and 96 for windows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, table, text_or_empty
 
@@ -42,8 +46,8 @@ GRAM = 8
 PART = 1 << 19
 #: Bytes of texts in a block; a longer text is a block of its own.
 BLOCK = 1 << 17
-#: Windows that a task sorts and packs together.
-PACK = 1 << 20
+#: Windows that a task sorts and packs together; bytes of texts to a lane of the windows' order.
+PACK, LANE = 1 << 20, 1 << 22
 _PLACE = np.uint64((1 << 20) - 1)
 _ODD = np.random.default_rng(99).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,11 +73,12 @@ def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """length: of a repeated string; block: bytes from a trigger on that are compared first; part and texts: bounds on what is looked at and packed together."""
+    """length: of a repeated string; block: bytes from a trigger on that are compared first; part, texts and pack: bounds on what is looked at and packed together."""
 
     length: int = LENGTH
     part: int = PART
     texts: int = BLOCK
+    pack: int = PACK
 
     @property
     def block(self) -> int:
@@ -98,16 +103,16 @@ class Part:
         values, powers, self.inverses = _tables()
         self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v[data] * p[:n])]) for v, p in zip(values, powers, strict=True)]
 
-    def digest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = ((s[hi] - s[lo]) * i[lo] for s, i in zip(self.sums, self.inverses, strict=True))
-        return _mix(a ^ _mix(b, 1), 2)
+        return _mix(a ^ _mix(b, 1), 2), _mix(b ^ _mix(a, 5), 6)
 
     def phrases(self) -> tuple[np.ndarray, ...]:
-        """(text, first window, last window, trigger, phrase digest, block digest); windows and triggers by their place in the text."""
+        """(text, first window, last window, trigger, both phrase digests, block digest); windows and triggers by their place in the text."""
         n, length, reach = self.n, self.shape.length, self.shape.reach
         none = np.zeros(0, np.int64)
         if n < length:
-            return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+            return none, none, none, none, *[none.astype(np.uint64)] * 3
         grams = np.ndarray((n,), "<u8", self.raw + bytes(GRAM), strides=(1,))
         least = (_mix(grams * _ODD[3], 4) & ~_PLACE) | np.arange(n, dtype=np.uint64)
         width = 1
@@ -120,15 +125,15 @@ class Part:
         at = np.arange(n - length + 1)
         at = at[owner[at] == owner[at + length - 1]]
         if not len(at):
-            return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+            return none, none, none, none, *[none.astype(np.uint64)] * 3
         trigger = (least[at] & _PLACE).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1)]))
         first, last, trigger = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], trigger[new]
         place = (trigger - first).astype(np.uint64) * _ODD[0] + (last - first).astype(np.uint64) * _ODD[1]
-        phrase = _mix(self.digest(first, last + length) + place, 3)
+        phrase = [_mix(d + place, 3) for d in self.digests(first, last + length)]
         text = owner[first]
         base = self.starts[text]
-        return text, first - base, last - base, trigger - base, phrase, self.digest(trigger, trigger + self.shape.block)
+        return text, first - base, last - base, trigger - base, *phrase, self.digests(trigger, trigger + self.shape.block)[0]
 
 
 def _parts(texts: list[bytes], shape: Shape) -> Iterator[tuple[list[int], list[int], Part]]:
@@ -179,31 +184,50 @@ def _blocks(batches: Iterable[pa.RecordBatch], shape: Shape) -> Iterator[tuple[i
 
 
 def _dictionary(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(t, b, n, block): distinct phrases of each block; n is 2 for one that the block holds more than once."""
+    """(t, u, b, n, blocks): distinct phrases of some consecutive blocks and the blocks that hold them; n is 2 for one that stands there more than once."""
+
+    def counted(held: list[tuple]) -> pa.RecordBatch:
+        t, u, b, block = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(t, kind="stable")
+        t, u, b, block = t[order], u[order], b[order], block[order]
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        first = np.flatnonzero(new)
+        n = np.minimum(np.diff(np.append(first, len(t))), 2).astype(np.int32)
+        kept = new | np.concatenate([[True], block[1:] != block[:-1]])
+        starts = np.append(np.cumsum(kept)[first] - 1, kept.sum()).astype(np.int32)
+        blocks = pa.ListArray.from_arrays(pa.array(starts), pa.array(block[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(t[first].view(np.int64)), pa.array(u[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n), blocks], names=["t", "u", "b", "n", "blocks"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for number, block in _blocks(batches, shape):
-            found = [part.phrases()[4:] for _, part in block.parts()]
-            t, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            t, at, n = np.unique(t, return_index=True, return_counts=True)
-            columns = [t.view(np.int64), b[at].view(np.int64), np.minimum(n, 2).astype(np.int32), np.full(len(t), number)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "b", "n", "block"])
+            for _, part in block.parts():
+                t, u, b = part.phrases()[4:]
+                held.append((t, u, b, np.full(len(t), number)))
+                size += len(t)
+            if size > shape.pack:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
 
-    return docs.mapInArrow(gather, "t long, b long, n int, block long")
+    return docs.mapInArrow(gather, "t long, u long, b long, n int, blocks array<long>")
 
 
 def _marks(docs: DataFrame, shape: Shape) -> DataFrame:
     """(block, repeated, shared): phrases of a block that are repeated, and those whose trigger block other phrases have too.
 
-    Phrases are dealt by their trigger block, so one exchange serves both counts.
+    Phrases are dealt by their trigger block, so one exchange serves both
+    counts. What a task holds more than once has been counted there.
     """
-    same_b, same_t = Window.partitionBy("b"), Window.partitionBy("b", "t")
+    same_b, same_t = Window.partitionBy("b"), Window.partitionBy("b", "t", "u")
     told = (
         _dictionary(docs, shape)
         .repartition("b")
-        .withColumns({"copies": F.sum("n").over(same_t), "kind": F.dense_rank().over(same_b.orderBy("t"))})
+        .withColumns({"copies": F.sum("n").over(same_t), "kind": F.dense_rank().over(same_b.orderBy("t", "u"))})
         .withColumn("kinds", F.max("kind").over(same_b))
         .where("copies > 1 OR kinds > 1")
+        .select("t", "copies", "kinds", F.explode("blocks").alias("block"))
     )
     pick = lambda test: F.collect_list(F.when(test, F.col("t")))
     return told.groupBy("block").agg(pick(F.col("copies") > 1).alias("repeated"), pick(F.col("kinds") > 1).alias("shared"))
@@ -211,6 +235,7 @@ def _marks(docs: DataFrame, shape: Shape) -> DataFrame:
 
 def _texts(docs: DataFrame, shape: Shape) -> DataFrame:
     """(block, ids, sizes, z): each block's texts, compressed together."""
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -220,7 +245,6 @@ def _texts(docs: DataFrame, shape: Shape) -> DataFrame:
             columns = [pa.array([number]), pa.array([block.doc_ids], pa.list_(id_type)), pa.array([[len(r) for r in block.raws]], pa.list_(pa.int64())), pa.array([z.compress(b"".join(block.raws))], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "z"])
 
-    id_type = pa.int64() if docs.schema["doc_id"].dataType.simpleString() == "bigint" else pa.int32() if docs.schema["doc_id"].dataType.simpleString() == "int" else pa.string()
     return docs.mapInArrow(shrink, f"block long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, sizes array<long>, z binary")
 
 
@@ -249,26 +273,44 @@ def _numbers(data: bytes, count: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, count).T).view(kind).ravel()
 
 
-def _pack(w: np.ndarray, block: np.ndarray, at: np.ndarray, lanes: int) -> pa.RecordBatch:
-    """Windows in digest order, cut into lanes by their first bits and packed: steps of digests, places in a table of blocks, offsets."""
+def _pack(w: np.ndarray, x: np.ndarray, block: np.ndarray, at: np.ndarray, lanes: int) -> pa.RecordBatch:
+    """Windows in digest order, those that are alike once, cut into lanes by their first bits and packed: steps of digests, places in a table of blocks, offsets.
+
+    Windows that are alike here are known to be repeated: they go by their
+    blocks to lanes behind the others.
+    """
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    order = np.argsort(w)
-    w, block, at = w[order], block[order], at[order].astype(np.uint32)
+    order = np.argsort(w, kind="stable")
+    if (w[order][1:] == w[order][:-1])[x[order][1:] != x[order][:-1]].any():
+        order = np.lexsort((x, w))
+    w, x, block, at = w[order], x[order], block[order], at[order].astype(np.uint32)
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])])
+    first = np.flatnonzero(new)
+    alone = np.diff(np.append(first, len(w))) == 1
+    known = np.repeat(~alone, np.diff(np.append(first, len(w)))) & (block >= 0)
+    names, blobs = [], []
+    own = np.where(known, lanes + block % lanes, -1)[known]
+    by_lane = np.argsort(own, kind="stable")
+    own, hit_block, hit_at = own[by_lane], block[known][by_lane], at[known][by_lane]
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        names.append(int(own[lo]))
+        blobs.append(z.compress(np.int64(hi - lo).tobytes() + hit_block[lo:hi].tobytes() + hit_at[lo:hi].tobytes()))
+    w, x, at, block = w[first], x[first], at[first], np.where(alone, block[first], -1)
     lane = ((w >> np.uint64(32)) * np.uint64(lanes) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(lane, np.arange(lanes + 1))
-    names, blobs = [], []
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         lo, hi = cuts[k], cuts[k + 1]
-        known, place = np.unique(block[lo:hi], return_inverse=True)
+        tell, place = np.unique(block[lo:hi], return_inverse=True)
         steps = np.diff(w[lo:hi], prepend=np.uint64(0))
         names.append(k)
-        blobs.append(z.compress(np.array([hi - lo, len(known)], np.int64).tobytes() + known.tobytes() + _planes(steps) + _planes(place.astype(np.uint32)) + _planes(at[lo:hi])))
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["lane", "windows"])
+        blobs.append(z.compress(np.array([hi - lo, len(tell)], np.int64).tobytes() + tell.tobytes() + _planes(steps) + _planes(place.astype(np.uint32)) + _planes(at[lo:hi]) + x[lo:hi].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["lane", "windows"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
@@ -277,48 +319,55 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(n)
     w = np.cumsum(_numbers(data[at : at + 8 * n], n, "<u8"))
     place = _numbers(data[at + 8 * n : at + 12 * n], n, "<u4")
-    return w, known[place], _numbers(data[at + 12 * n :], n, "<u4").astype(np.int64)
+    return w, np.frombuffer(data, np.uint32, n, at + 16 * n), known[place], _numbers(data[at + 12 * n : at + 16 * n], n, "<u4").astype(np.int64)
+
+
+def _unpack_known(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n).astype(np.int64)
 
 
 def _windows(marked: DataFrame, shape: Shape, lanes: int) -> DataFrame:
-    """(lane, windows): windows that may be repeated, of phrases seen once; those of repeated phrases once a task, as block -1."""
+    """(lane, windows): windows of shared phrases; those of repeated phrases, which need no answer, as block -1."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, told = [], 0, set()
         for number, block, (repeated, shared) in _unpacked(batches, shape):
             for shift, part in block.parts():
-                text, lo, hi, _, t, _ = part.phrases()
+                text, lo, hi, _, t, _, _ = part.phrases()
                 open_, again = _in(t, shared), _in(t, repeated)
-                fresh = np.zeros(len(t), bool)
-                for k in np.flatnonzero(open_ & again).tolist():
-                    if t[k] not in told:
-                        told.add(t[k])
-                        fresh[k] = True
-                chosen = np.flatnonzero((open_ & ~again) | fresh)
+                # A repeated phrase needs no answer and is sent once a task.
+                fresh = [k for k in np.flatnonzero(open_ & again).tolist() if t[k] not in told and not told.add(t[k])]
+                chosen = np.sort(np.concatenate([np.flatnonzero(open_ & ~again), np.array(fresh, np.int64)]))
                 if not len(chosen):
                     continue
                 count = (hi - lo + 1)[chosen]
                 first = lo[chosen] + part.starts[text[chosen]]
                 at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                whose, named = np.repeat(text[chosen], count), np.repeat(~fresh[chosen], count)
-                held.append((part.digest(at, at + shape.length), np.where(named, number, -1), np.where(named, at - part.starts[whose] + shift[whose], 0)))
+                whose, named = np.repeat(text[chosen], count), np.repeat(~again[chosen], count)
+                w, x = part.digests(at, at + shape.length)
+                held.append((w, (x >> np.uint64(32)).astype(np.uint32), np.where(named, number, -1), np.where(named, at - part.starts[whose] + shift[whose], 0)))
                 size += len(at)
-            if size > PACK:
-                yield _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes)
-                held, size, told = [], 0, told if len(told) < PACK else set()
+            if size > shape.pack:
+                yield _pack(*(np.concatenate(c) for c in zip(*held, strict=True)), lanes)
+                held, size, told = [], 0, told if len(told) < shape.pack else set()
         if held:
-            yield _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes)
+            yield _pack(*(np.concatenate(c) for c in zip(*held, strict=True)), lanes)
 
-    return marked.mapInArrow(suffixes, "lane int, windows binary")
+    return marked.mapInArrow(suffixes, "lane long, windows binary")
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """(block, ats): windows with an equal neighbour in the digest order of their lane."""
+def _repeated(windows: DataFrame, lanes: int) -> DataFrame:
+    """(block, ats): windows with an equal neighbour in the digest order of their lane, and those known already."""
 
     def equal_neighbours(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        w, block, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        order = np.argsort(w, kind="stable")
-        same = np.concatenate([[False], w[order][1:] == w[order][:-1], [False]])
+        w, x, block, at = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
+        order = np.lexsort((x, w))
+        w, x = w[order], x[order]
+        same = np.concatenate([[False], (w[1:] == w[:-1]) & (x[1:] == x[:-1]), [False]])
         hit = order[(same[1:] | same[:-1]) & (block[order] >= 0)]
         return block[hit], at[hit]
 
@@ -330,17 +379,21 @@ def _repeated(windows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(known), ats], names=["block", "ats"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lane, hits = [], None, []
+        held, lane, hits, size = [], None, [], 0
         for batch in batches:
             for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own != lane and held:
                     hits.append(equal_neighbours(held))
-                    held = []
-                    if sum(len(b) for b, _ in hits) > PACK:
-                        yield by_block(hits)
-                        hits = []
+                    held, size = [], size + len(hits[-1][0])
                 lane = own
-                held.append(blob)
+                if own >= lanes:
+                    hits.append(_unpack_known(blob))
+                    size += len(hits[-1][0])
+                else:
+                    held.append(blob)
+                if size > PACK:
+                    yield by_block(hits)
+                    hits, size = [], 0
         if held:
             hits.append(equal_neighbours(held))
         if hits:
@@ -360,18 +413,20 @@ def cut_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    lanes = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("doc_id", text_or_empty().alias("text"))
+    lanes = 64 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // LANE
     texts = _texts(docs, shape)
     marked = texts.join(_marks(docs, shape), "block", "left").select("block", "ids", "sizes", "z", "repeated", "shared")
-    hits = _repeated(_windows(marked, shape, lanes)).groupBy("block").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+    hits = _repeated(_windows(marked, shape, lanes), lanes).groupBy("block").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, (repeated, ats) in _unpacked(batches, shape):
             edge = np.zeros(int(block.base[-1]) + 1, np.int64)
             if len(repeated):
                 for shift, part in block.parts():
-                    text, lo, hi, _, t, _ = part.phrases()
+                    text, lo, hi, _, t, _, _ = part.phrases()
                     own = np.flatnonzero(_in(t, repeated))
                     np.add.at(edge, (lo + shift[text])[own], 1)
                     np.add.at(edge, (hi + shift[text])[own] + shape.length, -1)
@@ -387,7 +442,7 @@ def cut_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                 else:
                     rows.append((doc_id, len(raw), [], raw))
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]) if any(x is not None for x in columns[0]) else pa.nulls(len(rows), pa.int64()), pa.array(columns[1]), pa.array(columns[2], _SPANS), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), pa.array(columns[1]), pa.array(columns[2], _SPANS), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = marked.join(hits, "block", "left").select("block", "ids", "sizes", "z", "repeated", "ats")
     return joined.mapInArrow(remove, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

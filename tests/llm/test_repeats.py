@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from rangeforge.llm import repeats
 from rangeforge.llm.repeats import Shape, cut_repeats, op4_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +61,29 @@ def test_brute_force(spark, length, part):
     assert got == {r[0]: e for r, e in zip(rows, expected, strict=True)}
 
 
+def test_small_packs_and_other_ids(spark):
+    """Windows alike within a task, over tasks, and in phrases that are repeated themselves; ids that are no numbers."""
+    texts = corpus(3)
+    rows = [(f"id{i}" if i % 7 else None, t, "extra") for i, t in enumerate([*texts, *texts[:9]])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, block string").repartition(3).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = sorted(((d, *e) for (d, _), e in zip(rows, brute([t for _, t in rows], 40), strict=True)), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in cut_repeats(docs, Shape(40, 1 << 19, 700, 500)).collect()), key=str)
+    assert got == expected
+
+
+def test_equal_first_digests_are_told_apart():
+    """Windows whose first digests collide: only those equal in the second one too are repeated."""
+    w, x = np.array([5, 5, 5, 9, 9, 7], np.uint64), np.array([1, 2, 1, 3, 4, 6], np.uint32)
+    block, at = np.array([10, 11, 12, 13, 14, 15]), np.array([0, 1, 2, 3, 4, 5])
+    out = repeats._pack(w, x, block, at, 1)
+    lanes = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    hits = [np.array(v).tolist() for k, b in lanes.items() if k >= 1 for v in repeats._unpack_known(b)]
+    assert sorted(map(tuple, np.array(hits).T.tolist())) == [(10, 0), (12, 2)]
+    got = repeats._unpack(lanes[0])
+    assert sorted(zip(*(v.tolist() for v in got), strict=True)) == [(5, 1, -1, 0), (5, 2, 11, 1), (7, 6, 15, 5), (9, 3, 13, 3), (9, 4, 14, 4)]
+
+
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     expected = {d.doc_id: (n, sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest()) for d, (n, s, k) in zip(docs, brute([d.text for d in docs], 200), strict=True)}
