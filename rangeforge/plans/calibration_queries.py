@@ -45,7 +45,7 @@ def density_colours(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SIGNAL}, p AS (SELECT event_id, '/data/recordings/' || fam || '_' || bag || '/part' || frame_idx % 3 || '.db3' AS path, repeat('#', (frame_idx % 12)::INT) || ' ' || repeat('#', (theta % 5)::INT) || '-#' AS line FROM signal)
+    rf"""WITH {SIGNAL}, p AS (SELECT event_id, '/data/recordings/' || fam || '_' || bag || '/part' || frame_idx % 3 || '.db3' AS path, repeat('#', (frame_idx % 12)::INT) || ' ' || repeat('#', (theta % 5)::INT) || '-#' AS line FROM signal)
 SELECT event_id, regexp_extract(path, '(.*recordings/)(\w+)', 1) AS root, regexp_extract(path, '(.*recordings/)(\w+)', 2) AS name,
 array_to_string(list_transform(regexp_extract_all(line, '#+|[^#]+'), lambda r: CASE WHEN r[1] <> '#' THEN r WHEN len(r) < 4 THEN '.' WHEN len(r) < 8 THEN 'o' ELSE '#' END), '') AS marks FROM p"""
 )
