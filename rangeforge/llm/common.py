@@ -33,8 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
+    """Writes the rows to the shared checkpoint folder and cuts the lineage there.
+
+    What was shuffled for earlier cuts is of no more use, but Spark keeps the
+    files until the driver's references to them are collected, which may take
+    half an hour. They are collected here, so that a loop holds the files of its
+    last rounds only.
+    """
     shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
