@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fill_middle import OP11_SQL, op11_fill_middle
 from .language_id import op10_language_id
 from .packing import op2_packing
 from .quality_rank import op9_quality_rank
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rank": op9_quality_rank,
     "op10_language_id": op10_language_id,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op4_repeats": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
