@@ -6,6 +6,7 @@ from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fill_middle import OP11_SQL, op11_fill_middle
 from .language_id import op10_language_id
+from .ngram_join import op12_ngram_join
 from .packing import op2_packing
 from .quality_rank import op9_quality_rank
 from .quality_rules import OP6_SQL, op6_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rank": op9_quality_rank,
     "op10_language_id": op10_language_id,
     "op11_fill_middle": op11_fill_middle,
+    "op12_ngram_join": op12_ngram_join,
 }
 
 ORACLE_SQL = {
