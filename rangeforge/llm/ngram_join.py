@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, joined_by_hot_keys, small_batches, table
 from .components import component_roots
-from .simhash import shingle_hashes
 
 WORDS, PERCENT = 3, 90
 #: Bits of the parity sketch.
@@ -49,9 +49,41 @@ ROWS_AT_ONCE = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes, in order; a text of fewer words is one shingle, one without words has none."""
-    return np.unique(shingle_hashes(text or "", words))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in order; a text of fewer words is one shingle, one without words has none.
+
+    Each different word is hashed once a batch (XXH64), and a shingle's hash is made of its words'.
+    """
+    import xxhash
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = pc.list_flatten(split)
+    spoken = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(spoken)])[np.concatenate([[0], np.cumsum(lengths)])]
+    coded = flat.dictionary_encode()
+    hashed = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    word = hashed[coded.indices.to_numpy()[spoken]] if len(hashed) else np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        runs = np.zeros(max(0, len(word) - words + 1), np.uint64)
+        for k in range(words):
+            runs = _mixed(runs + word[k : k + len(runs)] + np.uint64(k))
+        sets = []
+        for lo, hi in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            if hi - lo >= words:
+                sets.append(np.unique(runs[lo : hi - words + 1]))
+            else:
+                h = np.full(min(1, hi - lo), hi - lo, np.uint64)
+                for w in word[lo:hi]:
+                    h = _mixed(h * _MIX + w)
+                sets.append(h)
+    return sets
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -83,7 +115,7 @@ def _prints(rows: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             schema = batch.schema
-            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0), words)
             digests = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in sets]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(sets), pa.binary())], names=names)
             held += sets
@@ -121,8 +153,7 @@ def _prefixes(rows: DataFrame, words: int, percent: int, hot) -> DataFrame:
         last = hot.value
         for batch in batches:
             prefixes, parities = [], []
-            for text in batch.column(0).to_pylist():
-                h = shingle_set(text, words)
+            for h in shingle_sets(batch.column(0), words):
                 late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
                 prefixes.append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h), percent)].tobytes() if len(h) else b"")
                 parities.append(_parity(h))
@@ -257,8 +288,12 @@ def _candidates(cells: DataFrame, percent: int, *, best: bool) -> DataFrame:
     return found.select("u", "v")
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that link, by their whole sets."""
+    """Pairs (u, v) that link, by their whole sets (node, shingles)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,31 +304,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 near.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    once = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    with_u = once.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     return with_u.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes, enough to connect each component. rows: (row, text); members: (node, size, prefix, parity)."""
-    grouped = members.groupBy("size", "prefix").agg(F.min("node").alias("grp"), F.count("*").alias("many"))
-    groups = cut(grouped)
-    members = cut(members.join(groups, ["size", "prefix"]).select("node", "grp", "size", "parity", "many"))
-    lists = _lists(groups, percent)
-    shared = lists.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    lists = cut(joined_by_hot_keys(lists, cut(shared), "key", "total").select("key", "grp", "size"))
-    # Only members of a listed group or of one with several can link.
-    met = members.join(lists.select("grp").distinct().withColumn("listed", F.lit(True)), "grp", "left").where("listed OR many > 1").select("node", "grp", "size", "parity")
+def _may_link(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose sizes and parity sketches allow a link; met: (node, size, parity)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for k in (4, 5))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            fit = (apart * (100 + percent) <= (100 - percent) * (m + n)) & (np.minimum(m, n) * 100 >= percent * np.maximum(m, n))
+            yield batch.select([0, 1]).filter(pa.array(fit))
+
+    both = pairs.join(met.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("parity").alias("a")), "u").join(met.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("parity").alias("b")), "v")
+    return both.select("u", "v", "m", "n", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def _sets_of(pairs: DataFrame, rows: DataFrame, words: int, known: DataFrame | None) -> DataFrame:
+    """(node, shingles) of both sides of pairs at least, from rows (row, text) and what is known already."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [h.tobytes() for h in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    met = cut(met)
-    sets = cut(rows.join(met.select(F.col("node").alias("row")), "row", "left_semi").select("row", "text").mapInArrow(hashed, "node long, shingles binary"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = cut(asked if known is None else asked.join(known, "node", "left_anti"))
+    if known is not None and asked.isEmpty():
+        return known
+    made = cut(rows.join(asked.withColumnRenamed("node", "row"), "row", "left_semi").select("row", "text").mapInArrow(hashed, "node long, shingles binary"))
+    return made if known is None else known.union(made)
+
+
+def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between nodes, enough to connect each component. rows: (row, text); members: (node, size, prefix, parity)."""
+    groups = cut(members.groupBy("size", "prefix").agg(F.min("node").alias("grp"), F.count("*").alias("many")))
+    members = members.join(groups, ["size", "prefix"]).select("node", "grp", "size", "parity", "many")
+    lists = _lists(groups, percent)
+    shared = cut(lists.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"))
+    lists = cut(joined_by_hot_keys(lists, shared, "key", "total").select("key", "grp", "size"))
+    # Only members of a listed group or of one with several can link.
+    met = cut(members.join(lists.select("grp").distinct().withColumn("listed", F.lit(True)), "grp", "left").where("listed OR many > 1").select("node", "grp", "size", "parity"))
     own = met.where("node != grp").select(F.col("node").alias("u"), F.col("grp").alias("v"))
-    links = cut(_verified(_first_of_lists(lists, percent).union(own), sets, percent))
+    pairs = cut(_may_link(_once(_first_of_lists(lists, percent).union(own)), met, percent))
+    sets = _sets_of(pairs, rows, words, None)
+    links = cut(_verified(pairs, sets, percent))
     for best in (True, False):
         parted = met.join(component_roots(links), "node", "left").withColumn("part", F.coalesce("root", "node"))
         # A group of several is a list of its own too: its members share all of the prefix.
@@ -303,7 +361,9 @@ def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) ->
         mixed = by_part.groupBy("key").agg(F.sum("many").alias("total"), F.max(F.struct("many", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
         mixed = cut(mixed.select("key", "total", F.col("top.part").alias("main"), F.col("top.many").alias("most")))
         cells = _cells(listed, mixed).join(met.select("node", "parity"), "node")
-        links = cut(links.union(_verified(cut(_candidates(cells, percent, best=best)), sets, percent)))
+        pairs = cut(_once(_candidates(cells, percent, best=best)))
+        sets = _sets_of(pairs, rows, words, sets)
+        links = cut(links.union(_verified(pairs, sets, percent)))
     return links
 
 
