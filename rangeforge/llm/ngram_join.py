@@ -7,6 +7,9 @@ prefix, and their sizes differ by a factor of t at most.
 
 1. Nodes of equal prefix and size are one group. Only groups are listed under
    the shingles of their prefix; a shingle that one group alone lists is dropped.
+   Long sets would meet by chance in a prefix of thousands, so for classes of
+   sizes over LONG the order is by exact counts within the class, rarest first,
+   and each of these sets is a group of its own.
 2. Each member of a group is measured against the group's first one, and each
    group's first one against the group that most of its shingles' lists begin
    with: two candidates a node at most, whatever the size of a list. This joins
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, joined_by_hot_keys, small_batches, table
@@ -42,6 +45,8 @@ WORDS, PERCENT = 3, 90
 PARITY = 512
 #: Shingles that come last in the order, at most, and hashes that a task counts together to find them.
 HOT, COUNTED = 1 << 21, 1 << 22
+#: Sets of classes of sizes from this one's on are listed in the order of exact counts.
+LONG = 1000
 #: Rows of a list that lie in one block.
 BLOCK = 2048
 #: Rows of lists that are taken together in a task.
@@ -147,19 +152,21 @@ def _hot_shingles(prints: DataFrame, most: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int, hot) -> DataFrame:
-    """(row, prefix, parity) of rows (text, row); prefix is packed hashes, in the corpus's order. hot: a broadcast of the shingles that come last."""
+    """(row, prefix, parity, whole) of rows (text, row); prefix is packed hashes, in the corpus's order, whole all of them where a long class lists the set, else null. hot: a broadcast of the shingles that come last."""
+    least = LONG
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = hot.value
         for batch in batches:
-            prefixes, parities = [], []
+            prefixes, parities, wholes = [], [], []
             for h in shingle_sets(batch.column(0), words):
                 late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
                 prefixes.append(np.concatenate([h[~late], h[late]])[: prefix_length(len(h), percent)].tobytes() if len(h) else b"")
                 parities.append(_parity(h))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], names=["row", "prefix", "parity"])
+                wholes.append(h.tobytes() if len(h) and _listed_in(np.array([len(h)]), percent)[1][0] >= _long_class(least, percent) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.binary()) for x in (prefixes, parities, wholes))], names=["row", "prefix", "parity", "whole"])
 
-    return rows.select("text", "row").mapInArrow(measure, "row long, prefix binary, parity binary")
+    return rows.select("text", "row").mapInArrow(measure, "row long, prefix binary, parity binary, whole binary")
 
 
 def _size_classes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -167,25 +174,43 @@ def _size_classes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / np.log(100 / percent) / 4 + 1e-9).astype(np.int64) if percent < 100 else n
 
 
-def _lists(groups: DataFrame, percent: int) -> DataFrame:
-    """(key, grp, size): a key for each shingle of the prefix and class of sizes; a group whose partners may be of the next class is listed there too."""
+def _listed_in(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each size, and that of its largest partner: the sets are listed in both."""
+    return _size_classes(n, percent), _size_classes(n * 100 // percent, percent)
+
+
+def _long_class(least: int, percent: int) -> int:
+    return int(_size_classes(np.array([least]), percent)[0])
+
+
+def _spread(batches: Iterator[pa.RecordBatch], percent: int, classes) -> Iterator[pa.RecordBatch]:
+    """(key, grp, size) of batches (grp, size, packed hashes): a key for each hash and class that the size is listed in, of those that classes(them) tells."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = batch.column(1).to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+        at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        low, high = _listed_in(size, percent)
+        ours, more = np.flatnonzero(classes(low)[at]), np.flatnonzero(((high > low) & classes(high))[at])
+        shingle, kind, at = np.concatenate(own), np.concatenate([low[at[ours]], high[at[more]]]), np.concatenate([at[ours], at[more]])
+        with np.errstate(over="ignore"):
+            keys = _mixed(np.concatenate([shingle[ours], shingle[more]]) ^ (kind.astype(np.uint64) * _MIX))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(batch.column(0).to_numpy()[at]), pa.array(size[at]), pa.array(kind)], names=["key", "grp", "size", "class"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = batch.column(1).to_numpy()
-            own = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            low, high = _size_classes(size, percent), _size_classes(size * 100 // percent, percent)
-            more = np.flatnonzero((high > low)[at])
-            shingle, at, kind = np.concatenate(own), np.concatenate([at, at[more]]), np.concatenate([low[at], high[at[more]]])
-            shingle = np.concatenate([shingle, shingle[more]])
-            with np.errstate(over="ignore"):
-                keys = (shingle ^ (kind.astype(np.uint64) * _MIX)) * _MIX
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(batch.column(0).to_numpy()[at]), pa.array(size[at])], names=["key", "grp", "size"])
 
-    return groups.select("grp", "size", "prefix").mapInArrow(spread, "key long, grp long, size long")
+def _lists(groups: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """(key, grp, size): a key for each shingle of the prefix and class of sizes. groups: (grp, size, prefix); long: (node, size, whole)."""
+    first, columns = _long_class(LONG, percent), "key long, grp long, size long, class long"
+    short = groups.select("grp", "size", "prefix").mapInArrow(lambda batches: _spread(batches, percent, lambda c: c < first), columns)
+    every = long.select("node", "size", "whole").mapInArrow(lambda batches: _spread(batches, percent, lambda c: c >= first), columns)
+    counts = every.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
+    # A shingle of this set alone comes before all others and meets nothing. What is left of the prefix is taken from the others, rarest first.
+    shared = joined_by_hot_keys(every, cut(counts), "key", "total")
+    own = Window.partitionBy("grp", "class")
+    ranked = shared.withColumns({"others": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("total", "key"))})
+    prefix = F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1
+    return short.select("key", "grp", "size").union(ranked.where(F.col("rank") <= prefix - (F.col("size") - F.col("others"))).select("key", "grp", "size"))
 
 
 def _first_of_lists(lists: DataFrame, percent: int) -> DataFrame:
@@ -340,10 +365,12 @@ def _sets_of(pairs: DataFrame, rows: DataFrame, words: int, known: DataFrame | N
 
 
 def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes, enough to connect each component. rows: (row, text); members: (node, size, prefix, parity)."""
-    groups = cut(members.groupBy("size", "prefix").agg(F.min("node").alias("grp"), F.count("*").alias("many")))
-    members = members.join(groups, ["size", "prefix"]).select("node", "grp", "size", "parity", "many")
-    lists = _lists(groups, percent)
+    """Links (u, v) between nodes, enough to connect each component. rows: (row, text); members: (node, size, prefix, parity, whole)."""
+    long, members = members.where("whole IS NOT NULL").select("node", "size", "whole"), members.withColumn("alone", F.when(F.col("whole").isNotNull(), F.col("node")))
+    groups = cut(members.groupBy("size", "prefix", "alone").agg(F.min("node").alias("grp"), F.count("*").alias("many")))
+    grouped = members.join(groups.select("grp", "many", F.col("size").alias("s"), F.col("prefix").alias("p"), F.col("alone").alias("a")), F.expr("size = s AND prefix = p AND alone <=> a"))
+    members = grouped.select("node", "grp", "size", "parity", "many")
+    lists = cut(_lists(groups, long, percent))
     shared = cut(lists.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"))
     lists = cut(joined_by_hot_keys(lists, shared, "key", "total").select("key", "grp", "size"))
     # Only members of a listed group or of one with several can link.
@@ -362,6 +389,8 @@ def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) ->
         mixed = cut(mixed.select("key", "total", F.col("top.part").alias("main"), F.col("top.many").alias("most")))
         cells = _cells(listed, mixed).join(met.select("node", "parity"), "node")
         pairs = cut(_once(_candidates(cells, percent, best=best)))
+        if pairs.isEmpty():
+            break
         sets = _sets_of(pairs, rows, words, sets)
         links = cut(links.union(_verified(pairs, sets, percent)))
     return links
@@ -388,10 +417,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(everything, HOT))
     members = _prefixes(rows, words, percent, hot).join(nodes.select(F.col("node").alias("row"), "size"), "row").withColumnRenamed("row", "node")
     links = _links(rows.select("row", "text"), cut(members), words=words, percent=percent)
-    named = nodes.select("node", "first")
-    ends = links.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v")
-    roots = component_roots(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("first"), "root")
-    named = nodes.join(roots, "first", "left").select("digest", F.coalesce("root", "first")["doc_id"].alias("component_id"), "copies")
+    joined = nodes.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
+    named = joined.join(least, "root").select("digest", "component_id", "copies")
     wordless = prints.where("digest IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     found = joined_by_hot_keys(prints.where("digest IS NOT NULL").select("doc_id", "size", "digest"), named, "digest", "copies").select("doc_id", "size", "component_id")
     return found.union(wordless).withColumnRenamed("size", "n_shingles")

@@ -70,6 +70,7 @@ def test_brute_force(spark, monkeypatch, seed, words, percent, hot, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string, size int, node int").repartition(4).cache()
     if block:
         monkeypatch.setattr(j, "BLOCK", block)
+        monkeypatch.setattr(j, "LONG", 60)
     if hot is not None:  # any order must do
         monkeypatch.setattr(j, "_hot_shingles", lambda prints, most: j.shingle_sets(pa.array([max((r[1] or "" for r in rows), key=len)]), words)[0][:: max(1, 4 - hot)])
     got = sorted((tuple(r) for r in j.jaccard_components(docs, words=words, percent=percent).collect()), key=str)
