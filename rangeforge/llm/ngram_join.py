@@ -42,11 +42,11 @@ from .components import component_roots
 
 WORDS, PERCENT = 3, 90
 #: Bits of the parity sketch.
-PARITY = 512
+PARITY = 1024
 #: Shingles that come last in the order, at most, and hashes that a task counts together to find them.
 HOT, COUNTED = 1 << 21, 1 << 22
 #: Sets of classes of sizes from this one's on are listed in the order of exact counts.
-LONG = 1000
+LONG = 3500
 #: Rows of a list that lie in one block.
 BLOCK = 2048
 #: Rows of lists that are taken together in a task.
