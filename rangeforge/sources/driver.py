@@ -12,7 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bag, frame_idx, f, lat, ver, intensity) from lineitem."""
-    return table(spark, sf_dir, "lineitem").select(
+    return points_of(table(spark, sf_dir, "lineitem"))
+
+
+def points_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
         (F.col("l_suppkey") % 4).alias("bag"), (F.col("l_orderkey") % 40).alias("frame_idx"), F.col("l_quantity").alias("f"),
         (F.round(F.col("l_discount") * 100) - 5).alias("lat"), (F.round(F.col("l_tax") * 100) - 4).alias("ver"), F.col("l_extendedprice").alias("intensity"),
     )
