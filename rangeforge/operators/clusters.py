@@ -1,4 +1,10 @@
-"""Connected components and clusters, by group with arrays; groups are frames, bounded by a sensor's grid."""
+"""Connected components by frame, whose cells a sensor's grid bounds, and clusters of clouds of any size.
+
+A cloud is cut into blocks of cells. A block also gets the points of the cells
+around it, so each task finds all links of its own points and joins them there;
+a point that lies in several blocks links what they found. Only those links, a
+few for each part of a block's cluster, are contracted over the whole cloud.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from .links import linked_roots, near_blocks
 
+#: Cells along the side of a block.
+SIDE = 8
 CROSS = [(0, 1), (1, 0)]
 SQUARE = [(0, 1), (1, 0), (1, 1), (1, -1)]
 HALF_26 = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
@@ -96,33 +105,65 @@ def eps_labels(xyz: np.ndarray, eps: float, *, compat: bool = False) -> np.ndarr
     return join_pairs(len(xyz), np.concatenate(left), np.concatenate(right))
 
 
-def eps_clusters(points: DataFrame, keys: list[str], xyz: list[str], order: str, eps: float, *, min_pts: int = 3, compat: bool = False) -> DataFrame:
-    """(keys, order, cluster, size): points of clusters of at least min_pts; a cluster is named by its least `order`."""
-    ship_package(points.sparkSession)
+def _in_blocks(nodes: DataFrame, keys: list[str], xyz: list[str], width: float, label, side: int) -> DataFrame:
+    """(keys, node, root) of nodes (keys, node, xyz): the nodes that label(coordinates) puts together in some block have one root."""
+    ship_package(nodes.sparkSession)
+    blocks = [f"__block{k}" for k in range(len(xyz))]
+    placed = nodes.select(*keys, "node", *xyz)
+    for b, c in zip(blocks, xyz, strict=True):
+        placed = placed.withColumn(b, F.explode(near_blocks(F.floor(F.col(c) / width), side)))
+    own = F.lit(True)
+    for b, c in zip(blocks, xyz, strict=True):
+        own = own & (F.col(b) == F.floor(F.floor(F.col(c) / width) / side))
+    kinds = dict(nodes.dtypes)
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        root = label(pdf[xyz].to_numpy(float))
+        return pdf[[*keys, "node", "own"]].assign(piece=pdf["node"].to_numpy()[root])
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys)
+    pieces = placed.withColumn("own", own).groupBy(*keys, *blocks).applyInPandas(joined, f"{schema}node {kinds['node']}, own boolean, piece {kinds['node']}")
+    # A node lies in eight blocks at most, and in one for most.
+    met = pieces.groupBy(*keys, "node").agg(F.min(F.when(F.col("own"), F.col("piece"))).alias("u"), F.collect_set("piece").alias("pieces"))
+    links = met.select(*keys, "u", F.explode("pieces").alias("v")).where("u != v")
+    roots = linked_roots(links, keys).withColumnRenamed("node", "u")
+    return met.select(*keys, "node", "u").join(roots, [*keys, "u"], "left").select(*keys, "node", F.coalesce("root", "u").alias("root"))
+
+
+def eps_clusters(points: DataFrame, keys: list[str], xyz: list[str], order: str, eps: float, *, min_pts: int = 3, compat: bool = False, side: int = SIDE) -> DataFrame:
+    """(keys, order, cluster, size): points of clusters of at least min_pts; a cluster is named by its least `order`.
+
+    Points of one place are one node, however many they are; with compat, which
+    leaves out links within a cell, each is its own. Points with a null in a
+    coordinate or in `order` are in no cluster. A task holds a block of `side`
+    cells of eps along each axis with the cells around it.
+    """
+    known = points.select(*keys, order, *xyz).dropna(subset=[order, *xyz])
+    place = [*keys, *xyz, order] if compat else [*keys, *xyz]
+    nodes = known.groupBy(*place).agg(F.min(order).alias("node"), F.count("*").alias("many"))
+    roots = _in_blocks(nodes, keys, xyz, eps, lambda at: eps_labels(at, eps, compat=compat), side)
+    found = nodes.join(roots, [*keys, "node"])
+    clusters = found.groupBy(*keys, "root").agg(F.min("node").alias("cluster"), F.sum("many").alias("size")).where(F.col("size") >= min_pts)
+    return known.join(found.join(clusters, [*keys, "root"]).select(*place, "cluster", "size"), place).select(*keys, order, "cluster", "size")
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        root = eps_labels(pdf[xyz].to_numpy(float), eps, compat=compat)
-        size = np.bincount(root, minlength=len(pdf))[root]
-        return pdf[[*keys, order]].assign(cluster=pdf[order].to_numpy()[root], size=size)[size >= min_pts]
 
-    kinds = ", ".join(f"{c} {dict(points.dtypes)[c]}" for c in [*keys, order])
-    return points.select(*keys, order, *xyz).groupBy(*keys).applyInPandas(label, f"{kinds}, cluster {dict(points.dtypes)[order]}, size long")
+def cell_clusters(points: DataFrame, keys: list[str], xyz: list[str], order: str, size: float, *, side: int = SIDE) -> DataFrame:
+    """(keys, order, cluster): points whose cells touch, corners included, without a distance test; named by the least `order`.
 
+    A cell is one node, however many points it has. Points with a null in a
+    coordinate or in `order` are in no cluster.
+    """
+    cells = [f"__cell{k}" for k in range(len(xyz))]
+    known = points.select(*keys, order, *xyz).dropna(subset=[order, *xyz]).select(*keys, order, *[F.floor(F.col(c) / size).alias(n) for c, n in zip(xyz, cells, strict=True)])
+    nodes = known.groupBy(*keys, *cells).agg(F.min(order).alias("node"))
 
-def cell_clusters(points: DataFrame, keys: list[str], xyz: list[str], order: str, size: float) -> DataFrame:
-    """(keys, order, cluster): points whose cells touch, corners included, without a distance test; named by the least `order`."""
-    ship_package(points.sparkSession)
+    def touching(at: np.ndarray) -> np.ndarray:
+        return join_pairs(len(at), *neighbour_pairs(at.astype(np.int64), HALF_26))
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        cells, where = np.unique(np.floor(pdf[xyz].to_numpy(float) / size).astype(np.int64), axis=0, return_inverse=True)
-        root = join_pairs(len(cells), *neighbour_pairs(cells, HALF_26))[where.ravel()]
-        first = pd.Series(pdf[order].to_numpy()).groupby(root).transform("min").to_numpy()
-        return pdf[[*keys, order]].assign(cluster=first)
-
-    kinds = ", ".join(f"{c} {dict(points.dtypes)[c]}" for c in [*keys, order])
-    return points.select(*keys, order, *xyz).groupBy(*keys).applyInPandas(label, f"{kinds}, cluster {dict(points.dtypes)[order]}")
+    found = nodes.join(_in_blocks(nodes, keys, cells, 1.0, touching, side), [*keys, "node"])
+    clusters = found.groupBy(*keys, "root").agg(F.min("node").alias("cluster"))
+    return known.join(found.join(clusters, [*keys, "root"]).select(*keys, *cells, "cluster"), [*keys, *cells]).select(*keys, order, "cluster")
 
 
 def cluster_report(points: DataFrame, keys: list[str], xyz: list[str], intensity: str) -> DataFrame:
