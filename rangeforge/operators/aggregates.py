@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 
 def axis_spread(points: DataFrame, columns: list[str]) -> DataFrame:
     """(axis, place, span, median, centre): 1st to 99th percentile span of each coordinate, and the middle of that span."""
-    q = lambda c, p: F.percentile(c, p)
-    parts = F.array(*[F.struct(F.lit(c).alias("axis"), F.lit(k).alias("place"), (q(c, 0.99) - q(c, 0.01)).alias("span"), q(c, 0.5).alias("median"), ((q(c, 0.99) + q(c, 0.01)) / 2).alias("centre")) for k, c in enumerate(columns)])
-    return points.agg(parts.alias("p")).select(F.inline("p"))
+    long = points.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.lit(k).alias("place"), F.col(c).cast("double").alias("x")) for k, c in enumerate(columns)])).alias("a")).select("a.*")
+    low, middle, high = (F.col("q")[k] for k in range(3))
+    return exact_percentiles(long, ["axis", "place"], "x", [0.01, 0.5, 0.99]).select("axis", "place", (high - low).alias("span"), middle.alias("median"), ((high + low) / 2).alias("centre"))
 
 
 def detect_axes(points: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,7 +20,7 @@ def detect_axes(points: DataFrame, columns: list[str]) -> DataFrame:
     Of the other two the wider is lateral; if their spans are within 20 % of the wider one, it is the one centred nearer to zero, the later one if equal."""
     spread = F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("k"), "place", "axis", "median", "span", F.abs("centre").alias("off"))))
     s = axis_spread(points, columns).agg(spread.alias("s"))
-    a, b, c = (F.col("s")[i] for i in range(3))
+    a, b, c = (F.get("s", F.lit(i)) for i in range(3))
     close = b["span"] - c["span"] <= 0.2 * b["span"]
     swap = close & F.when(c["place"] < b["place"], c["off"] < b["off"]).otherwise(c["off"] <= b["off"])
     return s.select(a["axis"].alias("forward"), F.when(a["median"] < 0, -1).otherwise(1).alias("sign"), F.when(swap, c["axis"]).otherwise(b["axis"]).alias("lateral"), F.when(swap, b["axis"]).otherwise(c["axis"]).alias("vertical"))
@@ -78,7 +80,10 @@ def error_report(pairs: DataFrame, keys: list[str], measured: str, true: str) ->
 
 
 def channel_percentiles(rows: DataFrame, channel: str, value: str, at: list[float]) -> DataFrame:
-    return rows.groupBy(channel).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(f"p{round(100 * p)}") for p in at])
+    """(channel, n, p...): rows of each channel and exact percentiles of their values, null where it has none."""
+    found = exact_percentiles(rows, [channel], value, at).select(F.col(channel).alias("_channel"), "q")
+    counts = rows.groupBy(channel).agg(F.count("*").alias("n"))
+    return counts.join(found, F.col(channel).eqNullSafe(F.col("_channel")), "left").select(channel, "n", *[F.get("q", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(at)])
 
 
 def value_frequencies(rows: DataFrame, value: Column, k: int) -> DataFrame:

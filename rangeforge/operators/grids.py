@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Grid, ShadowConfig
 from ..functions.geometry import angular, bin_index, half_even, perspective
+from .quantiles import exact_percentiles
 
 OPEN, LIT, OCCLUDED = 0, 1, 2
 
@@ -106,10 +107,12 @@ def extent(points: DataFrame, d0: float, margin: float, least: int = 50) -> Data
     """One row: 1st and 99th percentile of the projected points beyond d0, widened; all points if fewer than `least` are beyond."""
     u, v = perspective(F.col("lat"), F.col("ver"), F.col("f"), d0)
     seen = points.where("f > 0.3").withColumns({"u": u, "v": v, "far": F.col("f") > d0})
-    q = lambda c, p, far: F.percentile(F.when(F.col("far"), F.col(c)) if far else F.col(c), p)
-    far = F.sum(F.col("far").cast("long"))
-    pick = lambda c, p: F.when(far >= least, q(c, p, True)).otherwise(q(c, p, False))
-    return seen.agg((pick("u", 0.01) - margin).alias("u_lo"), (pick("u", 0.99) + margin).alias("u_hi"), (pick("v", 0.01) - margin).alias("v_lo"), (pick("v", 0.99) + margin).alias("v_hi"), far.alias("n_far"))
+    n_far = seen.where("far").count()
+    kept = seen.where("far") if n_far >= least else seen
+    long = kept.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("x")) for c in "uv"])).alias("a")).select("a.*")
+    q = exact_percentiles(long, ["axis"], "x", [0.01, 0.99])
+    at = lambda c, k: F.max(F.when(F.col("axis") == c, F.col("q")[k]))
+    return q.agg(*[(at(c, k) + (margin if k else -margin)).alias(f"{c}_{('lo', 'hi')[k]}") for c in "uv" for k in (0, 1)], F.lit(n_far).cast("long").alias("n_far"))
 
 
 def project_frames(points: DataFrame, config: ShadowConfig, grid: Grid, keys: list[str]) -> DataFrame:
