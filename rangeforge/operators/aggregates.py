@@ -66,12 +66,13 @@ def nearest_k_median(rows: DataFrame, keys: list[str], d: str, tie: str, k: int
 
 
 def closest_rule(readings: DataFrame, keys: list[str], fan: str, d: str, ratio: float = 0.75) -> DataFrame:
-    """(keys, fans, closest): least reading of each fan; of two or more the least one if it is at most `ratio` of their upper median, else that median."""
+    """(keys, fans, closest): least reading of each fan; of two or more the least one if it is at most `ratio` of their upper middle one, else the median of all."""
     per_fan = readings.groupBy(*keys, fan).agg(F.min(d).alias("d"))
     s = per_fan.groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("s"))
     upper = F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))
+    lower = F.element_at("s", (F.floor((F.size("s") + 1) / 2)).cast("int"))
     least = F.element_at("s", 1)
-    return s.select(*keys, F.size("s").alias("fans"), F.when((F.size("s") >= 2) & (least / upper <= ratio), least).otherwise(upper).alias("closest"))
+    return s.select(*keys, F.size("s").alias("fans"), F.when((F.size("s") >= 2) & (least / upper <= ratio), least).otherwise((lower + upper) / 2).alias("closest"))
 
 
 def error_report(pairs: DataFrame, keys: list[str], measured: str, true: str) -> DataFrame:

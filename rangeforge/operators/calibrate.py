@@ -80,8 +80,8 @@ class FanModel:
         return z if t > 0 and near < z < far else None
 
 
-def line_residual(model: np.ndarray, seen: np.ndarray, probe: float = 100.0, centre: tuple[float, float] = (640.0, 360.0)) -> np.ndarray:
-    """Distances of two probe points of the seen line, near the image's middle, from the model's; signs aligned."""
+def line_residual(model: np.ndarray, seen: np.ndarray, probe: float = 100.0, centre: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
+    """Distances of two probe points of the seen line, around its point nearest to the image's origin, from the model's; signs aligned."""
     a, b, c = seen
     s = a * centre[0] + b * centre[1] + c
     x, y = centre[0] - s * a, centre[1] - s * b

@@ -83,21 +83,20 @@ def extrapolated(y0: Column, v0: Column, k: Column, lo: float = 0.4, hi: float =
     return F.when((d >= lo) & (d <= hi), d)
 
 
-def poisson_critical(mean: float, alpha: float = 0.01, terms: int = 120, most: int = 200) -> int:
-    """Least count whose upper tail under a Poisson mean is below alpha, at most `most`."""
+def poisson_critical(mean: float, alpha: float = 0.01, most: int = 200) -> int:
+    """Least count whose upper tail under a Poisson mean is at most alpha, at most `most`."""
     if mean <= 0:
         return 1
-    tail, k = 1.0, 0
-    while k < min(terms, most):
-        if tail < alpha:
+    tail = 1.0
+    for k in range(most):
+        if tail <= alpha:
             return k
         tail -= math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
-        k += 1
     return most
 
 
 def critical_counts(means: DataFrame, mean: str, alpha: float) -> DataFrame:
-    """means with `critical`. Distinct means are evaluated in Arrow batches; there is no log-gamma among the built-in functions."""
+    """means with `critical`, evaluated in Arrow batches; there is no log-gamma among the built-in functions."""
     ship_package(means.sparkSession)
 
     @F.pandas_udf("int")

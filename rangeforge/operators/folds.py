@@ -72,7 +72,7 @@ def stable_objects(rows: DataFrame, keys: list[str], order: list[str], places: l
 
 
 def track_nearest(rows: DataFrame, keys: list[str], order: str, d: str, theta: str, *, persist: int = 3, gate_d: float = 0.3, gate_theta: float = 4.0, keep: float = 0.8) -> DataFrame:
-    """rows with track_d, track_theta, streak, reported. A candidate inside both gates of the track is blended in; another starts a new track; none ends it."""
+    """rows with track_d, track_theta, streak, reported. A candidate inside both gates of the track goes on with it: the distance keeps `keep` of its own, the angle is the new one. Another starts a new track; none ends it."""
     return _fold(rows, keys, [order], lambda pdf: tracked(pdf[d], pdf[theta], persist, gate_d, gate_theta, keep)[:4], "track_d double, track_theta double, streak long, reported boolean")
 
 
@@ -86,7 +86,7 @@ def tracked(ds, thetas, persist: int, gate_d: float, gate_theta: float, keep: fl
         else:
             turn = None if angle is None else (t - angle + 180.0) % 360.0 - 180.0
             if at is not None and abs(d - at) <= gate_d and abs(turn) <= gate_theta:
-                at, angle, streak = keep * d + (1 - keep) * at, (angle + keep * turn) % 360.0, streak + 1
+                at, angle, streak = keep * at + (1 - keep) * d, float(t), streak + 1
             else:
                 at, angle, streak = float(d), float(t), 1
         for column, v in zip(out, (at, angle, streak, streak >= persist), strict=True):
@@ -95,8 +95,8 @@ def tracked(ds, thetas, persist: int, gate_d: float, gate_theta: float, keep: fl
 
 
 def rail_levels(rows: DataFrame, keys: list[str], order: str, value: str, *, gate: float = 0.25, back: int = 7, window: int = 6) -> DataFrame:
-    """rows with `level`: median of accepted detections of the last `window` frames and this one. A detection that jumps by more
-    than `gate` from the last accepted one within `back` frames is not accepted."""
+    """rows with `level`: median of the levels taken in the last `window` frames and this one. A detection that jumps by more
+    than `gate` from the last level within `back` frames counts with that last level, which so enters the median again."""
 
     def step(pdf: pd.DataFrame):
         taken: list[tuple] = []
@@ -104,8 +104,7 @@ def rail_levels(rows: DataFrame, keys: list[str], order: str, value: str, *, gat
         for n, v in zip(pdf[order], pdf[value], strict=True):
             if v is not None and v == v:
                 last = next((x for k, x in reversed(taken) if n - back <= k < n), None)
-                if last is None or abs(v - last) <= gate:
-                    taken.append((n, v))
+                taken.append((n, v if last is None or abs(v - last) <= gate else last))
             near = sorted(x for k, x in taken if n - window <= k <= n)
             mid = len(near) // 2
             out.append(None if not near else near[mid] if len(near) % 2 else (near[mid - 1] + near[mid]) / 2)

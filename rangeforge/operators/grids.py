@@ -120,10 +120,13 @@ def project_frames(points: DataFrame, config: ShadowConfig, grid: Grid, keys: li
     return z_buffer(plane_cells(points, config.d0, grid, config.f_min), keys, config.d0)
 
 
-def live_mask(states: DataFrame, boot: int, share: float, walls: list[tuple[int, int]]) -> DataFrame:
-    """(iu, iv, lit): cells lit in at least `share` of the first `boot` frames, but for rows iv within a wall's band."""
+def live_mask(states: DataFrame, boot: int, share: float, walls: list[tuple[int, int]], size: tuple[int, int]) -> DataFrame:
+    """(iu, iv, lit): cells of a plane of `size` that are lit, themselves or one beside them, in at least `share` of the first `boot` frames, but for rows iv within a wall's band."""
+    from .windows import dilated
+
     first = states.select("frame_idx").distinct().orderBy("frame_idx").limit(boot)
-    lit = states.where(F.col("st") == LIT).join(F.broadcast(first), "frame_idx").groupBy("iu", "iv").agg(F.count_distinct("frame_idx").alias("lit"))
+    near = dilated(states.where(F.col("st") == LIT).join(F.broadcast(first), "frame_idx"), ["frame_idx"]).where(F.col("iu").between(0, size[0] - 1) & F.col("iv").between(0, size[1] - 1))
+    lit = near.groupBy("iu", "iv").agg(F.count_distinct("frame_idx").alias("lit"))
     kept = lit.where(F.col("lit") >= share * boot)
     for lo, hi in walls:
         kept = kept.where(~F.col("iv").between(lo, hi))

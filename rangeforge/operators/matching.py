@@ -55,11 +55,11 @@ def nearest_line(pixels: DataFrame, keys: list[str], lines: DataFrame, x: str, y
 
 
 def fit_line_distance(lines: DataFrame, keys: list[str], grid: DataFrame, line: str, span: float = 100.0) -> DataFrame:
-    """(keys, fan, d, error): map distance whose line is nearest to a measured one, by the mean of two probes at the middle +- span."""
+    """(keys, fan, d, error): map distance whose line is nearest to a measured one, by the greater error of two probes, `span` to both sides of its point nearest to the image's origin."""
     def error(g: Column, m: Column) -> Column:
-        sign = F.when(g["a"] * m["a"] + g["b"] * m["b"] < 0, -1.0).otherwise(1.0)
-        probe = lambda s: F.abs(g["a"] * (640.0 + s * m["b"]) + g["b"] * (360.0 - s * m["a"]) + g["c"] - sign * (m["a"] * (640.0 + s * m["b"]) + m["b"] * (360.0 - s * m["a"]) + m["c"]))
-        return (probe(span) + probe(-span)) / 2
+        # The probes lie on the measured line, so only the map's line counts.
+        probe = lambda s: F.abs(g["a"] * (s * m["b"] - m["a"] * m["c"]) + g["b"] * (-s * m["a"] - m["b"] * m["c"]) + g["c"])
+        return F.greatest(probe(span), probe(-span))
 
     packed = grid.groupBy("fan").agg(F.sort_array(F.collect_list(F.struct("d", "line"))).alias("_g"))
     best = F.array_min(F.transform("_g", lambda g: F.struct(error(g["line"], F.col(line)).alias("error"), g["d"].alias("d"))))
@@ -79,11 +79,12 @@ def supported(features: DataFrame, readings: DataFrame, keys: list[str], d: str,
 
 
 def overlapping_before(boxes: DataFrame, keys: list[str], frame: str, lags: int, grow: float, cell: float) -> DataFrame:
-    """(keys, frame, box_id, lags_met): boxes that overlap a box, grown by `grow`, in how many of the `lags` frames before.
+    """(keys, frame, box_id, lags_met): boxes that overlap a box, both grown by `grow`, in how many of the `lags` frames before.
 
     Boxes are listed under the coarse cells they touch, so overlap is an
     equi-join on (keys, frame, cell) and then a test.
     """
+    grow = 2 * grow  # both boxes grow, so this much may lie between them
     at = lambda lo, hi, g: F.explode(F.sequence(F.floor((F.col(lo) - g) / cell), F.floor((F.col(hi) + g) / cell)))
     now = boxes.withColumn("_lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_past", F.col(frame) - F.col("_lag")).withColumn("_cx", at("x_lo", "x_hi", grow))
     past = boxes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(frame).alias("_pf"), *[F.col(c).alias(f"_{c}") for c in ("x_lo", "x_hi", "y_lo", "y_hi")], at("x_lo", "x_hi", 0.0).alias("_pcx"))
@@ -94,12 +95,19 @@ def overlapping_before(boxes: DataFrame, keys: list[str], frame: str, lags: int,
     return now.join(past, on).where(touch).groupBy(*keys, frame, "box_id").agg(F.count_distinct("_lag").alias("lags_met"))
 
 
-def surface_of(points: DataFrame, model: DataFrame, width: float, tolerance: float) -> DataFrame:
-    """points with `surface`: names of the model's surfaces within `tolerance` in their distance bin, joined by ' + ', else other; no model bin gives null."""
+def surface_of(points: DataFrame, model: DataFrame, width: float, tolerance: float, first: float = 0.0) -> DataFrame:
+    """points with `surface`: names of the model's surfaces nearer than `tolerance` in their distance bin, joined by ' + ', else other.
+
+    Bins begin at distance `first`; what lies before or behind them takes the
+    first or last one. A wall counts on its own side only. A point without a
+    distance has none.
+    """
     m = model.select(F.col("d_idx").alias("_i"), F.col("x_left").alias("_l"), F.col("x_right").alias("_r"), F.col("z_floor").alias("_f"), F.col("z_ceil").alias("_c"))
-    near = lambda c, v, name: F.when(F.abs(F.col(c) - F.col(v)) <= tolerance, F.lit(name))
-    names = F.concat_ws(" + ", near("lat", "_l", "left"), near("lat", "_r", "right"), near("ver", "_f", "floor"), near("ver", "_c", "ceiling"))
-    joined = points.withColumn("_b", F.floor(F.col("f") / width)).join(dimension(m), F.col("_b") == F.col("_i"), "left")
+    near = lambda c, v, name, side=F.lit(True): F.when(side & (F.abs(F.col(c) - F.col(v)) < tolerance), F.lit(name))
+    names = F.concat_ws(" + ", near("lat", "_l", "left", F.col("lat") < 0), near("lat", "_r", "right", F.col("lat") > 0), near("ver", "_f", "floor"), near("ver", "_c", "ceiling"))
+    last = m.agg(F.max("_i")).first()[0]
+    place = F.floor((F.col("f") - first) / width)
+    joined = points.withColumn("_b", F.when(place.isNotNull(), F.least(F.lit(last), F.greatest(F.lit(0), place)))).join(dimension(m), F.col("_b") == F.col("_i"), "left")
     return joined.withColumn("surface", F.when(F.col("_i").isNotNull(), F.when(names == "", "other").otherwise(names))).select(*points.columns, "surface")
 
 

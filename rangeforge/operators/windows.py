@@ -122,12 +122,16 @@ def band_around_peak(rows: DataFrame, keys: list[str], position: str, count: str
     return band.where("first <= _at AND _at <= last").select(*keys, "first", "last")
 
 
-def notches(rows: DataFrame, keys: list[str], position: str, value: str, dip: float = 0.4, least: int = 3, before: float = 0.8, after: float = 0.6) -> DataFrame:
-    """(keys, onset, length): first run of `least` or more values at most `dip`, with a healthy median before it and a low one from it on."""
-    low = runs(rows, keys, position, F.col(value) <= dip).where(F.col("length") >= least)
-    tested = rows.join(low, keys).groupBy(*keys, "first", "length").agg(F.percentile(F.when(F.col(position) < F.col("first"), F.col(value)), 0.5).alias("_b"), F.percentile(F.when(F.col(position) >= F.col("first"), F.col(value)), 0.5).alias("_a"))
-    good = tested.where((F.col("_b") >= before) & (F.col("_a") <= after))
-    return good.groupBy(*keys).agg(F.min("first").alias("onset"), F.min_by("length", "first").alias("length"))
+def notches(rows: DataFrame, keys: list[str], position: str, value: str, dip: float = 0.4, least: int = 3, before: float = 0.8, slack: float = 1.5) -> DataFrame:
+    """(keys, onset, length): the `least`-th place of the first run of values at most `dip` whose `least` + 2 places before that one have a median of at least `before`,
+    if the places from `least` behind it on have one of at most `slack` times the dip. A profile's first place begins no run; length is the run's."""
+    inner = rows.withColumn("_start", F.min(position).over(Window.partitionBy(*keys))).where(F.col(position) > F.col("_start"))
+    low = runs(inner, keys, position, F.col(value) <= dip).where(F.col("length") >= least).withColumn("onset", F.col("first") + least - 1)
+    median = lambda kept: F.percentile(F.when(kept, F.col(value)), 0.5)
+    near = F.col(position).between(F.col("onset") - least - 2, F.col("onset") - 1)
+    tested = rows.join(low, keys).groupBy(*keys, "onset", "length").agg(median(near).alias("_b"), median(F.col(position) >= F.col("onset") + least).alias("_a"))
+    first = tested.where(F.col("_b") >= before).groupBy(*keys).agg(F.min("onset").alias("onset"), F.min_by(F.struct("length", "_a"), "onset").alias("_r"))
+    return first.where(F.col("_r._a") <= slack * dip).select(*keys, "onset", F.col("_r.length").alias("length"))
 
 
 def sharp_drops(rows: DataFrame, keys: list[str], k: str, value: str, *, least: float = 5, ramp: int = 6, ratio: float = 1.5) -> DataFrame:

@@ -56,11 +56,11 @@ def nearest_k_median(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SIGNAL}, p AS (SELECT bag, frame_idx // 10 AS grp, fam, min(d) AS d FROM signal WHERE d > 100 GROUP BY ALL), s AS (SELECT bag, grp, list_sort(list(d)) AS s FROM p GROUP BY ALL)
-SELECT bag, grp, len(s)::INT AS fans, CASE WHEN len(s) >= 2 AND s[1] / s[len(s) // 2 + 1] <= 0.75 THEN s[1] ELSE s[len(s) // 2 + 1] END AS closest FROM s"""
+    f"""WITH {SIGNAL}, p AS (SELECT bag, frame_idx // 10 AS grp, fam, min(d) AS d FROM signal GROUP BY ALL), s AS (SELECT bag, grp, list_sort(list(d)) AS s FROM p GROUP BY ALL)
+SELECT bag, grp, len(s)::INT AS fans, CASE WHEN len(s) >= 2 AND s[1] / s[len(s) // 2 + 1] <= 0.75 THEN s[1] ELSE (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) / 2 END AS closest FROM s"""
 )
 def closest_rule(spark, sf_dir):
-    s = signal(spark, sf_dir).where("d > 100").withColumn("grp", F.floor(F.col("frame_idx") / 10))
+    s = signal(spark, sf_dir).withColumn("grp", F.floor(F.col("frame_idx") / 10))
     return a.closest_rule(s, ["bag", "grp"], "fam", "d")
 
 

@@ -58,12 +58,13 @@ def path_and_marks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CELLS}, b AS (SELECT DISTINCT frame_idx FROM states ORDER BY frame_idx LIMIT 20), m AS (SELECT iu, iv, count(DISTINCT frame_idx) AS lit FROM states WHERE st = 1 AND frame_idx IN (SELECT frame_idx FROM b) GROUP BY ALL)
+    f"""WITH {CELLS}, b AS (SELECT DISTINCT frame_idx FROM states ORDER BY frame_idx LIMIT 20), w AS (SELECT DISTINCT frame_idx, iu + a AS iu, iv + c AS iv FROM states, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(c) WHERE st = 1 AND frame_idx IN (SELECT frame_idx FROM b)),
+m AS (SELECT iu, iv, count(*) AS lit FROM w WHERE iu BETWEEN 0 AND 19 AND iv BETWEEN 0 AND 15 GROUP BY ALL)
 SELECT iu, iv, lit FROM m WHERE lit >= 0.25 * 20 AND NOT (iv BETWEEN 6 AND 8)"""
 )
 def live_mask(spark, sf_dir):
-    """Cells lit in a quarter of the first 20 frames, off the walls' band. The boot phase is the operator's own limit."""
-    return grids.live_mask(states(spark, sf_dir), 20, 0.25, [(6, 8)])
+    """Cells lit, or beside a lit one, in a quarter of the first 20 frames, off the walls' band. The boot phase is the operator's own limit."""
+    return grids.live_mask(states(spark, sf_dir), 20, 0.25, [(6, 8)], (20, 16))
 
 
 @query(

@@ -127,11 +127,12 @@ def vanishing_center(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT i, i / 10.0 AS mean FROM range(1, 200) r(i)), t AS (SELECT m.i, mean, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY m.i ORDER BY k) AS cdf FROM m, range(0, 120) q(k))
-SELECT i, mean::DOUBLE AS mean, min(k + 1)::INT AS critical FROM t WHERE 1 - cdf < 0.01 GROUP BY ALL"""
+    f"""WITH {SIGNAL}, m AS (SELECT DISTINCT (event_id % 1800 + 1) / 10.0 AS mean FROM signal), t AS (SELECT mean, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY mean ORDER BY k) AS cdf FROM m, range(0, 260) q(k)),
+c AS (SELECT mean, least(200, min(k + 1))::INT AS critical FROM t WHERE 1 - cdf <= 0.01 GROUP BY ALL)
+SELECT event_id, mean::DOUBLE AS mean, critical FROM (SELECT event_id, (event_id % 1800 + 1) / 10.0 AS mean FROM signal) JOIN c USING (mean)"""
 )
 def poisson_critical(spark, sf_dir):
-    means = spark.range(1, 200).select(F.col("id").alias("i"), (F.col("id") / 10.0).alias("mean"))
+    means = signal(spark, sf_dir).select("event_id", ((F.col("event_id") % 1800 + 1) / 10.0).alias("mean"))
     return f.critical_counts(means, "mean", 0.01)
 
 
@@ -180,8 +181,8 @@ def excess_windows(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT bag, frame_idx, CASE WHEN fam <> 'error' THEN d END AS d, theta::DOUBLE AS t FROM signal),
 r AS (SELECT bag, frame_idx, d AS dist, CASE WHEN d IS NOT NULL THEN t END AS ang, CASE WHEN d IS NULL THEN 0 ELSE 1 END AS streak FROM s WHERE frame_idx = 0
-UNION ALL SELECT s.bag, s.frame_idx, CASE WHEN s.d IS NULL THEN NULL WHEN g THEN 0.8::DOUBLE * s.d + (1 - 0.8::DOUBLE) * r.dist ELSE s.d END,
-CASE WHEN s.d IS NULL THEN NULL WHEN g THEN CASE WHEN r.ang + 0.8::DOUBLE * turn < 0 THEN r.ang + 0.8::DOUBLE * turn + 360 WHEN r.ang + 0.8::DOUBLE * turn >= 360 THEN r.ang + 0.8::DOUBLE * turn - 360 ELSE r.ang + 0.8::DOUBLE * turn END ELSE s.t END,
+UNION ALL SELECT s.bag, s.frame_idx, CASE WHEN s.d IS NULL THEN NULL WHEN g THEN 0.8::DOUBLE * r.dist + (1 - 0.8::DOUBLE) * s.d ELSE s.d END,
+CASE WHEN s.d IS NOT NULL THEN s.t END,
 CASE WHEN s.d IS NULL THEN 0 WHEN g THEN r.streak + 1 ELSE 1 END
 FROM r JOIN s ON s.bag = r.bag AND s.frame_idx = r.frame_idx + 1, LATERAL (SELECT CASE WHEN r.ang IS NULL THEN NULL ELSE (s.t - r.ang + 540.0) - 360 * floor((s.t - r.ang + 540.0) / 360) - 180 END AS turn), LATERAL (SELECT coalesce(abs(s.d - r.dist) <= 120 AND abs(turn) <= 90, false) AS g))
 SELECT bag, frame_idx, floor(dist * 1e4 + 0.500001) / 1e4 AS track_d, floor(ang * 1e4 + 0.500001) / 1e4 AS track_theta, streak::BIGINT AS streak, streak >= 3 AS reported FROM r"""
@@ -192,11 +193,11 @@ def near_tracker(spark, sf_dir):
     return t.select("bag", "frame_idx", (F.floor(F.col("track_d") * 1e4 + 0.500001) / 1e4).alias("track_d"), (F.floor(F.col("track_theta") * 1e4 + 0.500001) / 1e4).alias("track_theta"), "streak", "reported")
 
 
-#: A recording's readings one after another; taken holds those that are accepted and may still count.
+#: A recording's readings one after another; taken holds the levels that may still count.
 @query(
     f"""WITH RECURSIVE {SIGNAL}, s AS (SELECT bag, frame_idx AS n, CASE WHEN fam <> 'error' THEN d END AS d FROM signal),
 r AS (SELECT bag, n, d, CASE WHEN d IS NULL THEN [] ELSE [struct_pack(n := n, d := d)] END AS taken FROM s WHERE n = 0
-UNION ALL SELECT s.bag, s.n, s.d, CASE WHEN s.d IS NOT NULL AND (len(near) = 0 OR abs(s.d - near[len(near)].d) <= 150) THEN list_append(near, struct_pack(n := s.n, d := s.d)) ELSE near END
+UNION ALL SELECT s.bag, s.n, s.d, CASE WHEN s.d IS NOT NULL THEN list_append(near, struct_pack(n := s.n, d := CASE WHEN len(near) = 0 OR abs(s.d - near[len(near)].d) <= 150 THEN s.d ELSE near[len(near)].d END)) ELSE near END
 FROM r JOIN s ON s.bag = r.bag AND s.n = r.n + 1, LATERAL (SELECT list_filter(r.taken, lambda t: t.n >= s.n - 7) AS near))
 SELECT bag, n AS frame_idx, d, list_median(list_transform(list_filter(taken, lambda t: t.n >= r.n - 6), lambda t: t.d)) AS level FROM r"""
 )

@@ -55,8 +55,8 @@ def pixel_nearest_line(spark, sf_dir):
 
 @query(
     f"""WITH {SIGNAL}, {GRID}, q AS (SELECT event_id, cos(radians(theta)) AS a, sin(radians(theta)) AS b, d - 300 AS c FROM signal),
-e AS (SELECT q.event_id, g.fan, g.d, (abs(g.a * (640 + 100 * q.b) + g.b * (360 - 100 * q.a) + g.c - s * (q.a * (640 + 100 * q.b) + q.b * (360 - 100 * q.a) + q.c)) + abs(g.a * (640 - 100 * q.b) + g.b * (360 + 100 * q.a) + g.c - s * (q.a * (640 - 100 * q.b) + q.b * (360 + 100 * q.a) + q.c))) / 2 AS e
-FROM q, lines g, LATERAL (SELECT CASE WHEN g.a * q.a + g.b * q.b < 0 THEN -1 ELSE 1 END AS s))
+o AS (SELECT *, -a * c AS x, -b * c AS y FROM q),
+e AS (SELECT o.event_id, g.fan, g.d, greatest(abs(g.a * (x + 100 * o.b) + g.b * (y - 100 * o.a) + g.c), abs(g.a * (x - 100 * o.b) + g.b * (y + 100 * o.a) + g.c)) AS e FROM o, lines g)
 SELECT event_id, fan, arg_min(d, struct_pack(e := e, d := d)) AS d, round(min(e), 3) AS error FROM e GROUP BY ALL"""
 )
 def calib_argmin(spark, sf_dir):
@@ -77,7 +77,7 @@ def near_support_semi(spark, sf_dir):
 @query(
     f"""WITH {SIGNAL}, b AS (SELECT event_id AS box_id, bag, frame_idx, d AS x_lo, d + 20 AS x_hi, theta::DOUBLE AS y_lo, theta + 40.0 AS y_hi FROM signal)
 SELECT a.bag, a.frame_idx, a.box_id, count(DISTINCT a.frame_idx - p.frame_idx) AS lags_met FROM b a JOIN b p ON a.bag = p.bag AND p.frame_idx BETWEEN a.frame_idx - 3 AND a.frame_idx - 1
-WHERE p.x_lo <= a.x_hi + 10 AND p.x_hi >= a.x_lo - 10 AND p.y_lo <= a.y_hi + 10 AND p.y_hi >= a.y_lo - 10 GROUP BY ALL"""
+WHERE p.x_lo - 10 <= a.x_hi + 10 AND p.x_hi + 10 >= a.x_lo - 10 AND p.y_lo - 10 <= a.y_hi + 10 AND p.y_hi + 10 >= a.y_lo - 10 GROUP BY ALL"""
 )
 def bbox_persistence(spark, sf_dir):
     b = signal(spark, sf_dir).select(F.col("event_id").alias("box_id"), "bag", "frame_idx", F.col("d").alias("x_lo"), (F.col("d") + 20).alias("x_hi"), F.col("theta").cast("double").alias("y_lo"), (F.col("theta") + 40.0).alias("y_hi"))
@@ -88,13 +88,13 @@ MODEL = "model AS (SELECT i AS d_idx, -4.0 + i * 0.05 AS x_left, 4.0 - i * 0.05
 
 
 @query(
-    f"""WITH {POINTS}, {MODEL}, j AS (SELECT p.*, m.d_idx AS i, concat_ws(' + ', CASE WHEN abs(lat - x_left) <= 0.9 THEN 'left' END, CASE WHEN abs(lat - x_right) <= 0.9 THEN 'right' END, CASE WHEN abs(ver - z_floor) <= 0.9 THEN 'floor' END, CASE WHEN abs(ver - z_ceil) <= 0.9 THEN 'ceiling' END) AS s
-FROM points p LEFT JOIN model m ON floor(p.f / 2) = m.d_idx) SELECT bag, CASE WHEN i IS NOT NULL THEN CASE WHEN s = '' THEN 'other' ELSE s END END AS surface, count(*) AS n FROM j GROUP BY ALL"""
+    f"""WITH {POINTS}, {MODEL}, j AS (SELECT p.*, m.d_idx AS i, concat_ws(' + ', CASE WHEN lat < 0 AND abs(lat - x_left) < 0.9 THEN 'left' END, CASE WHEN lat > 0 AND abs(lat - x_right) < 0.9 THEN 'right' END, CASE WHEN abs(ver - z_floor) < 0.9 THEN 'floor' END, CASE WHEN abs(ver - z_ceil) < 0.9 THEN 'ceiling' END) AS s
+FROM points p LEFT JOIN model m ON least(19, greatest(0, floor((p.f - 6) / 2))) = m.d_idx) SELECT bag, CASE WHEN i IS NOT NULL THEN CASE WHEN s = '' THEN 'other' ELSE s END END AS surface, count(*) AS n FROM j GROUP BY ALL"""
 )
 def surface_classify(spark, sf_dir):
     i = F.col("id")
     model = spark.range(20).select(i.alias("d_idx"), (i * 0.05 - 4.0).alias("x_left"), (4.0 - i * 0.05).alias("x_right"), (i * 0.02 - 3.0).alias("z_floor"), F.lit(3.5).alias("z_ceil"))
-    return m.surface_of(points(spark, sf_dir), model, 2.0, 0.9).groupBy("bag", "surface").agg(F.count("*").alias("n"))
+    return m.surface_of(points(spark, sf_dir), model, 2.0, 0.9, 6.0).groupBy("bag", "surface").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SIGNAL} SELECT event_id, CASE WHEN fam IN ('click', 'view') THEN d WHEN fam = 'error' THEN theta::DOUBLE END AS d, CASE WHEN fam IN ('click', 'view') THEN 'map' WHEN fam = 'error' THEN 'model' END AS source FROM signal")

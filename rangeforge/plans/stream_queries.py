@@ -66,13 +66,14 @@ def stream_persistence(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CELLS}, b AS (SELECT bag, frame_idx, dense_rank() OVER (PARTITION BY bag ORDER BY frame_idx) AS k FROM states), m AS (SELECT s.bag, s.iu, s.iv, count(DISTINCT s.frame_idx) AS lit FROM states s JOIN b ON b.bag = s.bag AND b.frame_idx = s.frame_idx AND b.k <= 20 WHERE s.st = 1 GROUP BY ALL)
+    f"""WITH {CELLS}, b AS (SELECT bag, frame_idx, dense_rank() OVER (PARTITION BY bag ORDER BY frame_idx) AS k FROM states), w AS (SELECT DISTINCT s.bag, s.frame_idx, s.iu + x.a AS iu, s.iv + y.c AS iv FROM states s JOIN b ON b.bag = s.bag AND b.frame_idx = s.frame_idx AND b.k <= 20, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(c) WHERE s.st = 1),
+m AS (SELECT bag, iu, iv, count(*) AS lit FROM w WHERE iu BETWEEN 0 AND 19 AND iv BETWEEN 0 AND 15 GROUP BY ALL)
 SELECT bag, iu, iv FROM m WHERE lit >= 0.25 * 20"""
 )
 def stream_boot_mask(spark, sf_dir):
-    """Cells lit in a quarter of a recording's first 20 frames. The boot phase is the operator's own limit."""
+    """Cells lit, or beside a lit one, in a quarter of a recording's first 20 frames. The boot phase is the operator's own limit."""
     packed = online.pack_frames(states(spark, sf_dir).withColumn("ts_ns", F.lit(0).cast("long"))).drop("ts_ns")
-    return play(spark, packed, lambda s: online.boot_mask_stream(s, boot=20, late=ALL))
+    return play(spark, packed, lambda s: online.boot_mask_stream(s, (20, 16), boot=20, late=ALL))
 
 
 @query(f"WITH {SIGNAL}, k AS (SELECT *, frame_idx - frame_idx % 2 AS pos FROM signal) SELECT k.bag, k.frame_idx, CASE WHEN s.fam <> 'error' THEN s.d END AS d, k.frame_idx % 2 = 0 AS computed FROM k JOIN signal s ON s.bag = k.bag AND s.frame_idx = k.pos")

@@ -132,13 +132,14 @@ def peak_band(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PROFILES}, g AS (SELECT vec_id, bin, bin - row_number() OVER (PARTITION BY vec_id ORDER BY bin) AS g FROM profiles WHERE v <= 0),
-r AS (SELECT vec_id, min(bin) AS first, count(*) AS length FROM g GROUP BY vec_id, g HAVING count(*) >= 3),
-t AS (SELECT r.vec_id, first, length, quantile_cont(v, 0.5) FILTER (bin < first) AS b, quantile_cont(v, 0.5) FILTER (bin >= first) AS a FROM r JOIN profiles p USING (vec_id) GROUP BY ALL)
-SELECT vec_id, min(first) AS onset, arg_min(length, first) AS length FROM t WHERE b >= 0.01 AND a <= 0.01 GROUP BY ALL"""
+    f"""WITH {PROFILES}, g AS (SELECT vec_id, bin, bin - row_number() OVER (PARTITION BY vec_id ORDER BY bin) AS g FROM profiles WHERE v <= 0.05 AND bin > 0),
+r AS (SELECT vec_id, min(bin) + 2 AS onset, count(*) AS length FROM g GROUP BY vec_id, g HAVING count(*) >= 3),
+t AS (SELECT r.vec_id, onset, length, quantile_cont(v, 0.5) FILTER (bin BETWEEN onset - 5 AND onset - 1) AS b, quantile_cont(v, 0.5) FILTER (bin >= onset + 3) AS a FROM r JOIN profiles p USING (vec_id) GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY onset) AS k FROM t WHERE b >= 0.04)
+SELECT vec_id, onset, length FROM f WHERE k = 1 AND a <= 1.5 * 0.05"""
 )
 def notch_onset(spark, sf_dir):
-    return w.notches(profiles(spark, sf_dir), ["vec_id"], "bin", "v", 0.0, 3, 0.01, 0.01)
+    return w.notches(profiles(spark, sf_dir), ["vec_id"], "bin", "v", 0.05, 3, 0.04)
 
 
 @query(

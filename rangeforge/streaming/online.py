@@ -257,7 +257,7 @@ class Persistence(Ordered):
         self.past = handle.getListState("past", "places array<double>")
 
     def step(self, frames: list[tuple]) -> Iterator[pd.DataFrame]:
-        grow = self.grow
+        grow = 2 * self.grow  # both boxes grow
         touch = lambda a, b: b[0] <= a[1] + grow and b[1] >= a[0] - grow and b[2] <= a[3] + grow and b[3] >= a[2] - grow
         past, out = [np.array(p, float).reshape(-1, 4).tolist() for (p,) in self.past.get()], []
         for frame, boxes in frames:
@@ -271,7 +271,7 @@ class Persistence(Ordered):
 
 
 def persistence_stream(boxes: DataFrame, *, lags: int = 2, grow: float = 10.0, late: str = LATE) -> DataFrame:
-    """(bag, frame_idx, box) of boxes that overlap one, grown by `grow`, in every one of the `lags` frames before. boxes has one row a frame: (bag, ts_ns, frame_idx, boxes array<struct<x_lo, x_hi, y_lo, y_hi>>)."""
+    """(bag, frame_idx, box) of boxes that overlap one, both grown by `grow`, in every one of the `lags` frames before. boxes has one row a frame: (bag, ts_ns, frame_idx, boxes array<struct<x_lo, x_hi, y_lo, y_hi>>)."""
     places = F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")]))
     return _ordered(boxes.withColumn("boxes", places), Persistence(lags, grow), late)
 
@@ -307,8 +307,15 @@ def ema_stream(rows: DataFrame, *, keep: float = 0.7, patience: int = 30, late:
 class BootMask(Ordered):
     takes, gives = "lit array<long>", "iu int, iv int"
 
-    def __init__(self, boot: int, share: float):
-        self.boot, self.share = boot, share
+    def __init__(self, boot: int, share: float, size: tuple[int, int]):
+        self.boot, self.share, self.size = boot, share, size
+
+    def near(self, lit: list[int]) -> np.ndarray:
+        """Codes of the lit cells and those beside them, within the plane."""
+        at = _cells(np.array(lit, np.int64))
+        u, v = (np.add.outer(at[c].astype(np.int64), np.array(o)).ravel() for c, o in (("iu", [-1, -1, -1, 0, 0, 0, 1, 1, 1]), ("iv", [-1, 0, 1] * 3)))
+        inside = (u >= 0) & (u < self.size[0]) & (v >= 0) & (v < self.size[1])
+        return np.unique(u[inside] << 20 | v[inside])
 
     def open(self, handle) -> None:
         self.seen = handle.getValueState("seen", "frames long")
@@ -319,7 +326,7 @@ class BootMask(Ordered):
         if seen >= self.boot:
             return
         now = frames[: self.boot - seen]
-        cells, n = np.unique(np.concatenate([np.array(lit, np.int64) for _, lit in now]), return_counts=True)
+        cells, n = np.unique(np.concatenate([self.near(lit) for _, lit in now]), return_counts=True)
         for c, k in zip(cells.tolist(), n.tolist(), strict=True):
             self.counts.updateValue((c,), (k + (self.counts.getValue((c,))[0] if self.counts.containsKey((c,)) else 0),))
         self.seen.update((seen + len(now),))
@@ -329,9 +336,9 @@ class BootMask(Ordered):
             yield pd.DataFrame(_cells(lit))
 
 
-def boot_mask_stream(frames: DataFrame, *, boot: int = 30, share: float = 0.25, late: str = LATE) -> DataFrame:
-    """(bag, iu, iv) once a recording has had `boot` frames: cells lit in at least `share` of them. Then the mask is frozen."""
-    return _ordered(frames, BootMask(boot, share), late)
+def boot_mask_stream(frames: DataFrame, size: tuple[int, int], *, boot: int = 30, share: float = 0.25, late: str = LATE) -> DataFrame:
+    """(bag, iu, iv) once a recording has had `boot` frames: cells of a plane of `size` lit, themselves or one beside them, in at least `share` of them. Then the mask is frozen."""
+    return _ordered(frames, BootMask(boot, share, size), late)
 
 
 class Held(Ordered):

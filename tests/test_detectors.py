@@ -1,5 +1,7 @@
 """Detectors on made scenes with known answers."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -269,7 +271,12 @@ def test_numbers():
     assert isotonic_values(np.array([3.0, 1.0, 2.0, 5.0])).tolist() == [2.0, 2.0, 2.0, 5.0]
     assert poisson_critical(0.0) == 1 and poisson_critical(1.0) == 5
     out = tracked([5.0, 5.1, None, 5.0, 9.0], [350.0, 352.0, 0.0, 10.0, 10.0], 2, 0.3, 4.0, 0.8)
-    assert out[2] == [1, 2, 0, 1, 1] and out[3] == [False, True, False, False, False] and out[0][1] == pytest.approx(5.08)
+    assert out[2] == [1, 2, 0, 1, 1] and out[3] == [False, True, False, False, False] and out[0][1] == pytest.approx(5.02) and out[1][1] == 352.0
+    tail = lambda m, k: sum(math.exp(j * math.log(m) - m - math.lgamma(j + 1)) for j in range(k, k + 400))
+    for m in (0.3, 2.0, 80.0, 100.0, 120.0, 150.0, 190.0):
+        k = poisson_critical(m)
+        assert k == 200 or (tail(m, k) <= 0.01 < tail(m, k - 1))
+    assert poisson_critical(120.0) == 147 and poisson_critical(190.0) == 200
 
 
 def plain_beam(limits, at, az, el, d_min, d_max):
