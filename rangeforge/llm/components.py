@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SALTS = 16
+#: Links that one partition of a round holds on average, at least. Rounds work on few links; as many tasks as the session deals would write mostly empty files.
+LINKS_AT_ONCE = 100_000
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Links each neighbour above u to the least of u's neighbours and u.
 
     A node may have a large part of all links, so they are dealt by the node
@@ -22,15 +24,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"), salts.alias("salt"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts).select(F.col("u"), F.least("u", "m").alias("m"), salts.alias("salt"))
     dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS).cast("long")))
-    return dealt.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return dealt.join(least, ["u", "salt"]).coalesce(parts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Links u and its neighbours below u to the least of them. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+    down = edges.join(least, "u").coalesce(parts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +42,9 @@ def component_roots(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     before = _mark(edges)
     if before[0]:
         for _ in range(most_rounds):
-            edges = cut(_small_star(_large_star(edges).distinct()))
+            # No round has more links than the one before.
+            parts = -(-before[0] // LINKS_AT_ONCE)
+            edges = cut(_small_star(_large_star(edges.coalesce(parts), parts).distinct().coalesce(parts), parts).coalesce(parts))
             now = _mark(edges)
             if now == before:
                 break
