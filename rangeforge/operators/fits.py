@@ -56,15 +56,15 @@ def isotonic(rows: DataFrame, keys: list[str], order: str, y: str, *, rising: bo
 
 
 def local_quality(nodes: DataFrame, span: float = 1.5, slope_weight: float = 150.0) -> DataFrame:
-    """(fan, i, quality): how far a fan's line moves within +- span of each node: |x0| steps plus weighted slope steps."""
+    """(fan, i, quality): how far a fan's line moves around each node: steps, each the hypotenuse of shift and weighted slope, whose middle lies within +- span; 0 if none does."""
     by = Window.partitionBy("fan").orderBy("d")
-    steps = nodes.withColumns({"_d1": F.lead("d").over(by), "_s": F.abs(F.lead("x0").over(by) - F.col("x0")) + slope_weight * F.abs(F.lead("m").over(by) - F.col("m"))})
-    inside = steps.where("_d1 IS NOT NULL").select(F.col("fan").alias("_f"), F.col("d").alias("_a"), F.col("_d1").alias("_b"), "_s")
-    return nodes.join(F.broadcast(inside) if inside.limit(10_001).count() <= 10_000 else inside, (F.col("fan") == F.col("_f")) & (F.col("_a") >= F.col("d") - span) & (F.col("_b") <= F.col("d") + span)).groupBy("fan", "i").agg(F.sum("_s").alias("quality"))
+    steps = nodes.withColumns({"_d1": F.lead("d").over(by), "_s": F.hypot(F.lead("x0").over(by) - F.col("x0"), slope_weight * (F.lead("m").over(by) - F.col("m")))})
+    inside = steps.where("_d1 IS NOT NULL").select(F.col("fan").alias("_f"), ((F.col("d") + F.col("_d1")) / 2).alias("_mid"), "_s")
+    return nodes.join(F.broadcast(inside) if inside.limit(10_001).count() <= 10_000 else inside, (F.col("fan") == F.col("_f")) & (F.abs(F.col("_mid") - F.col("d")) <= span), "left").groupBy("fan", "i").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("quality"))
 
 
-def vanishing_centre(nodes: DataFrame, default: tuple[float, float] = (614.0, 225.0)) -> DataFrame:
-    """One row (cx, cy): mean of where the asymptotes of the side fans meet the bottom fan's."""
+def vanishing_centre(nodes: DataFrame, default: tuple[float, float] = (614.0, 225.0), size: tuple[float, float] = (1280.0, 720.0), margin: float = 200.0) -> DataFrame:
+    """One row (cx, cy): mean of where the asymptotes of the side fans meet the bottom fan's. A crossing over `margin` pixels off the image doesn't count; the default if none does."""
     fits = nodes.groupBy("fan").agg(*[f(F.col(c), 1 / F.col("d")).alias(n) for c, n, f in (("x0", "x0", F.regr_intercept), ("m", "m", F.regr_intercept))])
     one = fits.agg(*[F.max(F.when(F.col("fan") == fan, F.col(c))).alias(f"{fan}_{c}") for fan in "LRB" for c in ("x0", "m")])
     # side: x = m (y - 360) + x0; bottom: y = M (x - 640) + Y0
@@ -73,8 +73,10 @@ def vanishing_centre(nodes: DataFrame, default: tuple[float, float] = (614.0, 22
         x = (m * (y0 - big * 640.0 - 360.0) + x0) / (1 - m * big)
         return x, big * (x - 640.0) + y0
 
-    (lx, ly), (rx, ry) = meet("L"), meet("R")
-    return one.select(F.coalesce((lx + rx) / 2, F.lit(default[0])).alias("cx"), F.coalesce((ly + ry) / 2, F.lit(default[1])).alias("cy"))
+    points = [F.when(x.between(-margin, size[0] + margin) & y.between(-margin, size[1] + margin), F.struct(x.alias("x"), y.alias("y"))) for x, y in (meet("L"), meet("R"))]
+    met = one.select(F.array_compact(F.array(*points)).alias("p"))
+    mean = lambda c, k: F.when(F.size("p") > 0, F.aggregate("p", F.lit(0.0), lambda s, q: s + q[c]) / F.size("p")).otherwise(default[k]).alias(f"c{c}")
+    return met.select(mean("x", 0), mean("y", 1))
 
 
 def extrapolated(y0: Column, v0: Column, k: Column, lo: float = 0.4, hi: float = 2.05) -> Column:

@@ -110,17 +110,18 @@ def isotonic(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NODES}, s AS (SELECT fan, d AS a, lead(d) OVER o AS b, abs(lead(x0) OVER o - x0) + 150 * abs(lead(m) OVER o - m) AS s FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
-SELECT n.fan, n.i, round(sum(s), 4) AS quality FROM nodes n JOIN s ON n.fan = s.fan AND s.b IS NOT NULL AND s.a >= n.d - 1.45 AND s.b <= n.d + 1.45 GROUP BY ALL"""
+    f"""WITH {NODES}, s AS (SELECT fan, (d + lead(d) OVER o) / 2 AS mid, sqrt((lead(x0) OVER o - x0) ** 2 + (150 * (lead(m) OVER o - m)) ** 2) AS s FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
+SELECT n.fan, n.i, round(coalesce(sum(s), 0), 4) AS quality FROM nodes n LEFT JOIN s ON n.fan = s.fan AND abs(s.mid - n.d) <= 1.47 GROUP BY ALL"""
 )
 def local_quality(spark, sf_dir):
-    return f.local_quality(make_nodes(spark), 1.45).withColumn("quality", F.round("quality", 4))
+    return f.local_quality(make_nodes(spark), 1.47).withColumn("quality", F.round("quality", 4))
 
 
 @query(
     f"""WITH {NODES}, a AS (SELECT fan, regr_intercept(x0, 1 / d) AS x0, regr_intercept(m, 1 / d) AS m FROM nodes GROUP BY ALL), o AS (SELECT max(x0) FILTER (fan = 'L') AS lx, max(m) FILTER (fan = 'L') AS lm, max(x0) FILTER (fan = 'R') AS rx, max(m) FILTER (fan = 'R') AS rm, max(x0) FILTER (fan = 'B') AS bx, max(m) FILTER (fan = 'B') AS bm FROM a),
-p AS (SELECT *, (lm * (bx - bm * 640 - 360) + lx) / (1 - lm * bm) AS x1, (rm * (bx - bm * 640 - 360) + rx) / (1 - rm * bm) AS x2 FROM o)
-SELECT round((x1 + x2) / 2, 4) AS cx, round((bm * (x1 - 640) + bx + bm * (x2 - 640) + bx) / 2, 4) AS cy FROM p"""
+p AS (SELECT *, (lm * (bx - bm * 640 - 360) + lx) / (1 - lm * bm) AS x1, (rm * (bx - bm * 640 - 360) + rx) / (1 - rm * bm) AS x2 FROM o),
+q AS (SELECT x1 AS x, bm * (x1 - 640) + bx AS y FROM p UNION ALL SELECT x2, bm * (x2 - 640) + bx FROM p)
+SELECT round(coalesce(avg(x), 614.0), 4) AS cx, round(coalesce(avg(y), 225.0), 4) AS cy FROM q WHERE x BETWEEN -200 AND 1480 AND y BETWEEN -200 AND 920"""
 )
 def vanishing_center(spark, sf_dir):
     return f.vanishing_centre(make_nodes(spark)).select(F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))

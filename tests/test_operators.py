@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rangeforge.config import AxisSpec, Grid
 from rangeforge.functions import geometry as g
-from rangeforge.operators import aggregates, folds, grids, matching, selection, windows
+from rangeforge.operators import aggregates, fits, folds, grids, matching, selection, windows
 from rangeforge.sources import images
 from rangeforge.sources.calibration import make_nodes
 from rangeforge.streaming import online
@@ -80,8 +80,9 @@ def test_folds(spark):
     rows = spark.createDataFrame([("a", k, float(x), 0.0) for k, x in enumerate([0, 1, 5, 5.5, 10])], "g string, k long, x double, y double")
     assert [r.kept for r in folds.suppressed(rows, ["g"], ["k"], ["x", "y"], [2.0, 1.0]).orderBy("k").collect()] == [True, False, True, False, True]
     assert [r.seed for r in folds.anchored_groups(rows, ["g"], ["k"], ["x", "y"], [2.0, 1.0]).orderBy("k").collect()] == [0, 0, 1, 1, 2]
-    levels = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 5.0), ("a", 2, None), ("a", 3, 1.2)], "g string, k long, v double")
-    assert [r.level for r in folds.rail_levels(levels, ["g"], "k", "v").orderBy("k").collect()] == pytest.approx([1.0, 1.0, 1.0, 1.1])
+    levels = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 5.0), ("a", 2, None), ("a", 3, 1.2), ("a", 4, 1.3)], "g string, k long, v double")
+    # the jump to 5 counts as another 1.0, so the medians are of 1, 1 1, 1 1, 1 1 1.2 and 1 1 1.2 1.3
+    assert [r.level for r in folds.rail_levels(levels, ["g"], "k", "v").orderBy("k").collect()] == pytest.approx([1.0, 1.0, 1.0, 1.0, 1.1])
     smooth = folds.recursive_median(spark.createDataFrame([("a", k, float(v)) for k, v in enumerate([0, 9, 0, 9, 9])], "g string, k long, v double"), ["g"], "k", "v", half=1)
     assert [r.smooth for r in smooth.orderBy("k").collect()] == [4.5, 4.5, 4.5, 9.0, 9.0]
 
@@ -148,3 +149,16 @@ def test_groups_over_batches(size):
         v = batch.column(1).to_pylist()
         groups += [v[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True)]
     assert groups == [[0, 1, 2, 3, 4], [5, 6], [7], [8, 9]] and not list(whole_groups(iter([]), ["k"]))
+
+
+def test_vanishing_centre_bounds(spark):
+    """One crossing off the image leaves the other; none leaves the default."""
+    def centre(left, right):
+        lines = {"L": (left, 0.1), "R": (right, -0.1), "B": (300.0, 0.05)}
+        rows = [(fan, float(d), x0 + 10.0 / d, m) for fan, (x0, m) in lines.items() for d in (2, 4, 8, 16)]
+        return tuple(fits.vanishing_centre(spark.createDataFrame(rows, "fan string, d double, x0 double, m double")).first())
+
+    meet = lambda x0, m: (m * (300.0 - 0.05 * 640 - 360) + x0) / (1 - m * 0.05)
+    one, two = meet(500.0, 0.1), meet(800.0, -0.1)
+    assert centre(500.0, 800.0)[0] == pytest.approx((one + two) / 2) and centre(5000.0, 800.0)[0] == pytest.approx(two) and centre(500.0, -4000.0)[0] == pytest.approx(one)
+    assert centre(5000.0, -4000.0) == (614.0, 225.0)
