@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rangeforge.llm import quality_rules as q
 from rangeforge.llm.exact_dedup import drop_exact_copies, exact_groups
@@ -115,3 +116,14 @@ def test_exact(spark, salts):
     left = drop_exact_copies(docs, salts=salts)
     assert left.columns == docs.columns and left.count() == len(groups)
     assert exact_groups(docs.limit(0)).count() == 0
+
+
+def test_exact_digests_that_stand_for_several_texts(spark):
+    """Digests by length only, one of them in most rows: groups stay those of the texts."""
+    texts = ["same"] * 3000 + ["tame"] * 5 + ["a b", "a\t\nb", "a  b", "", " ", None, "four", "longer text"]
+    docs = spark.createDataFrame([(k if k % 7 else None, t, k, "x") for k, t in enumerate(texts)], "doc_id long, text string, __rf_row long, __RF_DIGEST string")
+    rows = lambda df: sorted(df.select("doc_id", "keep_id", "group_size", "kept").collect(), key=str)
+    assert rows(exact_groups(docs, digest=lambda n: F.length(n).cast("string"))) == rows(exact_groups(docs))
+    left = drop_exact_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] or "" for r in left.collect()) == sorted(["same", "tame", left.where("text RLIKE '^a'").first()["text"], "", " ", "four", "longer text"])
