@@ -71,19 +71,21 @@ def maps():
 @pytest.mark.parametrize("d", [3.0, 4.0, 6.0])
 def test_measured_distance(grid, maps, d):
     m = camera.measure_frame(scene(grid, d), maps)
-    assert m["fans"] == {"L": pytest.approx(d, abs=0.2), "R": pytest.approx(d, abs=0.2), "B": pytest.approx(d, abs=0.1)}
-    assert m["closest"] == pytest.approx(d, abs=0.2) and not m["near"]
-    assert {c[0] for c in m["corners"]} == {"L", "R"} and all(c[3] == pytest.approx(d, abs=0.1) for c in m["corners"])
+    # The probes lie at the image's origin, off the bottom line's segments, so that a segment's tilt tells as much as for the sides.
+    assert m["fans"] == {fan: pytest.approx(d, abs=0.2) for fan in "LRB"}
+    segments = camera.find_lines(scene(grid, d))[0]
+    assert m["fans"]["B"] == pytest.approx(min(plain_fit(maps["B"], (s.a, s.b, s.c))[0] for s in segments), abs=1e-6)
+    assert m["closest"] == pytest.approx(d, abs=0.2) and not m["marks"]
+    assert {c[0] for c in m["corners"]} == {"L", "R"} and all(c[3] == pytest.approx(d, abs=0.2) for c in m["corners"])
 
 
 def plain_fit(own, line):
-    """The three scans, one distance at a time."""
+    """The three scans, one distance at a time; probes 100 pixels to both sides of the line's point nearest to the image's origin."""
     def error(d):
         x0, m = np.interp(d, own.d, own.x0), np.interp(d, own.d, own.m)
         a, b, c = (1.0, -m, m * 360 - x0) if own.vertical else (-m, 1.0, m * 640 - x0)
         n = np.hypot(a, b)
-        s = line[0] * 640 + line[1] * 360 + line[2]
-        x, y = 640 - s * line[0], 360 - s * line[1]
+        x, y = -line[2] * line[0], -line[2] * line[1]
         return max(abs((a * (x - t * line[1]) + b * (y + t * line[0]) + c) / n) for t in (-100, 100))
 
     best, least = own.d[0], np.inf
@@ -131,32 +133,51 @@ def test_model_takes_the_place_of_maps(grid, maps):
     assert {fan: min(d for d, _ in own) for fan, own in found.items()} == {fan: pytest.approx(5.0, abs=0.2) for fan in "LRB"}
 
 
-def test_near_features(grid, maps):
+def measured(spark, maps, scenes, **rules):
+    """measurements() of whole images, by name."""
+    rows = [(name, int(x), int(y), int(gray[y, x])) for name, gray in scenes.items() for y, x in np.argwhere(gray)]
+    found = camera.measurements(spark.createDataFrame(rows, "name string, x int, y int, gray int"), ["name"], maps, **rules).collect()
+    return {r["name"]: r for r in found}
+
+
+def test_near_marks(spark, grid, maps):
     """Marks by the rules: what is near, how far, what is a broken line, what no reading supports."""
-    def with_marks(*marks, d=4.0):
-        gray = scene(grid, d)
+    scenes = {}
+
+    def with_marks(name, *marks, d=4.0):
+        gray = scenes[name] = scene(grid, d)
         for x, y, w, h in marks:
             gray[y : y + h, x : x + w] = 220
-        return camera.measure_frame(gray, maps)
 
     level = 230 + 480 / 4.0
     y3 = int(230 + 480 / 3.2 + (0.01 + 0.02 / 3.2) * (580 - 640))
-    (dot,) = with_marks((575, y3 - 4, 9, 9))["near"]
-    assert dot["kind"] == "dot" and dot["near"] and dot["d"] == pytest.approx(3.2, abs=0.41)
-    m = with_marks((560, y3 - 3, 60, 6))
-    assert m["near"][0]["kind"] == "hline" and m["near"][0]["near"] and m["closest"] == pytest.approx(3.2, abs=0.1)
     y2 = 230 + 480 / 2.0
-    (below,) = with_marks((575, int(y2) + 30, 9, 9), d=2.4)["near"]
+    a, b, c = grid.at("L", 4.0)
+    with_marks("none")
+    with_marks("dot", (575, y3 - 4, 9, 9))
+    with_marks("flat", (560, y3 - 3, 60, 6))
+    with_marks("below", (575, int(y2) + 30, 9, 9), d=2.4)
+    with_marks("low", (575, 640, 9, 9))
+    with_marks("outside", (200, int(level) + 60, 9, 9))
+    with_marks("top", (575, 100, 9, 9))
+    with_marks("above", (575, 250, 9, 9))
+    with_marks("row", *[(int(-(b * y + c) / a) + 12, y, 4, 4) for y in (420, 450, 480)])
+    m = measured(spark, maps, scenes)
+    assert not m["none"]["near"] and m["none"]["closest"] == pytest.approx(4.0, abs=0.2)
+    (dot,) = m["dot"]["near"]
+    assert dot["kind"] == "dot" and dot["near"] and dot["d"] == pytest.approx(3.2, abs=0.41)
+    # A level mark of rows y3 - 3 to y3 + 2, as far as the bottom line is that fits it best.
+    flat, _ = plain_fit(maps["B"], (0.0, 1.0, 0.5 - y3))
+    assert m["flat"]["near"][0]["kind"] == "hline" and m["flat"]["near"][0]["near"] and m["flat"]["closest"] == m["flat"]["near"][0]["d"] == pytest.approx(flat, abs=1e-6)
+    assert flat == pytest.approx(3.2, abs=0.2)
+    (below,) = m["below"]["near"]
     assert below["near"] and 1.5 < below["d"] < 2.05
-    (low,) = with_marks((575, 640, 9, 9))["near"]
+    (low,) = m["low"]["near"]
     assert low["d"] is not None and not low["near"]  # 1.2 m: no reading within half a metre below to two above
-    assert not with_marks((200, int(level) + 60, 9, 9))["near"]  # outside the corridor
-    assert not with_marks((575, 100, 9, 9))["near"]  # the top quarter
-    assert with_marks((575, 250, 9, 9))["near"][0]["near"] is False  # above the bottom line
-    a, b, c = grid.at("L", 4.0)
-    row = [(int(-(b * y + c) / a) + 14, y, 5, 5) for y in (420, 450, 480)]
-    gray_dots = with_marks(*[(x - 2, y, 4, 4) for x, y, _, _ in row])["near"]
-    assert not [f for f in gray_dots if f["kind"] == "dot" and abs(a * f["x"] + b * f["y"] + c) <= 12]
+    assert not m["outside"]["near"]  # outside the corridor
+    assert not m["top"]["near"]  # the top quarter
+    assert m["above"]["near"][0]["near"] is False  # above the bottom line
+    assert not [f for f in m["row"]["near"] if f["kind"] == "dot" and abs(a * f["x"] + b * f["y"] + c) <= 12]
 
 
 def test_point_distance_and_branch(maps):
