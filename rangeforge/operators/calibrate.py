@@ -5,31 +5,54 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rotation
 from .fits import isotonic
+from .matching import dimension, interpolate_line
 from .windows import moving_median
 
 
 def build_map(samples: DataFrame) -> DataFrame:
-    """Nodes (fan, direction, d, x0, m) from measured lines (fan, d, x0, m): L and B are median-smoothed and made monotone in x0, R stays as measured."""
-    direction = samples.groupBy("fan").agg(F.when(F.corr("d", "x0") < 0, -1).otherwise(1).alias("direction"))
-    smooth = moving_median(samples.where("fan <> 'R'"), ["fan"], "d", "x0").withColumn("x0", F.col("smooth")).drop("smooth").join(direction, "fan")
-    rising = isotonic(smooth.withColumn("_v", F.col("x0") * F.col("direction")), ["fan"], "d", "_v").withColumn("x0", F.col("fit") * F.col("direction"))
+    """Nodes (fan, direction, d, x0, m) from measured lines (fan, d, x0, m).
+
+    The line of L moves up with the distance, those of R and B down. Places and
+    slopes of L and B are median-smoothed, and their places made monotone that
+    way; R, which is no rigid plane, stays as measured.
+    """
     keep = ["fan", "direction", "d", "x0", "m"]
-    return rising.select(keep).unionByName(samples.where("fan = 'R'").join(direction, "fan").select(keep))
+    aimed = samples.withColumn("direction", F.when(F.col("fan") == "L", 1).otherwise(-1))
+    smooth = aimed.where("fan <> 'R'")
+    for c in ("x0", "m"):
+        smooth = moving_median(smooth, ["fan"], "d", c).withColumn(c, F.col("smooth")).drop("smooth")
+    rising = isotonic(smooth.withColumn("_v", F.col("x0") * F.col("direction")), ["fan"], "d", "_v").withColumn("x0", F.col("fit") * F.col("direction"))
+    return rising.select(keep).unionByName(aimed.where("fan = 'R'").select(keep))
+
+
+def branches(nodes: DataFrame, ends: int = 3) -> DataFrame:
+    """(fan, lo, hi, near, far): a map's limits, and the branches v0 + k / d of place and slope fitted to its first and its last nodes."""
+    by = Window.partitionBy("fan")
+    placed = nodes.withColumns({"_up": F.row_number().over(by.orderBy("d")), "_down": F.row_number().over(by.orderBy(F.desc("d")))})
+
+    def fitted(at: str):
+        own = lambda c: F.when(F.col(at) <= ends, F.col(c))
+        return F.struct(*[fit(own(c), 1 / F.col("d")).alias(f"{c}_{name}") for c in ("x0", "m") for name, fit in (("v", F.regr_intercept), ("k", F.regr_slope))])
+
+    return placed.groupBy("fan").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), fitted("_up").alias("near"), fitted("_down").alias("far"))
 
 
-def branched(d: np.ndarray, nodes_d: np.ndarray, nodes_v: np.ndarray, blend: float = 0.15) -> np.ndarray:
-    """Values of a map at d: linear between the nodes; outside, the branch v0 + k / d fitted to all nodes, blended in over `blend` metres
-    below the first node, and from `blend` to twice that behind the last."""
-    k, v0 = np.polyfit(1 / nodes_d, nodes_v, 1)
-    lo, hi = nodes_d[0], nodes_d[-1]
-    branch, inside = v0 + k / d, np.interp(d, nodes_d, nodes_v)
-    w = np.where(d < lo, np.clip((lo - d) / blend, 0, 1), np.clip((d - hi - blend) / blend, 0, 1))
-    return (1 - w) * inside + w * branch
+def branched_lines(rows: DataFrame, nodes: DataFrame, d: str, *, blend: float = 0.15) -> DataFrame:
+    """rows (with fan and d) with x0 and m of their fan's line: linear between nodes; outside, the branch of the nearest three nodes,
+    blended in over `blend` metres below the first node, and from `blend` to twice that behind the last. Rows of unknown fans or without d go."""
+    limits = branches(nodes).select(F.col("fan").alias("_fan"), "lo", "hi", "near", "far")
+    held = interpolate_line(rows.where(F.col(d).isNotNull()), nodes, d).join(dimension(limits), F.col("fan") == F.col("_fan"))
+    clipped = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / blend))
+    below = F.col(d) < F.col("lo")
+    w = F.when(below, clipped(F.col("lo") - F.col(d))).otherwise(clipped(F.col(d) - F.col("hi") - blend))
+    beyond = lambda c: F.when(below, F.col(f"near.{c}_v") + F.col(f"near.{c}_k") / F.col(d)).otherwise(F.col(f"far.{c}_v") + F.col(f"far.{c}_k") / F.col(d))
+    line = {c: F.when(w > 0, (1 - w) * F.col(c) + w * beyond(c)).otherwise(F.col(c)) for c in ("x0", "m")}
+    return held.withColumns(line).select(*rows.columns, "x0", "m")
 
 
 def corner_lines(nodes: DataFrame, side: str, bottom: str = "B") -> DataFrame:

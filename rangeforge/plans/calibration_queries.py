@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scaling
 from ..operators import calibrate, grids
 from ..operators import windows as w
-from ..sources.calibration import NODES, make_nodes
-from ..sources.driver import POINTS, SIGNAL, points, signal
+from ..sources.driver import MEASURED, POINTS, SIGNAL, measured_nodes, points, signal, table
 from .grid_queries import CELLS, states
 from .registry import query
 
@@ -68,20 +67,50 @@ def live_mask(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NODES}, s AS (SELECT fan, d, m, CASE WHEN fan = 'R' THEN x0 ELSE list_sort([coalesce(lag(x0) OVER o, x0), x0, coalesce(lead(x0) OVER o, x0)])[2] END AS x0, CASE WHEN corr(d, x0) OVER (PARTITION BY fan) < 0 THEN -1 ELSE 1 END AS direction FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
-SELECT fan, direction, round(d, 6) AS d, floor(x0 * 1e3 + 0.500001) / 1e3 AS x0, round(m, 6) AS m FROM s"""
+    f"""WITH {MEASURED}, s AS (SELECT fan, d, CASE WHEN fan = 'R' THEN x0 ELSE list_sort([coalesce(lag(x0) OVER o, x0), x0, coalesce(lead(x0) OVER o, x0)])[2] END AS x0,
+CASE WHEN fan = 'R' THEN m ELSE list_sort([coalesce(lag(m) OVER o, m), m, coalesce(lead(m) OVER o, m)])[2] END AS m, CASE WHEN fan = 'L' THEN 1 ELSE -1 END AS direction FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
+SELECT fan, direction, round(d, 6) AS d, floor(x0 * 1e3 + 0.500001) / 1e3 AS x0, floor(m * 1e6 + 0.500001) / 1e6 AS m FROM s"""
 )
 def calibration_map(spark, sf_dir):
-    nodes = calibrate.build_map(make_nodes(spark).select("fan", "d", "x0", "m"))
-    return nodes.select("fan", "direction", F.round("d", 6).alias("d"), (F.floor(F.col("x0") * 1e3 + 0.500001) / 1e3).alias("x0"), F.round("m", 6).alias("m"))
+    """Places lie far enough apart that making them monotone changes nothing; slopes do not."""
+    nodes = calibrate.build_map(measured_nodes(spark, sf_dir).select("fan", "d", "x0", "m"))
+    return nodes.select("fan", "direction", F.round("d", 6).alias("d"), _cut(F.col("x0"), 3).alias("x0"), _cut(F.col("m"), 6).alias("m"))
+
+
+def _cut(c, digits: int):
+    """Rounded, with what is a half but for the last bits going up on both sides."""
+    return F.floor(c * 10.0**digits + 0.500001) / 10.0**digits
+
+
+SIDES = {"near": "up <= 3", "far": "down <= 3"}
+FITS = ", ".join(f"regr_{what}({c}, 1 / d) FILTER ({own}) AS {side}_{c}_{what[0]}" for side, own in SIDES.items() for c in ("x0", "m") for what in ("intercept", "slope"))
+HELD = "{c}0 + (p - d0) / (d1 - d0) * ({c}1 - {c}0)"
+BLENDED = "CASE WHEN d < lo THEN (1 - w) * ({h}) + w * (near_{c}_i + near_{c}_s / d) WHEN d > hi THEN (1 - w) * ({h}) + w * (far_{c}_i + far_{c}_s / d) ELSE {h} END"
+
+
+@query(
+    f"""WITH {MEASURED}, n AS (SELECT *, row_number() OVER (PARTITION BY fan ORDER BY d) AS up, row_number() OVER (PARTITION BY fan ORDER BY d DESC) AS down FROM nodes),
+f AS (SELECT fan, min(d) AS lo, max(d) AS hi, {FITS} FROM n GROUP BY fan),
+b AS (SELECT fan, d AS d0, x0 AS x00, m AS m0, lead(d) OVER o AS d1, lead(x0) OVER o AS x01, lead(m) OVER o AS m1 FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d)),
+e AS (SELECT event_id, (['L', 'R', 'B'])[event_id % 3 + 1] AS fan, (floor(value)::BIGINT % 400 + 10) / 20.0::DOUBLE AS d FROM events),
+h AS (SELECT e.event_id, e.d, f.*, b.* EXCLUDE (fan), least(greatest(e.d, lo), hi) AS p, CASE WHEN e.d < lo THEN least(1.0, (lo - e.d) / 0.15) ELSE least(1.0, greatest(0.0, (e.d - hi - 0.15) / 0.15)) END AS w
+FROM e JOIN f USING (fan) JOIN b ON b.fan = f.fan AND d1 IS NOT NULL AND least(greatest(e.d, lo), hi) >= d0 AND (least(greatest(e.d, lo), hi) < d1 OR (least(greatest(e.d, lo), hi) = hi AND d1 = hi)))
+SELECT event_id, fan, d, floor(({BLENDED.format(h=HELD.format(c='x0'), c='x0')}) * 1e3 + 0.500001) / 1e3 AS x0, floor(({BLENDED.format(h=HELD.format(c='m'), c='m')}) * 1e6 + 0.500001) / 1e6 AS m FROM h"""
+)
+def map_branches(spark, sf_dir):
+    """Each event's line at a distance within, before or beyond the measured map."""
+    fan = F.element_at(F.array(*map(F.lit, "LRB")), (F.col("event_id") % 3 + 1).cast("int"))
+    d = (F.floor("value").cast("long") % 400 + 10) / 20.0
+    asked = table(spark, sf_dir, "events").select("event_id", fan.alias("fan"), d.alias("d"))
+    return calibrate.branched_lines(asked, measured_nodes(spark, sf_dir), "d").select("event_id", "fan", "d", _cut(F.col("x0"), 3).alias("x0"), _cut(F.col("m"), 6).alias("m"))
 
 
 @query(
-    f"""WITH {NODES}, s AS (SELECT a.d, a.x0 AS sx, a.m AS sm, b.x0 AS bx, b.m AS bm FROM nodes a JOIN nodes b ON a.fan = 'L' AND b.fan = 'B' AND a.i = b.i), x AS (SELECT *, (sm * (bx - bm * 640 - 360) + sx) / (1 - sm * bm) AS x FROM s)
+    f"""WITH {MEASURED}, s AS (SELECT a.d, a.x0 AS sx, a.m AS sm, b.x0 AS bx, b.m AS bm FROM nodes a JOIN nodes b ON a.fan = 'L' AND b.fan = 'B' AND a.i = b.i), x AS (SELECT *, (sm * (bx - bm * 640 - 360) + sx) / (1 - sm * bm) AS x FROM s)
 SELECT round(d, 6) AS d, round(x, 4) AS x, round(bm * (x - 640) + bx, 4) AS y FROM x"""
 )
 def corner_line(spark, sf_dir):
-    c = calibrate.corner_lines(make_nodes(spark), "L")
+    c = calibrate.corner_lines(measured_nodes(spark, sf_dir), "L")
     return c.select(F.round("d", 6).alias("d"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 

@@ -8,8 +8,7 @@ from ..operators import clusters as c
 from ..operators import fits as f
 from ..operators import folds
 from ..operators import grids
-from ..sources.calibration import NODES, make_nodes
-from ..sources.driver import POINTS, PROFILES, SIGNAL, points, profiles, signal
+from ..sources.driver import MEASURED, POINTS, PROFILES, SIGNAL, measured_nodes, points, profiles, signal
 from .grid_queries import CELLS, states
 from .registry import query
 
@@ -110,21 +109,21 @@ def isotonic(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NODES}, s AS (SELECT fan, (d + lead(d) OVER o) / 2 AS mid, sqrt((lead(x0) OVER o - x0) ** 2 + (150 * (lead(m) OVER o - m)) ** 2) AS s FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
+    f"""WITH {MEASURED}, s AS (SELECT fan, (d + lead(d) OVER o) / 2 AS mid, sqrt((lead(x0) OVER o - x0) ** 2 + (150 * (lead(m) OVER o - m)) ** 2) AS s FROM nodes WINDOW o AS (PARTITION BY fan ORDER BY d))
 SELECT n.fan, n.i, round(coalesce(sum(s), 0), 4) AS quality FROM nodes n LEFT JOIN s ON n.fan = s.fan AND abs(s.mid - n.d) <= 1.47 GROUP BY ALL"""
 )
 def local_quality(spark, sf_dir):
-    return f.local_quality(make_nodes(spark), 1.47).withColumn("quality", F.round("quality", 4))
+    return f.local_quality(measured_nodes(spark, sf_dir), 1.47).withColumn("quality", F.round("quality", 4))
 
 
 @query(
-    f"""WITH {NODES}, a AS (SELECT fan, regr_intercept(x0, 1 / d) AS x0, regr_intercept(m, 1 / d) AS m FROM nodes GROUP BY ALL), o AS (SELECT max(x0) FILTER (fan = 'L') AS lx, max(m) FILTER (fan = 'L') AS lm, max(x0) FILTER (fan = 'R') AS rx, max(m) FILTER (fan = 'R') AS rm, max(x0) FILTER (fan = 'B') AS bx, max(m) FILTER (fan = 'B') AS bm FROM a),
+    f"""WITH {MEASURED}, a AS (SELECT fan, regr_intercept(x0, 1 / d) AS x0, regr_intercept(m, 1 / d) AS m FROM nodes GROUP BY ALL), o AS (SELECT max(x0) FILTER (fan = 'L') AS lx, max(m) FILTER (fan = 'L') AS lm, max(x0) FILTER (fan = 'R') AS rx, max(m) FILTER (fan = 'R') AS rm, max(x0) FILTER (fan = 'B') AS bx, max(m) FILTER (fan = 'B') AS bm FROM a),
 p AS (SELECT *, (lm * (bx - bm * 640 - 360) + lx) / (1 - lm * bm) AS x1, (rm * (bx - bm * 640 - 360) + rx) / (1 - rm * bm) AS x2 FROM o),
 q AS (SELECT x1 AS x, bm * (x1 - 640) + bx AS y FROM p UNION ALL SELECT x2, bm * (x2 - 640) + bx FROM p)
 SELECT round(coalesce(avg(x), 614.0), 4) AS cx, round(coalesce(avg(y), 225.0), 4) AS cy FROM q WHERE x BETWEEN -200 AND 1480 AND y BETWEEN -200 AND 920"""
 )
 def vanishing_center(spark, sf_dir):
-    return f.vanishing_centre(make_nodes(spark)).select(F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+    return f.vanishing_centre(measured_nodes(spark, sf_dir)).select(F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
 
 
 @query(
@@ -137,7 +136,7 @@ def poisson_critical(spark, sf_dir):
     return f.critical_counts(means, "mean", 0.01)
 
 
-@query(f"WITH {NODES}, {SIGNAL} SELECT event_id, CASE WHEN 480.0 / (d + 200 - 230) BETWEEN 0.4 AND 2.05 THEN round(480.0 / (d + 200 - 230), 6) END AS d FROM signal")
+@query(f"WITH {SIGNAL} SELECT event_id, CASE WHEN 480.0 / (d + 200 - 230) BETWEEN 0.4 AND 2.05 THEN round(480.0 / (d + 200 - 230), 6) END AS d FROM signal")
 def extrapolated_distance(spark, sf_dir):
     d = f.extrapolated(F.col("d") + 200, F.lit(230.0), F.lit(480.0))
     return signal(spark, sf_dir).select("event_id", F.round(d, 6).alias("d"))

@@ -8,7 +8,7 @@ from ..operators import matching as m
 from ..operators import selection as s
 from ..operators import windows as w
 from ..sources.calibration import NODES, make_nodes
-from ..sources.driver import POINTS, SIGNAL, points, signal, table
+from ..sources.driver import MEASURED, POINTS, SIGNAL, measured_nodes, points, signal, table
 from .grid_queries import CELLS, states
 from .registry import query
 
@@ -38,9 +38,9 @@ def calib_interpolate(spark, sf_dir):
     return out.select("event_id", "fan", (F.floor(F.col("x0") * 1e4 + 0.500001) / 1e4).alias("x0"), F.round("m", 6).alias("m"))
 
 
-@query(f"WITH {GRID} SELECT fan, d, round(a, 6) AS a, round(b, 6) AS b, round(c, 4) AS c FROM lines")
+@query(f"WITH {GRID.replace(NODES, MEASURED)} SELECT fan, d, round(a, 6) AS a, round(b, 6) AS b, round(c, 4) AS c FROM lines")
 def dense_line_map(spark, sf_dir):
-    out = m.dense_lines(make_nodes(spark), 2.0, 12.0, 0.5)
+    out = m.dense_lines(measured_nodes(spark, sf_dir), 2.0, 12.0, 0.5)
     return out.select("fan", "d", F.round("line.a", 6).alias("a"), F.round("line.b", 6).alias("b"), F.round("line.c", 4).alias("c"))
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import fits
 from ..operators import windows as w
 from ..sources import calibration, images, las, pointcloud2, rosbag, tables
-from ..sources.calibration import NODES, make_nodes
-from ..sources.driver import POINTS, SIGNAL, points, signal
+from ..sources.driver import MEASURED, POINTS, SIGNAL, measured_nodes, points, signal
 from ..sources.scratch import mounted, scratch_folder
 from . import detection_queries  # noqa: F401  registers vanishing_center
 from .grid_queries import CELLS, states
@@ -131,10 +130,10 @@ def summary_json(spark, sf_dir):
     return spark.read.json(path, schema="bag long, events long, least double, most double, families long")
 
 
-@query(f"WITH {NODES} SELECT fan, vertical, 1 AS direction, i, round(d, 9) AS d, round(x0, 9) AS x0, round(m, 9) AS m FROM nodes")
+@query(f"WITH {MEASURED} SELECT fan, vertical, 1 AS direction, i, round(d, 9) AS d, round(x0, 9) AS x0, round(m, 9) AS m FROM nodes")
 def calibration_json(spark, sf_dir):
     path = scratch_folder(spark, "calibration")
-    calibration.write_nodes(make_nodes(spark), path)
+    calibration.write_nodes(measured_nodes(spark, sf_dir), path)
     r = lambda c: F.round(c, 9).alias(c)
     return calibration.read_nodes(spark, path).select("fan", "vertical", "direction", "i", r("d"), r("x0"), r("m"))
 
@@ -142,7 +141,7 @@ def calibration_json(spark, sf_dir):
 @query("SELECT * FROM (SELECT 'no file' AS asked, 'computed' AS source, cx, cy FROM (" + ORACLE_SQL["vanishing_center"] + ") UNION ALL VALUES ('file', 'file', 600.5, 210.25))")
 def centre_from_file(spark, sf_dir):
     """The centre of an image: a file's wins over the computed one."""
-    computed = fits.vanishing_centre(make_nodes(spark)).select(F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+    computed = fits.vanishing_centre(measured_nodes(spark, sf_dir)).select(F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
     path = scratch_folder(spark, "centre")
     calibration.write_centre(spark.range(1).select(F.lit(600.5).alias("cx"), F.lit(210.25).alias("cy")), path)
     asked = [calibration.centre_of(computed, p).withColumn("asked", F.lit(name)) for name, p in (("file", path), ("no file", f"{path}-none"))]

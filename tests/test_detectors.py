@@ -335,14 +335,25 @@ def test_beams(spark):
     assert aimed == {(s, t): min(r.angle for (_, _, q), r in rows.items() if q == s and t - 3 < r.d <= t + 3) for s in best for t in (10.0, 25.0) if any(q == s and t - 3 < r.d <= t + 3 for (_, _, q), r in rows.items())}
 
 
-def test_branches_and_guided_fit():
-    from rangeforge.operators.calibrate import branched
+def test_branches(spark):
+    """A bent map: inside it is linear, outside each end's own branch takes over within the blend."""
+    from rangeforge.operators.calibrate import branched_lines
+
+    d = np.arange(2.0, 10.1, 0.5)
+    x0 = np.where(d < 5, 100 + 50 / d, 80 + 150 / d)
+    nodes = spark.createDataFrame([("L", float(a), float(b), 0.1 + 0.2 / float(a)) for a, b in zip(d, x0, strict=True)], "fan string, d double, x0 double, m double")
+    asked = [0.5, 1.0, 1.9, 2.0, 3.3, 10.0, 10.1, 10.2, 30.0]
+    got = {r.d: r for r in branched_lines(spark.createDataFrame([("L", v, 1) for v in asked] + [("X", 3.0, 1), ("L", None, 1)], "fan string, d double, _fanned int"), nodes, "d").collect()}
+    assert sorted(got) == asked
+    assert got[0.5].x0 == pytest.approx(200) and got[1.0].x0 == pytest.approx(150) and got[30.0].x0 == pytest.approx(85)
+    assert got[1.9].x0 == pytest.approx((1 - 2 / 3) * 125 + 2 / 3 * (100 + 50 / 1.9))
+    assert got[10.2].x0 == pytest.approx((1 - 1 / 3) * 95 + 1 / 3 * (80 + 150 / 10.2)) and got[10.1].x0 == pytest.approx(95)
+    assert got[3.3].x0 == pytest.approx(np.interp(3.3, d, x0)) and got[0.5].m == pytest.approx(0.5)
+
+
+def test_guided_fit():
     from rangeforge.operators.camera import guided_line, refine_line
 
-    nodes = np.arange(2.0, 10.1, 0.5)
-    v = 100 + 50 / nodes
-    d = np.array([1.0, 2.0, 3.3, 10.0, 10.1, 30.0])
-    assert branched(d, nodes, v) == pytest.approx(100 + 50 / d, abs=0.4)
     x = np.arange(0, 300.0)
     y = 0.2 * x + 40
     y[::25] += 60
