@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import SIGNAL, points, signal
-from ..sources.scratch import scratch_folder
+from ..sources import pointcloud2, rosbag
+from ..sources.scratch import mounted, scratch_folder
 from ..streaming import online
 from . import detection_queries, matching_queries, window_queries  # noqa: F401  register the queries whose SQL is used here
-from .grid_queries import CELLS, states
+from .grid_queries import CELLS, D0, PLANE, states
 from .registry import ORACLE_SQL, query
 
 #: Frames are a tenth of a second apart; recording -1 ends the play, far later than all others.
@@ -39,6 +40,22 @@ def stream_consensus(spark, sf_dir):
     return play(spark, packed, lambda s: online.consensus_stream(s, late=ALL))
 
 
+@query(ORACLE_SQL["shadow_objects"])
+def stream_bags(spark, sf_dir):
+    """Shadows and objects of bags that are read as they grow: half of each recording, all of it, then recordings that come later: the first moves the watermark past the others, with the second they come out."""
+    cloud = points(spark, sf_dir).select(F.concat(F.lit("run"), "bag").alias("bag"), "frame_idx", (F.lit(FIRST) + F.col("frame_idx") * 10**9).alias("ts_ns"), F.monotonically_increasing_id().alias("pt_idx"), F.col("f").alias("x"), F.col("lat").alias("y"), F.col("ver").alias("z"), "intensity", F.lit(0).alias("ring"))
+    bags, out, progress = (scratch_folder(spark, x) for x in ("bags", "out", "progress"))
+    messages = pointcloud2.encode_frames(cloud).withColumn("topic", F.lit("/points"))
+    later = [messages.where("frame_idx = 39").withColumns({"bag": F.concat(F.lit(f"later{k}"), F.col("bag")), "ts_ns": F.lit((10 + k) * FIRST)}) for k in range(2)]
+    rosbag.register(spark)
+    for grown in (messages.where("frame_idx < 20"), messages, *later):
+        rosbag.write_bags(grown, bags).collect()
+        lit = online.lit_frames(spark.readStream.format("rosbag").load(mounted(bags)), D0, PLANE)
+        online.write_batches(online.consensus_stream(lit), out, progress, once=True).awaitTermination()
+    found = spark.read.schema("bag string, frame_idx long, iu int, iv int, kind string, ts_ns long").parquet(f"{out}/batch=*").where("NOT startswith(bag, 'later')")
+    return found.select(F.substring("bag", 4, 9).cast("long").alias("bag"), "frame_idx", "iu", "iv", "kind")
+
+
 def _track(spark, sf_dir) -> DataFrame:
     return signal(spark, sf_dir).select("bag", "frame_idx", F.when(F.col("fam") != "error", F.col("d")).alias("d"), F.col("theta").cast("double").alias("theta"))
 

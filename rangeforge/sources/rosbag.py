@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..shipping import ship_package
 from .scratch import mounted
@@ -57,6 +58,11 @@ def bag_files(path: str) -> list[str]:
     return [f for d in below if os.path.isdir(d) for f in bag_files(d)]
 
 
+def bag_name(path: str, root: str) -> str:
+    """The folder of a bag, or the name of the file if that is what was asked for."""
+    return os.path.basename(os.path.dirname(path)) if path != root else os.path.splitext(os.path.basename(path))[0]
+
+
 @dataclass
 class BagRange(InputPartition):
     """Messages `first` to `first + count - 1` in the reader's order, which starts behind the message `after` (time, id)."""
@@ -90,7 +96,7 @@ class RosbagReader(DataSourceReader):
         for path in bag_files(self.path.removeprefix("file://")):
             if self.names and not any(n in path for n in self.names):
                 continue
-            bag = os.path.basename(os.path.dirname(path)) if path != self.path else os.path.splitext(os.path.basename(path))[0]
+            bag = bag_name(path, self.path)
             with open_bag(path) as db:
                 t = sniff(db, path)
                 # One pass over the keys finds where each range starts, so that no range skips through those before it.
@@ -120,8 +126,57 @@ class RosbagReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
 
 
+@dataclass
+class BagSpan(InputPartition):
+    """Messages of a bag with ids over `after` up to `last`."""
+
+    path: str
+    bag: str
+    after: int
+    last: int
+
+
+@dataclass
+class RosbagStreamReader(DataSourceStreamReader):
+    """Messages as they are added to bags, new bags too. The offset is the last id taken of each bag, so that a batch that is run again
+    reads the same messages; bags only grow, by ids that rise. Bags that are not there yet or hold no table are looked at again later."""
+
+    path: str
+    per_partition: int = 200
+    names: tuple = ()
+
+    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802  Spark's name
+        out = {}
+        for path in bag_files(self.path) if os.path.exists(self.path) else []:
+            if (self.names and not any(n in path for n in self.names)) or not os.path.getsize(path):
+                continue
+            with contextlib.closing(open_bag(path)) as db:
+                if db.execute("SELECT 1 FROM sqlite_master WHERE name = 'messages'").fetchone():
+                    last = db.execute("SELECT max(id) FROM messages").fetchone()[0]
+                    out |= {} if last is None else {path: last}
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[BagSpan]:
+        spans = ((path, start.get(path, 0), last) for path, last in sorted(end.items()))
+        return [BagSpan(path, bag_name(path, self.path), lo, min(lo + self.per_partition, last)) for path, first, last in spans for lo in range(first, last, self.per_partition)]
+
+    def read(self, part: BagSpan) -> Iterator[pa.RecordBatch]:
+        with contextlib.closing(open_bag(part.path)) as db:
+            t = sniff(db, part.path)
+            name = "coalesce(t.name, '')" if t.topics else f"coalesce(m.{t.topic}, '')"
+            join = "LEFT JOIN topics t ON t.id = m.topic_id" if t.topics else ""
+            before = db.execute("SELECT count(*) FROM messages WHERE id <= ?", (part.after,)).fetchone()[0]
+            rows = db.execute(f"SELECT {name}, row_number() OVER (ORDER BY m.id) - 1 + ?, m.{t.ts}, m.{t.data} FROM messages m {join} WHERE m.id > ? AND m.id <= ? ORDER BY m.id", (before, part.after, part.last))
+            while found := rows.fetchmany(BATCH):
+                topic, index, ts, data = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
+
+
 class RosbagSource(DataSource):
-    """Options: path; orderBy = id or timestamp; rowsPerPartition; bags = comma-separated parts of paths to keep."""
+    """Options: path; orderBy = id or timestamp (batch reads); rowsPerPartition; bags = comma-separated parts of paths to keep. Streams go by id."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,6 +191,12 @@ class RosbagSource(DataSource):
             raise ValueError('orderBy must be "id" or "timestamp"')
         return RosbagReader(o["path"], o.get("orderBy", "id"), int(o.get("rowsPerPartition", "200")), tuple(x for x in o.get("bags", "").split(",") if x))
 
+    def streamReader(self, schema) -> RosbagStreamReader:  # noqa: N802  Spark's name
+        o = self.options
+        if o.get("orderBy", "id") != "id":
+            raise ValueError("a stream of bags goes by id")
+        return RosbagStreamReader(o["path"].removeprefix("file://"), int(o.get("rowsPerPartition", "200")), tuple(x for x in o.get("bags", "").split(",") if x))
+
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)

@@ -22,6 +22,7 @@ from ..config import Grid, ShadowConfig
 from ..operators.folds import tracked
 from ..operators.grids import LIT, extent
 from ..shipping import ship_package
+from ..sources.pointcloud2 import columns_of, read_layout
 
 LATE = "5 seconds"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -34,6 +35,34 @@ def pack_frames(states: DataFrame, time: str = "ts_ns") -> DataFrame:
     return states.groupBy("bag", F.col(time).alias("ts_ns"), "frame_idx").agg(F.sort_array(F.collect_list(F.when(F.col("st") == LIT, code))).alias("lit"))
 
 
+def lit_frames(messages: DataFrame, d0: float, grid: Grid, f_min: float = 0.3) -> DataFrame:
+    """(bag, ts_ns, frame_idx, lit) of point cloud messages (bag, ts_ns, frame_idx, data), decoded one by one as they come: x is ahead, y to the side, z up.
+
+    A cell is lit if its nearest point lies beyond the plane at d0. Null messages
+    and those without a point on the grid give no row.
+    """
+    ship_package(messages.sparkSession)
+
+    def codes(data: bytes) -> np.ndarray | None:
+        got = columns_of(data, read_layout(data), ("x", "y", "z"))
+        f, side, up = (got[c].astype(float) for c in "xyz")
+        ahead = f > f_min
+        f, u, v = f[ahead], side[ahead] * d0 / f[ahead], up[ahead] * d0 / f[ahead]
+        on = (u >= grid.u_lo) & (u < grid.u_hi) & (v >= grid.v_lo) & (v < grid.v_hi)
+        place = [((w[on] - lo) / grid.res + 1e-6).astype(np.int64) for w, lo in ((u, grid.u_lo), (v, grid.v_lo))]
+        cells, at = np.unique(place[0] << 20 | place[1], return_inverse=True)
+        nearest = np.full(len(cells), np.inf)
+        np.minimum.at(nearest, at, f[on])
+        return cells[nearest > d0] if len(cells) else None
+
+    def pack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            lit = [None if data is None else codes(bytes(data)) for data in pdf["data"]]
+            yield pdf[["bag", "ts_ns", "frame_idx"]].assign(lit=lit)[[v is not None for v in lit]]
+
+    return messages.select("bag", "ts_ns", "frame_idx", "data").mapInPandas(pack, "bag string, ts_ns long, frame_idx long, lit array<long>")
+
+
 def _cells(codes: np.ndarray) -> dict:
     return {"iu": (codes >> 20).astype(np.int32), "iv": (codes & 0xFFFFF).astype(np.int32)}
 

@@ -135,3 +135,39 @@ def test_sql_functions(spark):
     assert [r.pt_idx for r in spark.sql("SELECT pt_idx FROM messages, LATERAL decode_pointcloud2(data) ORDER BY pt_idx").collect()] == [0, 1, 2, 3]
     row = spark.sql("SELECT poisson_critical(2.5D, 0.01D) AS n, polar_range(3D, 4D) AS r, bearing_about(0D, -1D, 0D, 0D) AS b").first()
     assert tuple(row) == (poisson_critical(2.5, 0.01), 5.0, 270.0)
+
+
+def test_growing_bags(tmp_path):
+    """Offsets by bag and id: only what was added comes, batches repeat alike, in any cut; odd files wait."""
+    reader = rosbag.RosbagStreamReader(str(tmp_path / "bags"), per_partition=3)
+    assert reader.latestOffset() == reader.initialOffset() == {} and reader.partitions({}, {}) == []
+
+    def add(bag, ids):
+        os.makedirs(tmp_path / "bags" / bag, exist_ok=True)
+        path = str(tmp_path / "bags" / bag / "a.db3")
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE IF NOT EXISTS messages(id INTEGER PRIMARY KEY, topic TEXT, timestamp INTEGER, data BLOB)")
+            db.executemany("INSERT INTO messages VALUES (?, '/p', ?, ?)", [(k, 1000 - k, None if k == 4 else bytes([k])) for k in ids])
+        db.close()
+        return path
+
+    def batch(start, end):
+        parts = reader.partitions(start, end)
+        return [(r["bag"], r["frame_idx"], r["ts_ns"], r["data"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+
+    one = add("one", [1, 2, 4, 9])
+    first = reader.latestOffset()
+    assert first == {one: 9}
+    taken = batch({}, first)
+    assert taken == [("one", k, 1000 - i, None if i == 4 else bytes([i])) for k, i in enumerate([1, 2, 4, 9])]
+    add("one", [10, 30])
+    two = add("two", [5])
+    (tmp_path / "bags" / "empty").mkdir()
+    (tmp_path / "bags" / "empty" / "a.db3").touch()
+    second = reader.latestOffset()
+    assert second == {one: 30, two: 5}
+    assert batch({}, first) == taken
+    assert batch(first, second) == [("one", 4, 990, bytes([10])), ("one", 5, 970, bytes([30])), ("two", 0, 995, bytes([5]))]
+    assert batch(second, second) == []
+    with pytest.raises(ValueError, match="by id"):
+        rosbag.RosbagSource({"path": "x", "orderBy": "timestamp"}).streamReader(None)
