@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import fits
@@ -34,7 +32,7 @@ def _messages(spark, sf_dir, frame_id: str = "twelve_chars") -> DataFrame:
 
 def _bags(spark, sf_dir, order: str = "id") -> DataFrame:
     folder = scratch_folder(spark, "bags")
-    rosbag.write_bags(_messages(spark, sf_dir), folder).collect()
+    rosbag.write_bags(_messages(spark, sf_dir), folder)
     rosbag.register(spark)
     return spark.read.format("rosbag").options(orderBy=order, rowsPerPartition="7").load(mounted(folder))
 
@@ -54,7 +52,7 @@ def bag_messages_by_time(spark, sf_dir):
 def bag_messages_pushed(spark, sf_dir):
     """Recordings chosen by parts of their paths, with topic and time tested inside the source."""
     folder = scratch_folder(spark, "bags")
-    rosbag.write_bags(_messages(spark, sf_dir), folder).collect()
+    rosbag.write_bags(_messages(spark, sf_dir), folder)
     rosbag.register(spark)
     return spark.read.format("rosbag").options(bags="run1,run3").load(mounted(folder)).where("topic = '/points' AND ts_ns > 98000000000").select("bag", "frame_idx", "ts_ns")
 
@@ -88,11 +86,12 @@ def decoded_standard(spark, sf_dir):
 
 @query(f"WITH {FRAMES} SELECT bag, sum(n)::BIGINT AS points, count(*) AS frames FROM fr GROUP BY bag")
 def archived_bags(spark, sf_dir):
-    """Recordings packed in archives, each unpacked and read."""
-    folder, out = scratch_folder(spark, "bags"), mounted(scratch_folder(spark, "archives"))
-    made = rosbag.write_bags(_messages(spark, sf_dir), folder).collect()
-    paths = [tables.unpack_archive(tables.pack_archive([r.path], f"{out}/{r.bag}.tar.zst"), f"{out}/{r.bag}") for r in made]
-    frames = reduce(DataFrame.unionByName, [tables.load_any(spark, path) for path in paths])
+    """Recordings packed in archives, each unpacked and read; a task for each archive."""
+    bags = rosbag.write_bags(_messages(spark, sf_dir), scratch_folder(spark, "bags"))
+    archives = tables.pack_archives(spark, bags, scratch_folder(spark, "archives"))
+    unpacked = scratch_folder(spark, "unpacked")
+    tables.unpack_archives(spark, archives, unpacked)
+    frames = spark.read.format("rosbag").load(mounted(unpacked))
     return pointcloud2.decode_frames(frames).groupBy("bag").agg(F.count("*").alias("points"), F.count_distinct("frame_idx").alias("frames"))
 
 
@@ -100,16 +99,25 @@ def archived_bags(spark, sf_dir):
 def las_points(spark, sf_dir):
     """One LAS file for each frame, written and read."""
     folder = scratch_folder(spark, "las")
-    las.write_las(_cloud(spark, sf_dir), folder).collect()
+    las.write_las(_cloud(spark, sf_dir), folder)
     total = lambda c: F.round(F.sum(c)).cast("long").alias(c)
     return las.read_las(spark, folder).groupBy("bag").agg(F.count("*").alias("n"), total("x"), total("y"), total("z"), F.max("classification").alias("classification"))
 
 
+@query(f"WITH {FRAMES} SELECT bag || '_' || min(frame_idx) AS bag, sum(n)::BIGINT AS n, sum(f)::BIGINT AS x FROM fr GROUP BY fr.bag")
+def las_ranges(spark, sf_dir):
+    """One LAS file for each recording, read by many tasks in ranges of 64 kB, and only the columns asked for."""
+    folder = scratch_folder(spark, "las")
+    las.write_las(_cloud(spark, sf_dir).withColumn("frame_idx", F.min("frame_idx").over(Window.partitionBy("bag"))), folder)
+    found = spark.read.format("las").schema("bag string, x double").option("bytesPerPartition", "65536").load(folder)
+    return found.groupBy("bag").agg(F.count("*").alias("n"), F.round(F.sum("x")).cast("long").alias("x"))
+
+
 @query(f"WITH {FRAMES} SELECT bag || '_' || frame_idx AS bag, least(n, 20) AS n FROM fr")
 def las_capped(spark, sf_dir):
     """At most 20 points of a file, chosen by a seed. The cap is the operator."""
     folder = scratch_folder(spark, "las")
-    las.write_las(_cloud(spark, sf_dir), folder).collect()
+    las.write_las(_cloud(spark, sf_dir), folder)
     return las.read_las(spark, folder, cap=20, seed=3).groupBy("bag").agg(F.count("*").alias("n"))
 
 

@@ -49,7 +49,7 @@ def stream_bags(spark, sf_dir):
     later = [messages.where("frame_idx = 39").withColumns({"bag": F.concat(F.lit(f"later{k}"), F.col("bag")), "ts_ns": F.lit((10 + k) * FIRST)}) for k in range(2)]
     rosbag.register(spark)
     for grown in (messages.where("frame_idx < 20"), messages, *later):
-        rosbag.write_bags(grown, bags).collect()
+        rosbag.write_bags(grown, bags)
         lit = online.lit_frames(spark.readStream.format("rosbag").load(mounted(bags)), D0, PLANE)
         online.write_batches(online.consensus_stream(lit), out, progress, once=True).awaitTermination()
     found = spark.read.schema("bag string, frame_idx long, iu int, iv int, kind string, ts_ns long").parquet(f"{out}/batch=*").where("NOT startswith(bag, 'later')")

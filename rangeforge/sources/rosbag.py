@@ -7,14 +7,16 @@ import os
 import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..shipping import ship_package
-from .scratch import mounted
+from .committed import CommittedWriter, pieces
+from .scratch import plain
 
 SCHEMA = "bag string, topic string, frame_idx long, ts_ns long, data binary"
 BATCH = 16
@@ -175,8 +177,34 @@ class RosbagStreamReader(DataSourceStreamReader):
                 yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
 
 
+class RosbagWriter(CommittedWriter):
+    """One bag is one file and so one task; it holds no more of it than a batch."""
+
+    suffix = ".db3"
+
+    def files(self, batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, str]]:
+        for k, ((bag,), group) in enumerate(groupby(pieces(batches, ("bag",)), itemgetter(0))):
+            if bag is None:
+                raise ValueError("messages to be written need a bag")
+            part = os.path.join(folder, f"{k}.part")
+            topics: dict = {}
+            with contextlib.closing(sqlite3.connect(part)) as db:
+                db.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT)")
+                db.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
+                for _, piece in group:
+                    values = [piece.column(piece.schema.get_field_index(c)).to_pylist() for c in ("topic", "ts_ns", "data")]
+                    db.executemany("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", ((topics.setdefault(t, len(topics) + 1), ts, d) for t, ts, d in zip(*values, strict=True)))
+                db.executemany("INSERT INTO topics VALUES (?, ?)", ((n, t) for t, n in topics.items()))
+                db.commit()
+            yield part, f"{bag}/{bag}.db3"
+
+
 class RosbagSource(DataSource):
-    """Options: path; orderBy = id or timestamp (batch reads); rowsPerPartition; bags = comma-separated parts of paths to keep. Streams go by id."""
+    """Options: path; orderBy = id or timestamp (batch reads); rowsPerPartition; bags = comma-separated parts of paths to keep. Streams go by id.
+
+    Written rows are the messages of bags, those of a bag together and in order; <bag>/<bag>.db3 is one bag. Null topics
+    come back as '', null times and data as null.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -197,6 +225,12 @@ class RosbagSource(DataSource):
             raise ValueError("a stream of bags goes by id")
         return RosbagStreamReader(o["path"].removeprefix("file://"), int(o.get("rowsPerPartition", "200")), tuple(x for x in o.get("bags", "").split(",") if x))
 
+    def writer(self, schema, overwrite: bool) -> RosbagWriter:
+        missing = {"bag", "topic", "ts_ns", "data"} - set(schema.names)
+        if missing:
+            raise ValueError(f"bags need the columns {sorted(missing)}")
+        return RosbagWriter(self.options["path"], overwrite)
+
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)
@@ -204,32 +238,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RosbagSource)
 
 
-def write_bags(messages: DataFrame, folder: str) -> DataFrame:
-    """Writes messages (bag, topic, frame_idx, ts_ns, data) as folder/<bag>/<bag>.db3, in the order of frame_idx; gives (bag, path, messages) when it runs.
-
-    One recording is one file, so it is one task; a file is put in place whole,
-    so a task that runs again does no harm.
-    """
-    ship_package(messages.sparkSession)
-    root = mounted(folder)
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        bag = str(pdf["bag"].iloc[0])
-        os.makedirs(os.path.join(root, bag), exist_ok=True)
-        path = os.path.join(root, bag, f"{bag}.db3")
-        part = f"{path}.{os.getpid()}.part"
-        if os.path.exists(part):
-            os.remove(part)
-        names = sorted(pdf["topic"].unique())
-        db = sqlite3.connect(part)
-        db.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT)")
-        db.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-        db.executemany("INSERT INTO topics VALUES (?, ?)", list(enumerate(names, 1)))
-        rows = pdf.sort_values("frame_idx")
-        db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(k, names.index(t) + 1, int(ts), bytes(d)) for k, (t, ts, d) in enumerate(zip(rows["topic"], rows["ts_ns"], rows["data"], strict=True), 1)])
-        db.commit()
-        db.close()
-        os.replace(part, path)
-        return pd.DataFrame({"bag": [bag], "path": [path], "messages": [len(rows)]})
-
-    return messages.select("bag", "topic", "frame_idx", "ts_ns", "data").groupBy("bag").applyInPandas(write, "bag string, path string, messages long")
+def write_bags(messages: DataFrame, folder: str, mode: str = "append") -> list[str]:
+    """Writes messages (bag, topic, frame_idx, ts_ns, data) as folder/<bag>/<bag>.db3, in the order of frame_idx, all bags or none; gives the paths of all bags there."""
+    register(messages.sparkSession)
+    rows = messages.select("bag", "topic", "frame_idx", "ts_ns", "data").repartition("bag").sortWithinPartitions("bag", "frame_idx")
+    rows.write.format("rosbag").mode(mode).save(folder)
+    return bag_files(plain(folder))

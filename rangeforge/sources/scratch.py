@@ -22,10 +22,16 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
+def plain(path: str) -> str:
+    """The path for open(). Formats that only plain files can hold need a mounted folder."""
+    out = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    if "://" in out:
+        raise ValueError(f"{path} is not mounted as a plain folder")
+    return out
+
+
 def mounted(folder: str) -> str:
-    """The folder as a path for open(); made if absent. Formats that only plain files can hold need a mounted folder."""
-    path = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
-    if "://" in path:
-        raise ValueError(f"{folder} is not mounted as a plain folder")
+    """The folder as a path for open(); made if absent."""
+    path = plain(folder)
     os.makedirs(path, exist_ok=True)
     return path

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tarfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
 from .scratch import mounted
 
 
@@ -70,6 +74,36 @@ def pack_archive(paths: list[str], out: str) -> str:
     return out
 
 
+def _each(spark: SparkSession, paths: list[str], work: Callable[[str], str]) -> list[str]:
+    """Names that work gives for each path; a path is one task's."""
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([work(p) for p in batch.column(0).to_pylist()], pa.string())], names=["path"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return sorted(r.path for r in rows.mapInArrow(run, "path string").collect())
+
+
+def pack_archives(spark: SparkSession, bags: list[str], folder: str) -> list[str]:
+    """folder/<bag>.tar.zst for each bag, put in place whole; gives the archives' paths."""
+    root = mounted(folder)
+
+    def pack(path: str) -> str:
+        out = os.path.join(root, os.path.splitext(os.path.basename(path))[0] + ".tar.zst")
+        os.replace(pack_archive([path], f"{out}.{uuid.uuid4().hex}"), out)
+        return out
+
+    return _each(spark, bags, pack)
+
+
+def unpack_archives(spark: SparkSession, archives: list[str], folder: str) -> list[str]:
+    """folder/<archive>/ with the first bag of each archive; gives the bags' paths."""
+    root = mounted(folder)
+    return _each(spark, archives, lambda path: unpack_archive(path, os.path.join(root, os.path.basename(path).removesuffix(".tar.zst"))))
+
+
 def load_any(spark: SparkSession, path: str) -> DataFrame:
     """Frames of a bag or points of a LAS file, by the name's ending."""
     from . import las, rosbag

@@ -102,6 +102,69 @@ def test_las_round_trip(spark, tmp_path):
         las.read_bytes(b"nope" * 100)
 
 
+def frames_of(spark, n=40, frames=3):
+    p = cloud(n * frames)
+    rows = [("a", k % frames, k, *(float(p[c][k]) for c in ("x", "y", "z", "intensity", "ring"))) for k in range(n * frames)]
+    rows[5] = (*rows[5][:3], float("nan"), *rows[5][4:])
+    rows.append(("lost", 0, 0, None, 1.0, 1.0, 1.0, 1.0))
+    return spark.createDataFrame(rows, "bag string, frame_idx long, pt_idx long, x double, y double, z double, intensity double, ring double")
+
+
+def test_las_format(spark, tmp_path):
+    """What is written comes back in any cut; points without a place are left out, a frame of none is an empty file."""
+    out = str(tmp_path / "las")
+    points = frames_of(spark)
+    las.write_las(points, out)
+    assert sorted(os.listdir(out)) == ["a_0.las", "a_1.las", "a_2.las", "lost_0.las"]
+    want = sorted((f"a_{r.frame_idx}", round(r.x, 3)) for r in points.where("x IS NOT NULL AND NOT isnan(x)").collect())
+    for size in ("100", "227", "333", "33554432"):
+        load = spark.read.format("las").option("bytesPerPartition", size).load(out)
+        got = sorted((r.bag, round(r.x, 3)) for r in load.collect())
+        assert got == want and sorted(set(load.where("bag = 'a_1'").select("pt_idx").toPandas()["pt_idx"])) == list(range(sum(b == "a_1" for b, _ in want)))
+    assert load.where("bag IN ('a_0', 'lost_0')").count() == 40 - (5 % 3 == 0)
+    narrow = spark.read.format("las").schema("x double, bag string").load(f"{out}/a_2.las")
+    assert narrow.columns == ["x", "bag"] and narrow.count() == sum(b == "a_2" for b, _ in want)
+    with pytest.raises(Exception, match="no column"):
+        spark.read.format("las").schema("colour string").load(out).collect()
+    las.write_las(points.where("frame_idx = 1"), out, "overwrite")
+    assert os.listdir(out) == ["a_1.las"]
+    las.write_las(points.limit(0), str(tmp_path / "none"))
+    assert las.read_las(spark, str(tmp_path / "none")).count() == 0
+    whole = (tmp_path / "las" / "a_1.las").read_bytes()
+    (tmp_path / "las" / "a_1.las").write_bytes(whole[:-1])
+    with pytest.raises(Exception, match="ends early"):
+        las.read_las(spark, out).count()
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    """A task that fails, or a frame in two places, leaves neither files nor parts; what was there before stays."""
+    from pyspark.sql import functions as F
+
+    out = str(tmp_path / "las")
+    las.write_las(frames_of(spark), out)
+    before = {name: (tmp_path / "las" / name).read_bytes() for name in os.listdir(out)}
+    rows = frames_of(spark).repartition(4, "frame_idx").select("bag", "frame_idx", "x", "y", "z", "intensity", F.when(F.col("frame_idx") < 2, F.col("ring")).otherwise(F.raise_error(F.lit("lost task")).cast("double")).alias("ring"))
+    with pytest.raises(Exception, match="lost task"):
+        rows.write.format("las").mode("overwrite").save(out)
+    with pytest.raises(Exception, match="several places"):
+        frames_of(spark).repartition(5).write.format("las").mode("append").save(out)
+    with pytest.raises(Exception, match="need the columns"):
+        frames_of(spark).drop("ring").write.format("las").mode("append").save(out)
+    assert {name: (tmp_path / "las" / name).read_bytes() for name in os.listdir(out)} == before
+
+
+def test_bag_format(spark, tmp_path):
+    data = [("b", t, k, 100 - k, bytes([k])) for k, t in enumerate(["/x", "/y", None, "/x"])] + [("c", "/x", 0, None, None)]
+    messages = spark.createDataFrame(data, "bag string, topic string, frame_idx long, ts_ns long, data binary")
+    assert [os.path.basename(p) for p in rosbag.write_bags(messages.orderBy(messages.ts_ns), str(tmp_path))] == ["b.db3", "c.db3"]
+    got = spark.read.format("rosbag").load(str(tmp_path)).orderBy("bag", "frame_idx").collect()
+    assert [(r.bag, r.topic, r.frame_idx, r.ts_ns, r.data) for r in got] == [(b, t or "", k, ts, d) for b, t, k, ts, d in data]
+    archives = tables.pack_archives(spark, [str(tmp_path / b / f"{b}.db3") for b in "bc"], str(tmp_path / "packed"))
+    assert [os.path.basename(a) for a in archives] == ["b.tar.zst", "c.tar.zst"]
+    tables.unpack_archives(spark, archives, str(tmp_path / "un"))
+    assert spark.read.format("rosbag").load(str(tmp_path / "un")).count() == 5
+
+
 def test_calibration_round_trip(spark, tmp_path):
     nodes = calibration.make_nodes(spark)
     calibration.write_nodes(nodes, str(tmp_path / "c"))
