@@ -136,6 +136,13 @@ def normals(curve: DataFrame, keys: list[str], d: str, x: str) -> DataFrame:
 
 
 def window_excess(cells: DataFrame, keys: list[str], rows: int, columns: int) -> DataFrame:
-    """(keys, d_bin, y_bin, n): sums of all windows of rows x columns cells, named by their first cell; each cell is emitted once a window."""
-    moved = F.explode(F.array(*[F.struct((F.col("d_bin") - a).alias("d_bin"), (F.col("y_bin") - b).alias("y_bin")) for a in range(rows) for b in range(columns)]))
-    return cells.select(*keys, moved.alias("c"), "n").groupBy(*keys, "c.d_bin", "c.y_bin").agg(F.sum("n").alias("n"))
+    """(keys, d_bin, y_bin, n): sums of all windows of rows x columns cells that hold a cell, named by their first cell.
+
+    A window is a sum over columns of sums over rows, so a cell is emitted
+    rows + columns times, not once for each window that it lies in.
+    """
+    def slid(part: DataFrame, c: str, width: int) -> DataFrame:
+        moved = part.withColumn(c, F.explode(F.sequence(F.col(c) - (width - 1), F.col(c))))
+        return moved.groupBy(*keys, "d_bin", "y_bin").agg(F.sum("n").alias("n"))
+
+    return slid(slid(cells.select(*keys, "d_bin", "y_bin", "n"), "y_bin", columns), "d_bin", rows)

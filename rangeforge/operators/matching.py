@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from ..sources.calibration import with_intervals
 
 #: Rows up to which a dimension table is broadcast; larger ones take a bucketed join.
 BROADCAST_ROWS = 100_000
+#: Side of the cells of the index of lines, and how far from the image's origin it reaches, in pixels.
+CELL, REACH = 16.0, 1e6
 
 
 def dimension(table: DataFrame) -> DataFrame:
@@ -42,28 +48,61 @@ def dense_lines(nodes: DataFrame, lo: float, hi: float, step: float) -> DataFram
     return interpolate_line(rows, nodes, "d").select("fan", "d", calibration_line(F.col("vertical"), F.col("m"), F.col("x0")).alias("line"))
 
 
-def nearest_line(pixels: DataFrame, keys: list[str], lines: DataFrame, x: str, y: str, most: float | None = None) -> DataFrame:
-    """(keys, fan, d, residual): for each pixel and fan the distance whose line is nearest, ties to the smaller d.
+def _places(probes: list[tuple]) -> Column:
+    """The cells in which the probes lie, as one value; null if one of them lies nowhere or out of reach."""
+    values = [v for p in probes for v in p]
+    within = reduce(operator.and_, [F.abs(v) <= REACH for v in values])
+    return F.when(within, F.array(*[F.floor(v / CELL) for v in values]))
+
+
+def _miss(line: Column, probes: list[tuple]) -> Column:
+    """How far the farthest probe lies from a line."""
+    misses = [F.abs(line_distance(line, x, y)) for x, y in probes]
+    return misses[0] if len(misses) == 1 else F.greatest(*misses)
+
 
-    The line grid rides along as one array a fan (its size is that of the grid,
-    checked), so a pixel costs one pass over the array and no row for each pair.
+def line_index(places: DataFrame, grid: DataFrame, probes: int) -> DataFrame:
+    """(place, fan, near): for each place the lines of a fan that can be nearest to probes which lie in its cells.
+
+    A probe is at most half a diagonal away from the middle of its cell, so a
+    line that is farther from the middles than another one by more than both
+    may differ is never nearest. Null places keep the whole grid.
+    """
+    packed = grid.groupBy("fan").agg(F.sort_array(F.collect_list(F.struct("d", "line"))).alias("g"))
+    middle = lambda k: (F.col("place")[k] + 0.5) * CELL
+    middles = [(middle(2 * k), middle(2 * k + 1)) for k in range(probes)]
+    slack = lambda line: CELL * math.sqrt(0.5) * F.sqrt(line["a"] * line["a"] + line["b"] * line["b"]) + 1e-6
+    least = F.array_min(F.transform("g", lambda g: _miss(g["line"], middles) + slack(g["line"])))
+    # The bound is bound to a variable of its own, so that it isn't computed again for each line.
+    kept = F.transform(F.array(least), lambda bound: F.filter("g", lambda g: _miss(g["line"], middles) - slack(g["line"]) <= bound))[0]
+    return places.crossJoin(dimension(packed)).select("place", "fan", F.when(F.col("place").isNull(), F.col("g")).otherwise(kept).alias("near"))
+
+
+def _nearest_in_grid(rows: DataFrame, keys: list[str], probes: list[tuple], grid: DataFrame, name: str) -> DataFrame:
+    """(keys, fan, d, name): the distance of each fan whose line misses the probes least, ties to the smaller d.
+
+    The grid is looked through once for each place that occurs, of which an
+    image has a bounded number, not once for each row. A row that lies nowhere
+    gets the first d with a null miss.
     """
-    grid = lines.groupBy("fan").agg(F.sort_array(F.collect_list(F.struct("d", "line"))).alias("_g"))
-    best = F.array_min(F.transform("_g", lambda g: F.struct(F.abs(line_distance(g["line"], F.col(x), F.col(y))).alias("residual"), g["d"].alias("d"))))
-    out = pixels.crossJoin(dimension(grid)).select(*keys, "fan", best.alias("_b")).select(*keys, "fan", F.col("_b.d").alias("d"), F.col("_b.residual").alias("residual"))
+    placed = rows.withColumn("_place", _places(probes))
+    index = line_index(placed.select(F.col("_place").alias("place")).distinct(), grid, len(probes))
+    best = F.array_min(F.transform("near", lambda g: F.struct(_miss(g["line"], probes).alias("miss"), g["d"].alias("d"))))
+    found = placed.join(dimension(index), F.col("_place").eqNullSafe(F.col("place"))).select(*keys, "fan", best.alias("_b"))
+    return found.select(*keys, "fan", F.col("_b.d").alias("d"), F.col("_b.miss").alias(name))
+
+
+def nearest_line(pixels: DataFrame, keys: list[str], lines: DataFrame, x: str, y: str, most: float | None = None) -> DataFrame:
+    """(keys, fan, d, residual): for each pixel and fan the distance whose line is nearest, ties to the smaller d."""
+    out = _nearest_in_grid(pixels, keys, [(F.col(x), F.col(y))], lines, "residual")
     return out if most is None else out.where(F.col("residual") <= most)
 
 
 def fit_line_distance(lines: DataFrame, keys: list[str], grid: DataFrame, line: str, span: float = 100.0) -> DataFrame:
     """(keys, fan, d, error): map distance whose line is nearest to a measured one, by the greater error of two probes, `span` to both sides of its point nearest to the image's origin."""
-    def error(g: Column, m: Column) -> Column:
-        # The probes lie on the measured line, so only the map's line counts.
-        probe = lambda s: F.abs(g["a"] * (s * m["b"] - m["a"] * m["c"]) + g["b"] * (-s * m["a"] - m["b"] * m["c"]) + g["c"])
-        return F.greatest(probe(span), probe(-span))
-
-    packed = grid.groupBy("fan").agg(F.sort_array(F.collect_list(F.struct("d", "line"))).alias("_g"))
-    best = F.array_min(F.transform("_g", lambda g: F.struct(error(g["line"], F.col(line)).alias("error"), g["d"].alias("d"))))
-    return lines.crossJoin(dimension(packed)).select(*keys, "fan", best.alias("_b")).select(*keys, "fan", F.col("_b.d").alias("d"), F.col("_b.error").alias("error"))
+    a, b, c = (F.col(f"{line}.{k}") for k in "abc")
+    probes = [(s * b - a * c, -s * a - b * c) for s in (span, -span)]  # they lie on the measured line, so only the map's line counts
+    return _nearest_in_grid(lines, keys, probes, grid, "error")
 
 
 def supported(features: DataFrame, readings: DataFrame, keys: list[str], d: str, below: float = 0.5, above: float = 2.0, exempt: Column | None = None) -> DataFrame:

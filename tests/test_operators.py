@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,39 @@ def test_vanishing_centre_bounds(spark):
     one, two = meet(500.0, 0.1), meet(800.0, -0.1)
     assert centre(500.0, 800.0)[0] == pytest.approx((one + two) / 2) and centre(5000.0, 800.0)[0] == pytest.approx(two) and centre(500.0, -4000.0)[0] == pytest.approx(one)
     assert centre(5000.0, -4000.0) == (614.0, 225.0)
+
+
+def test_line_index(spark):
+    """The nearest lines by the index equal those of the whole grid: lines of any length, far and missing pixels, ties; the lists are short."""
+    rng = np.random.default_rng(8)
+    grid = [(fan, float(d), (float(np.cos(t) * w), float(np.sin(t) * w), float(-c * w))) for fan in "LR" for d, (t, c, w) in enumerate(zip(rng.normal(0.4, 0.05, 300), np.linspace(0, 1300, 300), rng.choice([0.5, 1, 2], 300)))]
+    grid += [("L", 1000.0, grid[150][2])]  # a line that is there twice
+    places = [(k, *p) for k, p in enumerate(np.vstack([rng.uniform(-50, 1300, (400, 2)), [[3e6, 5.0], [1e9, -1e9], [0.0, 0.0], [16.0, 32.0]]]).tolist())]
+    lines = spark.createDataFrame(grid, "fan string, d double, line struct<a: double, b: double, c: double>")
+    pixels = spark.createDataFrame([*places, (-1, None, 1.0)], "k int, x double, y double")
+    got = {(r.k, r.fan): r for r in matching.nearest_line(pixels, ["k"], lines, "x", "y").collect()}
+    assert len(got) == 2 * len(places) + 2 and got[-1, "L"].residual is None
+    for k, x, y in places:
+        for fan in "LR":
+            miss, d = min((abs(a * x + b * y + c), d) for f, d, (a, b, c) in grid if f == fan)
+            assert (got[k, fan].d, got[k, fan].residual) == (d, pytest.approx(miss))
+    measured = [(k, (float(np.cos(t)), float(np.sin(t)), float(-c))) for k, (t, c) in enumerate(zip(rng.normal(0.4, 0.2, 200), rng.uniform(0, 1300, 200)))]
+    fitted = matching.fit_line_distance(spark.createDataFrame(measured, "k int, m struct<a: double, b: double, c: double>"), ["k"], lines, "m").collect()
+    assert len(fitted) == 400
+    for r in fitted:
+        a, b, c = measured[r.k][1]
+        probes = [(s * b - a * c, -s * a - b * c) for s in (100, -100)]
+        assert (r.error, r.d) == pytest.approx(min((max(abs(p * x + q * y + o) for x, y in probes), d) for f, d, (p, q, o) in grid if f == r.fan))
+    cells = spark.createDataFrame([([k, k],) for k in range(1, 60)], "place array<bigint>")
+    assert matching.line_index(cells, lines, 1).agg(F.avg(F.size("near"))).first()[0] < 30
+
+
+def test_window_excess(spark):
+    rng = np.random.default_rng(2)
+    dense = rng.integers(0, 3, (9, 12))
+    cells = spark.createDataFrame([("a", int(i), int(j), int(n)) for (i, j), n in np.ndenumerate(dense) if n], "bag string, d_bin int, y_bin int, n long")
+    got = {(r.d_bin, r.y_bin): r.n for r in fits.window_excess(cells, ["bag"], 3, 4).collect()}
+    around = np.pad(dense, ((2, 2), (3, 3)))
+    want = {(i - 2, j - 3): int(around[i : i + 3, j : j + 4].sum()) for i in range(11) for j in range(15)}
+    assert got == {k: n for k, n in want.items() if n}
+    assert fits.window_excess(cells.limit(0), ["bag"], 3, 4).count() == 0
