@@ -141,4 +141,5 @@ def sample_geometry(lines: DataFrame, centre: tuple[float, float], theta_step: f
     angles = F.explode(F.sequence(F.lit(0), F.lit(int(round((last - first) / theta_step)) - 1)))
     rows = lines.withColumn("d_idx", rank.cast("int")).withColumn("theta_idx", angles)
     hit = rows.withColumn("p", ray_sheet(centre[0], centre[1], F.lit(first) + F.col("theta_idx") * theta_step, F.col("line")))
-    return hit.where("p IS NOT NULL").select("fan", "d_idx", "theta_idx", F.rint("p.x").cast("int").alias("px"), F.rint("p.y").cast("int").alias("py"))
+    # An image's last pixel ends at its middle here: what lies beyond would be rounded to a pixel that isn't there.
+    return hit.where("p.x <= 1279 AND p.y <= 719").select("fan", "d_idx", "theta_idx", F.rint("p.x").cast("int").alias("px"), F.rint("p.y").cast("int").alias("py"))

@@ -158,9 +158,13 @@ def junk_removed(cells: DataFrame, mask: DataFrame, *, compat: bool = False) ->
 
 
 def sampled_cells(geometry: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, d_idx, theta_idx, n): families (at most 3) whose pixel of a matrix cell is set in the mask."""
-    hit = mask.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).join(geometry, ["px", "py"])
-    return hit.groupBy(*keys, "d_idx", "theta_idx").agg(F.least(F.count("*"), F.lit(3)).alias("n"))
+    """(keys, d_idx, theta_idx, n): families (at most 3) whose pixel of a matrix cell is set in the mask; pixels that the mask names twice count once.
+
+    A geometry of up to BROADCAST_ROWS cells is broadcast, so the mask moves
+    only as cells already counted in part; a larger one is joined by pixel.
+    """
+    hit = mask.select(*keys, F.col("x").alias("px"), F.col("y").alias("py")).join(dimension(geometry), ["px", "py"])
+    return hit.groupBy(*keys, "d_idx", "theta_idx").agg(F.least(F.size(F.collect_set("fan")), F.lit(3)).cast("long").alias("n"))
 
 
 def fallback(rows: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import grids
 from ..operators import matching as m
 from ..operators import selection as s
 from ..operators import windows as w
@@ -44,6 +45,23 @@ def dense_line_map(spark, sf_dir):
     return out.select("fan", "d", F.round("line.a", 6).alias("a"), F.round("line.b", 6).alias("b"), F.round("line.c", 4).alias("c"))
 
 
+@query(
+    f"""WITH {SIGNAL}, {GRID.replace(NODES, MEASURED)},
+ray AS (SELECT fan, (dense_rank() OVER (PARTITION BY fan ORDER BY d) - 1)::INT AS d_idx, i::INT AS theta_idx, a, b, c, cos(radians(i)) AS ux, sin(radians(i)) AS uy FROM lines, range(0, 360) r(i)),
+met AS (SELECT *, -(a * 620.0::DOUBLE + b * 250.0::DOUBLE + c) / (a * ux + b * uy) AS t FROM ray WHERE abs(a * ux + b * uy) >= 1e-9),
+spot AS (SELECT fan, d_idx, theta_idx, 620.0::DOUBLE + t * ux AS x, 250.0::DOUBLE + t * uy AS y FROM met WHERE t >= 1),
+geo AS (SELECT fan, d_idx, theta_idx, round_even(x, 0)::INT AS px, round_even(y, 0)::INT AS py FROM spot WHERE x BETWEEN 0 AND 1279 AND y BETWEEN 0 AND 719),
+lit AS (SELECT DISTINCT bag, floor(450 + 3 * d)::INT + u.a AS px, (2 * theta)::INT + v.b AS py FROM signal, (VALUES (-1), (0), (1)) u(a), (VALUES (-1), (0), (1)) v(b))
+SELECT bag, d_idx, theta_idx, least(count(DISTINCT fan), 3) AS n FROM lit JOIN geo USING (px, py) GROUP BY ALL"""
+)
+def matrix_samples(spark, sf_dir):
+    """Cells of the matrix of distance and angle whose pixels a recording's mask, grown by one pixel, has lit, with the number of fans that see them."""
+    geometry = grids.sample_geometry(m.dense_lines(measured_nodes(spark, sf_dir), 2.0, 12.0, 0.5), (620.0, 250.0), 1.0)
+    lit = signal(spark, sf_dir).select("bag", F.floor(450 + 3 * F.col("d")).cast("int").alias("iu"), (2 * F.col("theta")).cast("int").alias("iv"))
+    mask = w.dilated(lit.distinct(), ["bag"]).select("bag", F.col("iu").alias("x"), F.col("iv").alias("y"))
+    return m.sampled_cells(geometry, mask, ["bag"])
+
+
 @query(
     f"""WITH {SIGNAL}, {GRID}, p AS (SELECT event_id, 400 + d AS x, theta * 2.0 AS y FROM signal), r AS (SELECT event_id, fan, d, abs(a * x + b * y + c) AS r FROM p, lines)
 SELECT event_id, fan, arg_min(d, struct_pack(r := r, d := d)) AS d, round(min(r), 4) AS residual FROM r GROUP BY ALL HAVING min(r) <= 60"""

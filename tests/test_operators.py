@@ -199,3 +199,22 @@ def test_window_excess(spark):
     want = {(i - 2, j - 3): int(around[i : i + 3, j : j + 4].sum()) for i in range(11) for j in range(15)}
     assert got == {k: n for k, n in want.items() if n}
     assert fits.window_excess(cells.limit(0), ["bag"], 3, 4).count() == 0
+
+
+def test_matrix_sampling(spark):
+    """Each cell's pixel by plain geometry; cells off the image are none, a pixel named twice counts once, families are counted up to three."""
+    lines = spark.createDataFrame([(fan, float(d), (1.0, 0.0, -float(x))) for fan, x0 in (("L", 100), ("R", 100), ("B", 900)) for d, x in ((2, x0), (3, x0 + 379.4))], "fan string, d double, line struct<a: double, b: double, c: double>")
+    got = {(r.fan, r.d_idx, r.theta_idx): (r.px, r.py) for r in grids.sample_geometry(lines, (50.0, 300.0), 30.0).collect()}
+    want = {}
+    for fan, x0 in (("L", 100.0), ("R", 100.0), ("B", 900.0)):
+        for k, x in enumerate((x0, x0 + 379.4)):
+            for i in range(12):
+                ux, uy = np.cos(np.radians(30 * i)), np.sin(np.radians(30 * i))
+                t = (x - 50) / ux if abs(ux) > 1e-9 else -1
+                if t >= 1 and 0 <= 50 + t * ux <= 1279 and 0 <= 300 + t * uy <= 719:
+                    want[fan, k, i] = (round(50 + t * ux), round(300 + t * uy))
+    assert got == want and not any(k == ("B", 1, 0) for k in got)
+    geometry = spark.createDataFrame([(*k, *v) for k, v in got.items()], "fan string, d_idx int, theta_idx int, px int, py int")
+    mask = spark.createDataFrame([("a", 100, 300), ("a", 100, 300), ("a", 5, 5), ("b", 900, 300)], "bag string, x int, y int")
+    assert {tuple(r) for r in matching.sampled_cells(geometry, mask, ["bag"]).collect()} == {("a", 0, 0, 2), ("b", 0, 0, 1)}
+    assert matching.sampled_cells(geometry, mask.limit(0), ["bag"]).count() == 0
