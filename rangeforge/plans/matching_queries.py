@@ -218,6 +218,20 @@ def valid_points(spark, sf_dir):
     return p.where(s.valid_cloud()).where("-y > 0.3").groupBy("bag", "frame_idx").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {POINTS} SELECT bag, frame_idx, count(*) AS n FROM points WHERE NOT (lat = 0 AND ver = 0 AND coalesce(CASE WHEN f >= 5 THEN f % 2 END, -1) = 0) GROUP BY ALL")
+def returned_points(spark, sf_dir):
+    """Points that are no empty returns; one whose attribute is missing is a return."""
+    p = points(spark, sf_dir).select("bag", "frame_idx", F.col("lat").alias("x"), F.col("ver").alias("y"), F.when(F.col("f") >= 5, F.col("f") % 2).alias("s"))
+    return p.where(s.returned()).groupBy("bag", "frame_idx").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS} SELECT bag, frame_idx, count(*) AS n FROM points WHERE sqrt(lat * lat + ver * ver) > 2.5 GROUP BY ALL")
+def points_off_sensor(spark, sf_dir):
+    """Points farther than 2.5 from the sensor's axis."""
+    p = points(spark, sf_dir).select("bag", "frame_idx", F.col("lat").alias("x"), F.col("ver").alias("y"), F.col("f").alias("z"))
+    return p.where(s.away_from_sensor(2.5)).groupBy("bag", "frame_idx").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {POINTS}, s AS (SELECT bag, frame_idx FROM points GROUP BY ALL HAVING avg((f < 47 AND abs(lat) < 5.5)::INT) >= 0.9) SELECT bag, frame_idx, count(*) AS n FROM points JOIN s USING (bag, frame_idx) GROUP BY ALL")
 def mostly_valid_frames(spark, sf_dir):
     return s.frames_mostly(points(spark, sf_dir), ["bag", "frame_idx"], (F.col("f") < 47) & (F.abs("lat") < 5.5), 0.9).groupBy("bag", "frame_idx").agg(F.count("*").alias("n"))
