@@ -218,3 +218,9 @@ def test_matrix_sampling(spark):
     mask = spark.createDataFrame([("a", 100, 300), ("a", 100, 300), ("a", 5, 5), ("b", 900, 300)], "bag string, x int, y int")
     assert {tuple(r) for r in matching.sampled_cells(geometry, mask, ["bag"]).collect()} == {("a", 0, 0, 2), ("b", 0, 0, 1)}
     assert matching.sampled_cells(geometry, mask.limit(0), ["bag"]).count() == 0
+
+
+def test_inverse_fit_without_distance(spark):
+    rows = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 3.0), ("b", 1.0, 5.0), ("b", 2.0, 4.0)], "g string, d double, y double")
+    a, b = fits.inverse_fit(rows, ["g"], "d", "y").orderBy("g").collect()
+    assert a.v0 is None and np.isnan(a.k) and (b.v0, b.k) == pytest.approx((3.0, 2.0))
