@@ -224,3 +224,8 @@ def test_inverse_fit_without_distance(spark):
     rows = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 3.0), ("b", 1.0, 5.0), ("b", 2.0, 4.0)], "g string, d double, y double")
     a, b = fits.inverse_fit(rows, ["g"], "d", "y").orderBy("g").collect()
     assert a.v0 is None and np.isnan(a.k) and (b.v0, b.k) == pytest.approx((3.0, 2.0))
+
+
+def test_extrapolated_at_the_asymptote(spark):
+    rows = spark.createDataFrame([(230.0,), (630.0,), (231.0,)], "y0 double")
+    assert [r.d for r in rows.select(fits.extrapolated(F.col("y0"), F.lit(230.0), F.lit(480.0)).alias("d")).collect()] == [None, 1.2, None]
