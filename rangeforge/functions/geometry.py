@@ -114,8 +114,8 @@ def y_at(line: Column, x) -> Column:
 def cross_lines(p: Column, q: Column) -> Column:
     """struct(x, y) where two lines meet; null for parallel ones."""
     det = p["a"] * q["b"] - q["a"] * p["b"]
-    x = (p["b"] * q["c"] - q["b"] * p["c"]) / det
-    y = (q["a"] * p["c"] - p["a"] * q["c"]) / det
+    x = F.try_divide(p["b"] * q["c"] - q["b"] * p["c"], det)
+    y = F.try_divide(q["a"] * p["c"] - p["a"] * q["c"], det)
     return F.when(F.abs(det) > 1e-9, F.struct(x.alias("x"), y.alias("y")))
 
 
@@ -128,7 +128,7 @@ def cross_planes(planes) -> Column:
     """struct(x, y, z) where three planes (nx, ny, nz, c) with n.p = c meet; null if they don't in one point."""
     rows = [[num(v) for v in p] for p in planes]
     det = _det3([r[:3] for r in rows])
-    part = [_det3([[r[3] if k == j else r[k] for k in range(3)] for r in rows]) / det for j in range(3)]
+    part = [F.try_divide(_det3([[r[3] if k == j else r[k] for k in range(3)] for r in rows]), det) for j in range(3)]
     return F.when(F.abs(det) > 1e-9, F.struct(*[p.alias(n) for p, n in zip(part, "xyz", strict=True)]))
 
 
@@ -150,7 +150,7 @@ def vanishing_point(direction: Column, fx: float, fy: float, cx: float, cy: floa
 def ray_plane(u, v, fx, fy, cx, cy, nx, ny, nz, c, near: float = 0.3, far: float = 25.0) -> Column:
     """Depth at which a pixel's ray meets a plane, if between near and far."""
     along = (num(u) - cx) / fx * num(nx) + (num(v) - cy) / fy * num(ny) + num(nz)
-    z = num(c) / along
+    z = F.try_divide(num(c), along)  # the engine may divide before it has looked at `along`
     return F.when((F.abs(along) > 1e-9) & (z > near) & (z < far), z)
 
 
@@ -158,7 +158,7 @@ def ray_sheet(cx, cy, theta_deg, line: Column, width: float = 1280.0, height: fl
     """struct(x, y) where the ray from (cx, cy) at an angle meets a line; null off the image, under one pixel away, or along the line."""
     dx, dy = F.cos(F.radians(num(theta_deg))), F.sin(F.radians(num(theta_deg)))
     den = line["a"] * dx + line["b"] * dy
-    t = -line_distance(line, cx, cy) / den
+    t = F.try_divide(-line_distance(line, cx, cy), den)
     x, y = num(cx) + t * dx, num(cy) + t * dy
     inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
     return F.when((F.abs(den) >= 1e-9) & (t >= 1.0) & inside, F.struct(x.alias("x"), y.alias("y")))

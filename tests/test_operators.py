@@ -229,3 +229,10 @@ def test_inverse_fit_without_distance(spark):
 def test_extrapolated_at_the_asymptote(spark):
     rows = spark.createDataFrame([(230.0,), (630.0,), (231.0,)], "y0 double")
     assert [r.d for r in rows.select(fits.extrapolated(F.col("y0"), F.lit(230.0), F.lit(480.0)).alias("d")).collect()] == [None, 1.2, None]
+
+
+def test_rays_along_planes_and_sheets(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,)], "u double")
+    assert [r.z for r in rows.select(g.ray_plane(F.col("u"), F.lit(0.0), 1, 1, 0, 0, 1, 0, 0, 2.0).alias("z")).collect()] == [None, 2.0]
+    line = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(-20.0).alias("c"))
+    assert [r.p and r.p.x for r in rows.select(g.ray_sheet(10.0, 10.0, F.col("u") * 90, line).alias("p")).collect()] == [None, pytest.approx(10.0)]
