@@ -121,16 +121,17 @@ def overlapping_before(boxes: DataFrame, keys: list[str], frame: str, lags: int,
     """(keys, frame, box_id, lags_met): boxes that overlap a box, both grown by `grow`, in how many of the `lags` frames before.
 
     Boxes are listed under the coarse cells they touch, so overlap is an
-    equi-join on (keys, frame, cell) and then a test.
+    equi-join on (keys, frame, cell) and then a test. Boxes whose grown edges
+    meet exactly touch, so the cells reach a little further than the test.
     """
-    grow = 2 * grow  # both boxes grow, so this much may lie between them
-    at = lambda lo, hi, g: F.explode(F.sequence(F.floor((F.col(lo) - g) / cell), F.floor((F.col(hi) + g) / cell)))
-    now = boxes.withColumn("_lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_past", F.col(frame) - F.col("_lag")).withColumn("_cx", at("x_lo", "x_hi", grow))
+    at = lambda lo, hi, g: F.explode(F.sequence(F.floor((F.col(lo) - g) / cell - 1e-6), F.floor((F.col(hi) + g) / cell + 1e-6)))
+    now = boxes.withColumn("_lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_past", F.col(frame) - F.col("_lag")).withColumn("_cx", at("x_lo", "x_hi", 2 * grow))
     past = boxes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(frame).alias("_pf"), *[F.col(c).alias(f"_{c}") for c in ("x_lo", "x_hi", "y_lo", "y_hi")], at("x_lo", "x_hi", 0.0).alias("_pcx"))
     on = (F.col("_past") == F.col("_pf")) & (F.col("_cx") == F.col("_pcx"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    touch = (F.col("_x_lo") <= F.col("x_hi") + grow) & (F.col("_x_hi") >= F.col("x_lo") - grow) & (F.col("_y_lo") <= F.col("y_hi") + grow) & (F.col("_y_hi") >= F.col("y_lo") - grow)
+    lo, hi = lambda c: F.col(c) - grow, lambda c: F.col(c) + grow
+    touch = (lo("_x_lo") <= hi("x_hi")) & (hi("_x_hi") >= lo("x_lo")) & (lo("_y_lo") <= hi("y_hi")) & (hi("_y_hi") >= lo("y_lo"))
     return now.join(past, on).where(touch).groupBy(*keys, frame, "box_id").agg(F.count_distinct("_lag").alias("lags_met"))
 
 

@@ -236,3 +236,11 @@ def test_rays_along_planes_and_sheets(spark):
     assert [r.z for r in rows.select(g.ray_plane(F.col("u"), F.lit(0.0), 1, 1, 0, 0, 1, 0, 0, 2.0).alias("z")).collect()] == [None, 2.0]
     line = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(-20.0).alias("c"))
     assert [r.p and r.p.x for r in rows.select(g.ray_sheet(10.0, 10.0, F.col("u") * 90, line).alias("p")).collect()] == [None, pytest.approx(10.0)]
+
+
+def test_boxes_that_just_touch(spark):
+    """Each box grows by its own edges: so rounded they touch, though their distance is rounded to more than both growths."""
+    first, then = 2.06, 42.06
+    assert (first + 20) + 10 >= then - 10 and not first + 20 >= then - 20
+    boxes = spark.createDataFrame([(0, 1, first, first + 20), (1, 2, then, then + 20)], "frame long, box_id long, x_lo double, x_hi double").selectExpr("0 AS bag", "*", "0D AS y_lo", "40D AS y_hi")
+    assert [r.box_id for r in matching.overlapping_before(boxes, ["bag"], "frame", 3, 10.0, 50.0).collect()] == [2]
