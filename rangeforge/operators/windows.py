@@ -59,10 +59,10 @@ def stable_cells(cells: DataFrame, key: str, frames: int = 3) -> DataFrame:
 
 
 def moving_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int = 1) -> DataFrame:
-    """Median over `half` rows to each side; at the ends the edge value is repeated."""
+    """Median over `half` rows to each side; at the ends, and for a null, what lies next towards the row is repeated. Only rows within reach are looked at."""
     by = Window.partitionBy(*keys).orderBy(order)
-    near = [F.coalesce(F.lag(value, k).over(by), F.first(value).over(by)) for k in range(half, 0, -1)]
-    after = [F.coalesce(F.lead(value, k).over(by), F.last(value).over(by.rowsBetween(0, Window.unboundedFollowing))) for k in range(1, half + 1)]
+    side = lambda move: [F.coalesce(*[move(value, j).over(by) for j in range(k, 0, -1)], F.col(value)) for k in range(1, half + 1)]
+    near, after = side(F.lag), side(F.lead)
     middle = F.element_at(F.sort_array(F.array(*near, F.col(value), *after)), half + 1)
     return rows.withColumn("smooth", middle)
 

@@ -244,3 +244,11 @@ def test_boxes_that_just_touch(spark):
     assert (first + 20) + 10 >= then - 10 and not first + 20 >= then - 20
     boxes = spark.createDataFrame([(0, 1, first, first + 20), (1, 2, then, then + 20)], "frame long, box_id long, x_lo double, x_hi double").selectExpr("0 AS bag", "*", "0D AS y_lo", "40D AS y_hi")
     assert [r.box_id for r in matching.overlapping_before(boxes, ["bag"], "frame", 3, 10.0, 50.0).collect()] == [2]
+
+
+def test_moving_median_looks_within_reach(spark):
+    """A null gives way to the row itself, as in SQL, not to a value at the far end of the recording; no frame runs on to that end."""
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate([5.0, 9.0, None, 7.0, 1.0])], "g string, k long, v double")
+    found = windows.moving_median(rows, ["g"], "k", "v")
+    assert [r.smooth for r in found.orderBy("k").collect()][:2] == [5.0, 9.0]
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
