@@ -486,3 +486,10 @@ def test_line_frames_are_dealt_before_their_pixels(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     pixels = detector_queries.frames_with_lines(spark, "/root/testdata/sf0.001")
     assert pixels.rdd.getNumPartitions() >= 4 and pixels.groupBy("bag", "grp", "x", "y").count().count() == pixels.distinct().count()
+
+
+def test_many_lines_are_looked_up_at_once(maps):
+    t = np.linspace(0, 6, 50)
+    lines = np.stack([np.cos(t), np.sin(t), np.linspace(-400, 100, 50)], axis=1)
+    for own in maps.values():
+        assert [tuple(v) for v in zip(*own.fit_distances(lines), strict=True)] == [own.fit_distance(v) for v in lines]
