@@ -164,3 +164,18 @@ def test_sinks_and_summary(spark, tmp_path):
         online.write_batches(stream, str(tmp_path / kind), str(tmp_path / f"ck_{kind}"), kind=kind, once=True).awaitTermination(300)
         written = spark.read.schema("bag long, frame_idx long, iu int, iv int, kind string").option("header", "true").format(kind).load(str(tmp_path / kind))
         assert sorted(map(tuple, online.summary(written).collect())) == [(1, "object", 1, 1), (1, "shadow", 1, 2)]
+
+
+def test_frames_are_taken_a_few_at_a_time(spark, tmp_path):
+    """A long recording is never stepped through as a whole."""
+
+    class Sizes(online.Ema):
+        gives = "frame_idx long, ema double"
+
+        def step(self, frames):
+            yield pd.DataFrame({"frame_idx": [n for n, _ in frames], "ema": float(len(frames))})
+
+    rows = [{"bag": 1, "frame_idx": k, "d": 1.0} for k in range(1500)]
+    got, _ = play(spark, rows, "bag long, ts_ns long, frame_idx long, d double", tmp_path, lambda s: online._ordered(s, Sizes(0.7, 2), ALL))
+    assert sorted(r.frame_idx for r in got) == list(range(1500))
+    assert max(r.ema for r in got) < online.AT_ONCE + 101
