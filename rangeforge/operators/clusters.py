@@ -8,6 +8,9 @@ few for each part of a block's cluster, are contracted over the whole cloud.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,8 @@ from .links import linked_roots, near_blocks
 
 #: Cells along the side of a block.
 SIDE = 8
+#: Pairs of points whose distance is taken at once.
+PAIRS_AT_ONCE = 1 << 18
 CROSS = [(0, 1), (1, 0)]
 SQUARE = [(0, 1), (1, 0), (1, 1), (1, -1)]
 HALF_26 = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
@@ -79,30 +84,115 @@ def top_components(labelled: DataFrame, keys: list[str], k: int) -> DataFrame:
     return each.groupBy(*keys).agg(F.slice(ordered, 1, k).alias("clusters"))
 
 
-def eps_labels(xyz: np.ndarray, eps: float, *, compat: bool = False) -> np.ndarray:
-    """Clusters of points linked at a distance of at most eps, through cells of that size.
+def _near_pairs(xyz: np.ndarray, i: np.ndarray, j: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points i and j within eps, in pieces that look at PAIRS_AT_ONCE pairs at most."""
+    wide = min(len(j), 1 << 12)
+    for lo in range(0, len(i), PAIRS_AT_ONCE // wide):
+        for at in range(0, len(j), wide):
+            p, q = i[lo : lo + PAIRS_AT_ONCE // wide], j[at : at + wide]
+            x, y = np.nonzero(((xyz[p, None] - xyz[None, q]) ** 2).sum(axis=2) <= eps * eps)
+            if len(x):
+                yield p[x], q[y]
 
-    compat leaves out what an incomplete neighbour list leaves out: pairs within
-    one cell and pairs in the cells straight above or along one diagonal.
-    """
-    cell = np.floor(xyz / eps).astype(np.int64)
+
+def _grouped(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct cells, rows in the order of their cells, and where each cell's rows start, with an end."""
     cells, where = np.unique(cell, axis=0, return_inverse=True)
     where = where.ravel()
-    members = np.argsort(where, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(where))])
-    offsets = [o for o in HALF_26 if not compat or o not in ((0, 0, 1), (1, 1, -1))]
-    a, b = neighbour_pairs(cells, offsets)
-    if not compat:
-        a, b = np.concatenate([a, np.arange(len(cells))]), np.concatenate([b, np.arange(len(cells))])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    return cells, np.argsort(where, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(cells)))])
+
+
+def eps_labels(xyz: np.ndarray, eps: float, *, compat: bool = False) -> np.ndarray:
+    """Clusters of points linked at a distance of at most eps.
+
+    Points of a cell whose diagonal is under eps are linked, so only cells are
+    joined: first by their outermost points towards one another, then, where
+    that joined no two, by their points near the other's. Memory is in
+    proportion to the points, however many of them are near one another.
+    compat leaves out what an incomplete neighbour list leaves out, see
+    compat_labels.
+    """
+    if compat:
+        return compat_labels(xyz, eps)
+    dims = xyz.shape[1]
+    width = eps / math.sqrt(dims) * (1 - 1e-9)
+    cells, members, start = _grouped(np.floor(xyz / width).astype(np.int64))
+    at, many = xyz[members], np.diff(start)
+    of = np.repeat(np.arange(len(cells)), many)
+    lows, highs = np.minimum.reduceat(at, start[:-1]), np.maximum.reduceat(at, start[:-1])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    open_a, open_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def outermost(along: np.ndarray) -> np.ndarray:
+        """Row of each cell's greatest value."""
+        hit = np.flatnonzero(along == np.maximum.reduceat(along, start[:-1])[of])
+        return hit[np.searchsorted(of[hit], np.arange(len(cells)))]
+
+    reach = math.isqrt(dims) + 1
+    for o in itertools.product(range(-reach, reach + 1), repeat=dims):
+        if o <= (0,) * dims or sum(max(0, abs(k) - 1) ** 2 for k in o) > dims:
+            continue
+        a, b = neighbour_pairs(cells, [o])
+        gap = np.maximum(0, np.maximum(lows[b] - highs[a], lows[a] - highs[b]))
+        able = (gap**2).sum(axis=1) <= eps * eps * (1 + 1e-9)
+        a, b = a[able], b[able]
+        if not len(a):
+            continue
+        along = at @ np.array(o, float)
+        p, q = outermost(along)[a], outermost(-along)[b]
+        near = ((at[p] - at[q]) ** 2).sum(axis=1) <= eps * eps
+        found.append((a[near], b[near]))
+        rest = ~near & (many[a] * many[b] > 1)
+        open_a.append(a[rest])
+        open_b.append(b[rest])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found, strict=True) if found else ((), ())))
+    root = join_pairs(len(cells), a, b)
+    a, b = np.concatenate(open_a), np.concatenate(open_b)
+    apart = root[a] != root[b]
+    follows = root.tolist()
+
+    def top(k: int) -> int:
+        while follows[k] != k:
+            follows[k] = k = follows[follows[k]]
+        return k
+
+    def towards(k: int, other: int) -> np.ndarray:
+        own = np.arange(start[k], start[k + 1])
+        gap = np.maximum(0, np.maximum(lows[other] - at[own], at[own] - highs[other]))
+        return own[(gap**2).sum(axis=1) <= eps * eps * (1 + 1e-9)]
+
+    for k, n in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+        x, y = sorted((top(k), top(n)))
+        if x != y:
+            i, j = towards(k, n), towards(n, k)
+            if len(i) and len(j) and next(_near_pairs(at, i, j, eps), None) is not None:
+                follows[y] = x
+    tops = np.array([top(k) for k in range(len(cells))], np.int64)
+    # A cluster is named by its first row.
+    first = np.full(len(cells), len(xyz))
+    np.minimum.at(first, tops[of], members)
+    out = np.empty(len(xyz), np.int64)
+    out[members] = first[tops[of]]
+    return out
+
+
+def compat_labels(xyz: np.ndarray, eps: float) -> np.ndarray:
+    """Clusters without the links of pairs within one cell of eps and of pairs in the cells straight above or along one diagonal. Links are joined as they add up."""
+    cells, members, start = _grouped(np.floor(xyz / eps).astype(np.int64))
+    a, b = neighbour_pairs(cells, [o for o in HALF_26 if o not in ((0, 0, 1), (1, 1, -1))])
+    label, left, right, held = np.arange(len(xyz)), [], [], 0
+
+    def joined() -> np.ndarray:
+        return join_pairs(len(xyz), np.concatenate([np.arange(len(xyz)), *left]), np.concatenate([label, *right]))
+
     for p, q in zip(a, b, strict=True):
-        i, j = members[start[p] : start[p + 1]], members[start[q] : start[q + 1]]
-        for lo in range(0, len(i), 64):
-            near = ((xyz[i[lo : lo + 64], None] - xyz[None, j]) ** 2).sum(axis=2) <= eps * eps
-            x, y = np.nonzero(near)
-            left.append(i[lo + x])
-            right.append(j[y])
-    return join_pairs(len(xyz), np.concatenate(left), np.concatenate(right))
+        for i, j in _near_pairs(xyz, members[start[p] : start[p + 1]], members[start[q] : start[q + 1]], eps):
+            left.append(i)
+            right.append(j)
+            held += len(i)
+            if held > max(len(xyz), 1 << 20):
+                label, left, right, held = joined(), [], [], 0
+    return joined()
 
 
 def _in_blocks(nodes: DataFrame, keys: list[str], xyz: list[str], width: float, label, side: int) -> DataFrame:

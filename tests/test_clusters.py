@@ -75,3 +75,38 @@ def test_linked_roots(spark):
     assert sorted((k[0], min(v), len(v)) for k, v in groups.items()) == [(1, 0, 401), (1, 1000, 60), (1, 2000, 9), (2, 0, 401), (2, 1000, 60)]
     assert all(root in nodes for (_, root), nodes in groups.items())
     assert linked_roots(spark.createDataFrame([], "k long, u long, v long"), ["k"]).count() == 0
+
+
+def plain_labels(xyz, eps):
+    near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= eps * eps
+    return c.join_pairs(len(xyz), *np.nonzero(near))
+
+
+def test_labels_of_dense_clouds():
+    """Clouds with far more near pairs than points: the labels are those of all pairs."""
+    draw = np.random.default_rng(8)
+    ball = lambda at, n, r: at + draw.normal(size=(n, 3)) * r
+    for k in range(60):
+        steps = [ball(np.array(at), int(draw.integers(1, 120)), draw.uniform(0.01, 0.2)) for at in draw.uniform(-1.5, 1.5, (12, 3))]
+        xyz = np.round(np.concatenate(steps), int(draw.integers(1, 4)))
+        for eps in (0.1, 0.3):
+            assert (c.eps_labels(xyz, eps) == plain_labels(xyz, eps)).all()
+    flat = draw.uniform(0, 2, (300, 2))
+    assert (c.eps_labels(flat, 0.08) == plain_labels(flat, 0.08)).all()
+    # Two dense walls just beyond eps, and one pair of points that joins them.
+    wall = np.stack([np.zeros(2000), *draw.uniform(0, 0.5, (2, 2000))], axis=1)
+    apart = np.concatenate([wall, wall[:, [0, 2, 1]] + [0.3001, 0, 0]])
+    assert len(np.unique(c.eps_labels(apart, 0.3))) == 2
+    assert len(np.unique(c.eps_labels(np.concatenate([apart, [[0.15, 0.25, 0.25]]]), 0.3))) == 1
+
+
+def test_labels_memory():
+    """20,000 points within reach of one another have 200 million links; none is held."""
+    import tracemalloc
+
+    xyz = np.random.default_rng(1).uniform(0, 0.25, (20_000, 3))
+    tracemalloc.start()
+    label = c.eps_labels(xyz, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == 0).all() and peak < 100 << 20
