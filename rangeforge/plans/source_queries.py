@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fits
@@ -108,7 +108,8 @@ def las_points(spark, sf_dir):
 def las_ranges(spark, sf_dir):
     """One LAS file for each recording, read by many tasks in ranges of 64 kB, and only the columns asked for."""
     folder = scratch_folder(spark, "las")
-    las.write_las(_cloud(spark, sf_dir).withColumn("frame_idx", F.min("frame_idx").over(Window.partitionBy("bag"))), folder)
+    first = points(spark, sf_dir).groupBy(F.concat(F.lit("run"), "bag").alias("bag")).agg(F.min("frame_idx").alias("frame_idx"))
+    las.write_las(_cloud(spark, sf_dir).drop("frame_idx").join(F.broadcast(first), "bag"), folder)
     found = spark.read.format("las").schema("bag string, x double").option("bytesPerPartition", "65536").load(folder)
     return found.groupBy("bag").agg(F.count("*").alias("n"), F.round(F.sum("x")).cast("long").alias("x"))
 

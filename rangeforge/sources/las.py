@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -27,6 +28,8 @@ SCALE = 0.001
 
 #: Records that a task reads at a time.
 CHUNK = 1 << 16
+#: Place of the classification in a record of format 0.
+CLASS_BYTE = 15
 
 
 @dataclass(frozen=True)
@@ -74,23 +77,58 @@ def read_bytes(data: bytes) -> dict[str, np.ndarray]:
     return read_records(data[head.start : head.start + head.count * head.length], head, ("x", "y", "z", "intensity", "classification", "source_id"))
 
 
-def write_bytes(x, y, z, intensity, ring, frame) -> bytes:
-    """Format 0 at a millimetre: intensity within 16 bits, missing as 0; classification is the ring above the least; the source is the frame."""
-    xyz = np.round(np.stack([x, y, z], axis=1) / SCALE).astype("<i4")
-    ring = np.nan_to_num(np.asarray(ring, float))
+def _records(xyz: np.ndarray, intensity, ring: np.ndarray, frame) -> np.ndarray:
     body = np.zeros(len(xyz), np.dtype([("xyz", "<i4", 3), ("i", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("src", "<u2")]))
     body["xyz"], body["flags"] = xyz, 9
     body["i"] = np.clip(np.nan_to_num(np.asarray(intensity, float)), 0, 65535)
-    body["cls"] = np.clip(ring - (ring.min() if len(ring) else 0), 0, 31)
+    body["cls"] = np.clip(ring, 0, 31)
     body["src"] = np.asarray(frame) % 65536
+    return body
+
+
+def _head(n: int, low: np.ndarray, high: np.ndarray) -> bytes:
     head = bytearray(HEADER)
     head[:4], head[24], head[25] = b"LASF", 1, 2
     struct.pack_into("<HI", head, 94, HEADER, HEADER)
-    struct.pack_into("<BHI", head, 104, 0, 20, len(xyz))
-    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if len(xyz) else (np.zeros(3), np.zeros(3))
+    struct.pack_into("<BHI", head, 104, 0, LENGTHS[0], n)
     struct.pack_into("<6d", head, 131, SCALE, SCALE, SCALE, 0, 0, 0)
     struct.pack_into("<6d", head, 179, *[v * SCALE for pair in zip(high, low, strict=True) for v in pair])
-    return bytes(head) + body.tobytes()
+    return bytes(head)
+
+
+def write_bytes(x, y, z, intensity, ring, frame) -> bytes:
+    """Format 0 at a millimetre: intensity within 16 bits, missing as 0; classification is the ring above the least; the source is the frame."""
+    xyz = np.round(np.stack([x, y, z], axis=1) / SCALE).astype("<i4")
+    ring = np.nan_to_num(np.asarray(ring, float))
+    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if len(xyz) else (np.zeros(3), np.zeros(3))
+    return _head(len(xyz), low, high) + _records(xyz, intensity, ring - (ring.min() if len(ring) else 0), frame).tobytes()
+
+
+def write_pieces(path: str, parts: Iterator[pa.RecordBatch]) -> None:
+    """The file of write_bytes, written piece by piece. The rings lie beside it until the least one is known."""
+    n, least, low, high = 0, np.inf, np.full(3, np.inf), np.full(3, -np.inf)
+    with open(path, "w+b") as f, tempfile.TemporaryFile(dir=os.path.dirname(path)) as rings:
+        f.write(bytes(HEADER))
+        for part in parts:
+            own = {c: part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "z", "intensity", "ring", "frame_idx")}
+            place = np.stack([own[c] for c in "xyz"], axis=1)
+            kept = np.isfinite(place).all(axis=1)
+            if not kept.any():
+                continue
+            xyz, ring = np.round(place[kept] / SCALE).astype("<i4"), np.nan_to_num(own["ring"][kept])
+            f.write(_records(xyz, own["intensity"][kept], np.zeros(len(xyz)), own["frame_idx"][kept].astype(np.int64)).tobytes())
+            rings.write(ring.tobytes())
+            n, least, low, high = n + len(xyz), min(least, ring.min()), np.minimum(low, xyz.min(axis=0)), np.maximum(high, xyz.max(axis=0))
+        rings.seek(0)
+        for at in range(0, n, CHUNK):
+            many, place = min(CHUNK, n - at), HEADER + at * LENGTHS[0]
+            f.seek(place)
+            body = np.frombuffer(bytearray(f.read(many * LENGTHS[0])), np.uint8).reshape(many, LENGTHS[0])
+            body[:, CLASS_BYTE] = np.clip(np.frombuffer(rings.read(8 * many), float) - least, 0, 31)
+            f.seek(place)
+            f.write(body.tobytes())
+        f.seek(0)
+        f.write(_head(n, *((low, high) if n else (np.zeros(3), np.zeros(3)))))
 
 
 def bag_name(path: str) -> str:
@@ -157,7 +195,7 @@ class LasReader(DataSourceReader):
 
 
 class LasWriter(CommittedWriter):
-    """A frame of points is held by a task at a time: 20 bytes a point."""
+    """A file is written by one task, which holds a batch of its points at a time."""
 
     suffix = ".las"
 
@@ -165,11 +203,8 @@ class LasWriter(CommittedWriter):
         for k, ((bag, frame), group) in enumerate(groupby(pieces(batches, ("bag", "frame_idx")), itemgetter(0))):
             if bag is None or frame is None:
                 raise ValueError("points to be written need a bag and a frame_idx")
-            rows = pa.Table.from_batches([piece for _, piece in group]).to_pandas()
-            rows = rows[np.isfinite(rows[["x", "y", "z"]].to_numpy(float)).all(axis=1)]
             part = os.path.join(folder, f"{k}.part")
-            with open(part, "wb") as f:
-                f.write(write_bytes(*(rows[c].to_numpy(float) for c in ("x", "y", "z", "intensity", "ring")), rows["frame_idx"].to_numpy(np.int64)))
+            write_pieces(part, (piece for _, piece in group))
             yield part, f"{bag}_{frame}.las"
 
 

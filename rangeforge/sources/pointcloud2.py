@@ -5,19 +5,23 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.selection import finite, frames_mostly
-from ..shipping import ship_package
+from ..shipping import bound_batches
+from .committed import pieces
 
 #: Fixed values of the message format: field types by code.
 KINDS = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 7: "<f4", 8: "<f8"}
 POINTS = "bag string, frame_idx long, ts_ns long, pt_idx int, x float, y float, z float, intensity float, ring int"
+#: Points of a message that are given at a time.
+CHUNK = 1 << 16
 #: x, y, z, intensity as 4-byte floats, a ring byte and a time stamp: 26 bytes a point.
 FIELDS_26 = (("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("intensity", 12, 7), ("ring", 16, 2))
 
@@ -88,8 +92,7 @@ def columns_of(message: bytes, layout: Layout, wanted: tuple[str, ...]) -> dict[
     return out
 
 
-def encode_cloud(points: dict[str, np.ndarray], frame_id: str = "sensor", stamp_ns: int = 0, fields=FIELDS_26, step: int = 26) -> bytes:
-    """A message of the given points, for fixtures and round trips."""
+def _head(n: int, frame_id: str, stamp_ns: int, fields, step: int) -> bytes:
     out = bytearray(b"\0\1\0\0")
 
     def number(value: int, size: int) -> None:
@@ -101,18 +104,27 @@ def encode_cloud(points: dict[str, np.ndarray], frame_id: str = "sensor", stamp_
         number(len(raw), 4)
         out.extend(raw)
 
-    n = len(points["x"])
     number(stamp_ns // 10**9, 4), number(stamp_ns % 10**9, 4), text(frame_id)
     number(1, 4), number(n, 4), number(len(fields), 4)
     for name, offset, kind in fields:
         text(name), number(offset, 4), number(kind, 1), number(1, 4)
     number(0, 1), number(step, 4), number(step * n, 4), number(step * n, 4)
+    return bytes(out)
+
+
+def _body(points: dict[str, np.ndarray], fields, step: int) -> bytes:
+    n = len(points["x"])
     body = np.zeros((n, step), np.uint8)
     for name, offset, kind in fields:
         if name in points:
             v = np.asarray(points[name]).astype(KINDS[kind])
             body[:, offset : offset + v.itemsize] = v.view(np.uint8).reshape(n, -1)
-    return bytes(out) + body.tobytes()
+    return body.tobytes()
+
+
+def encode_cloud(points: dict[str, np.ndarray], frame_id: str = "sensor", stamp_ns: int = 0, fields=FIELDS_26, step: int = 26) -> bytes:
+    """A message of the given points, for fixtures and round trips."""
+    return _head(len(points["x"]), frame_id, stamp_ns, fields, step) + _body(points, fields, step)
 
 
 def decode_frames(frames: DataFrame, *, layout: str = "header") -> DataFrame:
@@ -120,26 +132,28 @@ def decode_frames(frames: DataFrame, *, layout: str = "header") -> DataFrame:
 
     layout is "header" or "fixed200". A null message has no points; missing
     intensity or ring is null. Place filters and column choices after this; the
-    decode itself reads the listed fields only.
+    decode itself reads the listed fields only. A task holds one message and gives CHUNK points at a time.
     """
     if layout not in ("header", "fixed200"):
         raise ValueError('layout must be "header" or "fixed200"')
-    ship_package(frames.sparkSession)
+    bound_batches(frames.sparkSession)
     find = read_layout if layout == "header" else fixed_layout
     names = ["bag", "frame_idx", "ts_ns", "pt_idx", "x", "y", "z", "intensity", "ring"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.float32(), pa.float32(), pa.int32()]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bag, frame, ts, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                bag, frame, ts, data = (c[row].as_py() for c in batch.columns)
                 if data is None:
                     continue
                 where = find(data)
                 got = columns_of(data, where, ("x", "y", "z", "intensity", "ring"))
-                n = where.count
-                columns = [pa.array([v] * n, t) for v, t in zip((bag, frame, ts), types[:3], strict=True)] + [pa.array(np.arange(n, dtype=np.int32))]
-                columns += [pa.nulls(n, t) if got[c] is None else pa.array(got[c]).cast(t) for c, t in zip(names[4:], types[4:], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                for at in range(0, where.count, CHUNK):
+                    n = min(CHUNK, where.count - at)
+                    columns = [pa.repeat(pa.scalar(v, t), n) for v, t in zip((bag, frame, ts), types[:3], strict=True)] + [pa.array(np.arange(at, at + n, dtype=np.int32))]
+                    columns += [pa.nulls(n, t) if got[c] is None else pa.array(got[c][at : at + n]).cast(t) for c, t in zip(names[4:], types[4:], strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return frames.select("bag", "frame_idx", "ts_ns", "data").mapInArrow(decode, POINTS)
 
@@ -158,16 +172,25 @@ def decode_standard(frames: DataFrame, *, x_max: float = 300.0, y_max: float = 3
 
 
 def encode_frames(points: DataFrame, *, frame_id: str = "sensor") -> DataFrame:
-    """(bag, frame_idx, ts_ns, data): one message for each frame of points (bag, frame_idx, ts_ns, pt_idx, x, y, z, intensity, ring)."""
-    ship_package(points.sparkSession)
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pt_idx")
-        first = pdf.iloc[0]
-        data = encode_cloud({c: pdf[c].to_numpy() for c in ("x", "y", "z", "intensity", "ring")}, frame_id, int(first["ts_ns"]), (*FIELDS_26, ("timestamp", 18, 8)))
-        return pd.DataFrame({"bag": [first["bag"]], "frame_idx": [first["frame_idx"]], "ts_ns": [first["ts_ns"]], "data": [data]})
-
-    return points.groupBy("bag", "frame_idx").applyInPandas(encode, "bag string, frame_idx long, ts_ns long, data binary")
+    """(bag, frame_idx, ts_ns, data): one message for each frame of points (bag, frame_idx, ts_ns, pt_idx, x, y, z, intensity, ring). A task holds the bytes of one message."""
+    bound_batches(points.sparkSession)
+    fields, names = (*FIELDS_26, ("timestamp", 18, 8)), ["bag", "frame_idx", "ts_ns", "data"]
+
+    def message(bag, frame, ts: int, bodies: list[bytes]) -> pa.RecordBatch:
+        data = b"".join([_head(sum(map(len, bodies)) // 26, frame_id, ts, fields, 26), *bodies])
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bag, frame, ts, data), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bag, frame), group in groupby(pieces(batches, ("bag", "frame_idx")), itemgetter(0)):
+            ts, bodies = None, []
+            for _, piece in group:
+                own = {c: piece.column(piece.schema.get_field_index(c)) for c in ("ts_ns", "x", "y", "z", "intensity", "ring")}
+                ts = own["ts_ns"][0].as_py() if ts is None else ts
+                bodies.append(_body({c: own[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "intensity", "ring")}, fields, 26))
+            yield message(bag, frame, ts, bodies)
+
+    rows = points.repartition("bag", "frame_idx").sortWithinPartitions("bag", "frame_idx", "pt_idx")
+    return rows.select("bag", "frame_idx", "ts_ns", "x", "y", "z", "intensity", "ring").mapInArrow(encode, "bag string, frame_idx long, ts_ns long, data binary")
 
 
 def stamp_of(message: bytes) -> int:

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from ..shipping import ship_package
+from ..shipping import bound_batches
 from .committed import CommittedWriter, pieces
 from .scratch import plain
 
 SCHEMA = "bag string, topic string, frame_idx long, ts_ns long, data binary"
-BATCH = 16
+#: Messages, and bytes of messages, after which a batch is given.
+BATCH, BATCH_BYTES = 16, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,26 @@ def sniff(db: sqlite3.Connection, path: str) -> BagTable:
     return BagTable(topic, ts, data, topic == "topic_id")
 
 
+def _messages(db: sqlite3.Connection, t: BagTable, bag: str, keys: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Messages of (number, id) keys, each fetched by its id, so that no sort carries the data."""
+    name = "coalesce(t.name, '')" if t.topics else f"coalesce(m.{t.topic}, '')"
+    join = "LEFT JOIN topics t ON t.id = m.topic_id" if t.topics else ""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        index, topic, ts, data = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([bag] * len(held)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
+
+    for index, number in keys:
+        held += [(index, *row) for row in db.execute(f"SELECT {name}, m.{t.ts}, m.{t.data} FROM messages m {join} WHERE m.id = ?", (number,))]
+        size += len(held[-1][3] or b"")
+        if len(held) >= BATCH or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def bag_files(path: str) -> list[str]:
     """A bag, the first bag of a recording's folder, or all bags of the folders in a folder."""
     if os.path.isfile(path):
@@ -115,17 +136,14 @@ class RosbagReader(DataSourceReader):
         with open_bag(part.path) as db:
             t = sniff(db, part.path)
             order = "id" if self.order == "id" else f"{t.ts}, id"
-            name = "coalesce(t.name, '')" if t.topics else f"coalesce(m.{t.topic}, '')"
+            name = "coalesce(t.name, '')" if t.topics else "coalesce(m.topic, '')"
             join = "LEFT JOIN topics t ON t.id = m.topic_id" if t.topics else ""
-            column = {"topic": "topic", "ts_ns": "ts_ns"}
-            where = " AND ".join(f"{column[c]} {sign} ?" for c, sign, _ in self.tests) or "1"
+            where = " AND ".join(f"{c} {sign} ?" for c, sign, _ in self.tests) or "1"
             behind = "id > ?" if self.order == "id" else f"({t.ts}, id) > (?, ?)"
-            sql = f"SELECT * FROM (SELECT {name} AS topic, i + ? AS frame_idx, m.{t.ts} AS ts_ns, m.{t.data} AS data FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM (SELECT * FROM messages WHERE {behind} ORDER BY {order} LIMIT ?)) m {join} ORDER BY i) WHERE {where}"
+            topic = t.topic if t.topics else f"{t.topic} AS topic"
+            sql = f"SELECT i + ?, id FROM (SELECT {name} AS topic, m.i, m.{t.ts} AS ts_ns, m.id FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM (SELECT id, {t.ts}, {topic} FROM messages WHERE {behind} ORDER BY {order} LIMIT ?)) m {join}) WHERE {where} ORDER BY i"
             after = part.after[1:] if self.order == "id" else part.after
-            rows = db.execute(sql, (part.first, *after, part.count, *(v for _, _, v in self.tests)))
-            while found := rows.fetchmany(BATCH):
-                topic, index, ts, data = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
+            yield from _messages(db, t, part.bag, db.execute(sql, (part.first, *after, part.count, *(v for _, _, v in self.tests))).fetchall())
 
 
 @dataclass
@@ -168,13 +186,8 @@ class RosbagStreamReader(DataSourceStreamReader):
     def read(self, part: BagSpan) -> Iterator[pa.RecordBatch]:
         with contextlib.closing(open_bag(part.path)) as db:
             t = sniff(db, part.path)
-            name = "coalesce(t.name, '')" if t.topics else f"coalesce(m.{t.topic}, '')"
-            join = "LEFT JOIN topics t ON t.id = m.topic_id" if t.topics else ""
             before = db.execute("SELECT count(*) FROM messages WHERE id <= ?", (part.after,)).fetchone()[0]
-            rows = db.execute(f"SELECT {name}, row_number() OVER (ORDER BY m.id) - 1 + ?, m.{t.ts}, m.{t.data} FROM messages m {join} WHERE m.id > ? AND m.id <= ? ORDER BY m.id", (before, part.after, part.last))
-            while found := rows.fetchmany(BATCH):
-                topic, index, ts, data = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part.bag] * len(found)), pa.array(topic, pa.string()), pa.array(index, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], names=["bag", "topic", "frame_idx", "ts_ns", "data"])
+            yield from _messages(db, t, part.bag, db.execute("SELECT row_number() OVER (ORDER BY id) - 1 + ?, id FROM messages WHERE id > ? AND id <= ? ORDER BY id", (before, part.after, part.last)).fetchall())
 
 
 class RosbagWriter(CommittedWriter):
@@ -192,8 +205,9 @@ class RosbagWriter(CommittedWriter):
                 db.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT)")
                 db.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
                 for _, piece in group:
-                    values = [piece.column(piece.schema.get_field_index(c)).to_pylist() for c in ("topic", "ts_ns", "data")]
-                    db.executemany("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", ((topics.setdefault(t, len(topics) + 1), ts, d) for t, ts, d in zip(*values, strict=True)))
+                    columns = [piece.column(piece.schema.get_field_index(c)) for c in ("topic", "ts_ns", "data")]
+                    rows = ([c[row].as_py() for c in columns] for row in range(piece.num_rows))
+                    db.executemany("INSERT INTO messages(topic_id, timestamp, data) VALUES (?, ?, ?)", ((topics.setdefault(t, len(topics) + 1), ts, d) for t, ts, d in rows))
                 db.executemany("INSERT INTO topics VALUES (?, ?)", ((n, t) for t, n in topics.items()))
                 db.commit()
             yield part, f"{bag}/{bag}.db3"
@@ -233,7 +247,7 @@ class RosbagSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    ship_package(spark)
+    bound_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RosbagSource)
 
