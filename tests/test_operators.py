@@ -252,3 +252,23 @@ def test_moving_median_looks_within_reach(spark):
     found = windows.moving_median(rows, ["g"], "k", "v")
     assert [r.smooth for r in found.orderBy("k").collect()][:2] == [5.0, 9.0]
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_folds_of_many_groups(spark):
+    """Thousands of small groups pass through few tasks, across the ends of batches; a group that no batch holds stays whole, and groups of nulls are groups."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sizes = {g: 1 + g * 7 % 23 for g in range(300)} | {300: 500, None: 9}
+        rows = spark.createDataFrame([(g, k, float((k * 13 + (g or 0)) % 40), "s") for g, n in sizes.items() for k in range(n)], "g long, k long, x double, s string")
+        got: dict = {}
+        for r in folds.suppressed(rows, ["g"], ["k"], ["x"], [3.0]).collect():
+            got.setdefault(r.g, []).append((r.k, r.x, r.kept, r.s))
+        assert {g: len(v) for g, v in got.items()} == sizes
+        for found in got.values():
+            kept: list = []
+            for _, x, yes, _ in sorted(found):
+                assert yes == (not any(abs(x - q) <= 3.0 for q in kept))
+                kept += [x] if yes else []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
