@@ -139,3 +139,19 @@ def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (1, 1)], "doc_id long, quality int")
     assert learn_quality(docs, labels) is None and learn_quality(docs.limit(0), labels.limit(0)) is None
     assert score_quality(docs.limit(0), ranking).count() == 0
+
+
+def test_every_label_is_learned_from(spark):
+    """Blocks of few rows: the threshold and spread are those of all labelled rows' strengths, and weights come from all blocks."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["plain", "word", "***", "CCC"], 30, p=[0.45, 0.35, 0.1, 0.1] if k % 3 else [0.1, 0.1, 0.4, 0.4])) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(400)], "doc_id long, quality int")
+    ranking = learn_quality(docs, labels, rows=60)
+    x, good = described(texts), np.array([k % 3 > 0 for k in range(400)])
+    assert np.allclose(ranking.mean, x.mean(axis=0, dtype=float), atol=1e-5)
+    strength = ranking.strength(x)
+    assert abs(ranking.threshold - np.quantile(strength, 1 - good.mean())) < 1e-4
+    assert abs(ranking.spread - np.median(np.abs(strength - ranking.threshold)) / 3) < 1e-4
+    assert ((ranking.score(x) >= 0.5) == good).mean() > 0.97
+    assert np.abs(ranking.weights - learn_quality(docs, labels).weights).max() > 1e-3
