@@ -380,9 +380,10 @@ def _links(rows: DataFrame, members: DataFrame, *, words: int, percent: int) ->
     sets = _sets_of(pairs, rows, words, None)
     links = cut(_verified(pairs, sets, percent))
     for best in (True, False):
-        parted = met.join(component_roots(links), "node", "left").withColumn("part", F.coalesce("root", "node"))
+        # A few numbers a node, written once: what follows reads them several times, and plans stay small.
+        parted = cut(met.select("node", "grp", "size").join(component_roots(links), "node", "left").select("grp", "node", "size", F.coalesce("root", "node").alias("part")))
         # A group of several is a list of its own too: its members share all of the prefix.
-        listed = lists.select("key", "grp").join(parted.select("grp", "node", "size", "part"), "grp").select("key", "node", "size", "part")
+        listed = lists.select("key", "grp").join(parted, "grp").select("key", "node", "size", "part")
         listed = listed.unionByName(parted.select(F.xxhash64("grp", F.lit("group")).alias("key"), "node", "size", "part"))
         by_part = listed.groupBy("key", "part").agg(F.count("*").alias("many"))
         mixed = by_part.groupBy("key").agg(F.sum("many").alias("total"), F.max(F.struct("many", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -417,9 +418,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(everything, HOT))
     members = _prefixes(rows, words, percent, hot).join(nodes.select(F.col("node").alias("row"), "size"), "row").withColumnRenamed("row", "node")
     links = _links(rows.select("row", "text"), cut(members), words=words, percent=percent)
-    joined = nodes.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Each step is cut: the rows of the last one are used three times, and one plan of all of them runs so many stages at once that the driver's heap grows with them.
+    joined = cut(nodes.join(component_roots(links), "node", "left").select("digest", "first", "copies", F.coalesce("root", "node").alias("root")))
     least = joined.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
-    named = joined.join(least, "root").select("digest", "component_id", "copies")
+    named = cut(joined.join(least, "root").select("digest", "component_id", "copies"))
     wordless = prints.where("digest IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     found = joined_by_hot_keys(prints.where("digest IS NOT NULL").select("doc_id", "size", "digest"), named, "digest", "copies").select("doc_id", "size", "component_id")
     return found.union(wordless).withColumnRenamed("size", "n_shingles")

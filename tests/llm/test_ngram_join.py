@@ -90,3 +90,10 @@ def test_prefix_rule():
             k = j.prefix_length(n, percent)
             # all but the prefix is shared at most, with a set that is no smaller than these
             assert 100 * (n - k) < percent * n <= 100 * (n - k + 1)
+
+
+def test_last_plan_is_small(spark):
+    """The driver runs all leaves of one plan at once; what leads to the components is cut before, not repeated in it."""
+    docs = spark.createDataFrame([(i, f"a b c {i % 3}") for i in range(9)], "doc_id long, text string").repartition(2).cache()
+    plan = j.jaccard_components(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert sum(plan.count(kind) for kind in ("Join", "Scan")) <= 12
