@@ -10,6 +10,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ KINDS = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 7: "<f4", 8
 POINTS = "bag string, frame_idx long, ts_ns long, pt_idx int, x float, y float, z float, intensity float, ring int"
 #: Points of a message that are given at a time.
 CHUNK = 1 << 16
+#: Points that are made into bytes at a time.
+PACKED = 1 << 18
 #: x, y, z, intensity as 4-byte floats, a ring byte and a time stamp: 26 bytes a point.
 FIELDS_26 = (("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("intensity", 12, 7), ("ring", 16, 2))
 
@@ -171,26 +174,65 @@ def decode_standard(frames: DataFrame, *, x_max: float = 300.0, y_max: float = 3
     return good.unionByName(decode_frames(rest, layout="fixed200"))
 
 
+def _blobs(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rows' bytes between each two bounds, as binary values without a copy for each."""
+    size = rows.nbytes // max(1, len(rows))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(rows)])
+
+
 def encode_frames(points: DataFrame, *, frame_id: str = "sensor") -> DataFrame:
-    """(bag, frame_idx, ts_ns, data): one message for each frame of points (bag, frame_idx, ts_ns, pt_idx, x, y, z, intensity, ring). A task holds the bytes of one message."""
+    """(bag, frame_idx, ts_ns, data): one message for each frame of points (bag, frame_idx, ts_ns, pt_idx, x, y, z, intensity, ring).
+
+    Points are made into bytes where they are read, PACKED at a time, and only
+    these pieces of frames are shuffled. A task holds the bytes of one message.
+    """
     bound_batches(points.sparkSession)
     fields, names = (*FIELDS_26, ("timestamp", 18, 8)), ["bag", "frame_idx", "ts_ns", "data"]
-
-    def message(bag, frame, ts: int, bodies: list[bytes]) -> pa.RecordBatch:
-        data = b"".join([_head(sum(map(len, bodies)) // 26, frame_id, ts, fields, 26), *bodies])
+    packed = "bag string, frame_idx long, ts_ns long, first long, ids binary, body binary"
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """A row for each frame of these points: its time, its points' first number, their numbers and bytes, in order."""
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        own = {c: rows.column(k) for k, c in enumerate(rows.schema.names)}
+        ids = own["pt_idx"].fill_null(-(1 << 63)).to_numpy()
+        bags, frames = (pc.fill_null(own[c].dictionary_encode().indices, -1).to_numpy().astype(np.int64) for c in ("bag", "frame_idx"))
+        keys = bags * (rows.num_rows + 1) + frames
+        order = np.lexsort((ids, keys))
+        starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+        bounds, heads, ids = np.r_[starts, len(order)], pa.array(order[starts]), ids[order]
+        body = _body({c: own[c].to_numpy(zero_copy_only=False)[order] for c in ("x", "y", "z", "intensity", "ring")}, fields, 26)
+        columns = [*(own[c].take(heads) for c in names[:3]), pa.array(ids[starts]), _blobs(ids, bounds), _blobs(np.frombuffer(body, np.uint8).reshape(-1, 26), bounds)]
+        return pa.RecordBatch.from_arrays(columns, names=[*names[:3], "first", "ids", "body"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def message(bag, frame, ts: int, ids: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+        if (ids[1:] < ids[:-1]).any():  # pieces whose numbers overlap
+            body = body[np.argsort(ids, kind="stable")]
+        data = b"".join([_head(len(body), frame_id, ts, fields, 26), body])
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bag, frame, ts, data), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bag, frame), group in groupby(pieces(batches, ("bag", "frame_idx")), itemgetter(0)):
-            ts, bodies = None, []
+            ts, ids, bodies = None, [], []
             for _, piece in group:
-                own = {c: piece.column(piece.schema.get_field_index(c)) for c in ("ts_ns", "x", "y", "z", "intensity", "ring")}
+                own = {c: piece.column(piece.schema.get_field_index(c)) for c in ("ts_ns", "ids", "body")}
                 ts = own["ts_ns"][0].as_py() if ts is None else ts
-                bodies.append(_body({c: own[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "intensity", "ring")}, fields, 26))
-            yield message(bag, frame, ts, bodies)
+                ids += [np.frombuffer(v.as_py(), np.int64) for v in own["ids"]]
+                bodies += [np.frombuffer(v.as_py(), np.uint8).reshape(-1, 26) for v in own["body"]]
+            yield message(bag, frame, ts, np.concatenate(ids), np.concatenate(bodies))
 
-    rows = points.repartition("bag", "frame_idx").sortWithinPartitions("bag", "frame_idx", "pt_idx")
-    return rows.select("bag", "frame_idx", "ts_ns", "x", "y", "z", "intensity", "ring").mapInArrow(encode, "bag string, frame_idx long, ts_ns long, data binary")
+    rows = points.select("bag", "frame_idx", "ts_ns", F.col("pt_idx").cast("long"), "x", "y", "z", "intensity", "ring").mapInArrow(packs, packed)
+    rows = rows.repartition("bag", "frame_idx").sortWithinPartitions("bag", "frame_idx", "first")
+    return rows.drop("first").mapInArrow(encode, "bag string, frame_idx long, ts_ns long, data binary")
 
 
 def stamp_of(message: bytes) -> int:

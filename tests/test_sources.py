@@ -46,6 +46,26 @@ def test_round_trip(spark):
         assert [getattr(r, name) for r in rows] == pytest.approx(list(want[name]))
 
 
+def test_encoded_pieces(spark):
+    """Messages hold their points in order whatever task read them; pieces of frames are shuffled, not points."""
+    rng = np.random.default_rng(5)
+    data = []
+    for bag, frame in (("a", 0), ("a", 7), ("b", 0), (None, None)):
+        p = cloud(900, len(data))
+        data += [(bag, frame, 5 + k, k, *(float(p[c][k]) for c in ("x", "y", "z", "intensity")), int(p["ring"][k])) for k in range(900)]
+    rows = [data[k] for k in rng.permutation(len(data))]
+    points = spark.createDataFrame(rows, "bag string, frame_idx long, ts_ns long, pt_idx int, x double, y double, z double, intensity double, ring int").repartition(5)
+    messages = pointcloud2.encode_frames(points, frame_id="s")
+    got = {(r.bag, r.frame_idx): r for r in messages.collect()}
+    assert len(got) == 4
+    for k, key in enumerate((("a", 0), ("a", 7), ("b", 0), (None, None))):
+        want = pointcloud2.encode_cloud(cloud(900, 900 * k), "s", 5, fields=(*pointcloud2.FIELDS_26, ("timestamp", 18, 8)))
+        assert got[key].ts_ns == 5 and bytes(got[key].data) == want
+    plan = messages._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    shuffle = next(k for k, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert "MapInArrow" in plan[shuffle + 1] and "body" in plan[shuffle + 1]
+
+
 def test_missing_fields():
     fields = (("x", 0, 7), ("y", 4, 7), ("z", 8, 7))
     message = pointcloud2.encode_cloud(cloud(3), fields=fields, step=12)

@@ -179,3 +179,20 @@ def test_frames_are_taken_a_few_at_a_time(spark, tmp_path):
     got, _ = play(spark, rows, "bag long, ts_ns long, frame_idx long, d double", tmp_path, lambda s: online._ordered(s, Sizes(0.7, 2), ALL))
     assert sorted(r.frame_idx for r in got) == list(range(1500))
     assert max(r.ema for r in got) < online.AT_ONCE + 101
+
+
+def test_bags_grow_by_new_messages(spark, monkeypatch):
+    """Each point is made into a message once, though bags are written four times."""
+    from rangeforge.plans import stream_queries
+    from rangeforge.sources import pointcloud2
+
+    seen, encode = spark.sparkContext.accumulator(0), pointcloud2.encode_frames
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(pointcloud2, "encode_frames", lambda points: encode(points.mapInArrow(counted, points.schema)))
+    n = stream_queries.stream_bags(spark, SF).count()
+    assert n and seen.value == spark.read.parquet(f"{SF}/lineitem.parquet").count()
