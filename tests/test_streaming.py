@@ -181,6 +181,91 @@ def test_frames_are_taken_a_few_at_a_time(spark, tmp_path):
     assert max(r.ema for r in got) < online.AT_ONCE + 101
 
 
+class Kept(dict):
+    """State in a plain dict, with the number of writes."""
+
+    writes = 0
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self[k] = v
+
+    def update(self, v):
+        self[()] = v
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    removeKey, getValue, iterator = dict.pop, dict.get, lambda self: iter(list(self.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getListState = getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+class Seen(online.Ordered):
+    takes, gives = "d double, lit array<long>", "frame_idx long, d double, lit array<long>"
+
+    def step(self, frames):
+        assert len(frames) <= online.AT_ONCE
+        yield pd.DataFrame([(n, d, tuple(lit)) for n, d, lit in frames], columns=["frame_idx", "d", "lit"])
+
+
+@pytest.mark.parametrize("sizes", [(1 << 25, 1 << 18, 64), (4000, 600, 3), (500, 1, 2)])
+def test_frames_are_merged_from_runs_of_any_size(sizes):
+    """Frames in any order, some twice, with a watermark that moves: each comes out once, in order, as soon as it is ready, and nothing is left."""
+    rng = np.random.default_rng(3)
+    seen, handle = Seen(), Handle()
+    seen.SORTED, seen.BLOCK, seen.MERGED = sizes
+    seen.init(handle)
+    want, got, done = {}, [], -1
+    for batch in range(14):
+        mark = 50 * batch - 200 if batch < 13 else 10**6  # milliseconds
+        n = rng.integers(max(done + 1, 0), max(done + 400, 400), 120)
+        came = pd.DataFrame({"ts_ns": n // 2 * 2 * 10**6 + 999_999, "frame_idx": n, "d": rng.random(120), "lit": [list(range(k % 5)) for k in n]})
+        want |= {(ts, n): (n, d, tuple(lit)) for ts, n, d, lit in came.itertuples(index=False)}
+        out = pd.concat([*seen.handleInputRows((7,), iter([came[:70], came[70:]]), Mark(mark)), pd.DataFrame({"bag": []})])
+        ready = sorted(k for k in want if k[0] // 10**6 <= mark)
+        assert [tuple(r) for r in out[["frame_idx", "d", "lit"]].itertuples(index=False)] == [want.pop(k) for k in ready] if ready else not len(out)
+        got += ready
+        done = max(done, mark)
+        if want:
+            assert handle.timers[-1] == min(want)[0] // 10**6
+    assert len(got) > 300 and not want and not handle.states["runs"] and not handle.states["blocks"]
+
+
+def test_frames_in_any_order_are_held_in_few_pieces():
+    """A recording's frames that come in random order are not held in a piece each, nor in one for each stretch of time."""
+    held, handle = online.Held(2), Handle()
+    held.init(handle)
+    n = np.random.default_rng(0).permutation(60000)
+    parts = (pd.DataFrame({"ts_ns": FIRST + k * 10**8, "frame_idx": k, "d": k * 1.0}) for k in np.split(n, 6))
+    assert not list(held.handleInputRows((1,), parts, Mark(0)))
+    assert sum(s.writes for s in handle.states.values()) <= 20
+    out = pd.concat(held.handleExpiredTimer((1,), Mark(10**15), None))
+    assert out["frame_idx"].tolist() == list(range(60000)) and out["d"].tolist() == [float(k - k % 2) for k in range(60000)]
+
+
 def test_bags_grow_by_new_messages(spark, monkeypatch):
     """Each point is made into a message once, though bags are written four times."""
     from rangeforge.plans import stream_queries
