@@ -262,7 +262,9 @@ def test_frames_in_any_order_are_held_in_few_pieces():
     parts = (pd.DataFrame({"ts_ns": FIRST + k * 10**8, "frame_idx": k, "d": k * 1.0}) for k in np.split(n, 6))
     assert not list(held.handleInputRows((1,), parts, Mark(0)))
     assert sum(s.writes for s in handle.states.values()) <= 20
-    out = pd.concat(held.handleExpiredTimer((1,), Mark(10**15), None))
+    steps = list(held.handleExpiredTimer((1,), Mark(10**15), None))
+    assert max(map(len, steps)) <= online.AT_ONCE < 60000
+    out = pd.concat(steps)
     assert out["frame_idx"].tolist() == list(range(60000)) and out["d"].tolist() == [float(k - k % 2) for k in range(60000)]
 
 
